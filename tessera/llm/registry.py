@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, near_dedup
+from .bpe import op1_bpe
 from .decontamination import op9_decontamination
 from .language_id import op8_language_id
 from .near_dedup import op10_near_dedup
 from .quality import op3_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
