@@ -6,21 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup
+from . import decontamination, near_dedup, warc
 from .bpe import op1_bpe
 from .decontamination import op9_decontamination
 from .language_id import op8_language_id
 from .near_dedup import op10_near_dedup
 from .quality import op3_quality
+from .token_files import op5_token_files
+from .warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
+    "op5_token_files": op5_token_files,
+    "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": warc.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
     "op10_near_dedup": near_dedup.ORACLE,
 }
