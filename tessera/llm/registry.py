@@ -7,18 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, near_dedup, warc
+from .ann import op2_neighbours
 from .bpe import op1_bpe
 from .decontamination import op9_decontamination
+from .html_text import op6_html_text
 from .language_id import op8_language_id
 from .near_dedup import op10_near_dedup
 from .quality import op3_quality
 from .token_files import op5_token_files
+from .url_filter import op4_url_filter
 from .warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_neighbours": op2_neighbours,
     "op3_quality": op3_quality,
+    "op4_url_filter": op4_url_filter,
     "op5_token_files": op5_token_files,
+    "op6_html_text": op6_html_text,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,

@@ -56,8 +56,9 @@ def write(pages: DataFrame, folder: str) -> None:
     found.select("page_id", "sha256", "sha1", "payload_bytes", "record_type", "refers_to", "header").write.parquet(f"{folder}/headers")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     stored = pages.select("page_id", payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    keepers = stored.groupBy("sha256").agg(F.max("page_id").alias("keeper"))
-    once = stored.join(keepers, "sha256").filter(F.col("keeper").eqNullSafe(F.col("page_id"))).dropDuplicates(["sha256"]).select("sha256", "payload")
+    keepers = stored.groupBy("sha256").agg(F.max("page_id").alias("keeper")).withColumnRenamed("sha256", "digest")
+    # joined on digest and page, so that the copies of a frequent payload lie apart
+    once = stored.join(keepers, (F.col("sha256") == F.col("digest")) & F.col("page_id").eqNullSafe(F.col("keeper"))).select("sha256", "payload").dropDuplicates(["sha256"])
     once.write.parquet(f"{folder}/payloads")
 
 
