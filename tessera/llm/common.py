@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Characters of text that a worker takes apart at a time.
+BATCH_CHARS = 2_000_000
+
+
+def in_batches(texts: Iterable[str | None]) -> Iterable[list[str | None]]:
+    """Runs of texts of some millions of characters."""
+    part: list[str | None] = []
+    size = 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if size >= BATCH_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_folder, table
+from .common import in_batches, shared_folder, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -36,7 +36,7 @@ LONGEST_CODE = 18
 STRIDE = 128
 BLOCK_TOKENS = 131_072
 DOCS_PER_BUCKET = 20_000
-CACHED_PIECES = 400_000
+CACHED_PIECES = 1_200_000
 _ODD = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
 
@@ -60,19 +60,12 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         split = [[] if not t else t.split() if not _ODD.search(t) else [p for p in _SPACE.split(t) if p] for t in texts]
-        wanted: dict[str, None] = {}
-        for pieces in split:
-            for p in pieces:
-                if p not in self.new:
-                    wanted[p] = None
+        distinct = set().union(*split)
+        wanted = distinct.difference(self.new)
         if len(self.new) + len(wanted) > CACHED_PIECES // 2:
-            self.old, self.new = self.new, {}
-            wanted = dict.fromkeys(p for pieces in split for p in pieces)
-        for p in list(wanted):
-            if (known := self.old.get(p)) is not None:
-                self.new[p] = known
-                del wanted[p]
-        missing = list(wanted)
+            self.old, self.new, wanted = self.new, {}, distinct
+        self.new.update((p, self.old[p]) for p in wanted if p in self.old)
+        missing = [p for p in wanted if p not in self.old]
         for start in range(0, len(missing), 5000):
             part = missing[start : start + 5000]
             self.new.update(zip(part, self.ids_of(part), strict=True))
@@ -249,7 +242,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     @F.pandas_udf(_CODED)
     def coded(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for found in encoder(path).encode(texts):
+        for found in (x for part in in_batches(texts) for x in encoder(path).encode(part)):
             raw = found + int(end_id).to_bytes(4, "little")
             bits, marks = pack(np.frombuffer(raw, "<u4"), lengths, words)
             rows.append((len(raw) // 4, bits, marks, zlib.crc32(raw)))
