@@ -67,9 +67,9 @@ def redaction_audit(rows: DataFrame, by: str, text: str = "text", patterns: dict
     return each.groupBy(by, "pattern").agg(F.sum("n").alias("spans"), F.count("*").alias("documents"))
 
 
-def index_text(bodies: DataFrame, patterns: dict[str, str] = SECRETS, most_tokens: int = cut.MOST_TOKENS) -> DataFrame:
+def index_text(bodies: DataFrame, patterns: dict[str, str] = SECRETS, most_tokens: int = cut.MOST_TOKENS, overlap: int = cut.OVERLAP) -> DataFrame:
     """Passages of redacted bodies: masking comes first, so offsets are those of the masked text."""
-    return chunk(bodies.select("target_version", redact(F.col("body"), patterns).alias("body")), most_tokens)
+    return chunk(bodies.select("target_version", redact(F.col("body"), patterns).alias("body")), most_tokens, overlap)
 
 
 def file_units(files: DataFrame, most_bytes: int = cut.UNIT_BYTES) -> DataFrame:
