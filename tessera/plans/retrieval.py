@@ -30,7 +30,7 @@ FROM {asked} JOIN post USING (term) JOIN freq USING (term) JOIN len USING (passa
 _HEADS_ONLY = "WHERE target_version IN (SELECT target_version FROM live)"
 _E2 = _P + _ask("q", "question") + _score("s", "q", _HEADS_ONLY) + ", lex AS (SELECT query_id, passage_id, target_version, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), passage_id) AS rank FROM s QUALIFY rank <= 10)"
 _E8 = """, v AS (SELECT concat('d', vec_id, '.1:0') AS passage_id, concat('d', vec_id, '.1') AS target_version, embedding, vec_id FROM embeddings),
-near AS (SELECT a.vec_id AS query_id, b.passage_id, b.target_version, list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance FROM v a JOIN v b ON true WHERE a.vec_id IN (SELECT query_id FROM questions) AND b.vec_id % 10 <> 0),
+near AS (SELECT a.vec_id AS query_id, b.passage_id, b.target_version, list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance FROM v a JOIN v b ON true WHERE a.vec_id IN (SELECT query_id FROM questions) AND b.target_version IN (SELECT head_version_id FROM doc_notes WHERE doc_id % 10 <> 0)),
 vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), passage_id) AS rank FROM near QUALIFY rank <= 10)"""
 _E9 = """, legs AS (SELECT query_id, passage_id, target_version, rank, 0 AS leg FROM lex UNION ALL SELECT query_id, passage_id, target_version, rank, 1 FROM vec),
 sums AS (SELECT query_id, passage_id, target_version, sum(1 / (60 + rank)) AS score, min(leg * 1000 + rank) AS first FROM legs GROUP BY ALL),
@@ -186,7 +186,7 @@ def _(t):
     return search.revision_audit(rows, "m3", "r1")
 
 
-@query("e8_knn", _E8 + " SELECT query_id, passage_id, round(distance, 6) AS distance, rank FROM vec", "questions")
+@query("e8_knn", _E8 + " SELECT query_id, passage_id, round(distance, 6) AS distance, rank FROM vec", "doc_notes", "questions")
 def _(t):
     return search.knn(_query_vectors(t), _vectors(t), 10, _live(t)).select("query_id", "passage_id", F.round("distance", 6).alias("distance"), "rank")
 
