@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -22,14 +23,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import in_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Encoded words that a worker keeps, in two generations of half as many.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_200_000
 CACHED_PAIRS = 2_000_000
 
 
+#: Tokens are looked for among the last so many bytes first.
+_TAIL = 24
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable stand-ins of the 256 bytes in byte-level vocabularies: a printable byte stands for itself, the
     others for the code points from 256 on, in order."""
@@ -54,7 +60,8 @@ class Codec:
             self.pieces[i] = piece
         for content, i in self.added.items():
             self.pieces[i] = content.encode()
-        self.longest = max(map(len, self.ids))
+        # every ending of a token, with the token that it is itself, if it is one: where no token ends so, none ends longer
+        self.endings: dict[bytes, int] = {piece[k:]: -1 for piece in self.ids for k in range(len(piece))} | self.ids
         # the halves of a token and its rank; a single byte has no halves and ranks before all merges
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -105,97 +112,97 @@ class Codec:
         for word in words:
             node = trie
             for byte in word:
-                node = node.setdefault(byte, {})
-            node[-1] = True
+                child = node.get(byte)
+                if child is None:
+                    child = node[byte] = {}
+                node = child
+            node[-1] = word
         out: dict[bytes, bytes] = {}
-        ids, longest, stands = self.ids, self.longest, self.stands
-        path = bytearray()
+        endings, stands, known = self.endings, self.stands, self.pairs
         last: list[int] = []  # the last token of each prefix on the path
         sizes: list[int] = []
-        stack = [(byte, child, 0) for byte, child in trie.items()]
+        stack = [(bytes((byte,)), child) for byte, child in trie.items()]
         while stack:
-            byte, node, depth = stack.pop()
-            del path[depth:], last[depth:], sizes[depth:]
-            path.append(byte)
-            depth += 1
-            for size in range(min(depth, longest), 0, -1):
-                token = ids.get(bytes(path[depth - size :]))
+            path, node = stack.pop()
+            depth = len(path)
+            del last[depth - 1 :], sizes[depth - 1 :]
+            tail, found = path[-_TAIL:], []
+            for size in range(1, len(tail) + 1):
+                token = endings.get(tail[-size:])
                 if token is None:
-                    continue
-                if size == depth or stands(last[depth - size - 1], token):
+                    break
+                if token >= 0:
+                    found.append((token, size))
+            else:
+                if depth > _TAIL:  # a very long run of endings
+                    found = [(t, k) for k in range(1, depth + 1) if (t := endings.get(path[-k:], -1)) >= 0]
+            for token, size in reversed(found):
+                if size == depth:
+                    break
+                left = last[depth - size - 1]
+                fits = known.get(left << 20 | token)
+                if fits or (fits is None and stands(left, token)):
                     break
             last.append(token)
             sizes.append(size)
             for key, child in node.items():
-                if key != -1:
-                    stack.append((key, child, depth))
-            if -1 in node:
-                found, at = [], depth
-                while at:
-                    found.append(last[at - 1])
-                    at -= sizes[at - 1]
-                out[bytes(path)] = np.array(found[::-1], "<u4").tobytes()
+                if key == -1:
+                    ids, at = [], depth
+                    while at:
+                        ids.append(last[at - 1])
+                        at -= sizes[at - 1]
+                    out[child] = _PACK[len(ids)](*ids[::-1]) if len(ids) < len(_PACK) else np.array(ids[::-1], "<u4").tobytes()
+                else:
+                    stack.append((path + bytes((key,)), child))
         return out
 
-
     def _look_up(self, pieces: list[tuple[str, str]]) -> None:
         """Puts the encodings of text pieces (leading space or none, piece) into the caches, by one trie for all of them."""
-        split = {(lead, piece): [w.encode("utf-8", "replace") for w in self.words.findall(lead + piece)] for lead, piece in pieces}
+        # a piece of letters is a word
+        split = {(lead, piece): [(lead + piece).encode()] if piece.isalpha() else [w.encode("utf-8", "replace") for w in self.words.findall(lead + piece)] for lead, piece in pieces}
         encoded = self.encode_words({w for words in split.values() for w in words})
-        if len(self.bare) + len(self.spaced) + len(split) > CACHED_WORDS // 2:
-            self.old, self.bare, self.spaced = (self.bare, self.spaced), {}, {}
         for (lead, piece), words in split.items():
-            (self.spaced if lead else self.bare)[piece] = b"".join([encoded[w] for w in words])
+            (self.spaced if lead else self.bare)[piece] = encoded[words[0]] if len(words) == 1 else b"".join([encoded[w] for w in words])
+
+    def _prepare(self, bare: set[str], spaced: set[str]) -> None:
+        """Makes sure that the caches have all these pieces. When they are full, the older generation goes and what is
+        still in use moves on."""
+        wanted = [("", p) for p in bare.difference(self.bare)] + [(" ", p) for p in spaced.difference(self.spaced)]
+        if len(self.bare) + len(self.spaced) + len(wanted) > CACHED_WORDS // 2:
+            self.old, self.bare, self.spaced = (self.bare, self.spaced), {}, {}
+            wanted = [("", p) for p in bare] + [(" ", p) for p in spaced]
+        missing = []
+        for lead, piece in wanted:
+            found = self.old[bool(lead)].get(piece)
+            if found is None:
+                missing.append((lead, piece))
+            else:
+                (self.spaced if lead else self.bare)[piece] = found
+        if missing:
+            self._look_up(missing)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        """Encodes texts without added tokens."""
-        parts: list[list[list[str]] | None] = []
-        wanted: dict[tuple[str, str], None] = {}
-        for text in texts:
-            lines = None if self.odd_space.search(text) else [line.split(" ") for line in text.split("\n")]
-            parts.append(lines)
-            if lines is None:
-                for word in set(self.words.findall(text)):
-                    if word not in self.bare:
-                        wanted["", word] = None
-                continue
-            for line in lines:
-                if line[0] not in self.bare:
-                    wanted["", line[0]] = None
-                for piece in line[1:]:
-                    if piece not in self.spaced:
-                        wanted[" ", piece] = None
-        if "\n" not in self.bare:
-            wanted["", "\n"] = None
-        self._recall(wanted)
-        if wanted:
-            self._look_up(list(wanted))
-        newline, bare, spaced = self._of("", "\n"), self.bare, self.spaced
-        out = []
-        for text, lines in zip(texts, parts, strict=True):
-            try:
-                if lines is None:
-                    out.append(b"".join([bare[w] for w in self.words.findall(text)]))
+        """Encodes texts without added tokens. Where single spaces and newlines are all the white space, a text's words are
+        those of its pieces between them; else the whole text is split by the pattern."""
+        parts = [self.words.findall(t) if self.odd_space.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        bare, spaced = {"\n"}, set()
+        for words in parts:
+            for line in words:
+                if isinstance(line, str):
+                    bare.add(line)
                 else:
-                    out.append(newline.join([bare[line[0]] + b"".join([spaced[p] for p in line[1:]]) for line in lines]))
-            except KeyError:  # the caches were turned over within this batch
-                out.append(b"".join([self._of("", w) for w in self.words.findall(text)]))
+                    bare.add(line[0])
+                    spaced.update(line[1:])
+        self._prepare(bare, spaced)
+        first, rest, newline = self.bare, self.spaced, self.bare["\n"]
+        out = []
+        for words in parts:
+            if not words or isinstance(words[0], str):
+                out.append(b"".join([first[w] for w in words]))
+            else:
+                out.append(newline.join([first[line[0]] + b"".join([rest[p] for p in line[1:]]) for line in words]))
         return out
 
-    def _recall(self, wanted: dict[tuple[str, str], None]) -> None:
-        """Takes what the older generation knows into the current one."""
-        for lead, piece in list(wanted):
-            if (found := self.old[bool(lead)].get(piece)) is not None:
-                (self.spaced if lead else self.bare)[piece] = found
-                del wanted[lead, piece]
-
-    def _of(self, lead: str, piece: str) -> bytes:
-        cache = self.spaced if lead else self.bare
-        if piece not in cache:
-            self._look_up([(lead, piece)])
-            cache = self.spaced if lead else self.bare
-        return cache[piece]
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty. An added token's string in a text becomes that token."""
         plain: list[str] = []
@@ -226,21 +233,6 @@ def codec(path: str) -> Codec:
 
 
 _ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())])
-_BATCH_CHARS = 2_000_000
-
-
-def _in_batches(texts: Iterable[str | None]) -> Iterable[list[str | None]]:
-    """Runs of texts of some millions of characters."""
-    part: list[str | None] = []
-    size = 0
-    for text in texts:
-        part.append(text)
-        size += len(text or "")
-        if size >= _BATCH_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -253,7 +245,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     @F.pandas_udf(_ENCODED)
     def encode(texts: pd.Series) -> pd.DataFrame:
-        found = [x for part in _in_batches(texts) for x in codec(path).encode(part)]
+        found = [x for part in in_batches(texts) for x in codec(path).encode(part)]
         return pd.DataFrame({"n_tokens": [len(x) // 4 for x in found], "token_ids": found})
 
     out = docs.drop("n_tokens", "token_ids").withColumn("_encoded", encode("text"))
@@ -281,10 +273,10 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     @F.pandas_udf(kinds)
     def digest(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for part in _in_batches(texts):
+        for part in in_batches(texts):
             for ids in codec(path).encode(part):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec(path).decode(ids).encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=list(names))
+        return pd.DataFrame(rows, columns=list(names), dtype=object)
 
     out = docs.drop(*names).withColumn("_digest", digest("text"))
     return out.withColumns({c: F.col(f"_digest.{c}") for c in names}).drop("_digest")
