@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -178,7 +176,3 @@ def set_flags(rows: DataFrame, key: str, listed: DataFrame, value: bool) -> tupl
     asked = listed.select(key).distinct()
     updated = rows.join(asked.withColumn("_hit", F.lit(value)), key, "left").withColumn("no_egress", F.coalesce("_hit", "no_egress")).drop("_hit")
     return updated, asked.join(rows.select(key).distinct().withColumn("_there", F.lit(True)), key, "left").select(key, F.col("_there").isNotNull().alias("matched"))
-
-
-def union_all(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

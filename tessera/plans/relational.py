@@ -333,7 +333,7 @@ UNION ALL SELECT r.target, r.source_version, r.kind, r.payload, 'ai' FROM r LEFT
     "annotations",
 )
 def _(t):
-    results = t("documents").filter("doc_id % 3 = 0").selectExpr(*[x.strip() for x in ("concat('d', doc_id) AS target", "concat('d', doc_id, '.1') AS source_version", "'tag' AS kind", "CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'new' END AS payload")])
+    results = t("documents").filter("doc_id % 3 = 0").selectExpr("concat('d', doc_id) AS target", "concat('d', doc_id, '.1') AS source_version", "'tag' AS kind", "CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'new' END AS payload")
     return notes_on.load_enrichment(t("annotations"), results).select("target", "source_version", "kind", "payload", "source")
 
 
