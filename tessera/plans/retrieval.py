@@ -208,13 +208,13 @@ def _(t):
 
 @query(
     "e12_reach",
-    _GRAPH + """, s AS (SELECT doc_id % 5 AS query_id, note_id AS node FROM doc_notes WHERE doc_id % 97 = 0), one AS (SELECT query_id, to_id AS node, max(u) AS u FROM s JOIN g ON from_id = node GROUP BY ALL),
+    _GRAPH + """, s AS (SELECT doc_id % 5 AS query_id, note_id AS node FROM doc_notes WHERE doc_id % 20 = 0), one AS (SELECT query_id, to_id AS node, max(u) AS u FROM s JOIN g ON from_id = node GROUP BY ALL),
 f AS (SELECT query_id, node FROM one EXCEPT SELECT query_id, node FROM s), two AS (SELECT query_id, to_id AS node, max(u) AS u FROM f JOIN g ON from_id = node GROUP BY ALL), al AS (SELECT * FROM one UNION ALL SELECT * FROM two)
 SELECT query_id, node, max(u) AS "user" FROM al WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = al.query_id AND s.node = al.node) GROUP BY ALL""",
     "doc_notes", "edges",
 )
 def _(t):
-    return context.reach(t("doc_notes").filter("doc_id % 97 = 0").select((F.col("doc_id") % 5).alias("query_id"), F.col("note_id").alias("node")), t("edges"), hops=2)
+    return context.reach(t("doc_notes").filter("doc_id % 20 = 0").select((F.col("doc_id") % 5).alias("query_id"), F.col("note_id").alias("node")), t("edges"), hops=2)
 
 
 _TIERS = """, own AS (SELECT DISTINCT b.query_id, note_id AS node FROM best b JOIN doc_notes d ON d.head_version_id = b.target_version),
@@ -271,7 +271,7 @@ def _(t):
 
 @query(
     "e16_related",
-    _P + """, q AS (SELECT note_id AS query_id, term, count(*) AS times FROM (SELECT note_id, unnest(ts) AS term FROM p JOIN doc_notes ON head_version_id = target_version WHERE doc_id % 50 = 0 AND length(trim(p.body)) >= 20) GROUP BY ALL)"""
+    _P + """, q AS (SELECT note_id AS query_id, term, count(*) AS times FROM (SELECT note_id, unnest(ts) AS term FROM p JOIN doc_notes ON head_version_id = target_version WHERE doc_id % 20 = 0 AND length(trim(p.body)) >= 20) GROUP BY ALL)"""
     + _score("s", "q", _HEADS_ONLY)
     + """, lex AS (SELECT query_id, passage_id, target_version, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), passage_id) AS rank FROM s QUALIFY rank <= 20),
 o AS (SELECT query_id, replace(target_version, '.1', '') AS note_id, passage_id, rank FROM lex WHERE replace(target_version, '.1', '') <> query_id)
@@ -280,7 +280,7 @@ SELECT query_id, note_id, passage_id, substr(trim(regexp_replace(body, '\\s+', '
 )
 def _(t):
     passages = _passages(t)
-    drafts = passages.filter((F.col("doc_id") % 50 == 0) & (F.length(F.trim("text")) >= 20)).select(F.col("note_id").alias("query_id"), F.col("text").alias("question"))
+    drafts = passages.filter((F.col("doc_id") % 20 == 0) & (F.length(F.trim("text")) >= 20)).select(F.col("note_id").alias("query_id"), F.col("text").alias("question"))
     hits = search.lexical_search(drafts, search.build_index(passages), 20, _live(t)).withColumn("edge_source", F.lit(None).cast("string"))
     ranked = context.trust_rank(hits, _doc_versions(t), t("snapshots"), t("externals"))[0]
     return context.related_notes(t("doc_notes"), ranked, _heads(t), passages)
