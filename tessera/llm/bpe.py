@@ -27,7 +27,7 @@ from .common import in_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Encoded words that a worker keeps, in two generations of half as many.
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 600_000
 CACHED_PAIRS = 2_000_000
 
 

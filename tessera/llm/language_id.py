@@ -21,7 +21,7 @@ DIMENSIONS = 512
 LETTER_SLOTS = 4096
 UNKNOWN = "und"
 _SEED = 20240229
-_CACHED_TRIGRAMS = 20_000
+_CACHED_TRIGRAMS = 12_000
 
 
 @lru_cache(maxsize=1)
@@ -103,7 +103,7 @@ def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             v = _encoder().vector(text)
             if v is not None:
                 total[lang] = total[lang] + v if lang in total else v.astype(np.float64)
-    yield pd.DataFrame({"lang": list(total), "bundle": [v.astype(np.float64).tobytes() for v in total.values()]})
+    yield pd.DataFrame({"lang": pd.Series(list(total), dtype=object), "bundle": [v.astype(np.float64).tobytes() for v in total.values()]})
 
 
 def fit(docs: DataFrame, per_language: int = 3000) -> tuple[list[str], np.ndarray]:
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
             k = int(np.argmax(cosines))
             names.append(langs[k])
             scores.append(min(1.0, max(0.0, float(cosines[k]))))
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
 
     clash = [c for c in docs.columns if c in ("lang_pred", "score", "_guess")]
     return docs.drop(*clash).withColumn("_guess", best("text")).withColumn("lang_pred", F.col("_guess.lang_pred")).withColumn("score", F.col("_guess.score")).drop("_guess")
