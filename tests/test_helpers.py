@@ -39,7 +39,8 @@ def test_windows_overlap_and_stop():
 def test_fences_hide_headings():
     body = "# A\n```\n# not a heading\n```\ntext\n# B\nmore"
     assert [(a, b) for a, b, _ in passages.units(body)] == [(1, 5), (6, 7)]
-    assert passages.fenced(["~~~~", "```", "~~~", "~~~~", "x"]) == [True, True, True, True, False]
+    assert passages.fenced(["~~~~", "```", "~~~", "~~~~", "x"]) == [False, True, True, True, False]
+    assert passages.fenced(["  ```py", "```py", "    ```", "x"]) == [False, True, True, False]
 
 
 @pytest.mark.parametrize(
@@ -61,6 +62,20 @@ def test_url_spans_balance_brackets():
     assert found == ["https://e.org/wiki/Foo_(bar)", "https://e.org/a", "https://e.org/b"]
 
 
+@pytest.mark.parametrize(
+    ("given", "expected"),
+    [
+        ("https://acme.atlassian.net/browse/AB-12/", ("jira", "AB-12", "https://acme.atlassian.net")),
+        ("https://acme.atlassian.net/wiki/spaces/S/pages/77/Title", ("confluence", "77", "https://acme.atlassian.net")),
+        ("https://acme.atlassian.net/pages/77", ("web", None, None)),
+        ("https://example.org/browse/AB-12", ("web", None, None)),
+        ("https://[bad/browse/AB-12", ("web", None, None)),
+    ],
+)
+def test_source_classes(given, expected):
+    assert urls.source_class(given, ".atlassian.net") == expected
+
+
 def test_bare_keys_stand_alone():
     assert [k for _, _, k in urls.bare_keys("ABC-1, XABC-2 ABC-3x ABC-4.", ("ABC",))] == ["ABC-1", "ABC-4"]
     assert urls.bare_keys("ABC-1", ()) == []
