@@ -88,26 +88,23 @@ def _cut(low: int, high: int, is_edge) -> list[tuple[int, int]]:
 
 
 def units(text: str | None, most_bytes: int = UNIT_BYTES) -> list[tuple[int, int, str]]:
-    """(first line, last line, text) of a file's units, lines from 1: cut at the deepest heading level outside code fences,
-    else at top-level bullets; large units are cut again at bullets, then at blank lines."""
-    lines = (text or "").split("\n")
+    """(first line, last line, text) of a file's units, lines from 1: cut at headings of the deepest level that occurs
+    outside code fences, else at top-level bullets; large units are cut again at bullets, what is still large at paragraphs."""
+    lines = (text or "").splitlines()
     inside = fenced(lines)
     levels = [len(m[1]) if not f and (m := re.match(r"^(#{1,6})\s", line)) else 0 for line, f in zip(lines, inside, strict=True)]
-    bullet = [not f and re.match(r"^[-*+]\s", line) is not None for line, f in zip(lines, inside, strict=True)]
-    blank = [not f and not line.strip() for line, f in zip(lines, inside, strict=True)]
+    bullet = [not f and re.match(r"^-\s", line) is not None for line, f in zip(lines, inside, strict=True)]
+    blank = [not line.strip() for line in lines]
     deepest = max(levels, default=0)
-    parts = _cut(0, len(lines), lambda i: levels[i] > 0 if deepest else bullet[i])
-    size = lambda a, b: len("\n".join(lines[a:b]).encode("utf-8", "replace"))
+
+    def paragraph(i: int) -> bool:
+        return not inside[i] and not blank[i] and blank[i - 1] and not inside[i - 1]
+
+    def large(a: int, b: int) -> bool:
+        return len("\n".join(lines[a:b]).encode("utf-8", "replace")) > most_bytes
+
     out = []
-    for a, b in parts:
-        for c, d in _cut(a, b, lambda i: bullet[i]) if deepest and size(a, b) > most_bytes else [(a, b)]:
-            pieces = [(c, d)]
-            if size(c, d) > most_bytes:
-                pieces, start = [], c
-                for e, f in _cut(c, d, lambda i: blank[i - 1] and not blank[i]):
-                    if start < e and size(start, f) > most_bytes:
-                        pieces.append((start, e))
-                        start = e
-                pieces.append((start, d))
-            out += [(e + 1, f, "\n".join(lines[e:f])) for e, f in pieces if any(x.strip() for x in lines[e:f])]
-    return out
+    for a, b in _cut(0, len(lines), lambda i: levels[i] == deepest if deepest else bullet[i]):
+        for c, d in _cut(a, b, lambda i: bullet[i]) if deepest and large(a, b) else [(a, b)]:
+            out += _cut(c, d, paragraph) if large(c, d) else [(c, d)]
+    return [(a + 1, b, "\n".join(lines[a:b])) for a, b in out]

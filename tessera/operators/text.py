@@ -72,12 +72,14 @@ def index_text(bodies: DataFrame, patterns: dict[str, str] = SECRETS, most_token
     return chunk(bodies.select("target_version", redact(F.col("body"), patterns).alias("body")), most_tokens, overlap)
 
 
-def file_units(files: DataFrame, most_bytes: int = cut.UNIT_BYTES) -> DataFrame:
-    """(path, text) -> (path, class, first_line, last_line, text) of each unit; the class is the first folder or 'root'."""
+def file_units(files: DataFrame, most_bytes: int = cut.UNIT_BYTES, process_names: tuple[str, ...] = ()) -> DataFrame:
+    """(path, text) -> (path, class, first_line, last_line, text) of each unit. A file is a 'decision-record' unless its name
+    without ending is among ``process_names``, which are 'reference/process'."""
 
     @F.pandas_udf(_UNITS)
     def cut_up(texts: pd.Series) -> pd.Series:
         return pd.Series([cut.units(t, most_bytes) for t in texts], dtype=object)
 
-    kind = F.when(F.col("path").contains("/"), F.split("path", "/")[0]).otherwise("root")
+    name = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    kind = F.when(name.isin(*process_names), "reference/process").otherwise("decision-record") if process_names else F.lit("decision-record")
     return files.select("path", kind.alias("class"), F.explode(cut_up("text")).alias("u")).select("path", "class", "u.*")

@@ -39,6 +39,9 @@ def test_windows_overlap_and_stop():
 def test_fences_hide_headings():
     body = "# A\n```\n# not a heading\n```\ntext\n# B\nmore"
     assert [(a, b) for a, b, _ in passages.units(body)] == [(1, 5), (6, 7)]
+    assert [(a, b) for a, b, _ in passages.units("pre\n# A\n## B\nx\n# C\n## D\n")] == [(1, 2), (3, 5), (6, 6)]
+    assert [(a, b) for a, b, _ in passages.units("intro\n- a\n  more\n- b")] == [(1, 1), (2, 3), (4, 4)]
+    assert [(a, b) for a, b, _ in passages.units("# A\nlong text\n\npara two\n- b\n", 12)] == [(1, 3), (4, 4), (5, 5)] and passages.units("") == []
     assert passages.fenced(["~~~~", "```", "~~~", "~~~~", "x"]) == [False, True, True, True, False]
     assert passages.fenced(["  ```py", "```py", "    ```", "x"]) == [False, True, True, False]
 
