@@ -16,6 +16,8 @@ side, a table look-up for each id.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -36,9 +38,11 @@ LONGEST_CODE = 18
 STRIDE = 128
 BLOCK_TOKENS = 131_072
 DOCS_PER_BUCKET = 20_000
-CACHED_PIECES = 1_200_000
+CACHED_PIECES = 800_000
 _ODD = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
+#: Pieces of Latin letters and full stops or commas; their ids are those of the letters in lower case, then of the rest.
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
 
 
 class Encoder:
@@ -46,6 +50,7 @@ class Encoder:
     turn; each distinct piece goes through the tokenizers library once while it is remembered."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -60,17 +65,34 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         split = [[] if not t else t.split() if not _ODD.search(t) else [p for p in _SPACE.split(t) if p] for t in texts]
-        distinct = set().union(*split)
-        wanted = distinct.difference(self.new)
-        if len(self.new) + len(wanted) > CACHED_PIECES // 2:
-            self.old, self.new, wanted = self.new, {}, distinct
-        self.new.update((p, self.old[p]) for p in wanted if p in self.old)
-        missing = [p for p in wanted if p not in self.old]
-        for start in range(0, len(missing), 5000):
-            part = missing[start : start + 5000]
+        if len(self.new) > CACHED_PIECES // 2:  # the older generation goes; what is still in use moves on
+            self.old, self.new = self.new, {}
+        found = [list(map(self.new.get, pieces)) for pieces in split]
+        gaps = [i for i, ids in enumerate(found) if None in ids]
+        wanted = {p for i in gaps for p, ids in zip(split[i], found[i], strict=True) if ids is None}
+        if wanted:
+            self._learn(wanted)
+            for i in gaps:
+                found[i] = [self.new[p] if ids is None else ids for p, ids in zip(split[i], found[i], strict=True)]
+        return [b"".join(ids) for ids in found]
+
+    def _learn(self, wanted: set[str]) -> None:
+        missing: set[str] = set()
+        parts = []
+        for p in wanted:
+            if (known := self.old.get(p)) is not None:
+                self.new[p] = known
+            elif (simple := _SIMPLE.fullmatch(p)) and (core := simple[1].lower()) != p:
+                parts.append((p, core, simple[2]))
+                missing.update(x for x in (core, simple[2]) if x and x not in self.new)
+            else:
+                missing.add(p)
+        todo = list(missing)
+        for start in range(0, len(todo), 5000):
+            part = todo[start : start + 5000]
             self.new.update(zip(part, self.ids_of(part), strict=True))
-        new = self.new
-        return [b"".join([new[p] for p in pieces]) for pieces in split]
+        for p, core, end in parts:
+            self.new[p] = self.new[core] + self.new[end] if end else self.new[core]
 
 
 @lru_cache(maxsize=2)
@@ -122,16 +144,20 @@ def codes(lengths: np.ndarray) -> np.ndarray:
 def pack(ids: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[bytes, bytes]:
     """The bits of a document and its checkpoints."""
     sizes = lengths[ids].astype(np.int64)
-    if len(ids) and not sizes.all():
+    if not len(ids):
+        return b"", b""
+    if not sizes.all():
         raise ValueError("an id has no code")
     ends = np.cumsum(sizes)
     at = ends - sizes
-    total = (int(ends[-1]) + 7) // 8 if len(ids) else 0
-    shifted = words[ids].astype(np.int64) << (32 - sizes - (at & 7))
-    byte, out = at >> 3, np.zeros(total + 4, np.int64)
-    for k in range(4):
-        out += np.bincount(byte + k, (shifted >> (24 - 8 * k)) & 255, total + 4).astype(np.int64)
-    return out[:total].astype(np.uint8).tobytes(), at[::STRIDE].astype("<u4").tobytes()
+    # a code starts in every 32-bit word and may run over into the next: the words' two shares are sums of disjoint bits
+    placed = words[ids].astype(np.uint64) << (64 - sizes - (at & 31)).astype(np.uint64)
+    word = at >> 5
+    first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+    out = np.zeros(len(first) + 1, np.uint64)
+    out[:-1] = np.add.reduceat(placed >> np.uint64(32), first)
+    out[1:] += np.add.reduceat(placed & np.uint64(0xFFFFFFFF), first)
+    return out.astype(">u4").tobytes()[: (int(ends[-1]) + 7) // 8], at[::STRIDE].astype("<u4").tobytes()
 
 
 def reading_table(lengths: np.ndarray) -> np.ndarray:
@@ -168,30 +194,36 @@ def unpack(payload: bytes, starts: np.ndarray, counts: np.ndarray, checkpoints:
     return [rows[a:b].reshape(-1)[:c] for a, b, c in zip(edges[:-1].tolist(), edges[1:].tolist(), counts.tolist(), strict=True)]
 
 
-def token_counts(docs: DataFrame, path: str, end_id: int = END_ID) -> np.ndarray:
-    """How often each id occurs in the corpus, the end ids included.
-
-    Distinct pieces are counted first (a partial count before the shuffle) and each is encoded once; no more than a row
-    per id and partition goes on, and a row per id of the vocabulary to the driver.
-    """
+def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, ids, counted_ids, counts): the ids of each document with its end id, packed; and, in a row for each
+    partition, how often each id occurs there (those rows have no ``ids``). Texts are tokenised where they lie, once."""
     size = encoder(path).library.get_vocab_size()
+    kind = "<u2" if size <= 1 << 16 else "<u4"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            pieces, times = batch["piece"].tolist(), batch["n"].to_numpy()
-            for start in range(0, len(pieces), 5000):
-                found = [np.frombuffer(x, "<u4") for x in encoder(path).ids_of(pieces[start : start + 5000])]
-                if found:
-                    total += np.bincount(np.concatenate(found), np.repeat(times[start : start + 5000], [len(x) for x in found]), size).astype(np.int64)
-        ids = np.flatnonzero(total)
-        yield pd.DataFrame({"id": ids, "n": total[ids]})
-
-    pieces = docs.select(F.explode(F.split("text", r"(?U)\s+")).alias("piece")).filter("piece <> ''").groupBy("piece").agg(F.count("*").alias("n"))
+            at = 0
+            for part in in_batches(batch["text"]):
+                raw = [x + int(end_id).to_bytes(4, "little") for x in encoder(path).encode(part)]
+                ids = np.frombuffer(b"".join(raw), "<u4")
+                total += np.bincount(ids, minlength=size)
+                small, edges = ids.astype(kind).tobytes(), np.cumsum([0, *[len(x) for x in raw]]) // 4 * np.dtype(kind).itemsize
+                packed = [small[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(part)].astype("Int64"), "ids": packed, "counted_ids": None, "counts": None})
+                at += len(part)
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": None, "counted_ids": [used.astype(np.int32)], "counts": [total[used]]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, counted_ids array<int>, counts array<long>")
+
+
+def token_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in the corpus: the partitions' counts, summed; a row per id of the vocabulary comes here."""
+    each = rows.filter("counts is not null").select(F.explode(F.arrays_zip("counted_ids", "counts")).alias("c"))
     out = np.zeros(size, np.int64)
-    for row in pieces.mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[row["id"]] = row["n"]
-    out[end_id] += docs.count()
+    for row in each.groupBy("c.counted_ids").agg(F.sum("c.counts").alias("n")).collect():
+        out[row["counted_ids"]] = row["n"]
     return out
 
 
@@ -226,31 +258,37 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     """Writes the ids of all documents, each followed by ``end_id``, into ``folder`` in ascending doc_id order.
 
     Null and empty texts have the end id only; null ids come first; repeated ids are in order of their number of ids and
-    checksum. An empty table gives empty tables. Other columns are ignored. The text is tokenised where it lies and only
-    coded documents are shuffled, by buckets of equal numbers of documents.
+    checksum. An empty table gives empty tables. Other columns are ignored. Texts are tokenised where they lie, once, into a
+    table of ids; only coded documents are shuffled, by buckets of equal numbers of documents.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     spark = docs.sparkSession
-    lengths = code_lengths(token_counts(docs, path, end_id))
+    size = encoder(path).library.get_vocab_size()
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    kept = shared_folder(spark, "token-ids")
+    tokenised(docs, path, end_id).write.option("compression", "zstd").parquet(kept)
+    ids = spark.read.parquet(kept)
+    lengths = code_lengths(token_counts(ids, size))
     used = np.flatnonzero(lengths).tolist()
     spark.createDataFrame([(i, int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{folder}/code")
     words = codes(lengths)
-    buckets = max(1, -(-docs.count() // DOCS_PER_BUCKET))
-    quantiles = docs.select("doc_id").approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
+    rows_of = ids.filter("ids is not null")
+    buckets = max(1, -(-rows_of.count() // DOCS_PER_BUCKET))
+    quantiles = rows_of.select("doc_id").approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
     bounds = sorted({int(x) for x in quantiles})
 
     @F.pandas_udf(_CODED)
-    def coded(texts: pd.Series) -> pd.DataFrame:
+    def coded(packed: pd.Series) -> pd.DataFrame:
         rows = []
-        for found in (x for part in in_batches(texts) for x in encoder(path).encode(part)):
-            raw = found + int(end_id).to_bytes(4, "little")
-            bits, marks = pack(np.frombuffer(raw, "<u4"), lengths, words)
-            rows.append((len(raw) // 4, bits, marks, zlib.crc32(raw)))
+        for raw in packed:
+            own = np.frombuffer(raw, kind).astype("<u4")
+            bits, marks = pack(own, lengths, words)
+            rows.append((len(own), bits, marks, zlib.crc32(own.tobytes())))
         return pd.DataFrame(rows, columns=[f.name for f in _CODED])
 
     # the bounds are few; a null id is below all of them
     bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    rows = docs.select("doc_id", F.greatest(bucket, F.lit(0)).cast("int").alias("bucket"), coded("text").alias("c")).select("bucket", "doc_id", "c.*")
+    rows = rows_of.select("doc_id", F.greatest(bucket, F.lit(0)).cast("int").alias("bucket"), coded("ids").alias("c")).select("bucket", "doc_id", "c.*")
     dealt = rows.repartition(max(len(bounds) + 1, 1), "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n_tokens", "mark")
     dealt.select("bucket", "doc_id", "n_tokens", "bits", "checkpoints").mapInPandas(_into_blocks, _BLOCK).write.parquet(f"{folder}/blocks")
 
