@@ -258,6 +258,8 @@ def test_warc_round_trip(spark, tmp_path):
     head, _, rest = records[2].partition(b"\r\n\r\n")
     assert b"Content-Length: 1200" in head and rest == big.encode() + b"\r\n\r\n" and b"Content-Length: 0" in records[1] and b"\r\nX: y" not in records[6]
     assert spark.read.parquet(f"{tmp_path}/w/payloads").count() == 5
+    warc.write(pages.unionByName(pages), f"{tmp_path}/r")
+    assert spark.read.parquet(f"{tmp_path}/r/payloads").count() == 5 and warc.read(spark, f"{tmp_path}/r").count() == 14
     spark.read.parquet(f"{tmp_path}/w/payloads").withColumn("payload", F.concat("payload", F.encode(F.lit("!"), "UTF-8"))).write.parquet(f"{tmp_path}/x/payloads")
     spark.read.parquet(f"{tmp_path}/w/headers").write.parquet(f"{tmp_path}/x/headers")
     with pytest.raises(Exception, match="damaged or missing payload"):
