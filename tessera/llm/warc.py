@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table
+from .common import shared_folder, stored, table
 
 #: Payloads below this many bytes are always stored as responses.
 LEAST_REVISIT_BYTES = 1000
+#: Rows of copies (a digest and an id each) that are broadcast at most.
+BROADCAST_ROWS = 200_000
 WARC_DATE = "1970-01-01T00:00:00Z"
 _EOL = "\r\n"
 
@@ -54,12 +56,27 @@ def write(pages: DataFrame, folder: str) -> None:
     """
     found = records(pages)
     found.select("page_id", "sha256", "sha1", "payload_bytes", "record_type", "refers_to", "header").write.parquet(f"{folder}/headers")
+    _once(pages).write.parquet(f"{folder}/payloads")
+
+
+def _once(pages: DataFrame) -> DataFrame:
+    """(sha256, payload), a row per distinct payload.
+
+    Which rows to leave out is found on digests and ids alone. While they are few they are broadcast and payloads aren't
+    shuffled; else, and where a kept page's row is repeated, payloads are joined on digest and page, so that the copies of a
+    frequent payload lie apart and repeated rows meet in the same partitions.
+    """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    stored = pages.select("page_id", payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    keepers = stored.groupBy("sha256").agg(F.max("page_id").alias("keeper")).withColumnRenamed("sha256", "digest")
-    # joined on digest and page, so that the copies of a frequent payload lie apart
-    once = stored.join(keepers, (F.col("sha256") == F.col("digest")) & F.col("page_id").eqNullSafe(F.col("keeper"))).select("sha256", "payload").dropDuplicates(["sha256"])
-    once.write.parquet(f"{folder}/payloads")
+    rows = pages.select(F.coalesce("page_id", F.lit(-(2**63))).alias("page"), payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
+    keys = rows.select("sha256", "page")
+    keepers = keys.groupBy("sha256").agg(F.max("page").alias("kept"), F.count("*").alias("n"))
+    shared = stored(keys.join(keepers.filter("n > 1").select("sha256", "kept"), "sha256"), "warc-copies")
+    copies = shared.filter("page <> kept")
+    repeated = shared.filter("page = kept").groupBy("sha256").agg(F.count("*").alias("n")).filter("n > 1")
+    if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and repeated.isEmpty():
+        return rows.join(F.broadcast(copies.select("sha256", "page").distinct()), ["sha256", "page"], "left_anti").select("sha256", "payload")
+    kept = keepers.select("sha256", F.col("kept").alias("page"))
+    return rows.join(kept.hint("merge"), ["sha256", "page"]).dropDuplicates(["sha256", "page"]).select("sha256", "payload")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
