@@ -113,6 +113,17 @@ def test_crowded_regions_keep_their_links(spark, monkeypatch):
     assert runs.groupBy("region").count().agg(F.max("count")).first()[0] <= 20 and runs.filter("rep = 0").count() == runs.select("region").distinct().count()
 
 
+def test_the_runs_of_a_crowded_region_stay_tied(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION_ROWS", 4)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(100 + i, " ".join(w if j != 7 + i else "x" for j, w in enumerate(words))) for i in range(80)]
+    same = F.lit(bytes(4 * near_dedup.SLOTS))
+    features = near_dedup._features
+    monkeypatch.setattr(near_dedup, "_features", lambda c: (lambda f: F.struct(f["n_shingles"].alias("n_shingles"), f["digest"].alias("digest"), same.alias("signature")))(features(c)))
+    found = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["component_id"] for r in found.collect()} == {100}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     assert {(r["component"], r["node"] >= 100) for r in components.connected_components(edges, "a", "b").collect()} == {(1, False), (100, True)}
