@@ -124,6 +124,17 @@ def test_the_runs_of_a_crowded_region_stay_tied(spark, monkeypatch):
     assert {r["component_id"] for r in found.collect()} == {100}
 
 
+def test_many_variants_of_a_text_stay_one_group(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(6000):
+        at = int(rng.integers(400))
+        rows.append((i, " ".join([*words[:at], f"x{i}", *words[at + 1 :]])))
+    found = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert found.select("component_id").distinct().count() == 1
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     assert {(r["component"], r["node"] >= 100) for r in components.connected_components(edges, "a", "b").collect()} == {(1, False), (100, True)}
