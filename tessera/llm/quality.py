@@ -1,13 +1,15 @@
 """Quality classifier by co-training of two views.
 
-The content view sees measurements of the whole text; the metadata view sees language, source and recorded length.
-Each view is a logistic regression fitted on a bounded labelled sample. Over several rounds each view hands the other its
-most confident guesses on a bounded unlabelled pool as pseudo-labels. At the end both views are calibrated on labelled
+A document is good where its quality label says so and it isn't labelled toxic. The content view sees measurements of the
+whole text and which of the telling words occur in it; the metadata view sees language, source and recorded length.
+Each view is a logistic regression fitted on a bounded labelled sample. Over several rounds both views score all documents,
+and each hands the other confident guesses on unlabelled ones as pseudo-labels. At the end both views are calibrated on labelled
 rows that neither was fitted on, their calibrated log-odds are added (the prior once), and all documents are scored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 from operator import eq
@@ -28,6 +30,9 @@ ROUNDS = 2
 CONFIDENT = 0.95
 KEEP_FROM = 0.5
 CONTENT_SIZE = 22
+#: Telling words: those of at least WORD_ROWS labelled documents whose share of bad ones differs most. Chi-squared is at least
+#: WORD_CHI (a chance of 1e-6 for a word, as some 100,000 words are tried), or a small sample's odd words would be learnt.
+WORDS, WORD_ROWS, WORD_CHI = 256, 10, 24.0
 _SOURCES, _LANGS, _LENGTHS = 48, 12, 20
 METADATA_SIZE = _SOURCES + _LANGS + _LENGTHS
 
@@ -66,6 +71,21 @@ def content_features(text: str | None) -> list[float]:
     ]
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str | None) -> set[str]:
+    return set(_LETTERS.findall(text.lower())) if text else set()
+
+
+def word_features(text: str | None, places: dict[str, int]) -> list[float]:
+    """1 in the place of each telling word that the text has."""
+    out = [0.0] * len(places)
+    for word in words_of(text) & places.keys():
+        out[places[word]] = 1.0
+    return out
+
+
 def metadata_features(lang: str | None, source: str | None, n_chars: float | None) -> list[float]:
     """One-hot language, source and length class; a null has a place of its own."""
     out = [0.0] * METADATA_SIZE
@@ -80,9 +100,17 @@ def metadata_features(lang: str | None, source: str | None, n_chars: float | Non
 _BOTH = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("content", "metadata")])
 
 
-@F.pandas_udf(_BOTH)
-def _both(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"content": [content_features(t) for t in text], "metadata": [metadata_features(*x) for x in zip(lang, source, n_chars, strict=True)]})
+def _both(places: dict[str, int]):
+    @F.pandas_udf(_BOTH)
+    def both(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"content": [content_features(t) + word_features(t, places) for t in text], "metadata": [metadata_features(*x) for x in zip(lang, source, n_chars, strict=True)]})
+
+    return both("text", "lang", "source", "n_chars")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words(text: pd.Series) -> pd.Series:
+    return pd.Series([sorted(words_of(t)) for t in text], dtype=object)
 
 
 @dataclass
@@ -103,6 +131,11 @@ class CoTrained:
     content: View
     metadata: View
     prior: float
+    words: tuple[str, ...] = ()
+
+    @property
+    def places(self) -> dict[str, int]:
+        return {word: i for i, word in enumerate(self.words)}
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -133,41 +166,80 @@ def _calibrate(view: View, column: str, held: DataFrame) -> View:
     return View(view.weights, view.bias, max(0.0, float(scale.weights[0])), scale.bias)
 
 
+def _telling_words(train: DataFrame) -> tuple[str, ...]:
+    """At most WORDS words whose documents differ most from all in their share of bad ones; train: text, y."""
+    total = train.agg(F.count("*"), F.avg((F.col("y") == 0).cast("double"))).first()
+    if not total[0] or not 0 < total[1] < 1:
+        return ()
+    counts = train.select((F.col("y") == 0).cast("int").alias("bad"), F.explode(_words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    apart = F.pow(F.col("bad") - F.col("n") * F.lit(total[1]), F.lit(2)) / F.col("n") / F.lit(total[1] * (1 - total[1]))
+    return tuple(r["word"] for r in counts.filter((F.col("n") >= WORD_ROWS) & (apart >= WORD_CHI)).orderBy(apart.desc(), "word").limit(WORDS).collect())
+
+
+def _scorer(model: CoTrained, names: list[str], finish):
+    """A struct of doubles that ``finish`` makes of both views' log-odds."""
+    places = model.places
+
+    @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in names]))
+    def judged(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        a = model.content.logits(np.array([content_features(t) + word_features(t, places) for t in text]).reshape(-1, CONTENT_SIZE + len(places)))
+        b = model.metadata.logits(np.array([metadata_features(*x) for x in zip(lang, source, n_chars, strict=True)]).reshape(-1, METADATA_SIZE))
+        return pd.DataFrame(dict(zip(names, finish(a, b), strict=True)))
+
+    return judged
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> CoTrained | None:
     """The co-trained views, or None without any labelled document.
 
-    ``labelled_rows`` and ``pool_rows`` bound what is fitted on: the documents with the smallest hashes of their ids.
-    Everything else (scoring) covers all documents. Repeated labels of a document count once, the lower quality winning;
-    labels with null ids or null quality are left out.
+    ``labelled_rows`` bounds the labelled rows that are fitted on: the documents with the smallest hashes of their ids.
+    In each round all documents are scored, and ``pool_rows`` pseudo-labels at most are drawn for a view, by hash among
+    the confident guesses on unlabelled documents. Repeated labels of a document count once, the worst winning; labels with
+    null ids, or null quality and not toxic, are left out.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False)) if "toxic" in labels.columns else F.lit(False)
+    label = F.when(toxic, F.lit(0)).otherwise(F.col("quality").cast("int"))
+    known = labels.select("doc_id", label.alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     rows = _columns(docs).filter(F.col("doc_id").isNotNull())
-    marked = rows.select("doc_id").distinct().join(known, "doc_id", "left").withColumn("order", F.xxhash64("doc_id", F.lit(7)))
-    chosen = marked.filter("y is not null").orderBy("order", "doc_id").limit(labelled_rows).unionByName(marked.filter("y is null").orderBy("order", "doc_id").limit(pool_rows))
-    chosen = stored(chosen, "quality-chosen")  # at most labelled_rows + pool_rows rows of three numbers
-    sample = rows.join(F.broadcast(chosen), "doc_id").withColumn("f", _both("text", "lang", "source", "n_chars"))
-    sample = stored(sample.select("doc_id", "y", "order", F.col("f.content").alias("content"), F.col("f.metadata").alias("metadata")), "quality-sample").coalesce(4).cache()
-    held = sample.filter(F.col("y").isNotNull() & (F.pmod("order", F.lit(5)) == 0))
-    train = sample.filter(F.col("y").isNotNull() & (F.pmod("order", F.lit(5)) != 0)).withColumn("w", F.lit(1.0))
-    pool = sample.filter(F.col("y").isNull())
+    order = F.xxhash64("doc_id", F.lit(7))
+    chosen = rows.select("doc_id").distinct().join(known, "doc_id").withColumn("order", order).orderBy("order", "doc_id").limit(labelled_rows)
+    chosen = stored(chosen, "quality-chosen")  # at most labelled_rows rows of three numbers
+    fitted = F.pmod("order", F.lit(5)) != 0
+    labelled = rows.join(F.broadcast(chosen), "doc_id")
+    words = _telling_words(labelled.filter(fitted))
+    places = {word: i for i, word in enumerate(words)}
+    size = CONTENT_SIZE + len(words)
+
+    def featured(some: DataFrame, *kept: str) -> DataFrame:
+        out = some.withColumn("f", _both(places)).select("doc_id", *kept, F.col("f.content").alias("content"), F.col("f.metadata").alias("metadata"))
+        return stored(out, "quality-sample").coalesce(4)
+
+    sample = featured(labelled, "y", "order").cache()
+    held = sample.filter(~fitted)
+    train = sample.filter(fitted).select("doc_id", "y", "content", "metadata", F.lit(1.0).alias("w"))
     if train.limit(1).count() == 0:
         sample.unpersist()
         return None
     share = float(train.agg(F.avg("y")).first()[0])
-    content, metadata = _fit_view(train, "content", CONTENT_SIZE), _fit_view(train, "metadata", METADATA_SIZE)
+    share = min(max(share, 0.01), 0.99)
+    prior = float(np.log(share / (1 - share)))
+    content, metadata = _fit_view(train, "content", size), _fit_view(train, "metadata", METADATA_SIZE)
+    sure = float(np.log(CONFIDENT / (1 - CONFIDENT)))
     for _ in range(rounds):
-        sure = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+        judged = _scorer(CoTrained(content, metadata, prior, words), ["content", "metadata"], lambda a, b: (a, b))
+        guesses = stored(rows.select("doc_id", judged("text", "lang", "source", "n_chars").alias("z")).select("doc_id", "z.content", "z.metadata").join(known, "doc_id", "left_anti"), "quality-guesses").withColumn("order", order)
 
-        def guessed(view: View, column: str) -> DataFrame:
-            z = _logit(view, column)
-            return pool.withColumn("z", z).filter(F.abs("z") >= sure).withColumn("y", (F.col("z") > 0).cast("int")).withColumn("w", F.lit(0.25)).drop("z")  # noqa: B023
+        def drawn(view: str) -> DataFrame:
+            found = [guesses.filter(c).orderBy("order", "doc_id").limit(pool_rows // 2).select("doc_id", F.lit(y).alias("y"), F.lit(view).alias("by")) for c, y in ((F.col(view) >= sure, 1), (F.col(view) <= -sure, 0))]  # noqa: B023
+            return found[0].unionByName(found[1]).dropDuplicates(["doc_id"])
 
-        for_metadata, for_content = guessed(content, "content"), guessed(metadata, "metadata")
-        content, metadata = _fit_view(train.unionByName(for_content), "content", CONTENT_SIZE), _fit_view(train.unionByName(for_metadata), "metadata", METADATA_SIZE)
+        picks = stored(drawn("content").unionByName(drawn("metadata")), "quality-picks")  # at most 2 * pool_rows rows
+        pseudo = featured(rows.join(F.broadcast(picks), "doc_id"), "y", "by").withColumn("w", F.lit(0.25))
+        by = lambda view: train.unionByName(pseudo.filter(F.col("by") == view).drop("by"))  # noqa: B023, E731
+        content, metadata = _fit_view(by("metadata"), "content", size), _fit_view(by("content"), "metadata", METADATA_SIZE)
     content, metadata = _calibrate(content, "content", held), _calibrate(metadata, "metadata", held)
     sample.unpersist()
-    share = min(max(share, 0.01), 0.99)
-    return CoTrained(content, metadata, float(np.log(share / (1 - share))))
+    return CoTrained(content, metadata, prior, words)
 
 
 def score(docs: DataFrame, model: CoTrained | None, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -179,14 +251,7 @@ def score(docs: DataFrame, model: CoTrained | None, keep_from: float = KEEP_FROM
     docs = docs.drop(*names)
     if model is None:
         return docs.withColumns({c: F.lit(None).cast("double") for c in names[:3]} | {"keep": F.lit(True)})
-    kinds = T.StructType([T.StructField(c, T.DoubleType()) for c in names[:3]])
-
-    @F.pandas_udf(kinds)
-    def judged(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        a = model.content.logits(np.array([content_features(t) for t in text]).reshape(-1, CONTENT_SIZE))
-        b = model.metadata.logits(np.array([metadata_features(*x) for x in zip(lang, source, n_chars, strict=True)]).reshape(-1, METADATA_SIZE))
-        return pd.DataFrame({c: 1 / (1 + np.exp(-np.clip(z, -50, 50))) for c, z in zip(names, (a, b, a + b - model.prior), strict=False)})
-
+    judged = _scorer(model, names[:3], lambda a, b: [1 / (1 + np.exp(-np.clip(z, -50, 50))) for z in (a, b, a + b - model.prior)])
     read = [(F.col(c) if c in docs.columns else F.lit(None)).cast(k) for c, k in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "double"))]
     out = docs.withColumn("_judged", judged(*read))
     return out.withColumns({c: F.col(f"_judged.{c}") for c in names[:3]}).withColumn("keep", F.col("score") >= keep_from).drop("_judged")

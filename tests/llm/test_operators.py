@@ -183,6 +183,23 @@ def test_quality_tells_good_from_bad(spark, sf_dir):
     assert sum(r["keep"] == (r["quality"] == 1) for r in rows) >= 0.9 * len(rows)
 
 
+def test_quality_leaves_out_toxic_documents(spark):
+    rng = np.random.default_rng(5)
+    common = [f"{a}{b}ing" for a in "bcdfgklm" for b in ("al", "er", "on", "ut")]
+    rows = []
+    for i in range(600):
+        words = [common[k] for k in rng.integers(len(common), size=40)]
+        if i % 5 == 0:
+            words[7] = words[23] = ("vile", "filth")[i % 2]
+        rows.append((i, " ".join(words), "en", "a", 200))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.classify_quality(docs, labels).filter("keep").collect()}
+    toxic = {i for i in range(400, 600) if i % 5 == 0}
+    clean = set(range(400, 600)) - toxic
+    assert len(kept & toxic) <= 0.1 * len(toxic) and len(kept & clean) >= 0.95 * len(clean)
+
+
 def test_quality_of_odd_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 0, 0), (14, 0, 1), (9, 1, None), (10, 1, 0), (12, 0, 0), (None, 1, 0), (13, None, 0)], "doc_id long, quality int, toxic int")
     out = quality.classify_quality(docs, labels)
