@@ -3,7 +3,8 @@
 For byte pair encodings in which every token has one merge, the encoding of a prefix is fixed by its last token: it is the
 only token that ends the prefix and may stand after the last token of what is left of it. So the distinct words of a batch
 are put into a trie, and a depth-first walk hands the last token of each prefix down to its extensions; a prefix that many
-words share is worked out once. A word's encoding is read by going back from its last token.
+words share is worked out once. Beside the last token goes the longest ending of the prefix with which a token begins: it
+tells which tokens end there, so a byte costs a look-up or two. A word's encoding is read by going back from its last token.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ import hashlib
 import json
 import re
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +34,8 @@ CACHED_WORDS = 600_000
 CACHED_PAIRS = 2_000_000
 
 
-#: Tokens are looked for among the last so many bytes first.
-_TAIL = 24
+#: White space other than single spaces and newlines.
+_ODD_SPACE = r"[ \n]{2}|[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -44,6 +47,33 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def trie(words: Iterable[bytes]) -> Iterator[tuple[bytes, int]]:
+    """Distinct words as a trie in depth-first order: each with the depth at which it leaves the path of the one before.
+    A trie of nodes would take some hundred bytes for each byte of a word; this takes none but the words."""
+    before = b""
+    for word in sorted(words):
+        if word.startswith(before):
+            shared = len(before)
+        else:
+            size = min(len(before), len(word))
+            apart = int.from_bytes(before[:size], "big") ^ int.from_bytes(word[:size], "big")
+            shared = size - (apart.bit_length() + 7) // 8
+        yield word, shared
+        before = word
+
+
+def gathered(parts: list[bytes], which: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """For each stretch of ``which`` between edges, the parts of these numbers, joined; parts hold 32-bit integers."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+    taken = sizes[which]
+    ends = np.cumsum(taken)
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - taken), taken)
+    joined = flat[at].tobytes()
+    cuts = (np.concatenate([[0], ends])[edges] << 2).tolist()
+    return [joined[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class Codec:
     """Encoder and decoder for a byte-level vocabulary file."""
 
@@ -60,8 +90,6 @@ class Codec:
             self.pieces[i] = piece
         for content, i in self.added.items():
             self.pieces[i] = content.encode()
-        # every ending of a token, with the token that it is itself, if it is one: where no token ends so, none ends longer
-        self.endings: dict[bytes, int] = {piece[k:]: -1 for piece in self.ids for k in range(len(piece))} | self.ids
         # the halves of a token and its rank; a single byte has no halves and ranks before all merges
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -70,13 +98,16 @@ class Codec:
             pair = self.ids[to_bytes(a)], self.ids[to_bytes(b)]
             made = self.ids[to_bytes(a) + to_bytes(b)]
             self.merged[pair], self.halves[made], self.rank[made] = made, pair, rank
-        self.pairs: dict[int, bool] = {}
+        # for each token, the tokens before it that are known to leave it standing, or not; -1 is the start of a word
+        self.befores: list[dict[int, bool]] = [{-1: True} for _ in self.pieces]
+        self.pairs = 0
+        self.sizes = list(map(len, self.pieces))
+        self._find_endings()
         self.words = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.special = re.compile("|".join(map(re.escape, self.added))) if self.added else None
-        self.odd_space = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85\xa0]")
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        # ids of pieces: a piece stands for itself after a space, or, where it begins with a newline, for that and the rest
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def stands(self, left: int, right: int) -> bool:
         """True if merging the bytes of both tokens together gives just these two tokens.
@@ -84,9 +115,6 @@ class Codec:
         Takes the tokens apart again, the latest merge first; they stand unless a merge across the seam would have come
         before the merges that made its neighbours.
         """
-        key = left << 20 | right
-        if (known := self.pairs.get(key)) is not None:
-            return known
         a, b, bound, ok = left, right, float("inf"), True
         while True:
             across = self.merged.get((a, b))
@@ -101,106 +129,124 @@ class Codec:
                 bound, a = rank_a, self.halves[a][1]
             else:
                 bound, b = rank_b + 1, self.halves[b][0]
-        if len(self.pairs) > CACHED_PAIRS:
-            self.pairs.clear()
-        self.pairs[key] = ok
+        if self.pairs > CACHED_PAIRS:
+            self.pairs = 0
+            for before in self.befores:
+                before.clear()
+                before[-1] = True
+        self.pairs += 1
+        self.befores[right][left] = ok
         return ok
 
+    def _find_endings(self) -> None:
+        """Numbers the beginnings of tokens. For each: the next ones by byte, the longest shorter ending of it that begins a
+        token too, and the tokens that end it, longest first, with their sizes and the tokens known before them."""
+        self.next: list[dict[int, int]] = [{}]
+        own = {}
+        for piece, token in self.ids.items():
+            at = 0
+            for byte in piece:
+                if byte not in self.next[at]:
+                    self.next[at][byte] = len(self.next)
+                    self.next.append({})
+                at = self.next[at][byte]
+            own[at] = (token, len(piece), self.befores[token])
+        self.shorter = [0] * len(self.next)
+        self.ends: list[tuple[tuple[int, int, dict[int, bool]], ...]] = [()] * len(self.next)
+        level = [0]
+        while level:
+            below = []
+            for at in level:
+                for byte, child in self.next[at].items():
+                    short = self.shorter[at]
+                    while short and byte not in self.next[short]:
+                        short = self.shorter[short]
+                    self.shorter[child] = self.next[short].get(byte, 0) if at else 0
+                    self.ends[child] = (own[child], *self.ends[self.shorter[child]]) if child in own else self.ends[self.shorter[child]]
+                    below.append(child)
+            level = below
+
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids of each distinct word, as little-endian unsigned 32-bit integers."""
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for byte in word:
-                child = node.get(byte)
-                if child is None:
-                    child = node[byte] = {}
-                node = child
-            node[-1] = word
         out: dict[bytes, bytes] = {}
-        endings, stands, known = self.endings, self.stands, self.pairs
-        last: list[int] = []  # the last token of each prefix on the path
-        sizes: list[int] = []
-        stack = [(bytes((byte,)), child) for byte, child in trie.items()]
-        while stack:
-            path, node = stack.pop()
-            depth = len(path)
-            del last[depth - 1 :], sizes[depth - 1 :]
-            tail, found = path[-_TAIL:], []
-            for size in range(1, len(tail) + 1):
-                token = endings.get(tail[-size:])
-                if token is None:
-                    break
-                if token >= 0:
-                    found.append((token, size))
-            else:
-                if depth > _TAIL:  # a very long run of endings
-                    found = [(t, k) for k in range(1, depth + 1) if (t := endings.get(path[-k:], -1)) >= 0]
-            for token, size in reversed(found):
-                if size == depth:
-                    break
-                left = last[depth - size - 1]
-                fits = known.get(left << 20 | token)
-                if fits or (fits is None and stands(left, token)):
-                    break
-            last.append(token)
-            sizes.append(size)
-            for key, child in node.items():
-                if key == -1:
-                    ids, at = [], depth
-                    while at:
-                        ids.append(last[at - 1])
-                        at -= sizes[at - 1]
-                    out[child] = _PACK[len(ids)](*ids[::-1]) if len(ids) < len(_PACK) else np.array(ids[::-1], "<u4").tobytes()
-                else:
-                    stack.append((path + bytes((key,)), child))
+        stands, sizes, following, shorter, ends = self.stands, self.sizes, self.next, self.shorter, self.ends
+        # what the walk hands down: the last token of each prefix on the path, and the longest ending that begins a token
+        last: list[int] = [-1]
+        endings = [0]
+        for word, shared in trie(words):
+            del last[shared + 1 :], endings[shared + 1 :]
+            at = endings[shared]
+            for byte in word[shared:]:
+                step = following[at].get(byte)
+                while step is None:
+                    at = shorter[at]
+                    step = following[at].get(byte)  # every byte begins a token
+                at = step
+                for token, size, before in ends[at]:
+                    fits = before.get(last[-size])
+                    if fits or (fits is None and stands(last[-size], token)):
+                        break
+                last.append(token)
+                endings.append(at)
+            ids, left = [], len(word)
+            while left:
+                token = last[left]
+                ids.append(token)
+                left -= sizes[token]
+            ids.reverse()
+            out[word] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
         return out
 
-    def _look_up(self, pieces: list[tuple[str, str]]) -> None:
-        """Puts the encodings of text pieces (leading space or none, piece) into the caches, by one trie for all of them."""
-        # a piece of letters is a word
-        split = {(lead, piece): [(lead + piece).encode()] if piece.isalpha() else [w.encode("utf-8", "replace") for w in self.words.findall(lead + piece)] for lead, piece in pieces}
-        encoded = self.encode_words({w for words in split.values() for w in words})
-        for (lead, piece), words in split.items():
-            (self.spaced if lead else self.bare)[piece] = encoded[words[0]] if len(words) == 1 else b"".join([encoded[w] for w in words])
-
-    def _prepare(self, bare: set[str], spaced: set[str]) -> None:
-        """Makes sure that the caches have all these pieces. When they are full, the older generation goes and what is
-        still in use moves on."""
-        wanted = [("", p) for p in bare.difference(self.bare)] + [(" ", p) for p in spaced.difference(self.spaced)]
-        if len(self.bare) + len(self.spaced) + len(wanted) > CACHED_WORDS // 2:
-            self.old, self.bare, self.spaced = (self.bare, self.spaced), {}, {}
-            wanted = [("", p) for p in bare] + [(" ", p) for p in spaced]
-        missing = []
-        for lead, piece in wanted:
-            found = self.old[bool(lead)].get(piece)
-            if found is None:
-                missing.append((lead, piece))
-            else:
-                (self.spaced if lead else self.bare)[piece] = found
-        if missing:
-            self._look_up(missing)
+    def _words(self, piece: str) -> list[bytes]:
+        """The words of a piece that isn't letters alone."""
+        if piece[:1] == "\n":
+            return [b"\n", *([piece[1:].encode()] if piece[1:].isalpha() else [w.encode() for w in self.words.findall(piece[1:])])]
+        return [w.encode() for w in self.words.findall(" " + piece)]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces: those that aren't in the cache by one trie for all of them. When the cache is full, its
+        older generation goes and what is still in use moves on."""
+        if len(self.new) > CACHED_WORDS // 2:
+            self.old, self.new = self.new, {}
+        found = list(map(self.new.get, pieces))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        letters: list[tuple[int, bytes]] = []
+        others: list[tuple[int, list[bytes]]] = []
+        for i in gaps:
+            piece = pieces[i]
+            found[i] = ids = self.old.get(piece)
+            if ids is None:
+                if piece.isalpha():
+                    letters.append((i, b" " + piece.encode()))
+                else:
+                    others.append((i, self._words(piece)))
+        encoded = self.encode_words({*[word for _, word in letters], *[word for _, own in others for word in own]})
+        for i, word in letters:
+            found[i] = encoded[word]
+        for i, own in others:
+            found[i] = b"".join([encoded[word] for word in own])
+        self.new.update([(pieces[i], found[i]) for i in gaps])
+        return found
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Encodes texts without added tokens. Where single spaces and newlines are all the white space, a text's words are
         those of its pieces between them; else the whole text is split by the pattern."""
-        parts = [self.words.findall(t) if self.odd_space.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        bare, spaced = {"\n"}, set()
-        for words in parts:
-            for line in words:
-                if isinstance(line, str):
-                    bare.add(line)
-                else:
-                    bare.add(line[0])
-                    spaced.update(line[1:])
-        self._prepare(bare, spaced)
-        first, rest, newline = self.bare, self.spaced, self.bare["\n"]
-        out = []
-        for words in parts:
-            if not words or isinstance(words[0], str):
-                out.append(b"".join([first[w] for w in words]))
-            else:
-                out.append(newline.join([first[line[0]] + b"".join([rest[p] for p in line[1:]]) for line in words]))
+        out = [b""] * len(texts)
+        odd = np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD_SPACE).to_numpy(zero_copy_only=False)).tolist()
+        if odd:
+            split = [[w.encode() for w in self.words.findall(texts[i])] for i in odd]
+            encoded = self.encode_words({w for words in split for w in words})
+            for i, words in zip(odd, split, strict=True):
+                out[i] = b"".join([encoded[w] for w in words])
+        even = sorted(set(range(len(texts))).difference(odd))
+        if even:
+            # each text begins with a newline, the first of its ids, which is left out again
+            lists = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in even], pa.large_string()), " ")
+            coded = lists.flatten().dictionary_encode()
+            found = self._ids(coded.dictionary.to_pylist())
+            rows = gathered(found, coded.indices.to_numpy(), lists.offsets.to_numpy())
+            for i, ids in zip(even, rows, strict=True):
+                out[i] = ids[4:]
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -37,7 +37,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Characters of text that a worker takes apart at a time.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 4_000_000
 
 
 def in_batches(texts: Iterable[str | None]) -> Iterable[list[str | None]]:
