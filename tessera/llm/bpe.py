@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches, table
+from .common import chosen_parts, in_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Encoded words that a worker keeps, in two generations of half as many.
@@ -65,11 +65,8 @@ def trie(words: Iterable[bytes]) -> Iterator[tuple[bytes, int]]:
 def gathered(parts: list[bytes], which: np.ndarray, edges: np.ndarray) -> list[bytes]:
     """For each stretch of ``which`` between edges, the parts of these numbers, joined; parts hold 32-bit integers."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
-    taken = sizes[which]
-    ends = np.cumsum(taken)
-    flat = np.frombuffer(b"".join(parts), "<u4")
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - taken), taken)
-    joined = flat[at].tobytes()
+    flat, ends = chosen_parts(np.frombuffer(b"".join(parts), "<u4"), sizes, which)
+    joined = flat.tobytes()
     cuts = (np.concatenate([[0], ends])[edges] << 2).tolist()
     return [joined[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 

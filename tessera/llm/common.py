@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
@@ -52,3 +53,12 @@ def in_batches(texts: Iterable[str | None]) -> Iterable[list[str | None]]:
             part, size = [], 0
     if part:
         yield part
+
+
+def chosen_parts(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of parts of these sizes that lie side by side in ``flat``: those of the given numbers, side by side in turn, and where
+    each ends."""
+    taken = sizes[which]
+    ends = np.cumsum(taken)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - taken), taken)
+    return flat[at], ends

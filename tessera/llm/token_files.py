@@ -16,21 +16,23 @@ side, a table look-up for each id.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import in_batches, shared_folder, table
+from .common import chosen_parts, in_batches, shared_folder, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -38,16 +40,24 @@ LONGEST_CODE = 18
 STRIDE = 128
 BLOCK_TOKENS = 131_072
 DOCS_PER_BUCKET = 20_000
-CACHED_PIECES = 800_000
-_ODD = regex.compile("[\x1c-\x1f]")
+CACHED_PIECES = 600_000
+#: Words in one call of the library.
+CALL_WORDS = 2000
+_ODD = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
+_LOWER = re.compile("[a-zß-öø-ÿ]+")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 #: Pieces of Latin letters and full stops or commas; their ids are those of the letters in lower case, then of the rest.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+_SIMPLE = f"^{_LETTERS}[.,]*$"
 
 
 class Encoder:
     """Ids of texts. This vocabulary drops white space, so a text's ids are those of its white-space-separated pieces in
-    turn; each distinct piece goes through the tokenizers library once while it is remembered."""
+    turn; each distinct piece goes through the tokenizers library once while it is remembered.
+
+    Words of Latin letters in lower case go through it without its normaliser and pattern, which leave them as they are, many
+    in one call: each word's last token, and no other, is one that ends a word.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
@@ -56,43 +66,79 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        bytes_as_letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain = spec | {"normalizer": None, "truncation": None, "padding": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_as_letters]}}
+        self.words = Tokenizer.from_str(json.dumps(plain))
+        ending = spec["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in spec["model"]["vocab"].items():
+            self.ends_word[i] = token.endswith(ending)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def ids_of(self, pieces: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = [[] if not t else t.split() if not _ODD.search(t) else [p for p in _SPACE.split(t) if p] for t in texts]
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters in lower case."""
+        if not words:
+            return []
+        calls = [" ".join(words[i : i + CALL_WORDS]) for i in range(0, len(words), CALL_WORDS)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *[np.array(x.ids, "<u4") for x in self.words.encode_batch_fast(calls, add_special_tokens=False)]])
+        ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _of_others(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; those of letters are in lower case."""
         if len(self.new) > CACHED_PIECES // 2:  # the older generation goes; what is still in use moves on
             self.old, self.new = self.new, {}
-        found = [list(map(self.new.get, pieces)) for pieces in split]
-        gaps = [i for i, ids in enumerate(found) if None in ids]
-        wanted = {p for i in gaps for p, ids in zip(split[i], found[i], strict=True) if ids is None}
-        if wanted:
-            self._learn(wanted)
-            for i in gaps:
-                found[i] = [self.new[p] if ids is None else ids for p, ids in zip(split[i], found[i], strict=True)]
-        return [b"".join(ids) for ids in found]
-
-    def _learn(self, wanted: set[str]) -> None:
-        missing: set[str] = set()
-        parts = []
-        for p in wanted:
-            if (known := self.old.get(p)) is not None:
-                self.new[p] = known
-            elif (simple := _SIMPLE.fullmatch(p)) and (core := simple[1].lower()) != p:
-                parts.append((p, core, simple[2]))
-                missing.update(x for x in (core, simple[2]) if x and x not in self.new)
-            else:
-                missing.add(p)
-        todo = list(missing)
-        for start in range(0, len(todo), 5000):
-            part = todo[start : start + 5000]
-            self.new.update(zip(part, self.ids_of(part), strict=True))
-        for p, core, end in parts:
-            self.new[p] = self.new[core] + self.new[end] if end else self.new[core]
+        found = list(map(self.new.get, pieces))
+        words: list[int] = []
+        others: list[int] = []
+        learnt = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                piece = pieces[i]
+                found[i] = ids = self.old.get(piece)
+                learnt.append(i)
+                if ids is None:
+                    (words if _LOWER.fullmatch(piece) else others).append(i)
+        for some, of in ((words, self._of_words), (others, self._of_others)):
+            for i, ids in zip(some, of([pieces[i] for i in some]), strict=True):
+                found[i] = ids
+        self.new.update([(pieces[i], found[i]) for i in learnt])
+        return found
+
+    def _chosen(self, pieces: pa.Array, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces of these numbers, side by side, and where each piece's end; pieces are distinct."""
+        simple = pc.match_substring_regex(pieces, _SIMPLE)
+        cores = pc.if_else(simple, pc.utf8_rtrim(pc.utf8_lower(pieces), characters=".,"), pieces).dictionary_encode()
+        rests = pc.if_else(simple, pc.replace_substring_regex(pieces, f"^{_LETTERS}", ""), "").dictionary_encode()
+        parts = self._ids(cores.dictionary.to_pylist()) + self._ids(rests.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        both = np.stack([cores.indices.to_numpy(), rests.indices.to_numpy() + len(cores.dictionary)], axis=1).reshape(-1)
+        flat, ends = chosen_parts(np.frombuffer(b"".join(parts), "<u4"), sizes, both)
+        return chosen_parts(flat, np.diff(ends[1::2], prepend=0), which)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts side by side, and how many each text has; null counts as empty."""
+        # white space is what Unicode calls so; Arrow counts some control characters too
+        odd = [i for i, t in enumerate(texts) if t and _ODD.search(t)]
+        even = ["" if not t or _ODD.search(t) else t for t in texts]
+        lists = pc.utf8_split_whitespace(pa.array(even, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        flat, ends = self._chosen(coded.dictionary, coded.indices.to_numpy())
+        edges = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        counts = np.diff(edges)
+        if odd:
+            rows = [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            for i in odd:
+                rows[i] = np.frombuffer(b"".join(self._of_others([p for p in _SPACE.split(texts[i]) if p])), "<u4")
+            flat, counts = np.concatenate(rows), np.array([len(x) for x in rows])
+        return flat, counts
 
 
 @lru_cache(maxsize=2)
@@ -141,23 +187,28 @@ def codes(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(ids: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[bytes, bytes]:
-    """The bits of a document and its checkpoints."""
+def pack(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[bytes, np.ndarray, list[bytes]]:
+    """The bits of some documents with these numbers of ids, where each begins in bytes, and each one's checkpoints."""
     sizes = lengths[ids].astype(np.int64)
-    if not len(ids):
-        return b"", b""
     if not sizes.all():
         raise ValueError("an id has no code")
-    ends = np.cumsum(sizes)
-    at = ends - sizes
-    # a code starts in every 32-bit word and may run over into the next: the words' two shares are sums of disjoint bits
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    bits = np.concatenate([[0], np.cumsum(sizes)])
+    starts = np.cumsum((np.diff(bits[edges]) + 7) // 8)
+    starts, total = np.concatenate([[0], starts[:-1]]), int(starts[-1]) if len(starts) else 0
+    inside = bits[:-1] - np.repeat(bits[edges[:-1]], counts)
+    at = inside + np.repeat(8 * starts, counts)
+    # a code starts in a 32-bit word and may run over into the next: the words' two shares are sums of disjoint bits
     placed = words[ids].astype(np.uint64) << (64 - sizes - (at & 31)).astype(np.uint64)
     word = at >> 5
-    first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
-    out = np.zeros(len(first) + 1, np.uint64)
-    out[:-1] = np.add.reduceat(placed >> np.uint64(32), first)
-    out[1:] += np.add.reduceat(placed & np.uint64(0xFFFFFFFF), first)
-    return out.astype(">u4").tobytes()[: (int(ends[-1]) + 7) // 8], at[::STRIDE].astype("<u4").tobytes()
+    out = np.zeros((total + 3) // 4 + 1, np.uint64)
+    if len(ids):
+        first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+        out[word[first]] = np.add.reduceat(placed >> np.uint64(32), first)
+        out[word[first] + 1] += np.add.reduceat(placed & np.uint64(0xFFFFFFFF), first)
+    marked = (np.arange(len(ids)) - np.repeat(edges[:-1], counts)) % STRIDE == 0
+    marks, ends = inside[marked].astype("<u4").tobytes(), (4 * np.cumsum(-(-counts // STRIDE))).tolist()
+    return out.astype(">u4").tobytes()[:total], starts, [marks[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def reading_table(lengths: np.ndarray) -> np.ndarray:
@@ -205,10 +256,10 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         for batch in batches:
             at = 0
             for part in in_batches(batch["text"]):
-                raw = [x + int(end_id).to_bytes(4, "little") for x in encoder(path).encode(part)]
-                ids = np.frombuffer(b"".join(raw), "<u4")
+                ids, counts = encoder(path).encode(part)
+                ids = np.insert(ids, np.cumsum(counts), end_id)
                 total += np.bincount(ids, minlength=size)
-                small, edges = ids.astype(kind).tobytes(), np.cumsum([0, *[len(x) for x in raw]]) // 4 * np.dtype(kind).itemsize
+                small, edges = ids.astype(kind).tobytes(), np.concatenate([[0], np.cumsum(counts + 1)]) * np.dtype(kind).itemsize
                 packed = [small[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(part)].astype("Int64"), "ids": packed, "counted_ids": None, "counts": None})
                 at += len(part)
@@ -227,29 +278,28 @@ def token_counts(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-_CODED = T.StructType([T.StructField("n_tokens", T.IntegerType()), T.StructField("bits", T.BinaryType()), T.StructField("checkpoints", T.BinaryType()), T.StructField("mark", T.LongType())])
 _BLOCK = "bucket int, block int, first long, doc_ids array<long>, n_tokens array<int>, starts array<int>, checkpoints array<binary>, payload binary"
 
 
-def _into_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of bucket and document become blocks."""
-    bucket, number, first, size, rows = None, 0, 0, 0, []
+def _blocks(batches: Iterator[pd.DataFrame], kind: str, lengths: np.ndarray, words: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows (doc_id, ids) in order of document become the blocks of a bucket, which is the partition."""
+    bucket = TaskContext.get().partitionId()
+    number, first, size, rows = 0, 0, 0, []
 
     def block() -> pd.DataFrame:
-        lengths = [len(r[2]) for r in rows]
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int32)
-        ids = np.array([None if r[0] is pd.NA or r[0] != r[0] else int(r[0]) for r in rows], object)
-        return pd.DataFrame([(bucket, number, first, ids, np.array([r[1] for r in rows], np.int32), starts, [r[3] for r in rows], b"".join([r[2] for r in rows]))], columns=[x.split()[0] for x in _BLOCK.split(", ")])
+        raw = [np.frombuffer(ids, kind) for _, ids in rows]
+        counts = np.array([len(x) for x in raw])
+        payload, starts, marks = pack(np.concatenate(raw), counts, lengths, words)
+        docs = np.array([None if d is pd.NA or d != d else int(d) for d, _ in rows], object)
+        return pd.DataFrame([(bucket, number, first, docs, counts.astype(np.int32), starts.astype(np.int32), marks, payload)], columns=[x.split()[0] for x in _BLOCK.split(", ")])
 
     for batch in batches:
-        for b, doc, n, bits, marks in zip(batch["bucket"], batch["doc_id"], batch["n_tokens"], batch["bits"], batch["checkpoints"], strict=True):
-            if rows and (b != bucket or size >= BLOCK_TOKENS):
+        for row in zip(batch["doc_id"], batch["ids"], strict=True):
+            rows.append(row)
+            size += len(row[1]) // np.dtype(kind).itemsize
+            if size >= BLOCK_TOKENS:
                 yield block()
                 number, first, size, rows = number + 1, first + size, 0, []
-            if b != bucket:
-                bucket, number, first = b, 0, 0
-            rows.append((doc, n, bits, marks))
-            size += n
     if rows:
         yield block()
 
@@ -259,7 +309,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
 
     Null and empty texts have the end id only; null ids come first; repeated ids are in order of their number of ids and
     checksum. An empty table gives empty tables. Other columns are ignored. Texts are tokenised where they lie, once, into a
-    table of ids; only coded documents are shuffled, by buckets of equal numbers of documents.
+    table of ids, which is then dealt by ranges of doc_id into buckets of about as many documents and coded there.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     spark = docs.sparkSession
@@ -272,25 +322,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     used = np.flatnonzero(lengths).tolist()
     spark.createDataFrame([(i, int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{folder}/code")
     words = codes(lengths)
-    rows_of = ids.filter("ids is not null")
-    buckets = max(1, -(-rows_of.count() // DOCS_PER_BUCKET))
-    quantiles = rows_of.select("doc_id").approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
-    bounds = sorted({int(x) for x in quantiles})
-
-    @F.pandas_udf(_CODED)
-    def coded(packed: pd.Series) -> pd.DataFrame:
-        rows = []
-        for raw in packed:
-            own = np.frombuffer(raw, kind).astype("<u4")
-            bits, marks = pack(own, lengths, words)
-            rows.append((len(own), bits, marks, zlib.crc32(own.tobytes())))
-        return pd.DataFrame(rows, columns=[f.name for f in _CODED])
-
-    # the bounds are few; a null id is below all of them
-    bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    rows = rows_of.select("doc_id", F.greatest(bucket, F.lit(0)).cast("int").alias("bucket"), coded("ids").alias("c")).select("bucket", "doc_id", "c.*")
-    dealt = rows.repartition(max(len(bounds) + 1, 1), "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n_tokens", "mark")
-    dealt.select("bucket", "doc_id", "n_tokens", "bits", "checkpoints").mapInPandas(_into_blocks, _BLOCK).write.parquet(f"{folder}/blocks")
+    rows = ids.filter("counts is null").select("doc_id", "ids")
+    buckets = max(1, -(-rows.count() // DOCS_PER_BUCKET))
+    order = F.col("doc_id").asc_nulls_first()
+    dealt = rows.repartitionByRange(buckets, order).sortWithinPartitions(order, F.octet_length("ids"), F.crc32("ids"))
+    dealt.mapInPandas(lambda batches: _blocks(batches, kind, lengths, words), _BLOCK).write.parquet(f"{folder}/blocks")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -313,6 +349,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     blocks = spark.read.parquet(f"{folder}/blocks")
     sums = blocks.select("bucket", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"))
     ahead = sums.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row per bucket
+    # ``ahead`` has a row of two numbers for each partition of the writing job
     rows = blocks.mapInPandas(documents, "bucket int, doc_id long, within long, n_tokens long, token_ids binary")
     return rows.join(F.broadcast(ahead), "bucket").select("doc_id", (F.col("ahead") + F.col("within")).alias("start"), "n_tokens", "token_ids")
 

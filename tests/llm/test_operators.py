@@ -74,6 +74,18 @@ def test_token_files_round_trip(spark, docs, nothing, tmp_path):
     assert token_files.read(spark, f"{tmp_path}/n").count() == 0
 
 
+def test_token_ids_of_odd_text():
+    encoder = token_files.encoder(public_tokenizers.path(token_files.VOCABULARY))
+    rng = np.random.default_rng(4)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "'s", "'LL", "é", "É", "e\u0301", "中文", "😀", "a", "The", "ß", "İ", "ı", "ÿ", "Ÿ", "×", "123", "...", ".,", ",", "\x1c", "\x85", "\xa0", "\u2003", "--", "\x00", "²", "ª", "_", "\u200b", "<|endoftext|>", "µ", "Ω"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(1500)]
+    for some in (texts[:1], texts[1:700], [None, "", *texts[700:]]):
+        ids, counts = encoder.encode(some)
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        for k, text in enumerate(some):
+            assert ids[edges[k] : edges[k + 1]].tolist() == encoder.library.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
 def test_codes_are_short_prefix_free_and_near_the_entropy():
     counts = np.array([0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987, 1597, 2584, 4181, 6765, 10946, 17711], np.int64)
     for longest in (5, 8, 18):
@@ -83,8 +95,10 @@ def test_codes_are_short_prefix_free_and_near_the_entropy():
     p = counts[1:] / counts.sum()
     assert (p * lengths[1:]).sum() <= -(p * np.log2(p)).sum() + 1
     ids = np.random.default_rng(2).choice(len(counts), 5000, p=counts / counts.sum())
-    bits, marks = token_files.pack(ids, lengths, token_files.codes(lengths))
-    assert (token_files.unpack(bits, np.array([0]), np.array([5000]), [marks], token_files.reading_table(lengths))[0] == ids).all()
+    counts = np.array([0, 1, 3000, 0, 127, 128, 129, 1615, 0])
+    bits, starts, marks = token_files.pack(ids, counts, lengths, token_files.codes(lengths))
+    got = token_files.unpack(bits, starts, counts, marks, token_files.reading_table(lengths))
+    assert [len(x) for x in got] == counts.tolist() and (np.concatenate(got) == ids).all()
     assert token_files.code_lengths(np.array([0, 7]), 18).tolist() == [0, 1]
 
 
