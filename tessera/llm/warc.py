@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored, table
+from .common import shared_folder, table
 
 #: Payloads below this many bytes are always stored as responses.
 LEAST_REVISIT_BYTES = 1000
-#: Rows of copies (a digest and an id each) that are broadcast at most.
-BROADCAST_ROWS = 200_000
 WARC_DATE = "1970-01-01T00:00:00Z"
 _EOL = "\r\n"
 
@@ -51,31 +49,25 @@ def write(pages: DataFrame, folder: str) -> None:
     """Writes two tables: ``headers`` (a row per record, in page order within a file) and ``payloads`` (a row per distinct
     payload, its bytes kept from the page that is its response).
 
-    Null html is an empty payload; a null url leaves the target line out. Rows with a null page_id get a response record
-    of their own. Repeated page_ids give a record each. An empty table gives empty archives.
+    Null html is an empty payload, very long ones are stored whole; a null url leaves the target line out. Rows with a null
+    page_id get a response record of their own. Repeated page_ids give a record each; where they share the largest id of a
+    payload, each is a response. An empty table gives empty archives. Further columns are ignored, also those named like
+    one of the archive's.
     """
     found = records(pages)
     found.select("page_id", "sha256", "sha1", "payload_bytes", "record_type", "refers_to", "header").write.parquet(f"{folder}/headers")
-    _once(pages).write.parquet(f"{folder}/payloads")
+    _once(pages).write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
 def _once(pages: DataFrame) -> DataFrame:
-    """(sha256, payload), a row per distinct payload.
+    """(sha256, payload), a row per distinct payload: that of its largest page_id.
 
-    Which rows to leave out is found on digests and ids alone. While they are few they are broadcast and payloads aren't
-    shuffled; else, and where a kept page's row is repeated, payloads are joined on digest and page, so that the copies of a
-    frequent payload lie apart and repeated rows meet in the same partitions.
+    Which page that is, is found on digests and ids alone. Payloads are then joined with it on digest and page, so the copies
+    of a frequent payload lie apart; rows that repeat a page meet in the same partition and go there.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.coalesce("page_id", F.lit(-(2**63))).alias("page"), payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    keys = rows.select("sha256", "page")
-    keepers = keys.groupBy("sha256").agg(F.max("page").alias("kept"), F.count("*").alias("n"))
-    shared = stored(keys.join(keepers.filter("n > 1").select("sha256", "kept"), "sha256"), "warc-copies")
-    copies = shared.filter("page <> kept")
-    repeated = shared.filter("page = kept").groupBy("sha256").agg(F.count("*").alias("n")).filter("n > 1")
-    if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and repeated.isEmpty():
-        return rows.join(F.broadcast(copies.select("sha256", "page").distinct()), ["sha256", "page"], "left_anti").select("sha256", "payload")
-    kept = keepers.select("sha256", F.col("kept").alias("page"))
+    kept = rows.groupBy("sha256").agg(F.max("page").alias("page"))
     return rows.join(kept.hint("merge"), ["sha256", "page"]).dropDuplicates(["sha256", "page"]).select("sha256", "payload")
 
 
@@ -83,17 +75,23 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records: page_id, header, block (what follows the header), payload, payload_bytes, payload_digest, record_type,
     refers_to.
 
-    Payloads that don't hash to their key or don't have the recorded length fail the read. A revisit's block is empty, its
-    payload is that of the record it refers to.
+    Each stored payload is measured and hashed once, where it lies, and joined with its records' headers. One that doesn't
+    hash to its key, is missing, or hasn't the recorded length fails the read. A revisit's block is empty, its payload is
+    that of the record it refers to. Where neither block nor payload is asked for, no payload is moved.
     """
     headers, payloads = spark.read.parquet(f"{folder}/headers"), spark.read.parquet(f"{folder}/payloads")
-    joined = headers.join(payloads, "sha256", "left")
-    sound = (F.sha2("payload", 256) == F.col("sha256")) & (F.octet_length("payload") == F.col("payload_bytes"))
-    checked = joined.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged or missing payload "), "sha256")).cast("binary")))
+    wrong = lambda what: F.raise_error(F.concat(F.lit("damaged or missing payload "), what))
+    found = payloads.select(
+        F.col("sha256").alias("key"), "payload", F.octet_length("payload").cast("long").alias("found_bytes"),
+        F.when(F.sha2("payload", 256) == F.col("sha256"), F.sha1("payload")).otherwise(wrong(F.col("sha256")).cast("string")).alias("found_digest"),
+    )
+    joined = headers.join(found, headers["sha256"] == found["key"], "left")
+    sound = F.col("found_digest").isNotNull() & (F.col("found_bytes") == F.col("payload_bytes"))
+    checked = lambda c, kind: F.when(sound, F.col(c)).otherwise(wrong(F.col("sha256")).cast(kind))
     type_line = F.regexp_extract("header", r"\r\nWARC-Type: (\w+)\r\n", 1)
-    return checked.select(
-        "page_id", "header", F.when(type_line == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload")).alias("block"), "payload",
-        F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), type_line.alias("record_type"), "refers_to",
+    return joined.select(
+        "page_id", "header", F.when(type_line == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(checked("payload", "binary")).alias("block"), checked("payload", "binary").alias("payload"),
+        checked("found_bytes", "long").alias("payload_bytes"), checked("found_digest", "string").alias("payload_digest"), type_line.alias("record_type"), "refers_to",
     )
 
 
