@@ -41,14 +41,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 BATCH_CHARS = 4_000_000
 
 
-def in_batches(texts: Iterable[str | None]) -> Iterable[list[str | None]]:
+def in_batches(texts: Iterable[str | None], chars: int = BATCH_CHARS) -> Iterable[list[str | None]]:
     """Runs of texts of some millions of characters."""
     part: list[str | None] = []
     size = 0
     for text in texts:
         part.append(text)
         size += len(text or "")
-        if size >= BATCH_CHARS:
+        if size >= chars:
             yield part
             part, size = [], 0
     if part:

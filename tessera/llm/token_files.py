@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chosen_parts, in_batches, shared_folder, table
+from .common import BATCH_CHARS, chosen_parts, in_batches, shared_folder, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -43,9 +42,8 @@ DOCS_PER_BUCKET = 20_000
 CACHED_PIECES = 600_000
 #: Words in one call of the library.
 CALL_WORDS = 2000
-_ODD = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
-_LOWER = re.compile("[a-zß-öø-ÿ]+")
+_LOWER = "[a-zß-öø-ÿ]+"
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 #: Pieces of Latin letters and full stops or commas; their ids are those of the letters in lower case, then of the rest.
 _SIMPLE = f"^{_LETTERS}[.,]*$"
@@ -91,25 +89,23 @@ class Encoder:
     def _of_others(self, pieces: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
+    def _ids(self, distinct: pa.Array) -> list[bytes]:
         """Ids of distinct pieces; those of letters are in lower case."""
         if len(self.new) > CACHED_PIECES // 2:  # the older generation goes; what is still in use moves on
             self.old, self.new = self.new, {}
+        pieces = distinct.to_pylist()
         found = list(map(self.new.get, pieces))
-        words: list[int] = []
-        others: list[int] = []
-        learnt = []
-        for i, ids in enumerate(found):
-            if ids is None:
-                piece = pieces[i]
-                found[i] = ids = self.old.get(piece)
-                learnt.append(i)
-                if ids is None:
-                    (words if _LOWER.fullmatch(piece) else others).append(i)
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        learnt = [pieces[i] for i in gaps]
+        for i, ids in zip(gaps, map(self.old.get, learnt), strict=True):
+            found[i] = ids
+        is_word = pc.match_substring_regex(distinct, f"^{_LOWER}$").to_pylist()
+        missing = [i for i in gaps if found[i] is None]
+        words, others = [i for i in missing if is_word[i]], [i for i in missing if not is_word[i]]
         for some, of in ((words, self._of_words), (others, self._of_others)):
             for i, ids in zip(some, of([pieces[i] for i in some]), strict=True):
                 found[i] = ids
-        self.new.update([(pieces[i], found[i]) for i in learnt])
+        self.new.update(zip(learnt, [found[i] for i in gaps], strict=True))
         return found
 
     def _chosen(self, pieces: pa.Array, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +113,7 @@ class Encoder:
         simple = pc.match_substring_regex(pieces, _SIMPLE)
         cores = pc.if_else(simple, pc.utf8_rtrim(pc.utf8_lower(pieces), characters=".,"), pieces).dictionary_encode()
         rests = pc.if_else(simple, pc.replace_substring_regex(pieces, f"^{_LETTERS}", ""), "").dictionary_encode()
-        parts = self._ids(cores.dictionary.to_pylist()) + self._ids(rests.dictionary.to_pylist())
+        parts = self._ids(cores.dictionary) + self._ids(rests.dictionary)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
         both = np.stack([cores.indices.to_numpy(), rests.indices.to_numpy() + len(cores.dictionary)], axis=1).reshape(-1)
         flat, ends = chosen_parts(np.frombuffer(b"".join(parts), "<u4"), sizes, both)
@@ -126,9 +122,10 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts side by side, and how many each text has; null counts as empty."""
         # white space is what Unicode calls so; Arrow counts some control characters too
-        odd = [i for i, t in enumerate(texts) if t and _ODD.search(t)]
-        even = ["" if not t or _ODD.search(t) else t for t in texts]
-        lists = pc.utf8_split_whitespace(pa.array(even, pa.large_string()))
+        whole = pc.fill_null(pa.array(texts, pa.large_string()), "")
+        is_odd = pc.match_substring_regex(whole, r"[\x{1c}-\x{1f}]")
+        odd = np.flatnonzero(is_odd.to_numpy(zero_copy_only=False)).tolist()
+        lists = pc.utf8_split_whitespace(pc.if_else(is_odd, "", whole) if odd else whole)
         coded = lists.flatten().dictionary_encode()
         flat, ends = self._chosen(coded.dictionary, coded.indices.to_numpy())
         edges = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
@@ -255,7 +252,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         total = np.zeros(size, np.int64)
         for batch in batches:
             at = 0
-            for part in in_batches(batch["text"]):
+            for part in in_batches(batch["text"], 2 * BATCH_CHARS):
                 ids, counts = encoder(path).encode(part)
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 total += np.bincount(ids, minlength=size)
