@@ -39,7 +39,7 @@ LONGEST_CODE = 18
 STRIDE = 128
 BLOCK_TOKENS = 131_072
 DOCS_PER_BUCKET = 20_000
-CACHED_PIECES = 1_200_000
+CACHED_PIECES = 800_000
 #: Words in one call of the library.
 CALL_WORDS = 2000
 _SPACE = regex.compile(r"\p{White_Space}+")
@@ -280,6 +280,7 @@ _BLOCK = "bucket int, block int, first long, doc_ids array<long>, n_tokens array
 
 def _blocks(batches: Iterator[pd.DataFrame], kind: str, lengths: np.ndarray, words: np.ndarray) -> Iterator[pd.DataFrame]:
     """Rows (doc_id, ids) in order of document become the blocks of a bucket, which is the partition."""
+    encoder.cache_clear()  # all texts are tokenised: the words needn't be kept
     bucket = TaskContext.get().partitionId()
     number, first, size, rows = 0, 0, 0, []
 
@@ -335,6 +336,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             lengths[r["id"]] = r["length"]
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder.cache_clear()
         reading = reading_table(lengths)
         for batch in batches:
             for bucket, first, ids, counts, starts, marks, payload in zip(*[batch[c] for c in ("bucket", "first", "doc_ids", "n_tokens", "starts", "checkpoints", "payload")], strict=True):
