@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import pairwise
+
+import numpy as np
 
 # What counts as a heading line, a list item line, a token, a fence line.
 HEADING = re.compile(r"^#{1,6}\s")
@@ -12,61 +16,48 @@ FENCE = re.compile(r"(`{3,}|~{3,})")
 MOST_TOKENS = 512
 OVERLAP = 64
 UNIT_BYTES = 16 * 1024
+_BLANK, _HEADING, _ITEM, _LINE = range(4)
+
+
+def _kind(line: str) -> int:
+    return _BLANK if not line.strip() else _HEADING if HEADING.match(line) else _ITEM if LIST_ITEM.match(line) else _LINE
 
 
 def blocks(body: str) -> list[tuple[int, int, bool]]:
-    """(start, end, is heading) of each block: headings and list items alone, ordinary lines in paragraphs."""
-    out: list[tuple[int, int, bool]] = []
-    paragraph: list[int] | None = None
-    at = 0
-    for line in body.splitlines(keepends=True):
-        start, end = at, at + len(line.rstrip("\r\n"))
-        at += len(line)
-        heading = HEADING.match(line) is not None
-        alone = heading or LIST_ITEM.match(line) is not None
-        if paragraph and (alone or not line.strip()):
-            out.append((*paragraph, False))
-            paragraph = None
-        if not line.strip():
-            continue
-        if alone:
-            out.append((start, end, heading))
-        else:
-            paragraph = [paragraph[0] if paragraph else start, end]
-    if paragraph:
-        out.append((*paragraph, False))
-    return out
+    """(start, end, is heading) of each block. Lines are typed first; a block begins at every line but an ordinary one that
+    follows an ordinary one, and ends where the last of its lines does. Blank lines are no blocks."""
+    lines = body.splitlines(keepends=True)
+    if not lines:
+        return []
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    shown = np.fromiter((len(x.rstrip("\r\n")) for x in lines), np.int64, len(lines))
+    kind = np.fromiter((_kind(x) for x in lines), np.int8, len(lines))
+    start = np.cumsum(size) - size
+    begins = np.flatnonzero((kind != _LINE) | (np.roll(kind, 1) != _LINE) | (np.arange(len(lines)) == 0))
+    final = np.append(begins[1:], len(lines)) - 1
+    return [(a, b, k == _HEADING) for a, b, k in zip(start[begins].tolist(), (start + shown)[final].tolist(), kind[begins].tolist(), strict=True) if k != _BLANK]
 
 
 def windows(text: str, most: int, step: int) -> list[tuple[int, int]]:
-    """Spans of overlapping runs of tokens; the whole text if it has few enough."""
+    """Spans of overlapping runs of tokens; the whole text if it has few enough. One window more than whole steps fit into
+    what the first window leaves over."""
     tokens = [m.span() for m in TOKEN.finditer(text)]
-    if len(tokens) <= most:
+    over = len(tokens) - most
+    if over <= 0:
         return [(0, len(text))]
-    out = []
-    for i in range(0, len(tokens), step):
-        run = tokens[i : i + most]
-        out.append((run[0][0], run[-1][1]))
-        if i + most >= len(tokens):
-            break
-    return out
+    firsts = [step * k for k in range(1 - (-over // step))]
+    return [(tokens[i][0], tokens[min(i + most, len(tokens)) - 1][1]) for i in firsts]
 
 
 def passages(body: str | None, most: int = MOST_TOKENS, overlap: int = OVERLAP) -> list[tuple[int, int, int, str, str]]:
-    """(ord, start, end, text, parent block) of a body's passages, in order; offsets count code points."""
+    """(ord, start, end, text, parent block) of a body's passages, in order; offsets count code points. The parent is the
+    stretch between the headings around a passage."""
     body = body or ""
     found = blocks(body)
-    starts = [s for s, _, heading in found if heading]
-    edges = sorted({0, *starts, len(body)})
-    out: list[tuple[int, int, int, str, str]] = []
-    section = 0
-    for start, end, _ in found:
-        while section + 2 < len(edges) and edges[section + 1] <= start:
-            section += 1
-        parent = body[edges[section] : edges[section + 1]].strip()
-        for a, b in windows(body[start:end], most, max(1, most - overlap)):
-            out.append((len(out), start + a, start + b, body[start + a : start + b], parent))
-    return out
+    edges = [0, *[start for start, _, heading in found if heading and start], len(body)]
+    sections = [body[a:b].strip() for a, b in pairwise(edges)]
+    spans = [(start + a, start + b, start) for start, end, _ in found for a, b in windows(body[start:end], most, max(1, most - overlap))]
+    return [(k, a, b, body[a:b], sections[bisect_right(edges, start, 0, len(edges) - 1) - 1]) for k, (a, b, start) in enumerate(spans)]
 
 
 def fenced(lines: list[str]) -> list[bool]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -27,5 +28,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+    """``rows`` with their place, from 1, in an order over the whole table: sorted by ranges, then numbered within each
+    partition on from the rows of the partitions before it. Only the sizes of partitions, a row each, meet in one task."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = checkpointed(sorted_.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    return placed.join(ahead, "_part").withColumn(name, F.col("_ahead") + F.col("_in") + 1).drop("_part", "_in", "_ahead")
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"

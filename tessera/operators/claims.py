@@ -5,15 +5,14 @@ Tables: claims(answer_id, claim_id, text), supports(claim_id, n, target_id, quot
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.terms import words
+from ..functions.urls import spans
 
 # Words that carry no payload, words that negate.
 GLUE = ("a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "am")
@@ -33,39 +32,38 @@ def spans_verified(supports: DataFrame, bodies: DataFrame) -> DataFrame:
     return joined.groupBy("claim_id").agg(F.bool_and(found).alias("verified"))
 
 
-def locate(span: str | None, body: str | None, hint: int | None = None) -> tuple[int, int] | None:
-    """Where a span stands: exactly, else with other white space; with a hint the match of either kind nearest to it."""
-    if not span or body is None:
-        return None
-    parts = span.split()
-    loose = re.compile(r"\s+".join(map(re.escape, parts))) if parts else None
+def span_place(span: Column, body: Column, hint: Column | None = None) -> Column:
+    """struct<start, end> of where a span stands in a body, null if nowhere or if the span is empty.
+
+    Without a hint: the first place where it stands as it is, else the first up to white space. With one: of all places of
+    both kinds the one that starts nearest to it; exact ones first among equally near. Offsets count code points.
+    """
+    words_ = F.filter(F.split(span, r"(?U)\s+"), lambda w: w != "")
+    quoted = lambda x: F.concat(F.lit(r"\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    loose = F.when(F.size(words_) > 0, F.concat(F.lit("(?U)"), F.array_join(F.transform(words_, quoted), r"\s+")))
+    place = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+    at = F.call_function("instr", body, span)
+    gap = F.length(F.get(F.split(body, loose, 2), F.lit(0)))
+    loosely = F.when(gap < F.length(body), place(gap, gap + F.length(F.regexp_substr(body, loose))))
+    first = F.when(at > 0, place(at - 1, at - 1 + F.length(span))).otherwise(loosely)
+    given = span.isNotNull() & (span != "") & body.isNotNull()
     if hint is None:
-        at = body.find(span)
-        if at >= 0:
-            return at, at + len(span)
-        hit = loose.search(body) if loose else None
-        return hit.span() if hit else None
-    exact, at = [], body.find(span)
-    while at >= 0:
-        exact.append((at, at + len(span)))
-        at = body.find(span, at + 1)
-    every = exact + ([m.span() for m in loose.finditer(body)] if loose else [])
-    return min(every, key=lambda s: abs(s[0] - hint), default=None)
-
-
-_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-
-
-@F.pandas_udf(_SPAN)
-def span_at(spans: pd.Series, bodies: pd.Series, hints: pd.Series) -> pd.DataFrame:
-    found = [locate(s, b, None if h is None or h != h else int(h)) for s, b, h in zip(spans, bodies, hints, strict=True)]
-    return pd.DataFrame({"start": pd.array([f[0] if f else None for f in found], "Int32"), "end": pd.array([f[1] if f else None for f in found], "Int32")})
+        return F.when(given, first)
+    # a split before every place of the span: its pieces end where the span starts
+    pieces = F.split(body, F.concat(F.lit("(?="), quoted(span), F.lit(")")), -1)
+    ends = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.array(F.lit(0)), lambda s, x: F.array_append(s, F.element_at(s, -1) + F.length(x)))
+    starts = F.filter(ends, lambda i: F.substring(body, i + 1, F.length(span)) == span)
+    near = lambda start, kind, end: F.struct(F.abs(start - hint).alias("far"), F.lit(kind).alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    exact = F.transform(starts, lambda i: near(i, 0, i + F.length(span)))
+    others = F.when(loose.isNotNull(), F.transform(spans(body, loose), lambda x: near(x["start"], 1, x["end"]))).otherwise(F.array().cast("array<struct<far:int,kind:int,start:int,end:int>>"))
+    best = F.array_min(F.concat(exact, others))
+    return F.when(given & hint.isNull(), first).when(given & best.isNotNull(), place(best["start"], best["end"]))
 
 
 def locate_spans(supports: DataFrame, bodies: DataFrame) -> DataFrame:
     """supports with ``start`` and ``end`` in the body (null if the span isn't there); a ``hint`` column is used if given."""
-    hint = F.col("hint") if "hint" in supports.columns else F.lit(None)
-    rows = supports.join(bodies, "target_id", "left").withColumn("_s", span_at("quoted_span", "body", hint.cast("int")))
+    hint = F.col("hint").cast("int") if "hint" in supports.columns else None
+    rows = supports.join(bodies, "target_id", "left").withColumn("_s", span_place(F.col("quoted_span"), F.col("body"), hint))
     return rows.select(*supports.columns, F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
 
 
@@ -138,15 +136,23 @@ def resolve_citations(supports: DataFrame, notes: DataFrame, versions: DataFrame
 def stamp_offsets(supports: DataFrame, context: DataFrame) -> DataFrame:
     """(claim_id, n, offset): where the span stands in the body, by the first passage of the target in context order that
     holds it. context: target_id, rank, char_start, text."""
-    rows = supports.join(context, "target_id").withColumn("_s", span_at("quoted_span", "text", F.lit(None).cast("int"))).filter("_s.start is not null")
+    rows = supports.join(context, "target_id").withColumn("_s", span_place(F.col("quoted_span"), F.col("text"))).filter("_s.start is not null")
     return rows.groupBy("claim_id", "n").agg(F.min_by(F.col("char_start") + F.col("_s.start"), "rank").cast("long").alias("offset"))
 
 
 def grouped_citations(supports: DataFrame, citations: DataFrame, bodies: DataFrame, around: int = 80) -> DataFrame:
-    """(owner_id, place, claims, contexts): claims by what they cite, owners by first appearance; each with the text around
-    its span. supports: claim_no, n, target_id, quoted_span, start, end."""
-    rows = supports.join(citations.select("target_id", "owner_id"), "target_id").join(bodies, "target_id").filter("owner_id is not null and start is not null")
+    """(answer_id, owner_id, place, claim_no, n, target_id, around): the citations of each answer in the order in which they
+    are shown. Claims go by what they cite, owners by first appearance in their answer; what resolves to no owner comes
+    after them, in its own order, with a null owner and place. ``around`` is the text around a span, null where the span
+    isn't found.
+
+    supports: answer_id, claim_no, n, target_id, quoted_span, start, end. An answer's citations are one window; answers are
+    independent.
+    """
+    rows = supports.join(citations.select("target_id", "owner_id"), "target_id", "left").join(bodies, "target_id", "left")
     begin = F.greatest(F.lit(0), F.col("start") - around)
-    rows = rows.withColumn("around", F.substring(F.col("body"), begin + 1, F.col("end") + around - begin))
-    groups = rows.groupBy("owner_id").agg(F.min(F.struct("claim_no", "n")).alias("first"), F.sort_array(F.collect_list(F.struct("claim_no", "n", "around"))).alias("all"))
-    return groups.select("owner_id", F.row_number().over(Window.orderBy("first.claim_no", "first.n", "owner_id")).cast("long").alias("place"), F.col("all.claim_no").alias("claims"), F.col("all.around").alias("contexts"))
+    rows = rows.withColumn("around", F.substring(F.col("body"), begin + 1, F.col("end") + around - begin)).drop("body")
+    first = F.min(F.struct("claim_no", "n")).over(Window.partitionBy("answer_id", "owner_id"))
+    rows = rows.withColumn("first", F.when(F.col("owner_id").isNotNull(), first))
+    place = F.dense_rank().over(Window.partitionBy("answer_id").orderBy(F.col("first").asc_nulls_last(), "owner_id"))
+    return rows.select("answer_id", "owner_id", F.when(F.col("owner_id").isNotNull(), place).cast("long").alias("place"), "claim_no", "n", "target_id", "around")

@@ -11,6 +11,22 @@ from pyspark.sql import functions as F
 from .claims import flat
 
 
+def load_golden(questions: DataFrame, citations: DataFrame, notes: DataFrame) -> DataFrame:
+    """golden from questions (item_id, question), citations (item_id, n, note_id, quoted_span) and notes (note_id,
+    head_version_id): each citation names the note's head version, which is relevant; a question without citations has
+    nothing relevant and must be abstained from. A citation of an unknown note is an error."""
+    known = citations.join(notes.select("note_id", F.col("head_version_id").alias("target_id")), "note_id", "left")
+    wrong = F.raise_error(F.concat(F.lit("a golden citation names an unknown note: "), F.coalesce("note_id", F.lit("null")))).cast("string")
+    known = known.withColumn("target_id", F.coalesce("target_id", wrong))
+    cited = known.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("n", "target_id", "quoted_span"))).alias("c"))
+    rows = questions.select("item_id", "question").join(cited, "item_id", "left")
+    pairs = F.transform("c", lambda c: F.struct(c["target_id"].alias("target_id"), c["quoted_span"].alias("quoted_span")))
+    return rows.select(
+        "item_id", "question", F.coalesce(F.array_sort(F.array_distinct(F.col("c.target_id"))), F.array().cast("array<string>")).alias("relevant"),
+        F.coalesce(pairs, F.array().cast("array<struct<target_id:string,quoted_span:string>>")).alias("citations"),
+    )
+
+
 def check_golden(golden: DataFrame, bodies: DataFrame) -> DataFrame:
     """(item_id, target_id, problem): relevant or cited ids that are unknown, spans that their body doesn't have."""
     ids = golden.select("item_id", F.explode(F.array_union("relevant", F.transform("citations", lambda c: c["target_id"]))).alias("target_id"))

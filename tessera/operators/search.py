@@ -39,14 +39,47 @@ def build_index(passages: DataFrame) -> LexicalIndex:
 
 
 def query_terms(queries: DataFrame, mode: str = "any") -> DataFrame:
-    """(query_id, term, times, mode): the terms of each query; a query without terms has no row."""
-    rows = queries.select("query_id", F.explode(terms(F.col("question"))).alias("term"))
+    """(query_id, term, times, mode): the terms of each query; a query without terms has no row. Modes: any (whole terms, any
+    of them), prefix (terms begin index terms, any of them), all (each run between white space is a phrase of terms, all of
+    them; ``term`` is the phrase, its terms parted by a space)."""
+    if mode not in ("any", "prefix", "all"):
+        raise ValueError(f"no such mode: {mode}")
+    found = F.transform(F.split("question", r"(?U)\s+"), lambda run: F.array_join(terms(run), " ")) if mode == "all" else terms(F.col("question"))
+    rows = queries.select("query_id", F.explode(F.filter(found, lambda x: x != "")).alias("term"))
     return rows.groupBy("query_id", "term").agg(F.count("*").alias("times")).withColumn("mode", F.lit(mode))
 
 
-def term_frequencies(queries: DataFrame, index: LexicalIndex) -> DataFrame:
-    """(query_id, term, times, mode, df): df is null for terms that aren't in the index."""
-    return query_terms(queries).join(index.frequencies, "term", "left").select("query_id", "term", "times", "mode", "df")
+def starts_of(asked: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(query_id, start, term, times): the index terms that each asked term begins. A term has a start of each asked length up
+    to its own: an equality join on the length, then one on the start."""
+    lengths = asked.select(F.length("term").alias("n")).distinct()
+    longest = lengths.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    keyed = frequencies.select("term", F.explode(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(longest)))).alias("n")).join(lengths, "n")
+    keyed = keyed.select(F.substring(F.col("term"), F.lit(1), F.col("n")).alias("start"), "term")
+    return asked.select("query_id", F.col("term").alias("start"), "times").join(keyed, "start")
+
+
+def phrase_passages(queries: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, passage_id): the passages with every phrase of a query (mode all). A passage must first have all terms of
+    the query; only then are its phrases looked for, side by side in its sequence of terms."""
+    phrases = query_terms(queries, "all").select("query_id", "term")
+    parts = phrases.select("query_id", F.explode(F.split("term", " ")).alias("term")).distinct()
+    needed = parts.groupBy("query_id").agg(F.count("*").alias("needed"))
+    held = passages.select("passage_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    whole = held.join(parts, "term").groupBy("query_id", "passage_id").agg(F.count("*").alias("n")).join(needed, "query_id").filter("n = needed").select("query_id", "passage_id")
+    lines = passages.select("passage_id", F.concat(F.lit(" "), F.array_join(terms(F.col("text")), " "), F.lit(" ")).alias("line"))
+    seen = whole.join(lines, "passage_id").join(phrases, "query_id").groupBy("query_id", "passage_id").agg(F.bool_and(F.contains("line", F.concat(F.lit(" "), F.col("term"), F.lit(" ")))).alias("fits"))
+    return seen.filter("fits").select("query_id", "passage_id")
+
+
+def term_frequencies(queries: DataFrame, index: LexicalIndex, mode: str = "any") -> DataFrame:
+    """(query_id, term, times, mode, df): df is null for terms that aren't in the index. In mode prefix it is the number of
+    index terms that begin so; mode all is of phrases, which phrase_passages finds."""
+    asked = query_terms(queries, mode)
+    if mode == "prefix":
+        found = starts_of(asked, index.frequencies).groupBy("query_id", F.col("start").alias("term")).agg(F.count("*").alias("df"))
+        return asked.join(found, ["query_id", "term"], "left").select("query_id", "term", "times", "mode", "df")
+    return asked.join(index.frequencies, "term", "left").select("query_id", "term", "times", "mode", "df")
 
 
 def bm25(asked: DataFrame, index: LexicalIndex, live: DataFrame | None = None) -> DataFrame:
@@ -76,11 +109,7 @@ def lexical_search(queries: DataFrame, index: LexicalIndex, k: int, live: DataFr
 def prefix_search(queries: DataFrame, index: LexicalIndex, notes: DataFrame, cap: int = PREFIX_CAP) -> DataFrame:
     """(query_id, note_id, score, rank): quick search where each query term stands for all index terms that it begins. The
     first ``cap`` passages of a query count; a note has the rank of its best one. notes: note_id, head_version_id."""
-    asked = query_terms(queries)
-    lengths = [r[0] for r in asked.select(F.length("term").alias("n")).distinct().limit(64).collect()]
-    keyed = index.frequencies.select("term", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("n")).filter(F.length("term") >= F.col("n"))
-    keyed = keyed.select(F.substring(F.col("term"), F.lit(1), F.col("n")).alias("start"), F.col("term").alias("whole"))
-    spread = asked.withColumnRenamed("term", "start").join(keyed, "start").groupBy("query_id", F.col("whole").alias("term")).agg(F.sum("times").alias("times"))
+    spread = starts_of(query_terms(queries, "prefix"), index.frequencies).groupBy("query_id", "term").agg(F.sum("times").alias("times"))
     live = notes.select("note_id", F.col("head_version_id").alias("target_version"))
     best = top(bm25(spread, index, live), cap, F.round("score", 9), F.col("passage_id")).join(live, "target_version")
     per_note = best.groupBy("query_id", "note_id").agg(F.min("rank").alias("best"), F.min_by("score", "rank").alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import content_key
-from ..functions.recovery import checkpointed
+from ..functions.recovery import checkpointed, numbered
 
 PREFIX_PASSES = 36
 PURGED = "[purged]"
@@ -37,9 +37,8 @@ def list_notes(notes: DataFrame, versions: DataFrame, annotations: DataFrame) ->
     summary of just the head version, else the body's first line."""
     summaries = annotations.filter("kind = 'summary' and source = 'ai' and status = 'fresh'").groupBy(F.col("source_version").alias("head_version_id")).agg(F.min_by("payload", "id").alias("ai"))
     rows = _with_heads(notes, versions).filter("op <> 'delete'").join(summaries, "head_version_id", "left")
-    position = F.row_number().over(Window.orderBy(F.desc("inserted")))
     rows = rows.select("note_id", "inserted", "versions", F.coalesce("ai", first_line(F.col("body"))).alias("summary"))
-    return rows.withColumn("position", position.cast("long")).drop("inserted")
+    return numbered(rows, F.desc("inserted")).drop("inserted")
 
 
 def list_deleted_notes(notes: DataFrame, versions: DataFrame) -> DataFrame:
@@ -47,14 +46,16 @@ def list_deleted_notes(notes: DataFrame, versions: DataFrame) -> DataFrame:
     return _with_heads(notes, versions).filter("op = 'delete'").select("note_id", "versions", first_line(F.col("body")).alias("summary"))
 
 
-def history(notes: DataFrame, versions: DataFrame, limit: int = 10_000) -> DataFrame:
+def history(notes: DataFrame, versions: DataFrame) -> DataFrame:
     """(note_id, version_id, seq): each head's chain by parent pointers, 1 at the root. Branches that no head reaches are
     left out. Chains are walked by doubling: each round joins pointers of twice the length, so rounds grow with the
-    logarithm of the longest chain."""
+    logarithm of the longest chain. Pointers that run in a circle are an error."""
     up = versions.select("version_id", F.col("parent_version_id").alias("ancestor"), F.lit(1).cast("long").alias("steps"))
     reached = notes.select("note_id", F.col("head_version_id").alias("version_id"), F.lit(0).cast("long").alias("back")).join(versions.select("version_id"), "version_id", "left_semi")
-    length = 1
-    while length < limit:
+    total, length = versions.count(), 1
+    while True:
+        if length > 2 * total:
+            raise ValueError("parent pointers run in a circle")
         reached = checkpointed(reached.unionByName(reached.join(up.filter("ancestor is not null"), "version_id").select("note_id", F.col("ancestor").alias("version_id"), (F.col("back") + F.col("steps")).alias("back"))))
         after = up.select(F.col("version_id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("steps").alias("more"))
         longer = checkpointed(up.filter("ancestor is not null").join(after, "ancestor").select("version_id", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps")).filter("ancestor is not null"))
@@ -126,18 +127,24 @@ def purge(versions: DataFrame, annotations: DataFrame, passages: DataFrame, list
     }
 
 
-def resolve_prefixes(prefixes: DataFrame, notes: DataFrame, versions: DataFrame, include_deleted: bool = False) -> DataFrame:
-    """(prefix, outcome, note_ids) for each prefix: unique, ambiguous or missing. An empty prefix is missing; one of 36
-    characters or more is taken as it is. Prefix search is an equality join for each prefix length that occurs."""
-    live = notes.join(versions.select(F.col("version_id").alias("head_version_id"), "op"), "head_version_id")
-    live = live if include_deleted else live.filter("op <> 'delete'")
+def resolve_prefixes(prefixes: DataFrame, notes: DataFrame, versions: DataFrame, include_deleted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((prefix, outcome, candidates, note_id), (prefix, note_id, created, summary, deleted)): what each prefix is, unique,
+    ambiguous or missing, with the smallest id that it begins; and the candidates, a row each.
+
+    An empty prefix is missing; one of 36 characters or more is taken as it is. Prefix search is an equality join for each
+    prefix length that occurs.
+    """
+    heads = versions.select(F.col("version_id").alias("head_version_id"), (F.col("op") == "delete").alias("deleted"), first_line(F.col("body")).alias("summary"))
+    live = notes.select("note_id", "head_version_id", "created").join(heads, "head_version_id").drop("head_version_id")
+    live = live if include_deleted else live.filter("not deleted")
     asked = prefixes.select("prefix").distinct().withColumn("len", F.length("prefix"))
     lengths = [r[0] for r in asked.filter(F.col("len").between(1, PREFIX_PASSES - 1)).select("len").distinct().collect()]  # at most 35 numbers
-    keyed = live.select("note_id", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("len")).filter(F.length("note_id") >= F.col("len"))
-    found = keyed.withColumn("prefix", F.substring(F.col("note_id"), F.lit(1), F.col("len"))).join(asked, ["prefix", "len"]).groupBy("prefix").agg(F.sort_array(F.collect_list("note_id")).alias("note_ids"))
-    whole = asked.filter(F.col("len") >= PREFIX_PASSES).select("prefix", F.array("prefix").alias("note_ids"))
-    out = asked.select("prefix").join(found.unionByName(whole), "prefix", "left").withColumn("note_ids", F.coalesce("note_ids", F.array().cast("array<string>")))
-    return out.select("prefix", F.when(F.size("note_ids") == 0, "missing").when(F.size("note_ids") == 1, "unique").otherwise("ambiguous").alias("outcome"), "note_ids")
+    keyed = live.withColumn("len", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"))).filter(F.length("note_id") >= F.col("len"))
+    found = keyed.withColumn("prefix", F.substring(F.col("note_id"), F.lit(1), F.col("len"))).join(asked, ["prefix", "len"]).select("prefix", "note_id", "created", "summary", "deleted")
+    counts = found.groupBy("prefix").agg(F.count("*").alias("candidates"), F.min("note_id").alias("note_id"))
+    whole = asked.filter(F.col("len") >= PREFIX_PASSES).select("prefix", F.lit(1).cast("long").alias("candidates"), F.col("prefix").alias("note_id"))
+    out = asked.select("prefix").join(counts.unionByName(whole), "prefix", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    return out.select("prefix", F.when(F.col("candidates") == 0, "missing").when(F.col("candidates") == 1, "unique").otherwise("ambiguous").alias("outcome"), "candidates", "note_id"), found
 
 
 def ingest(fetches: DataFrame) -> DataFrame:

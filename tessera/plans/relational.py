@@ -165,8 +165,19 @@ def _(t):
     notes = t("notes")
     prefixes = notes.select(F.expr("substr(note_id, 1, CASE WHEN inserted % 2 = 0 THEN 2 ELSE 3 END)").alias("prefix"))
     prefixes = prefixes.union(prefixes.sparkSession.createDataFrame([("",), ("zz",)], "prefix string"))
-    rows = state.resolve_prefixes(prefixes, notes, t("versions"))
-    return rows.select("prefix", "outcome", F.size("note_ids").cast("long").alias("candidates"), F.get("note_ids", F.lit(0)).alias("first"))
+    return state.resolve_prefixes(prefixes, notes, t("versions"))[0].withColumnRenamed("note_id", "first")
+
+
+@query(
+    "b8_candidates",
+    f""", p AS (SELECT DISTINCT substr(note_id, 1, CASE WHEN inserted % 2 = 0 THEN 2 ELSE 3 END) AS prefix FROM notes),
+l AS (SELECT n.note_id, n.created, {_FIRST.format("v.body")} AS summary, v.op = 'delete' AS deleted FROM notes n JOIN versions v ON v.version_id = n.head_version_id)
+SELECT prefix, note_id, created, summary, deleted FROM p JOIN l ON starts_with(note_id, prefix)""",
+    "notes", "versions",
+)
+def _(t):
+    prefixes = t("notes").select(F.expr("substr(note_id, 1, CASE WHEN inserted % 2 = 0 THEN 2 ELSE 3 END)").alias("prefix"))
+    return state.resolve_prefixes(prefixes, t("notes"), t("versions"), include_deleted=True)[1]
 
 
 _FETCH = "SELECT regexp_extract(url, '://([^/]+)', 1) AS external_id, page_id AS ord, regexp_extract(url, '://[^/]+/([^/]+)', 1) AS body, CASE WHEN page_id % 4 = 0 THEN 'tombstone' ELSE 'ok' END AS status FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL"
@@ -264,15 +275,32 @@ def _(t):
     return links.repoint(t("edges"), moved).select("id", "from_id", "to_id")
 
 
+def _backfill(t) -> dict[str, DataFrame]:
+    edges = t("pages").select(F.col("page_id").alias("id"), F.concat(F.lit("n"), F.col("page_id") % 50).alias("from_id"), F.concat(F.lit("x"), "page_id").alias("to_id"), F.lit("user").alias("source"), F.col("url").alias("quoted_text"))
+    live = _bodies(t).select(F.concat(F.lit("n"), F.col("page_id") % 50).alias("note_id"), "body")
+    return links.backfill(edges, t("externals"), t("snapshots"), live=live, projects=("XY",))
+
+
+@query("d7_backfill", f", f AS (SELECT DISTINCT {_CANON} AS c FROM pages UNION SELECT concat('XY-', page_id) FROM pages) SELECT c AS external_id FROM f WHERE c NOT IN (SELECT external_id FROM externals)", "externals")
+def _(t):
+    return _backfill(t)["mint"].select("external_id")
+
+
+@query("d7_counts", f"SELECT 'mint' AS what, (SELECT count(DISTINCT {_CANON}) FROM pages) + (SELECT count(*) FROM pages) AS n UNION ALL SELECT 'repoint', count(*) FROM pages UNION ALL SELECT 'link', count(*) FROM pages UNION ALL SELECT 'refresh', (SELECT count(DISTINCT {_CANON}) FROM pages) + (SELECT count(*) FROM pages)")
+def _(t):
+    return _backfill(t)["counts"]
+
+
 @query(
-    "d7_backfill",
-    f""", f AS (SELECT DISTINCT {_CANON} AS c FROM pages WHERE page_id % 3 = 0)
-SELECT c AS external_id FROM f WHERE c NOT IN (SELECT external_id FROM externals)""",
-    "externals",
-)
+    "d3_configured_sites",
+    f"""WITH h AS (SELECT page_id, {_CANON} AS c, regexp_extract(url, '://([^/?#]*)', 1) AS host, page_id % 3 AS k FROM pages)
+SELECT page_id, CASE WHEN k = 0 THEN 'jira' ELSE 'web' END AS source_type, CASE WHEN k = 0 THEN concat('AB-', page_id) WHEN k = 1 THEN concat('https://evil-issues.example.org/browse/AB-', page_id) ELSE concat('https://x.atlassian.net/browse/AB-', page_id) END AS external_id,
+ CASE WHEN k = 0 THEN 'https://Issues.example.org/base' END AS api_base FROM h""",
+)
 def _(t):
-    edges = t("pages").filter("page_id % 3 = 0").select(F.col("page_id").alias("id"), F.concat(F.lit("x"), "page_id").alias("to_id"), F.lit("user").alias("source"), F.col("url").alias("quoted_text"))
-    return links.backfill(edges, t("externals"), t("snapshots"))["mint"].select("external_id")
+    host = F.element_at(F.array(F.lit("Issues.Example.org:8443"), F.lit("evil-issues.example.org"), F.lit("x.atlassian.net")), (F.col("page_id") % 3 + 1).cast("int"))
+    rows = t("pages").select("page_id", F.concat(F.lit("https://"), host, F.lit("/browse/AB-"), "page_id").alias("url"))
+    return links.classify_sources(rows, {"jira": "https://Issues.example.org/base/"}).drop("url")
 
 
 # G: egress

@@ -149,6 +149,24 @@ def _(t):
     return search.term_frequencies(t("questions"), search.build_index(_passages(t))).select("query_id", "term", "times", "df")
 
 
+@query("e3_prefix_terms", _P + _ask("q", "substr(question, 1, 7)") + " SELECT query_id, term, times, (SELECT count(*) FROM freq WHERE starts_with(freq.term, q.term)) AS df FROM q", "doc_notes", "questions")
+def _(t):
+    asked = t("questions").withColumn("question", F.substring("question", 1, 7))
+    rows = search.term_frequencies(asked, search.build_index(_passages(t)), "prefix")
+    return rows.select("query_id", "term", "times", F.coalesce("df", F.lit(0)).alias("df"))
+
+
+@query(
+    "e3_phrases",
+    _P + f""", ph AS (SELECT query_id, unnest(list_filter(list_transform(string_split_regex(substr(item, 1, 24), '\\s+'), lambda x: array_to_string({_TERMS.format("x")}, ' ')), lambda x: x <> '')) AS phrase FROM questions),
+n AS (SELECT query_id, count(DISTINCT phrase) AS n FROM ph GROUP BY 1)
+SELECT ph.query_id, passage_id FROM ph JOIN n ON n.query_id = ph.query_id JOIN p ON contains(concat(' ', array_to_string(ts, ' '), ' '), concat(' ', phrase, ' ')) GROUP BY ph.query_id, passage_id, n.n HAVING count(DISTINCT phrase) = n.n""",
+    "doc_notes", "questions",
+)
+def _(t):
+    return search.phrase_passages(t("questions").withColumn("question", F.substring("item", 1, 24)), _passages(t))
+
+
 @query(
     "e4_quick_search",
     _P + ", starts AS (SELECT query_id, unnest(" + _TERMS.format("substr(question, 1, 7)") + ") AS start FROM questions), q AS (SELECT query_id, term, count(*) AS times FROM starts JOIN freq ON starts_with(term, start) GROUP BY ALL)" + _score("s", "q", _HEADS_ONLY)
@@ -208,13 +226,13 @@ def _(t):
 
 @query(
     "e12_reach",
-    _GRAPH + """, s AS (SELECT doc_id % 5 AS query_id, note_id AS node FROM doc_notes WHERE doc_id % 20 = 0), one AS (SELECT query_id, to_id AS node, max(u) AS u FROM s JOIN g ON from_id = node GROUP BY ALL),
+    _GRAPH + """, s AS (SELECT doc_id // 40 AS query_id, note_id AS node FROM doc_notes WHERE doc_id % 20 = 0), one AS (SELECT query_id, to_id AS node, max(u) AS u FROM s JOIN g ON from_id = node GROUP BY ALL),
 f AS (SELECT query_id, node FROM one EXCEPT SELECT query_id, node FROM s), two AS (SELECT query_id, to_id AS node, max(u) AS u FROM f JOIN g ON from_id = node GROUP BY ALL), al AS (SELECT * FROM one UNION ALL SELECT * FROM two)
 SELECT query_id, node, max(u) AS "user" FROM al WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = al.query_id AND s.node = al.node) GROUP BY ALL""",
     "doc_notes", "edges",
 )
 def _(t):
-    return context.reach(t("doc_notes").filter("doc_id % 20 = 0").select((F.col("doc_id") % 5).alias("query_id"), F.col("note_id").alias("node")), t("edges"), hops=2)
+    return context.reach(t("doc_notes").filter("doc_id % 20 = 0").select(F.expr("doc_id div 40").alias("query_id"), F.col("note_id").alias("node")), t("edges"), hops=2)
 
 
 _TIERS = """, own AS (SELECT DISTINCT b.query_id, note_id AS node FROM best b JOIN doc_notes d ON d.head_version_id = b.target_version),
@@ -245,8 +263,8 @@ FROM h LEFT JOIN snapshots s ON s.snapshot_id = h.target LEFT JOIN externals e O
 )
 def _(t):
     edge = lambda c: F.when(F.col(c) % 3 == 0, "user").when(F.col(c) % 3 == 1, "ai")
-    hits = t("snapshots").select(F.lit(1).alias("query_id"), F.col("snapshot_id").alias("passage_id"), F.col("snapshot_id").alias("target_version"), F.lit(0.0).alias("score"), F.col("inserted").alias("rank"), edge("inserted").alias("edge_source"))
-    hits = hits.unionByName(t("doc_notes").select(F.lit(1).alias("query_id"), F.col("head_version_id").alias("passage_id"), F.col("head_version_id").alias("target_version"), F.lit(0.0).alias("score"), F.col("doc_id").alias("rank"), edge("doc_id").alias("edge_source")))
+    hits = t("snapshots").select((F.col("inserted") % 997).alias("query_id"), F.col("snapshot_id").alias("passage_id"), F.col("snapshot_id").alias("target_version"), F.lit(0.0).alias("score"), F.col("inserted").alias("rank"), edge("inserted").alias("edge_source"))
+    hits = hits.unionByName(t("doc_notes").select((F.col("doc_id") % 997).alias("query_id"), F.col("head_version_id").alias("passage_id"), F.col("head_version_id").alias("target_version"), F.lit(0.0).alias("score"), F.col("doc_id").alias("rank"), edge("doc_id").alias("edge_source")))
     return context.trust_rank(hits, _doc_versions(t), t("snapshots"), t("externals"))[0].select("target_version", "tier")
 
 
@@ -360,12 +378,18 @@ def _(t):
     return claims.stamp_offsets(_claim_tables(t)[1], context_).select("claim_id", "offset")
 
 
-@query("f9_grouped", _CLAIMS + ", o AS (SELECT concat('o', doc_id % 7) AS owner_id, claim_id FROM cl WHERE strpos(body, span) > 0) SELECT owner_id, row_number() OVER (ORDER BY min(claim_id)) AS place, count(*) AS claims FROM o GROUP BY 1", "doc_notes")
+@query(
+    "f9_grouped",
+    _CLAIMS + """, o AS (SELECT answer_id, CASE WHEN doc_id % 9 <> 0 THEN concat('o', doc_id % 7) END AS owner_id, claim_id, target_id, strpos(body, span) > 0 AS found FROM cl),
+w AS (SELECT *, min(claim_id) OVER (PARTITION BY answer_id, owner_id) AS first FROM o)
+SELECT answer_id, owner_id, claim_id, target_id, found, CASE WHEN owner_id IS NOT NULL THEN dense_rank() OVER (PARTITION BY answer_id ORDER BY CASE WHEN owner_id IS NOT NULL THEN first END NULLS LAST, owner_id) END AS place FROM w""",
+    "doc_notes",
+)
 def _(t):
-    _, supports, bodies = _claim_tables(t)
-    rows = claims.locate_spans(supports, bodies).withColumn("claim_no", F.col("claim_id"))
-    owners = t("doc_notes").select(F.col("note_id").alias("target_id"), F.concat(F.lit("o"), F.col("doc_id") % 7).alias("owner_id"))
-    return claims.grouped_citations(rows, owners, bodies).select("owner_id", "place", F.size("claims").cast("long").alias("claims"))
+    claims_, supports, bodies = _claim_tables(t)
+    rows = claims.locate_spans(supports, bodies).join(claims_.select("claim_id", "answer_id"), "claim_id").withColumn("claim_no", F.col("claim_id"))
+    owners = t("doc_notes").filter("doc_id % 9 <> 0").select(F.col("note_id").alias("target_id"), F.concat(F.lit("o"), F.col("doc_id") % 7).alias("owner_id"))
+    return claims.grouped_citations(rows, owners, bodies).select("answer_id", "owner_id", F.col("claim_no").alias("claim_id"), "target_id", F.col("around").isNotNull().alias("found"), "place")
 
 
 # K: evaluation. What is relevant to an item: the two best passages for its whole text; every fifth item has nothing relevant.
@@ -384,6 +408,18 @@ def _golden(t) -> tuple[DataFrame, DataFrame]:
     return gold, gold.select("item_id", F.when(F.col("item_id") % 4 == 1, F.array(F.lit("other"))).otherwise(F.col("relevant")).alias("cited"), (F.col("item_id") % 10 == 0).alias("abstained"))
 
 
+@query(
+    "k1_golden",
+    _CLAIMS + ", q AS (SELECT item_id, substr(text, 1, 40) AS question FROM benchmark) SELECT item_id, question, coalesce(list(head_version_id) FILTER (head_version_id IS NOT NULL), [])[1] AS relevant, coalesce(any_value(length(span)), 0) AS span_chars FROM q LEFT JOIN (SELECT claim_id, span, concat(target_id, '.1') AS head_version_id FROM cl WHERE claim_id % 5 <> 0) c ON c.claim_id = item_id GROUP BY ALL",
+    "doc_notes",
+)
+def _(t):
+    questions = t("benchmark").select("item_id", F.substring("text", 1, 40).alias("question"))
+    cited = _claim_tables(t)[1].filter("claim_id % 5 <> 0").select(F.col("claim_id").alias("item_id"), "n", F.col("target_id").alias("note_id"), "quoted_span")
+    rows = evaluate.load_golden(questions, cited, t("doc_notes"))
+    return rows.select("item_id", "question", F.get("relevant", F.lit(0)).alias("relevant"), F.coalesce(F.length(F.get("citations", F.lit(0))["quoted_span"]), F.lit(0)).cast("long").alias("span_chars"))
+
+
 @query("k2_golden_problems", _CLAIMS + _F1 + " SELECT claim_id AS item_id, target_id, 'span' AS problem FROM f1 JOIN cl USING (claim_id) WHERE NOT verified", "doc_notes")
 def _(t):
     _, supports, bodies = _claim_tables(t)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import passages, urls
 from tessera.functions.identity import blake2b_key, content_key
-from tessera.operators import annotations, claims, context, egress, gaps, links, search, state, text
+from tessera.operators import annotations, claims, context, egress, evaluate, gaps, links, search, state, text
 from tessera.sources import files
 
 
@@ -56,32 +56,62 @@ def test_fences_hide_headings():
         (None, None),
     ],
 )
-def test_canonical_urls(given, expected):
-    assert urls.canonical(given) == expected
+def test_canonical_urls(spark, given, expected):
+    assert spark.createDataFrame([(given,)], "u string").select(urls.canonical(F.col("u"))).first()[0] == expected
 
 
-def test_url_spans_balance_brackets():
-    found = [u for _, _, u in urls.url_spans("(see https://e.org/wiki/Foo_(bar)) and <https://e.org/a>, https://e.org/b).")]
-    assert found == ["https://e.org/wiki/Foo_(bar)", "https://e.org/a", "https://e.org/b"]
+def test_canonical_of_many_forms_agrees_with_the_standard_library(spark):
+    from itertools import product
+    from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+
+    def plain(url):
+        try:
+            p = urlsplit(url)
+            host, port = (p.hostname or ""), p.port
+        except ValueError:
+            return None
+        pairs = sorted(x for x in parse_qsl(p.query, keep_blank_values=True) if not x[0].lower().startswith("utm_") and x[0].lower() not in ("fbclid", "gclid"))
+        host = f"[{host}]" if ":" in host else host
+        host += f":{port}" if port not in (None, {"http": 80, "https": 443}[p.scheme]) else ""
+        return urlunsplit((p.scheme, host, p.path.rstrip("/") or "/", urlencode(pairs), ""))
+
+    hosts = ("E.org", "u:p@e.org:8080", "a@b@e.org", "e.org:443", "e.org:99999", "e.org:", "[2001:DB8::1]:80", "[::1", "e.org:1:2")
+    queries = ("", "?", "?b=2&a=1&a=0", "?UTM_Source=x&c", "?q=%C3%A9+x%20y%zz&p=a*b~c", "?gclid=1#f?x=1", "?k=a%26b&=v&&k==")
+    given = [f"{s}://{h}{p}{q}" for s, h, p, q in product(("http", "HTTPS"), hosts, ("", "/", "/a//b//", "/%7Euser/;p=1"), queries)]
+    got = spark.createDataFrame([(u,) for u in given], "u string").select("u", urls.canonical(F.col("u")).alias("c")).collect()
+    assert {r["u"]: r["c"] for r in got} == {u: plain(u) for u in given}
+
+
+def test_url_spans_balance_brackets(spark):
+    text = "(see https://e.org/wiki/Foo_(bar)) and <https://e.org/a>, https://e.org/b). 😀 https://e.org/(x)) https://e.org/))"
+    found = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(urls.url_spans(F.col("t")).alias("s")).collect()
+    assert [s["found"] for s in found[0]["s"]] == ["https://e.org/wiki/Foo_(bar)", "https://e.org/a", "https://e.org/b", "https://e.org/(x)", "https://e.org/"]
+    assert all(text[s["start"] : s["end"]] == s["found"] for s in found[0]["s"]) and not found[1]["s"] and not found[2]["s"]
 
 
 @pytest.mark.parametrize(
-    ("given", "expected"),
+    ("given", "sites", "expected"),
     [
-        ("https://acme.atlassian.net/browse/AB-12/", ("jira", "AB-12", "https://acme.atlassian.net")),
-        ("https://acme.atlassian.net/wiki/spaces/S/pages/77/Title", ("confluence", "77", "https://acme.atlassian.net")),
-        ("https://acme.atlassian.net/pages/77", ("web", None, None)),
-        ("https://example.org/browse/AB-12", ("web", None, None)),
-        ("https://[bad/browse/AB-12", ("web", None, None)),
+        ("https://acme.atlassian.net/browse/AB-12/", None, ("jira", "AB-12", "https://acme.atlassian.net")),
+        ("https://acme.atlassian.net/wiki/spaces/S/pages/77/Title", None, ("confluence", "77", "https://acme.atlassian.net")),
+        ("https://acme.atlassian.net/pages/77", None, ("web", None, None)),
+        ("https://example.org/browse/AB-12", None, ("web", None, None)),
+        ("https://[bad/browse/AB-12", None, ("web", None, None)),
+        ("https://JIRA.acme.com:8443/browse/AB-1", {"jira": "https://jira.acme.com/"}, ("jira", "AB-1", "https://jira.acme.com")),
+        ("https://evil-jira.acme.com/browse/AB-1", {"jira": "https://jira.acme.com"}, ("web", None, None)),
+        ("https://x.atlassian.net/browse/AB-1", {"jira": "https://jira.acme.com"}, ("web", None, None)),
+        ("https://x.atlassian.net/wiki/spaces/S/pages/7", {"jira": "https://jira.acme.com"}, ("confluence", "7", "https://x.atlassian.net")),
     ],
 )
-def test_source_classes(given, expected):
-    assert urls.source_class(given, ".atlassian.net") == expected
+def test_source_classes(spark, given, sites, expected):
+    row = spark.createDataFrame([(given,)], "url string").select(*[c.alias(k) for k, c in urls.source_class(F.col("url"), sites).items()]).first()
+    assert tuple(row) == expected
 
 
-def test_bare_keys_stand_alone():
-    assert [k for _, _, k in urls.bare_keys("ABC-1, XABC-2 ABC-3x ABC-4.", ("ABC",))] == ["ABC-1", "ABC-4"]
-    assert urls.bare_keys("ABC-1", ()) == []
+def test_bare_keys_stand_alone(spark):
+    rows = spark.createDataFrame([("ABC-1, XABC-2 ABC-3x ABC-4.",)], "t string")
+    assert [k["found"] for k in rows.select(urls.key_spans(F.col("t"), ("ABC",)).alias("k")).first()["k"]] == ["ABC-1", "ABC-4"]
+    assert rows.select(urls.key_spans(F.col("t"), ()).alias("k")).first()["k"] == []
 
 
 def test_blake2b_key_is_framed(spark):
@@ -125,10 +155,47 @@ def test_negation_blocks_coupling(spark):
     assert {r["claim_id"]: r["coupled"] for r in claims.coupled(c, s).collect()} == {1: True, 2: False, 3: False, 4: True}
 
 
-def test_locate_prefers_the_hint():
-    assert claims.locate("a b", "a b .. a  b") == (0, 3)
-    assert claims.locate("a b", "a b .. a  b", 8) == (7, 11)
-    assert claims.locate("a  c", "x a c") == (2, 5) and claims.locate("", "x") is None
+def test_places_of_spans(spark):
+    cases = [
+        ("a b", "a b .. a  b", None, (0, 3)), ("a b", "a b .. a  b", 8, (7, 11)), ("a  c", "x a c", None, (2, 5)), ("", "x", None, None), ("x", None, None, None), (None, "x", 3, None),
+        ("aa", "aaaa aa", 2, (2, 4)), (".*\\E(", "😀 .*\\E( x", None, (2, 7)), (" ", "a b", None, (1, 2)), ("no", "such", 1, None), ("b c", "b\u00a0c b c", 0, (0, 3)), ("ab", "ab", 5, (0, 2)),
+    ]
+    rows = spark.createDataFrame([(i, s, b, h) for i, (s, b, h, _) in enumerate(cases)], "i int, s string, b string, h int")
+    got = {r["i"]: r["p"] and tuple(r["p"]) for r in rows.select("i", claims.span_place(F.col("s"), F.col("b"), F.col("h")).alias("p")).collect()}
+    assert got == {i: c[3] for i, c in enumerate(cases)}
+    bare = {r["i"]: r["p"] and tuple(r["p"]) for r in rows.filter("h is null").select("i", claims.span_place(F.col("s"), F.col("b")).alias("p")).collect()}
+    assert bare == {i: c[3] for i, c in enumerate(cases) if c[2] is None}
+
+
+def test_case_folding_couples(spark):
+    c, s = spark.createDataFrame([(1, "STRASSE offen ΟΔΟΣ")], "claim_id int, text string"), spark.createDataFrame([(1, "Die Straße ist offen: οδος")], "claim_id int, quoted_span string")
+    assert claims.coupled(c, s).first()["coupled"]
+
+
+def test_a_long_chain_is_walked_whole(spark):
+    n = 20_000
+    versions = spark.range(n).select(F.concat(F.lit("v"), "id").alias("version_id"), F.lit("n").alias("note_id"), F.when(F.col("id") > 0, F.concat(F.lit("v"), F.col("id") - 1)).alias("parent_version_id"))
+    got = state.history(spark.createDataFrame([("n", f"v{n - 1}")], "note_id string, head_version_id string"), versions)
+    assert tuple(got.agg(F.count("*"), F.max("seq"), F.min("seq")).first()) == (n, n, 1)
+    circle = spark.createDataFrame([("a", "n", "b"), ("b", "n", "a")], "version_id string, note_id string, parent_version_id string")
+    with pytest.raises(ValueError, match="circle"):
+        state.history(spark.createDataFrame([("n", "a")], "note_id string, head_version_id string"), circle)
+
+
+def test_prefix_terms_of_any_number_of_lengths(spark):
+    words = ["z" * n for n in range(1, 81)]
+    index = search.build_index(spark.createDataFrame([(w, f"v{w}", w + "q") for w in words], "passage_id string, target_version string, text string"))
+    queries = spark.createDataFrame([(len(w), w) for w in words], "query_id int, question string")
+    found = search.starts_of(search.query_terms(queries, "prefix"), index.frequencies).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == {n: 81 - n for n in range(1, 81)}
+
+
+def test_golden_citations_must_be_known(spark):
+    q, n = spark.createDataFrame([(1, "a?"), (2, "b?")], "item_id int, question string"), spark.createDataFrame([("n", "n.1")], "note_id string, head_version_id string")
+    c = spark.createDataFrame([(1, 1, "n", "x"), (1, 2, "n", "y")], "item_id int, n int, note_id string, quoted_span string")
+    assert {r["item_id"]: (r["relevant"], len(r["citations"])) for r in evaluate.load_golden(q, c, n).collect()} == {1: (["n.1"], 2), 2: ([], 0)}
+    with pytest.raises(Exception, match="unknown note: m"):
+        evaluate.load_golden(q, c.withColumn("note_id", F.lit("m")), n).collect()
 
 
 def test_gate_abstains(spark):
