@@ -89,24 +89,33 @@ def inherited_tags(annotations: DataFrame, edges: DataFrame) -> DataFrame:
     return rest.groupBy("note_id", "payload").agg(F.min("stale").alias("stale"))
 
 
-def enrichment_view(notes: DataFrame, annotations: DataFrame, edges: DataFrame, jobs: DataFrame, passages: DataFrame, vectors: DataFrame) -> DataFrame:
-    """A row per note (note_id, head_version_id): summary, tags, entities, links, state, passages, embedded."""
+_STATES = ("withheld", "stale_externals", "un_refreshed")
+
+
+def enrichment_view(notes: DataFrame, annotations: DataFrame, edges: DataFrame, jobs: DataFrame, passages: DataFrame, vectors: DataFrame, externals: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """A row per note (note_id, head_version_id): summary, tags, entities, links, state, passages, embedded; of its links to
+    externals, how many are withheld (may not leave), stale (the head is a tombstone) or un-refreshed (the head may have
+    changed since it was fetched)."""
     shown = displayed(annotations).filter("payload is not null").groupBy(F.col("target").alias("note_id")).agg(
         F.min_by("payload", F.when(F.col("kind") == "summary", F.struct("stale", "id"))).alias("summary"),
         F.sort_array(F.collect_set(F.when(F.col("kind") == "tag", F.col("payload")))).alias("tags"),
         F.sort_array(F.collect_set(F.when(F.col("kind") == "entity", F.col("payload")))).alias("entities"),
     )
     links = displayed(edges).groupBy(F.col("from_id").alias("note_id")).agg(F.count("*").alias("links"), F.count_if("stale").alias("stale_links"))
+    heads = externals.join(snapshots.select(F.col("snapshot_id").alias("head_snapshot_id"), "status"), "head_snapshot_id")
+    is_in = F.when(F.col("no_egress"), "withheld").when(F.col("status") == "tombstone", "stale_externals").otherwise("un_refreshed")
+    heads = heads.select(F.col("external_id").alias("to_id"), is_in.alias("is_in"))
+    outside = displayed(edges).select(F.col("from_id").alias("note_id"), "to_id").join(heads, "to_id").groupBy("note_id").agg(*[F.count_if(F.col("is_in") == c).alias(c) for c in _STATES])
     work = jobs.filter("type = 'enrich'").groupBy(F.col("target_version").alias("head_version_id")).agg(F.bool_or(F.col("status").isin("pending", "running")).alias("pending"), F.bool_or(F.col("status").isin("failed", "dead")).alias("failed"))
     has_ai = annotations.filter("source = 'ai'").select(F.col("source_version").alias("head_version_id"), F.lit(True).alias("has_ai")).distinct()
     cut = passages.groupBy(F.col("target_version").alias("head_version_id")).agg(F.count("*").alias("passages"))
     done = vectors.select(F.col("target_version").alias("head_version_id"), F.lit(True).alias("embedded")).distinct()
-    rows = notes.select("note_id", "head_version_id").join(shown, "note_id", "left").join(links, "note_id", "left")
+    rows = notes.select("note_id", "head_version_id").join(shown, "note_id", "left").join(links, "note_id", "left").join(outside, "note_id", "left")
     for part in (work, has_ai, cut, done):
         rows = rows.join(part, "head_version_id", "left")
     state = F.when(F.col("has_ai"), "ready").when(F.col("pending"), "pending").when(F.col("failed"), "failed").otherwise("pending")
     none = F.array().cast("array<string>")
-    return rows.select("note_id", "summary", F.coalesce("tags", none).alias("tags"), F.coalesce("entities", none).alias("entities"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("links", "stale_links", "passages")], state.alias("state"), F.coalesce("embedded", F.lit(False)).alias("embedded"))
+    return rows.select("note_id", "summary", F.coalesce("tags", none).alias("tags"), F.coalesce("entities", none).alias("entities"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("links", "stale_links", "passages", *_STATES)], state.alias("state"), F.coalesce("embedded", F.lit(False)).alias("embedded"))
 
 
 def stale_heads(heads: DataFrame, annotations: DataFrame, jobs: DataFrame, model: str, provider: str | None) -> DataFrame:

@@ -443,17 +443,19 @@ def _(t):
     f""", {_SHOWN}, a AS (SELECT target, list_sort(list(DISTINCT payload) FILTER (kind = 'tag')) AS tags, list_sort(list(DISTINCT payload) FILTER (kind = 'entity')) AS entities,
  arg_min(payload, (CASE WHEN stale THEN 1 ELSE 0 END) * 1000000000000 + id) FILTER (kind = 'summary') AS summary FROM shown WHERE payload IS NOT NULL GROUP BY 1),
 l AS (SELECT from_id, count(*) AS links, count(*) FILTER (status <> 'fresh') AS stale_links FROM edges WHERE NOT (source = 'user' AND status = 'orphaned') GROUP BY 1),
+xe AS (SELECT l.from_id, count(*) FILTER (e.no_egress) AS withheld, count(*) FILTER (NOT e.no_egress AND s.status = 'tombstone') AS stale_externals, count(*) FILTER (NOT e.no_egress AND s.status <> 'tombstone') AS un_refreshed
+ FROM edges l JOIN externals e ON e.external_id = l.to_id JOIN snapshots s ON s.snapshot_id = e.head_snapshot_id WHERE NOT (l.source = 'user' AND l.status = 'orphaned') GROUP BY 1),
 w AS (SELECT target_version, bool_or(status IN ('pending', 'running')) AS pending, bool_or(status IN ('failed', 'dead')) AS failed FROM jobs WHERE type = 'enrich' GROUP BY 1)
-SELECT n.note_id, a.summary, array_to_string(coalesce(a.tags, []), ',') AS tags, array_to_string(coalesce(a.entities, []), ',') AS entities, coalesce(l.links, 0) AS links, coalesce(l.stale_links, 0) AS stale_links, CAST(1 AS BIGINT) AS passages,
+SELECT n.note_id, a.summary, array_to_string(coalesce(a.tags, []), ',') AS tags, array_to_string(coalesce(a.entities, []), ',') AS entities, coalesce(l.links, 0) AS links, coalesce(l.stale_links, 0) AS stale_links, coalesce(xe.withheld, 0) AS withheld, coalesce(xe.stale_externals, 0) AS stale_externals, coalesce(xe.un_refreshed, 0) AS un_refreshed, CAST(1 AS BIGINT) AS passages,
  CASE WHEN EXISTS (SELECT 1 FROM annotations x WHERE x.source = 'ai' AND x.source_version = n.head_version_id) THEN 'ready' WHEN w.pending THEN 'pending' WHEN w.failed THEN 'failed' ELSE 'pending' END AS state,
  EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id = n.doc_id) AS embedded
-FROM doc_notes n LEFT JOIN a ON a.target = n.note_id LEFT JOIN l ON l.from_id = n.note_id LEFT JOIN w ON w.target_version = n.head_version_id""",
-    "annotations", "edges", "jobs", "doc_notes",
+FROM doc_notes n LEFT JOIN a ON a.target = n.note_id LEFT JOIN l ON l.from_id = n.note_id LEFT JOIN xe ON xe.from_id = n.note_id LEFT JOIN w ON w.target_version = n.head_version_id""",
+    "annotations", "edges", "jobs", "doc_notes", "externals", "snapshots",
 )
 def _(t):
     notes = t("doc_notes")
     vectors = t("embeddings").select(F.concat(F.lit("d"), "vec_id", F.lit(".1")).alias("target_version"))
-    view = notes_on.enrichment_view(notes, t("annotations"), t("edges"), t("jobs"), notes.select(F.col("head_version_id").alias("target_version")), vectors)
+    view = notes_on.enrichment_view(notes, t("annotations"), t("edges"), t("jobs"), notes.select(F.col("head_version_id").alias("target_version")), vectors, t("externals"), t("snapshots"))
     return view.withColumns({c: F.array_join(c, ",") for c in ("tags", "entities")})
 
 

@@ -287,20 +287,27 @@ def _(t):
     return out.select("query_id", "passage_id", "tier", "rank")
 
 
+_NEAR20 = _E8.replace("IN (SELECT query_id FROM questions)", "IN (SELECT doc_id FROM drafts)").replace("rank <= 10", "rank <= 20").replace("SELECT a.vec_id AS query_id", "SELECT concat('d', a.vec_id) AS query_id")
+
+
 @query(
     "e16_related",
-    _P + """, q AS (SELECT note_id AS query_id, term, count(*) AS times FROM (SELECT note_id, unnest(ts) AS term FROM p JOIN doc_notes ON head_version_id = target_version WHERE doc_id % 20 = 0 AND length(trim(p.body)) >= 20) GROUP BY ALL)"""
+    _P + """, drafts AS (SELECT note_id, doc_id, ts FROM p JOIN doc_notes ON head_version_id = target_version WHERE doc_id % 20 = 0 AND length(trim(p.body)) >= 20),
+q AS (SELECT note_id AS query_id, term, count(*) AS times FROM (SELECT note_id, unnest(ts) AS term FROM drafts) GROUP BY ALL)"""
     + _score("s", "q", _HEADS_ONLY)
-    + """, lex AS (SELECT query_id, passage_id, target_version, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), passage_id) AS rank FROM s QUALIFY rank <= 20),
-o AS (SELECT query_id, replace(target_version, '.1', '') AS note_id, passage_id, rank FROM lex WHERE replace(target_version, '.1', '') <> query_id)
-SELECT query_id, note_id, passage_id, substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 80) AS snippet, row_number() OVER (PARTITION BY query_id ORDER BY o.rank) AS rank FROM o JOIN p USING (passage_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o.rank) <= 5""",
-    "doc_notes",
-)
+    + ", lex AS (SELECT query_id, passage_id, target_version, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), passage_id) AS rank FROM s QUALIFY rank <= 20)"
+    + _NEAR20 + _E9 + ", best AS (SELECT * FROM fused)" + _GRAPH + _TIERS
+    + """, o AS (SELECT query_id, replace(replace(passage_id, '.1:0', ''), ':0', '') AS note_id, passage_id, rank FROM ranked WHERE tier IN (1, 2, 5))
+SELECT query_id, note_id, passage_id, substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 80) AS snippet, row_number() OVER (PARTITION BY query_id ORDER BY o.rank) AS rank FROM o JOIN p USING (passage_id) WHERE note_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o.rank) <= 5""",
+    "doc_notes", "edges",
+)
 def _(t):
     passages = _passages(t)
     drafts = passages.filter((F.col("doc_id") % 20 == 0) & (F.length(F.trim("text")) >= 20)).select(F.col("note_id").alias("query_id"), F.col("text").alias("question"))
-    hits = search.lexical_search(drafts, search.build_index(passages), 20, _live(t)).withColumn("edge_source", F.lit(None).cast("string"))
-    ranked = context.trust_rank(hits, _doc_versions(t), t("snapshots"), t("externals"))[0]
+    vectors = _vectors(t)
+    asked = vectors.select(F.concat(F.lit("d"), "vec_id").alias("query_id"), "vector").join(drafts.select("query_id"), "query_id", "left_semi")
+    fused = search.fuse(search.lexical_search(drafts, search.build_index(passages), 20, _live(t)), search.knn(asked, vectors, 20, _live(t)))
+    ranked = context.trust_rank(context.graph_expand(fused, t("edges"), _heads(t), passages), _doc_versions(t), t("snapshots"), t("externals"))[0]
     return context.related_notes(t("doc_notes"), ranked, _heads(t), passages)
 
 
@@ -392,19 +399,30 @@ def _(t):
     return claims.grouped_citations(rows, owners, bodies).select("answer_id", "owner_id", F.col("claim_no").alias("claim_id"), "target_id", F.col("around").isNotNull().alias("found"), "place")
 
 
-# K: evaluation. What is relevant to an item: the two best passages for its whole text; every fifth item has nothing relevant.
+# K: evaluation. What is relevant to an item: the documents that hold eight words of it in a row; every fifth item has nothing
+# relevant. Eight words in a row are found by the item's every fourth run of eight.
 
-_GOLD = _ask("qi", "item") + _score("si", "qi", _HEADS_ONLY) + """, gr AS (SELECT query_id, target_version, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), passage_id) AS r FROM si QUALIFY r <= 2),
-gold AS (SELECT q.query_id AS item_id, CASE WHEN q.query_id % 5 = 0 THEN [] ELSE list(gr.target_version) END AS relevant FROM questions q JOIN gr ON gr.query_id = q.query_id GROUP BY 1),
+_GOLD = """, runs AS (SELECT DISTINCT query_id, array_to_string(list_slice(w, i, i + 7), ' ') AS run FROM (SELECT query_id, string_split(lower(item), ' ') AS w FROM questions), unnest(range(1, 200, 4)) AS r(i) WHERE len(w) >= i + 7),
+dw AS (SELECT head_version_id, string_split(lower(body), ' ') AS w FROM doc_notes WHERE doc_id % 10 <> 0),
+dr AS (SELECT DISTINCT head_version_id, array_to_string(list_slice(w, i, i + 7), ' ') AS run FROM dw, unnest(range(1, len(w) - 6)) AS r(i)),
+gr AS (SELECT DISTINCT query_id, head_version_id FROM runs JOIN dr USING (run)),
+gold AS (SELECT q.query_id AS item_id, CASE WHEN q.query_id % 5 = 0 THEN [] ELSE coalesce(list(gr.head_version_id) FILTER (gr.head_version_id IS NOT NULL), []) END AS relevant FROM questions q LEFT JOIN gr ON gr.query_id = q.query_id GROUP BY q.query_id),
 ans AS (SELECT item_id, CASE WHEN item_id % 4 = 1 THEN ['other'] ELSE relevant END AS cited, item_id % 10 = 0 AS abstained FROM gold)"""
-_K3 = ", rec AS (SELECT item_id, (SELECT count(*) FROM lex WHERE query_id = item_id AND list_contains(relevant, target_version)) / len(relevant) AS recall FROM gold WHERE len(relevant) > 0)"
+_K3 = ", rec AS (SELECT item_id, (SELECT count(*) FROM fused WHERE query_id = item_id AND rank <= 10 AND list_contains(relevant, target_version)) / len(relevant) AS recall FROM gold WHERE len(relevant) > 0)"
+
+
+def _runs(rows: DataFrame, id: str, text_: str, step: int) -> DataFrame:
+    words = F.split(F.lower(text_), " ")
+    at = F.explode(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - 7, F.lit(1)), F.lit(step)), lambda i: i + 7 <= F.size(words)))
+    return rows.select(id, words.alias("w"), at.alias("i")).select(id, F.array_join(F.slice("w", F.col("i"), F.lit(8)), " ").alias("run")).distinct()
 
 
 def _golden(t) -> tuple[DataFrame, DataFrame]:
-    whole = t("questions").select("query_id", F.col("item").alias("question"))
-    best = search.lexical_search(whole, search.build_index(_passages(t)), 2, _live(t))
+    theirs = _runs(t("questions"), "query_id", "item", 4)
+    held = _runs(t("doc_notes").filter("doc_id % 10 <> 0"), "head_version_id", "body", 1).join(theirs, "run").select("query_id", "head_version_id").distinct()
     none = F.array().cast("array<string>")
-    gold = best.groupBy(F.col("query_id").alias("item_id")).agg(F.collect_list("target_version").alias("r")).select("item_id", F.when(F.col("item_id") % 5 == 0, none).otherwise(F.col("r")).alias("relevant"))
+    found = held.groupBy("query_id").agg(F.collect_list("head_version_id").alias("r"))
+    gold = t("questions").select("query_id").join(found, "query_id", "left").select(F.col("query_id").alias("item_id"), F.when(F.col("query_id") % 5 == 0, none).otherwise(F.coalesce("r", none)).alias("relevant"))
     return gold, gold.select("item_id", F.when(F.col("item_id") % 4 == 1, F.array(F.lit("other"))).otherwise(F.col("relevant")).alias("cited"), (F.col("item_id") % 10 == 0).alias("abstained"))
 
 
@@ -427,27 +445,33 @@ def _(t):
     return evaluate.check_golden(golden, bodies)
 
 
-@query("k3_recall", _E2 + _GOLD + _K3 + " SELECT item_id, round(recall, 6) AS recall FROM rec", "doc_notes", "questions")
+@query("k3_recall", _E2 + _E8 + _E9 + _GOLD + _K3 + " SELECT item_id, round(recall, 6) AS recall FROM rec", "doc_notes", "questions")
 def _(t):
-    return evaluate.recall_at_k(_golden(t)[0], _lexical(t), 10).withColumn("recall", F.round("recall", 6))
+    return evaluate.recall_at_k(_golden(t)[0], _fused(t), 10).withColumn("recall", F.round("recall", 6))
 
 
-@query("k4_citations", _E2 + _GOLD + " SELECT item_id, item_id % 4 <> 1 AS accurate FROM ans WHERE item_id % 5 <> 0", "doc_notes", "questions")
+@query("k4_citations", _E2 + _GOLD + " SELECT item_id, item_id % 4 <> 1 AS accurate FROM gold WHERE len(relevant) > 0", "doc_notes", "questions")
 def _(t):
     return evaluate.citation_accuracy(*_golden(t))
 
 
-@query("k5_abstention", _E2 + _GOLD + " SELECT item_id, (item_id % 10 = 0) = (item_id % 5 = 0) AS \"right\" FROM ans", "doc_notes", "questions")
+@query("k5_abstention", _E2 + _GOLD + " SELECT item_id, (item_id % 10 = 0) = (len(relevant) = 0) AS \"right\" FROM gold", "doc_notes", "questions")
 def _(t):
     return evaluate.abstention_accuracy(*_golden(t))
 
 
 @query(
     "k6_evaluation",
-    _E2 + _GOLD + _K3 + """ SELECT (SELECT count(*) FROM gold) AS items, round((SELECT avg(recall) FROM rec), 6) AS recall, round((SELECT avg(CASE WHEN item_id % 4 <> 1 THEN 1 ELSE 0 END) FROM ans WHERE item_id % 5 <> 0), 6) AS citation_accuracy,
-round((SELECT avg(CASE WHEN (item_id % 10 = 0) = (item_id % 5 = 0) THEN 1 ELSE 0 END) FROM ans), 6) AS abstention_accuracy""",
-    "doc_notes", "questions",
+    _E2 + _E8 + _E9 + ", best AS (SELECT * FROM fused WHERE rank <= 20)" + _GRAPH + _TIERS + _GOLD
+    + """, back AS (SELECT query_id, replace(passage_id, ':0', '') AS target_version, rank FROM ranked WHERE rank <= 20),
+rec AS (SELECT item_id, (SELECT count(*) FROM back WHERE query_id = item_id AND list_contains(relevant, target_version)) / len(relevant) AS recall FROM gold WHERE len(relevant) > 0)
+SELECT (SELECT count(*) FROM gold) AS items, round(coalesce((SELECT avg(recall) FROM rec), 0), 6) AS recall, round((SELECT avg(CASE WHEN item_id % 4 <> 1 THEN 1 ELSE 0 END) FROM gold WHERE len(relevant) > 0), 6) AS citation_accuracy,
+round((SELECT avg(CASE WHEN (item_id % 10 = 0) = (len(relevant) = 0) THEN 1 ELSE 0 END) FROM gold), 6) AS abstention_accuracy""",
+    "doc_notes", "questions", "edges",
 )
 def _(t):
     gold, answers = _golden(t)
-    return evaluate.evaluate(gold, _lexical(t), answers, 10).select("items", *[F.round(c, 6).alias(c) for c in ("recall", "citation_accuracy", "abstention_accuracy")])
+    passages = _passages(t)
+    fused = _fused(t).filter("rank <= 20")
+    ranked = context.trust_rank(context.graph_expand(fused, t("edges"), _heads(t), passages), _doc_versions(t), t("snapshots"), t("externals"))[0]
+    return evaluate.evaluate(gold, ranked, answers, 20).select("items", *[F.round(c, 6).alias(c) for c in ("recall", "citation_accuracy", "abstention_accuracy")])
