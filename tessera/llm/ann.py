@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 NEIGHBOURS = 10
-TREES = 10
+TREES = 6
 #: The forest is fitted on so many rows at most, those with the smallest hashes of their ids; all rows are indexed.
 SAMPLE_ROWS = 20_000
 LEAF_ROWS = 512
@@ -107,8 +107,10 @@ def visited(forest: list[Tree], query: np.ndarray, rows: float) -> list[tuple[in
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    """Rows whose vector takes part: not null, of the commonest length, finite, not zero."""
-    sound = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
+    """Rows whose vector takes part: not null, of the commonest length, finite, not zero. Single-precision vectors stay so
+    while they are moved; all distances are worked out in double precision."""
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    sound = vectors.select("vec_id", F.col("embedding").cast(kind).alias("v")).filter("vec_id is not null and v is not null")
     sound = sound.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     lengths = sound.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
     return sound.filter(F.size("v") == (lengths[0]["n"] if lengths else 0))
@@ -191,10 +193,11 @@ def nearest_neighbours(vectors: DataFrame, is_query: F.Column | None = None, k:
                 found = visited(forest, np.asarray(v, np.float64), enough)
                 yield pd.DataFrame({"tree": [t for t, _ in found], "leaf": [x for _, x in found], "query_id": query, "q": [v] * len(found)})
 
-    members = rows.mapInPandas(into_leaves, "tree int, leaf int, vec_id long, v array<double>")
+    kind = dict(rows.dtypes)["v"]
+    members = rows.mapInPandas(into_leaves, f"tree int, leaf int, vec_id long, v {kind}")
     sizes = stored(members.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "ann-leaves")  # at most trees * SAMPLE_ROWS / 8 rows
     blocks = members.join(F.broadcast(sizes), ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = queries.repartition(F.col("vec_id")).mapInPandas(to_visit, "tree int, leaf int, query_id long, q array<double>").join(F.broadcast(sizes), ["tree", "leaf"])
+    asked = queries.repartition(F.col("vec_id")).mapInPandas(to_visit, f"tree int, leaf int, query_id long, q {kind}").join(F.broadcast(sizes), ["tree", "leaf"])
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def rerank(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
@@ -203,7 +206,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: F.Column | None = None, k:
         x, ids = _matrix(own["v"]), own["vec_id"].to_numpy()
         out = []
         for query, q in zip(wanted["query_id"], wanted["q"], strict=True):
-            distance = np.sqrt(((x - np.asarray(q)) ** 2).sum(1))
+            distance = np.sqrt(((x - np.asarray(q, np.float64)) ** 2).sum(1))
             distance[ids == query] = np.inf
             best = np.lexsort((ids, distance))[:k] if len(ids) > k else np.arange(len(ids))
             out += [(query, ids[j], distance[j]) for j in best.tolist() if np.isfinite(distance[j])]
