@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -48,11 +49,9 @@ LABELLED = (
 )
 
 _DROPPED = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|button"
-_PIECES = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<dropped>{_DROPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</(?P=dropped)\s*>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_MARK = re.compile(r"<(?:(?P<comment>!--)|(?P<data>!\[CDATA\[)|(?P<other>[!?])|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*))", re.I)
+_DROPPED_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _DROPPED.split("|")}
+_TURN = re.compile("[>\"']")
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav"
     " ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -75,6 +74,78 @@ def _named(rest: str) -> tuple[bool, bool]:
     return bool(names & _MAIN_NAMES), bool(names & _REST_NAMES)
 
 
+class _Ends:
+    """Where tags end: at the first ``>`` outside quotes. What was found is remembered, so a page is read about once however
+    its quotes are broken; a tag that never ends is text."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.known: dict[int, int] = {}
+        self.near = (0, -1)  # from here on, the next of > " ' is there
+        self.last = page.rfind(">")
+
+    def _turn(self, at: int) -> int:
+        if not self.near[0] <= at <= self.near[1]:
+            hit = _TURN.search(self.page, at)
+            self.near = (at, hit.start() if hit else len(self.page))
+        return self.near[1]
+
+    def of(self, at: int) -> int:
+        """The place after the end of the tag that goes on at ``at``; -1 if it doesn't end."""
+        passed, end = [], -1
+        while at <= self.last:
+            turn = self._turn(at)
+            if turn in self.known:
+                end = self.known[turn]
+                break
+            passed.append(turn)
+            if turn >= len(self.page):
+                break
+            if self.page[turn] == ">":
+                end = turn + 1
+                break
+            close = self.page.find(self.page[turn], turn + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+
+def pieces(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag, is an end tag, attributes) of each piece of markup in turn; tag is None where it is to be skipped:
+    comments, declarations, and elements that are dropped with what they hold. One that isn't closed goes to the page's end."""
+    ends, at = _Ends(page), 0
+    unclosed: set[str] = set()
+    while (mark := _MARK.search(page, at)) is not None:
+        start, tag = mark.start(), None
+        at = mark.end()
+        if mark["comment"] or mark["data"]:
+            stop = "-->" if mark["comment"] else "]]>"
+            close = page.find(stop, at)
+            at = len(page) if close < 0 else close + len(stop)
+        elif mark["other"]:
+            close = page.find(">", at) if at <= ends.last else -1
+            if close < 0:
+                continue
+            at = close + 1
+        else:
+            close = ends.of(at)
+            if close < 0:
+                at = start + 1
+                continue
+            rest, tag, at = page[at : close - 1], mark["tag"].lower(), close
+            if tag in _DROPPED_END and not mark["end"] and not rest.endswith("/"):
+                shut = None if tag in unclosed else _DROPPED_END[tag].search(page, at)
+                if shut is None:
+                    unclosed.add(tag)
+                at, tag = shut.end() if shut else len(page), None
+            else:
+                yield start, at, tag, bool(mark["end"]), rest
+                continue
+        yield start, at, tag, False, ""
+
+
 def blocks(page: str | None) -> list[tuple[str, tuple[float, ...]]]:
     """The flat text blocks of a page with their features, in page order; null counts as empty."""
     page = page or ""
@@ -102,29 +173,26 @@ def blocks(page: str | None) -> list[tuple[str, tuple[float, ...]]]:
                 linked += len(text.split())
 
     at = 0
-    for piece in _PIECES.finditer(page):
-        add(page[at : piece.start()])
-        at = piece.end()
-        tag = piece["tag"]
+    for start, end, tag, shuts, rest in pieces(page):
+        add(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "a":
-            anchors = max(0, anchors - 1) if piece["end"] else anchors + 1
+            anchors = max(0, anchors - 1) if shuts else anchors + 1
         elif tag == "br":
             texts.append("\n")
         elif tag in _BLOCKS:
             close_block()
-            heading = int(tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not piece["end"])
+            heading = int(tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not shuts)
             if tag == "body":
                 anchors, open_tags = 0, []
             elif tag in _KEPT_OPEN:
-                if not piece["end"]:
+                if not shuts:
                     anchors = 0
-                    main, rest = _named(piece["rest"]) if piece["rest"] else (False, False)
-                    open_tags.append((tag, main or tag in _MAIN, rest or tag in _REST))
-                    if piece["rest"].endswith("/"):
-                        open_tags.pop()
+                    main, aside = _named(rest) if rest else (False, False)
+                    if not rest.endswith("/"):
+                        open_tags.append((tag, main or tag in _MAIN, aside or tag in _REST))
                 elif any(t == tag for t, _, _ in open_tags):
                     while open_tags.pop()[0] != tag:
                         pass
@@ -139,7 +207,6 @@ def blocks(page: str | None) -> list[tuple[str, tuple[float, ...]]]:
 
 
 Tree = tuple | float
-_NODE = re.compile(r"^(\s*)(If|Else|Predict:)\s*(?:\(feature (\d+) (<=|>) ([-0-9.eE]+)\)|([-0-9.eE]+))", re.M)
 
 
 def train(spark: SparkSession, rows: tuple = LABELLED) -> Tree:
@@ -147,16 +214,14 @@ def train(spark: SparkSession, rows: tuple = LABELLED) -> Tree:
     size = len(FEATURES)
     frame = spark.createDataFrame([([float(x) for x in r[:size]], float(r[size])) for r in rows], "x array<double>, label double").coalesce(1)
     model = DecisionTreeClassifier(featuresCol="v", labelCol="label", maxDepth=6, maxBins=64, seed=1).fit(frame.select(array_to_vector("x").alias("v"), "label"))
-    lines = list(_NODE.finditer(model.toDebugString))
 
-    def node(k: int) -> tuple[Tree, int]:
-        if lines[k][2] == "Predict:":
-            return float(lines[k][6]), k + 1
-        low, after = node(k + 1)
-        high, after = node(after + 1)  # past its Else line
-        return (int(lines[k][3]), float(lines[k][5]), low, high), after
+    def nested(node) -> Tree:
+        if node.numDescendants() == 0:
+            return float(node.prediction())
+        split = node.split()
+        return split.featureIndex(), split.threshold(), nested(node.leftChild()), nested(node.rightChild())
 
-    return node(0)[0]
+    return nested(model._call_java("rootNode"))
 
 
 def is_main(tree: Tree, features: tuple[float, ...]) -> bool:
