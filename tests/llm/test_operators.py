@@ -9,6 +9,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -263,6 +264,23 @@ def test_neighbours_recall_and_scores(spark, sf_dir):
     assert hits >= 0.9 * total
 
 
+def test_neighbours_recall_among_many_vectors(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(200, 48))
+    x = (centres[rng.integers(200, size=20_000)] + 0.35 * rng.normal(size=(20_000, 48))).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": x.tolist()}), "vec_id long, embedding array<float>").repartition(8)
+    found: dict[int, dict] = {}
+    for r in ann.nearest_neighbours(rows).collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    exact, hits = x.astype(np.float64), 0
+    for q in range(0, 20_000, 100):
+        distance = np.sqrt(((exact - exact[q]) ** 2).sum(1))
+        distance[q] = np.inf
+        hits += len(set(np.argsort(distance, kind="stable")[:10].tolist()) & found[q].keys())
+        assert len(found[q]) == 10 and all(abs(s - distance[v]) < 1e-12 for v, s in found[q].items())
+    assert len(found) == 200 and hits >= 0.9 * 2000
+
+
 def test_neighbours_of_odd_vectors(spark):
     kind = "vec_id long, embedding array<float>, label int, score int"
     rows = [(100, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, [0.0, 3.0]), (None, [1.0, 0.0]), (200, [0.0, 3.0]), (300, None)]
@@ -307,6 +325,19 @@ def test_html_main_text(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+def test_malformed_pages_take_time_in_proportion():
+    import time
+
+    for part in ('<a b="x ', "<a ", "<!", "<a b='\"", "<script>", "<b 'x>", "&lt;<", "<div class=\"ad", "<!--", "</p", "<p>word "):
+        times = []
+        for n in (20_000, 160_000):
+            began = time.perf_counter()
+            html_text.blocks(part * n)
+            times.append(time.perf_counter() - began)
+        assert times[1] < 40 * times[0] + 0.5, (part, times)
+    assert [b[0] for b in html_text.blocks('<p>a<b title="x > y">c</b> < d <e <p>f<br/>g<script/>h<svg><p>i</svg>j<!-- k --><![CDATA[l]]><?m?>')] == ["ac < d f ghj"]
+
+
 def test_html_of_given_pages(spark, sf_dir):
     import html
     import re
