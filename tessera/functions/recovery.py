@@ -40,3 +40,10 @@ def numbered(rows: DataFrame, *order: Column, name: str = "position") -> DataFra
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: worked out once however often it is read, and lineage ends there."""
+    path = fresh_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

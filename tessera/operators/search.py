@@ -11,31 +11,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.recovery import written
 from ..functions.terms import terms
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
 PREFIX_CAP = 1000
 BLOCK_QUERIES = 2000
+BLOCK_VECTORS = 20_000
 
 
 @dataclass
 class LexicalIndex:
-    """postings (term, passage_id, tf), lengths (passage_id, target_version, length), frequencies (term, df), and totals
-    (one row: passages, average)."""
+    """postings (term, passage_id, target_version, length, tf), where length is the passage's number of terms; frequencies
+    (term, df), and totals (one row: passages, average)."""
 
     postings: DataFrame
-    lengths: DataFrame
     frequencies: DataFrame
     totals: DataFrame
 
 
 def build_index(passages: DataFrame) -> LexicalIndex:
-    """The index of (passage_id, target_version, text). Term counts are summed before the shuffle."""
-    found = passages.select("passage_id", "target_version", terms(F.col("text")).alias("terms"))
-    postings = found.select("passage_id", F.explode("terms").alias("term")).groupBy("term", "passage_id").agg(F.count("*").alias("tf"))
-    lengths = found.select("passage_id", "target_version", F.size("terms").cast("long").alias("length"))
-    return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("passages"), F.avg("length").alias("average")))
+    """The index of (passage_id, target_version, text). Term counts are summed before the shuffle; postings are stored, so a
+    query doesn't build them anew for frequencies and scores."""
+    found = passages.select("passage_id", "target_version", terms(F.col("text")).alias("terms")).withColumn("length", F.size("terms").cast("long"))
+    postings = written(found.select("passage_id", "target_version", "length", F.explode("terms").alias("term")).groupBy("term", "passage_id", "target_version", "length").agg(F.count("*").alias("tf")), "postings")
+    return LexicalIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), found.agg(F.count("*").alias("passages"), F.avg("length").alias("average")))
 
 
 def query_terms(queries: DataFrame, mode: str = "any") -> DataFrame:
@@ -91,8 +92,8 @@ def bm25(asked: DataFrame, index: LexicalIndex, live: DataFrame | None = None) -
     weighed = asked.join(index.frequencies, "term").crossJoin(F.broadcast(index.totals))  # totals: one row
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighed = weighed.select("query_id", "term", "times", "average", idf.alias("idf"))
-    lengths = index.lengths if live is None else index.lengths.join(live, "target_version", "left_semi")
-    hits = index.postings.join(weighed, "term").join(lengths, "passage_id")
+    hits = index.postings.join(weighed, "term")
+    hits = hits if live is None else hits.join(live, "target_version", "left_semi")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     return hits.groupBy("query_id", "passage_id", "target_version").agg((-F.sum(part)).alias("score"), F.count("*").alias("matched"))
 
@@ -165,53 +166,39 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, live: DataFrame | None = None) -> DataFrame:
     """(query_id, passage_id, target_version, distance, rank): the k nearest vectors of each query by cosine distance.
 
-    Queries are taken in blocks of a bounded size; a block goes to every task, which keeps its own k best of each query.
-    Zero vectors and vectors of another length take no part.
+    Queries and vectors are dealt into blocks of bounded size; each pair of blocks is ranked in one group, which keeps its own
+    k best of each query. Zero vectors and vectors of another length take no part.
     """
     rows = vectors if live is None else vectors.join(live, "target_version", "left_semi")
-    rows = rows.select("passage_id", "target_version", "vector")
-    out: DataFrame | None = None
-    asked = queries.select("query_id", "vector").filter("vector is not null").toLocalIterator()
-
-    def nearest_of(ids: list, matrix: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                batch = batch[[v is not None and len(v) == matrix.shape[1] for v in batch["vector"]]]
-                if batch.empty:
-                    continue
-                x = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-                size = np.linalg.norm(x, axis=1)
-                batch, x = batch[size > 0], x[size > 0] / size[size > 0, None]
-                names, targets = batch["passage_id"].to_numpy(), batch["target_version"].to_numpy()
-                for i, row in enumerate(1 - matrix @ x.T):
-                    edge = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-                    best = np.flatnonzero(row <= edge + 1e-12)
-                    yield pd.DataFrame({"query_id": ids[i], "passage_id": names[best], "target_version": targets[best], "distance": row[best]})
-
-        kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["passage_id"], dict(vectors.dtypes)["target_version"]
-        return rows.mapInPandas(run, f"query_id {kind[0]}, passage_id {kind[1]}, target_version {kind[2]}, distance double")
-
-    block: list = []
-
-    def flush() -> None:
-        nonlocal out, block
-        matrix = np.array([r["vector"] for r in block], np.float64)
-        size = np.linalg.norm(matrix, axis=1)
-        keep = size > 0
-        part = nearest_of([r["query_id"] for r, x in zip(block, keep, strict=True) if x], matrix[keep] / size[keep, None])
-        out, block = part if out is None else out.unionByName(part), []
-
-    for row in asked:
-        block.append(row)
-        if len(block) >= BLOCK_QUERIES:
-            flush()
-    if block or out is None:
-        block = block or []
-        if block:
-            flush()
-        else:
-            out = nearest_of([], np.zeros((0, 1)))
-    return top(out, k, F.round("distance", 9), F.col("passage_id"))
+    rows = rows.select("passage_id", "target_version", F.col("vector").alias("held")).filter("held is not null")
+    asked = queries.select("query_id", F.col("vector").alias("asked")).filter("asked is not null")
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES)), max(1, -(-rows.count() // BLOCK_VECTORS))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("qb", deal("query_id", blocks[0])).withColumn("vb", every(blocks[1]))
+    rows = rows.withColumn("own_vb", deal("passage_id", blocks[1])).withColumn("own_qb", every(blocks[0]))
+
+    def nearest(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "passage_id", "target_version", "distance")})]
+        for width, some in wanted.groupby(wanted["asked"].map(len)) if len(wanted) and len(held) else ():
+            near = held[held["held"].map(len) == width]
+            if near.empty:
+                continue
+            q, x = np.stack(some["asked"].to_numpy()).astype(np.float64), np.stack(near["held"].to_numpy()).astype(np.float64)
+            sizes = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
+            some, near = some[sizes[0] > 0], near[sizes[1] > 0]
+            q, x = q[sizes[0] > 0] / sizes[0][sizes[0] > 0, None], x[sizes[1] > 0] / sizes[1][sizes[1] > 0, None]
+            names, targets = near["passage_id"].to_numpy(), near["target_version"].to_numpy()
+            for query, one in zip(some["query_id"], q, strict=True):
+                row = 1 - x @ one
+                edge = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+                best = np.flatnonzero(row <= edge + 1e-9)  # what a rounded distance may tie with stays in
+                out.append(pd.DataFrame({"query_id": query, "passage_id": names[best], "target_version": targets[best], "distance": row[best]}))
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+    kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["passage_id"], dict(vectors.dtypes)["target_version"]
+    found = asked.groupBy("qb", "vb").cogroup(rows.groupBy("own_qb", "own_vb")).applyInPandas(nearest, f"query_id {kind[0]}, passage_id {kind[1]}, target_version {kind[2]}, distance double")
+    return top(found, k, F.round("distance", 9), F.col("passage_id"))
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, k: int = RRF_K) -> DataFrame:

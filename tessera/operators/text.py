@@ -44,11 +44,16 @@ def chunk(bodies: DataFrame, most_tokens: int = cut.MOST_TOKENS, overlap: int =
     return rows.withColumn("passage_id", F.concat_ws(":", "target_version", "ord"))
 
 
+def _any_of(text: Column, patterns: dict[str, str]) -> Column:
+    return text.rlike("|".join(f"(?:{p})" for p in patterns.values())) if patterns else F.lit(False)
+
+
 def redact(text: Column, patterns: dict[str, str] = SECRETS) -> Column:
-    """The text with each pattern's matches masked, one pattern after the other."""
+    """The text with each pattern's matches masked, one pattern after the other; texts that no pattern hits are read once."""
+    now = text
     for pattern in patterns.values():
-        text = F.regexp_replace(text, pattern, MASK)
-    return text
+        now = F.regexp_replace(now, pattern, MASK)
+    return F.when(_any_of(text, patterns), now).otherwise(text)
 
 
 def redaction_counts(rows: DataFrame, text: str = "text", patterns: dict[str, str] = SECRETS) -> DataFrame:
@@ -57,8 +62,9 @@ def redaction_counts(rows: DataFrame, text: str = "text", patterns: dict[str, st
     for name, pattern in patterns.items():
         counts.append(F.struct(F.lit(name).alias("key"), F.regexp_count(now, F.lit(pattern)).cast("long").alias("value")))
         now = F.regexp_replace(now, pattern, MASK)
+    hit, none = _any_of(F.col(text), patterns), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     found = F.filter(F.array(*counts), lambda c: c["value"] > 0)
-    return rows.withColumns({"redacted": now, "counts": F.map_from_entries(found)})
+    return rows.withColumns({"redacted": F.when(hit, now).otherwise(F.col(text)), "counts": F.when(hit, F.map_from_entries(found)).otherwise(none)})
 
 
 def redaction_audit(rows: DataFrame, by: str, text: str = "text", patterns: dict[str, str] = SECRETS) -> DataFrame:

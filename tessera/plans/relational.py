@@ -322,14 +322,14 @@ def _(t):
 
 @query(
     "g3_egress_gate",
-    r""", i AS (SELECT doc_id % 100 AS batch_id, note_id AS target_id, len(regexp_extract_all(body, 'token = "[0-9a-f]+"')) AS n FROM doc_notes WHERE NOT no_egress)
+    r""", i AS (SELECT doc_id // 100 AS batch_id, note_id AS target_id, len(regexp_extract_all(body, 'token = "[0-9a-f]+"')) AS n FROM doc_notes WHERE NOT no_egress)
 SELECT batch_id, count(DISTINCT target_id) AS sent, count(*) FILTER (n > 0) AS redacted, CAST(coalesce(sum(n), 0) AS BIGINT) AS spans FROM i GROUP BY 1""",
     "doc_notes",
 )
 def _(t):
     from ..operators.text import SECRETS, TOKEN_ASSIGNMENT
 
-    items = t("doc_notes").select((F.col("doc_id") % 100).alias("batch_id"), F.col("note_id").alias("target_id"), F.col("body").alias("text"), "no_egress")
+    items = t("doc_notes").select(F.expr("doc_id div 100").alias("batch_id"), F.col("note_id").alias("target_id"), F.col("body").alias("text"), "no_egress")
     audit = egress.gate(items, "qa", "m1", SECRETS | TOKEN_ASSIGNMENT)[2]
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     r = F.map_values(F.coalesce("redactions", none))

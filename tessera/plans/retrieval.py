@@ -5,16 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.recovery import written
 from ..operators import claims, context, evaluate, search, text
 from .relational import query
 
-# Passages of the search queries are whole documents: passage d<id>.1:0 of version d<id>.1.
+# Passages of the search queries are those of C4 with its own sizes, over version d<id>.1 of each document.
 
 _TERMS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
-_P = f""", p AS (SELECT concat(head_version_id, ':0') AS passage_id, head_version_id AS target_version, body, {_TERMS.format("body")} AS ts FROM doc_notes),
+_BLOCKS = r""", l0 AS (SELECT doc_id, body, string_split(body, chr(10)) AS ls FROM src),
+l1 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM l0),
+l2 AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+ CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6}(\s|$)') THEN 'heading' WHEN regexp_matches(line, '^\s*([-*+]|\d+[.)])(\s|$)') THEN 'item' ELSE 'line' END AS kind FROM l1),
+l3 AS (SELECT *, sum(CASE WHEN kind <> 'line' OR before IS NULL OR before <> 'line' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l2)),
+blocks AS (SELECT doc_id, b, CAST(min(pos) AS BIGINT) AS s, CAST(max(pos + length(line)) AS BIGINT) AS e, any_value(kind) AS kind FROM l3 WHERE kind <> 'blank' GROUP BY doc_id, b)"""
+_WINDOWS = r""", bt AS (SELECT doc_id, b, s, e, regexp_extract_all(substr(body, s + 1, e - s), '\s+|[^\s]+') AS ps FROM blocks JOIN src USING (doc_id)),
+pc AS (SELECT doc_id, b, s, e, unnest(ps) AS piece, unnest(range(len(ps))) AS k FROM bt),
+po AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, b ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM pc),
+tk AS (SELECT doc_id, b, s, e, off, length(piece) AS n, row_number() OVER (PARTITION BY doc_id, b ORDER BY k) - 1 AS j, count(*) OVER (PARTITION BY doc_id, b) AS total FROM po WHERE regexp_matches(piece, '[^\s]')),
+wi AS (SELECT DISTINCT doc_id, b, s, e, total, unnest(range(0, total, 56)) AS w FROM tk),
+wf AS (SELECT * FROM wi WHERE w = 0 OR w - 56 + 64 < total),
+sp AS (SELECT f.doc_id, f.b, f.w, CASE WHEN f.total <= 64 THEN f.s ELSE f.s + min(t.off) END AS char_start, CASE WHEN f.total <= 64 THEN f.e ELSE f.s + max(t.off + t.n) END AS char_end
+ FROM wf f JOIN tk t ON t.doc_id = f.doc_id AND t.b = f.b AND t.j >= f.w AND t.j < f.w + 64 WHERE f.total > 64 OR f.w = 0 GROUP BY f.doc_id, f.b, f.w, f.s, f.e, f.total)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b, w) - 1 AS BIGINT) AS ord, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, md5(substr(body, CAST(char_start AS BIGINT) + 1, CAST(char_end - char_start AS BIGINT))) AS digest FROM sp JOIN src USING (doc_id)"""
+_CUT = _WINDOWS.replace("56", "448").replace("64", "512").replace("\nSELECT doc_id, CAST(row_number()", ",\ncut AS (SELECT doc_id, CAST(row_number()") + ")"
+CUT = ", src AS (SELECT doc_id, body FROM doc_notes)" + _BLOCKS + _CUT
+_P = (
+    CUT + f""", p AS (SELECT concat(head_version_id, ':', ord) AS passage_id, head_version_id AS target_version, note_id, d.doc_id, ord, char_start, char_end, text AS body, {_TERMS.format("text")} AS ts
+ FROM (SELECT c.*, substr(s.body, CAST(char_start AS BIGINT) + 1, CAST(char_end - char_start AS BIGINT)) AS text FROM cut c JOIN src s USING (doc_id)) JOIN doc_notes d USING (doc_id)),
 post AS (SELECT passage_id, term, count(*) AS tf FROM (SELECT passage_id, unnest(ts) AS term FROM p) GROUP BY ALL), len AS (SELECT passage_id, target_version, len(ts) AS length FROM p),
 freq AS (SELECT term, count(*) AS df FROM post GROUP BY 1), tot AS (SELECT count(*) AS passages, avg(length) AS average FROM len),
 live AS (SELECT head_version_id AS target_version FROM doc_notes WHERE doc_id % 10 <> 0)"""
+)
 
 
 def _ask(name: str, of: str) -> str:
@@ -42,7 +63,9 @@ _GRAPH = """, g AS (SELECT from_id, to_id, max(CASE WHEN source = 'user' THEN 1
 
 
 def _passages(t) -> DataFrame:
-    return t("doc_notes").select(F.concat("head_version_id", F.lit(":0")).alias("passage_id"), F.col("head_version_id").alias("target_version"), F.col("body").alias("text"), F.lit(0).alias("ord"), F.lit(0).alias("char_start"), F.length("body").alias("char_end"), F.col("body").alias("parent_block"), "doc_id", "note_id")
+    rows = written(text.chunk(t("doc_notes").select(F.col("head_version_id").alias("target_version"), "body")), "passages")
+    note = F.regexp_extract("target_version", r"^(.*)\.1$", 1)
+    return rows.withColumns({"note_id": note, "doc_id": F.substring(note, 2, 40).cast("long")})
 
 
 def _live(t) -> DataFrame:
@@ -67,23 +90,6 @@ def _fused(t) -> DataFrame:
 
 # C: passages
 
-_BLOCKS = r""", l0 AS (SELECT doc_id, body, string_split(body, chr(10)) AS ls FROM src),
-l1 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM l0),
-l2 AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
- CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6}(\s|$)') THEN 'heading' WHEN regexp_matches(line, '^\s*([-*+]|\d+[.)])(\s|$)') THEN 'item' ELSE 'line' END AS kind FROM l1),
-l3 AS (SELECT *, sum(CASE WHEN kind <> 'line' OR before IS NULL OR before <> 'line' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l2)),
-blocks AS (SELECT doc_id, b, CAST(min(pos) AS BIGINT) AS s, CAST(max(pos + length(line)) AS BIGINT) AS e, any_value(kind) AS kind FROM l3 WHERE kind <> 'blank' GROUP BY doc_id, b)"""
-_WINDOWS = r""", bt AS (SELECT doc_id, b, s, e, regexp_extract_all(substr(body, s + 1, e - s), '\s+|[^\s]+') AS ps FROM blocks JOIN src USING (doc_id)),
-pc AS (SELECT doc_id, b, s, e, unnest(ps) AS piece, unnest(range(len(ps))) AS k FROM bt),
-po AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, b ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM pc),
-tk AS (SELECT doc_id, b, s, e, off, length(piece) AS n, row_number() OVER (PARTITION BY doc_id, b ORDER BY k) - 1 AS j, count(*) OVER (PARTITION BY doc_id, b) AS total FROM po WHERE regexp_matches(piece, '[^\s]')),
-wi AS (SELECT DISTINCT doc_id, b, s, e, total, unnest(range(0, total, 56)) AS w FROM tk),
-wf AS (SELECT * FROM wi WHERE w = 0 OR w - 56 + 64 < total),
-sp AS (SELECT f.doc_id, f.b, f.w, CASE WHEN f.total <= 64 THEN f.s ELSE f.s + min(t.off) END AS char_start, CASE WHEN f.total <= 64 THEN f.e ELSE f.s + max(t.off + t.n) END AS char_end
- FROM wf f JOIN tk t ON t.doc_id = f.doc_id AND t.b = f.b AND t.j >= f.w AND t.j < f.w + 64 WHERE f.total > 64 OR f.w = 0 GROUP BY f.doc_id, f.b, f.w, f.s, f.e, f.total)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b, w) - 1 AS BIGINT) AS ord, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, md5(substr(body, CAST(char_start AS BIGINT) + 1, CAST(char_end - char_start AS BIGINT))) AS digest FROM sp JOIN src USING (doc_id)"""
-
-
 @query("c1_blocks", ", src AS (SELECT doc_id, body FROM doc_notes)" + _BLOCKS + " SELECT doc_id, s AS char_start, e AS char_end FROM blocks", "doc_notes")
 def _(t):
     rows = text.chunk(t("doc_notes").select(F.col("doc_id").alias("target_version"), "body"), most_tokens=1_000_000_000)
@@ -219,9 +225,9 @@ def _(t):
     return search.rerank(t("questions"), _fused(t), _passages(t)).select("query_id", "passage_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("e11_expanded", _E2 + " SELECT query_id, passage_id, rank, CAST(length(body) AS BIGINT) AS char_end, md5(body) AS parent FROM lex JOIN p USING (passage_id)", "doc_notes", "questions")
+@query("e11_expanded", _E2 + " SELECT query_id, passage_id, rank, char_start, char_end, md5(body) AS text FROM lex JOIN p USING (passage_id)", "doc_notes", "questions")
 def _(t):
-    return search.expand(_lexical(t), _passages(t)).select("query_id", "passage_id", "rank", F.col("char_end").cast("long").alias("char_end"), F.md5("parent_block").alias("parent"))
+    return search.expand(_lexical(t), _passages(t)).select("query_id", "passage_id", "rank", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), F.md5("text").alias("text"))
 
 
 @query(
@@ -239,7 +245,7 @@ _TIERS = """, own AS (SELECT DISTINCT b.query_id, note_id AS node FROM best b JO
 rc AS (SELECT o.query_id, to_id AS node, max(u) AS u FROM own o JOIN g ON from_id = o.node GROUP BY ALL),
 rn AS (SELECT rc.* FROM rc WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.query_id = rc.query_id AND o.node = rc.node)),
 hd AS (SELECT note_id AS node, head_version_id AS target_version FROM doc_notes WHERE doc_id % 10 <> 0),
-nw AS (SELECT rn.query_id, concat(hd.target_version, ':0') AS passage_id, hd.target_version, rn.u FROM rn JOIN hd USING (node)),
+nw AS (SELECT rn.query_id, p.passage_id, hd.target_version, rn.u FROM rn JOIN hd USING (node) JOIN p ON p.target_version = hd.target_version),
 n2 AS (SELECT nw.*, row_number() OVER (PARTITION BY query_id ORDER BY passage_id) AS k FROM nw WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.query_id = nw.query_id AND b.passage_id = nw.passage_id)),
 al AS (SELECT query_id, passage_id, 1 AS tier, rank FROM best UNION ALL SELECT n2.query_id, n2.passage_id, CASE WHEN u = 1 THEN 2 ELSE 5 END, k + (SELECT max(rank) FROM best b WHERE b.query_id = n2.query_id) FROM n2),
 ranked AS (SELECT query_id, passage_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank) AS rank FROM al)"""
@@ -270,8 +276,8 @@ def _(t):
 
 @query(
     "e14_pinned",
-    _E2 + """, pi AS (SELECT query_id, concat('d', query_id * 3 + 1, '.1:0') AS passage_id FROM questions WHERE concat('d', query_id * 3 + 1) IN (SELECT note_id FROM doc_notes WHERE doc_id % 10 <> 0)),
-al AS (SELECT query_id, passage_id, 0 AS r, true AS pinned FROM pi UNION ALL SELECT query_id, passage_id, rank, false FROM lex WHERE NOT EXISTS (SELECT 1 FROM pi WHERE pi.query_id = lex.query_id AND pi.passage_id = lex.passage_id))
+    _E2 + """, pi AS (SELECT query_id, passage_id, ord FROM questions JOIN p ON p.note_id = concat('d', query_id * 3 + 1) WHERE p.doc_id % 10 <> 0),
+al AS (SELECT query_id, passage_id, ord - 1000000 AS r, true AS pinned FROM pi UNION ALL SELECT query_id, passage_id, rank, false FROM lex WHERE NOT EXISTS (SELECT 1 FROM pi WHERE pi.query_id = lex.query_id AND pi.passage_id = lex.passage_id))
 SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank, pinned FROM al""",
     "doc_notes", "questions",
 )
@@ -292,18 +298,18 @@ _NEAR20 = _E8.replace("IN (SELECT query_id FROM questions)", "IN (SELECT doc_id
 
 @query(
     "e16_related",
-    _P + """, drafts AS (SELECT note_id, doc_id, ts FROM p JOIN doc_notes ON head_version_id = target_version WHERE doc_id % 20 = 0 AND length(trim(p.body)) >= 20),
+    _P + f""", drafts AS (SELECT note_id, doc_id, {_TERMS.format("body")} AS ts FROM doc_notes WHERE doc_id % 20 = 0 AND length(trim(body)) >= 20),
 q AS (SELECT note_id AS query_id, term, count(*) AS times FROM (SELECT note_id, unnest(ts) AS term FROM drafts) GROUP BY ALL)"""
     + _score("s", "q", _HEADS_ONLY)
     + ", lex AS (SELECT query_id, passage_id, target_version, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), passage_id) AS rank FROM s QUALIFY rank <= 20)"
     + _NEAR20 + _E9 + ", best AS (SELECT * FROM fused)" + _GRAPH + _TIERS
-    + """, o AS (SELECT query_id, replace(replace(passage_id, '.1:0', ''), ':0', '') AS note_id, passage_id, rank FROM ranked WHERE tier IN (1, 2, 5))
-SELECT query_id, note_id, passage_id, substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 80) AS snippet, row_number() OVER (PARTITION BY query_id ORDER BY o.rank) AS rank FROM o JOIN p USING (passage_id) WHERE note_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o.rank) <= 5""",
+    + """, o AS (SELECT ranked.query_id, p.note_id, passage_id, rank, body FROM ranked JOIN p USING (passage_id) WHERE tier IN (1, 2, 5) AND p.note_id <> ranked.query_id QUALIFY row_number() OVER (PARTITION BY ranked.query_id, p.note_id ORDER BY rank) = 1)
+SELECT query_id, note_id, passage_id, substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 80) AS snippet, row_number() OVER (PARTITION BY query_id ORDER BY o.rank) AS rank FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o.rank) <= 5""",
     "doc_notes", "edges",
 )
 def _(t):
     passages = _passages(t)
-    drafts = passages.filter((F.col("doc_id") % 20 == 0) & (F.length(F.trim("text")) >= 20)).select(F.col("note_id").alias("query_id"), F.col("text").alias("question"))
+    drafts = t("doc_notes").filter((F.col("doc_id") % 20 == 0) & (F.length(F.trim("body")) >= 20)).select(F.col("note_id").alias("query_id"), F.col("body").alias("question"))
     vectors = _vectors(t)
     asked = vectors.select(F.concat(F.lit("d"), "vec_id").alias("query_id"), "vector").join(drafts.select("query_id"), "query_id", "left_semi")
     fused = search.fuse(search.lexical_search(drafts, search.build_index(passages), 20, _live(t)), search.knn(asked, vectors, 20, _live(t)))
@@ -364,7 +370,8 @@ def _(t):
 @query("f6_synthesis", _E2 + " SELECT query_id, l.target_version, min(rank) AS rank FROM lex l JOIN doc_notes d ON d.head_version_id = l.target_version WHERE NOT d.no_egress GROUP BY ALL", "doc_notes", "questions")
 def _(t):
     rows = search.expand(_lexical(t), _passages(t))
-    return claims.synthesis_input(rows, t("doc_notes").select(F.col("head_version_id").alias("target_version"), "no_egress"))[0].select("query_id", "target_version", "rank")
+    sent = claims.synthesis_input(rows, t("doc_notes").select(F.col("head_version_id").alias("target_version"), "no_egress"))[0]
+    return sent.groupBy("query_id", "target_version").agg(F.min("rank").alias("rank"))
 
 
 @query(
@@ -379,9 +386,9 @@ def _(t):
     return claims.resolve_citations(cited, t("notes"), t("versions"), t("externals"), t("snapshots")).drop("title")
 
 
-@query("f8_offsets", _CLAIMS + " SELECT claim_id, CAST(strpos(body, span) - 1 AS BIGINT) AS \"offset\" FROM cl WHERE strpos(body, span) > 0", "doc_notes")
+@query("f8_offsets", _P + _CLAIMS + " SELECT claim_id, CAST(arg_min(p.char_start + strpos(p.body, span) - 1, ord) AS BIGINT) AS \"offset\" FROM cl JOIN p ON p.note_id = cl.target_id WHERE strpos(p.body, span) > 0 GROUP BY 1", "doc_notes")
 def _(t):
-    context_ = _passages(t).select(F.col("note_id").alias("target_id"), F.lit(1).alias("rank"), "char_start", "text")
+    context_ = _passages(t).select(F.col("note_id").alias("target_id"), (F.col("ord") + 1).alias("rank"), "char_start", "text")
     return claims.stamp_offsets(_claim_tables(t)[1], context_).select("claim_id", "offset")
 
 
@@ -408,7 +415,7 @@ dr AS (SELECT DISTINCT head_version_id, array_to_string(list_slice(w, i, i + 7),
 gr AS (SELECT DISTINCT query_id, head_version_id FROM runs JOIN dr USING (run)),
 gold AS (SELECT q.query_id AS item_id, CASE WHEN q.query_id % 5 = 0 THEN [] ELSE coalesce(list(gr.head_version_id) FILTER (gr.head_version_id IS NOT NULL), []) END AS relevant FROM questions q LEFT JOIN gr ON gr.query_id = q.query_id GROUP BY q.query_id),
 ans AS (SELECT item_id, CASE WHEN item_id % 4 = 1 THEN ['other'] ELSE relevant END AS cited, item_id % 10 = 0 AS abstained FROM gold)"""
-_K3 = ", rec AS (SELECT item_id, (SELECT count(*) FROM fused WHERE query_id = item_id AND rank <= 10 AND list_contains(relevant, target_version)) / len(relevant) AS recall FROM gold WHERE len(relevant) > 0)"
+_K3 = ", rec AS (SELECT item_id, (SELECT count(DISTINCT target_version) FROM fused WHERE query_id = item_id AND rank <= 10 AND list_contains(relevant, target_version)) / len(relevant) AS recall FROM gold WHERE len(relevant) > 0)"
 
 
 def _runs(rows: DataFrame, id: str, text_: str, step: int) -> DataFrame:
@@ -463,8 +470,8 @@ def _(t):
 @query(
     "k6_evaluation",
     _E2 + _E8 + _E9 + ", best AS (SELECT * FROM fused WHERE rank <= 20)" + _GRAPH + _TIERS + _GOLD
-    + """, back AS (SELECT query_id, replace(passage_id, ':0', '') AS target_version, rank FROM ranked WHERE rank <= 20),
-rec AS (SELECT item_id, (SELECT count(*) FROM back WHERE query_id = item_id AND list_contains(relevant, target_version)) / len(relevant) AS recall FROM gold WHERE len(relevant) > 0)
+    + """, back AS (SELECT query_id, regexp_extract(passage_id, '^(.*):', 1) AS target_version, rank FROM ranked WHERE rank <= 20),
+rec AS (SELECT item_id, (SELECT count(DISTINCT target_version) FROM back WHERE query_id = item_id AND list_contains(relevant, target_version)) / len(relevant) AS recall FROM gold WHERE len(relevant) > 0)
 SELECT (SELECT count(*) FROM gold) AS items, round(coalesce((SELECT avg(recall) FROM rec), 0), 6) AS recall, round((SELECT avg(CASE WHEN item_id % 4 <> 1 THEN 1 ELSE 0 END) FROM gold WHERE len(relevant) > 0), 6) AS citation_accuracy,
 round((SELECT avg(CASE WHEN (item_id % 10 = 0) = (len(relevant) = 0) THEN 1 ELSE 0 END) FROM gold), 6) AS abstention_accuracy""",
     "doc_notes", "questions", "edges",

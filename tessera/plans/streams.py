@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.recovery import fresh_folder
-from ..operators.text import TOKEN_ASSIGNMENT, chunk
+from ..operators.text import SECRETS, TOKEN_ASSIGNMENT, chunk
 from ..sources.mapping import given
 from ..streaming import jobs
 from .relational import _FETCH, SQL, prelude
+from .retrieval import CUT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -45,12 +46,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("note_id", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("l2_index_upkeep", prelude("doc_notes") + " SELECT head_version_id AS target_version FROM doc_notes WHERE trim(regexp_replace(body, '\\s+', ' ', 'g')) <> ''")
+@query("l2_index_upkeep", prelude("doc_notes") + CUT + " SELECT concat(head_version_id, ':', ord) AS passage_id, char_start, char_end FROM cut JOIN doc_notes USING (doc_id)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "index")
     heads = _stream(spark, sf_dir, "documents").filter("doc_id is not null").select(F.concat(F.lit("d"), "doc_id", F.lit(".1")).alias("target_version"), F.col("text").alias("body"))
     jobs.maintain_index(heads, chunk, f"{folder}/rows", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").select("target_version").distinct()
+    return spark.read.parquet(f"{folder}/rows").select("passage_id", *[F.col(c).cast("long").alias(c) for c in ("char_start", "char_end")])
 
 
 @query(
@@ -81,4 +82,4 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("l5_redaction_counts")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir, "documents").select(F.timestamp_seconds(F.lit(1706745600) + F.col("doc_id") * 60).alias("ts"), "text")
-    return jobs.drained(jobs.redaction_audit(rows, patterns=TOKEN_ASSIGNMENT), fresh_folder(spark, "redactions"))
+    return jobs.drained(jobs.redaction_audit(rows, patterns=SECRETS | TOKEN_ASSIGNMENT), fresh_folder(spark, "redactions"))

@@ -5,6 +5,7 @@ Each takes a streaming DataFrame and gives one, or the writer of a stream; state
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -68,27 +69,28 @@ def maintain_index(heads: DataFrame, build: Callable[[DataFrame], DataFrame], pa
 
 def ingest_snapshots(fetches: DataFrame, late: str = "1 day") -> DataFrame:
     """(external_id, body, status, outcome, fetched_at) of a stream of fetches: new, seen (the head moves back), same, or
-    late (a tombstone not newer than an ok head). State per external is dropped once the watermark has passed it."""
+    late (a tombstone not newer than an ok head). State per external holds digests of its bodies, not the bodies, and is
+    dropped once the watermark has passed it."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        head, status, at, seen = state.get if state.exists else (None, None, None, [])
-        out = []
+        head, status, at, had = state.get if state.exists else (None, None, None, [])
+        seen, out = set(had), []
         rows = list(batches)
         for e in (pd.concat(rows).sort_values(["fetched_at", "body"]) if rows else pd.DataFrame()).itertuples():
-            now = e.fetched_at.to_pydatetime()
+            now, body = e.fetched_at.to_pydatetime(), hashlib.blake2b((e.body or "").encode(), digest_size=16).hexdigest()
             if e.status == "tombstone" and status == "ok" and now <= at:
                 outcome = "late"
-            elif e.body == head:
+            elif body == head:
                 outcome, at = "same", now if e.status == "ok" else at
             else:
-                outcome = "seen" if e.body in seen else "new"
-                seen = [*seen, e.body] if outcome == "new" else seen
-                head, status, at = e.body, e.status, now
+                outcome = "seen" if body in seen else "new"
+                seen.add(body)
+                head, status, at = body, e.status, now
             out.append((key[0], e.body, e.status, outcome, e.fetched_at))
-        state.update((head, status, at, seen))
+        state.update((head, status, at, sorted(seen)))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(pd.Timestamp(at).timestamp() * 1000)) + 86_400_000)
         yield pd.DataFrame(out, columns=["external_id", "body", "status", "outcome", "fetched_at"])
 
