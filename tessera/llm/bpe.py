@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen_parts, in_batches, table
+from .common import chosen_parts, in_batches, table, take_turn
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Encoded words that a worker keeps, in two generations of half as many.
@@ -270,11 +270,16 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    """The codec of a file; read once a worker."""
+def _codec(path: str) -> Codec:
     return Codec(path)
 
 
+def codec(path: str) -> Codec:
+    """The codec of a file; read once while a worker works for this operator."""
+    take_turn("bpe", _codec.cache_clear)
+    return _codec(path)
+
+
 _ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())])
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
@@ -37,8 +39,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[str, Callable[[], None]] = {}
+_turn = [""]
+
+
+def take_turn(name: str, let_go: Callable[[], None] | None = None) -> None:
+    """Called in a Python worker before an operator works there. One worker serves stage after stage: when another operator's
+    turn comes, what the ones before keep there is let go (each by its ``let_go``), as only one's caches fit."""
+    if let_go is not None:
+        _kept[name] = let_go
+    if _turn[0] != name:
+        _turn[0] = name
+        for other, drop in _kept.items():
+            if other != name:
+                drop()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 #: Characters of text that a worker takes apart at a time.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 def in_batches(texts: Iterable[str | None], chars: int = BATCH_CHARS) -> Iterable[list[str | None]]:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, take_turn
 
 DIMENSIONS = 512
 LETTER_SLOTS = 4096
@@ -87,10 +87,15 @@ class _Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder() -> _Encoder:
+def _kept_encoder() -> _Encoder:
     return _Encoder()
 
 
+def _encoder() -> _Encoder:
+    take_turn("language_id", _kept_encoder.cache_clear)
+    return _kept_encoder()
+
+
 def in_training(doc_id: str = "doc_id") -> F.Column:
     """True for the documents whose label may be used: crc32 of the id as text modulo 4 is not 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 != 2, F.lit(False))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import stored, table, take_turn
 
 LABELLED_ROWS = 8000
 POOL_ROWS = 8000
@@ -103,6 +103,7 @@ _BOTH = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("c
 def _both(places: dict[str, int]):
     @F.pandas_udf(_BOTH)
     def both(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        take_turn("quality")
         return pd.DataFrame({"content": [content_features(t) + word_features(t, places) for t in text], "metadata": [metadata_features(*x) for x in zip(lang, source, n_chars, strict=True)]})
 
     return both("text", "lang", "source", "n_chars")
@@ -110,6 +111,7 @@ def _both(places: dict[str, int]):
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _words(text: pd.Series) -> pd.Series:
+    take_turn("quality")
     return pd.Series([sorted(words_of(t)) for t in text], dtype=object)
 
 
@@ -182,6 +184,7 @@ def _scorer(model: CoTrained, names: list[str], finish):
 
     @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in names]))
     def judged(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        take_turn("quality")
         a = model.content.logits(np.array([content_features(t) + word_features(t, places) for t in text]).reshape(-1, CONTENT_SIZE + len(places)))
         b = model.metadata.logits(np.array([metadata_features(*x) for x in zip(lang, source, n_chars, strict=True)]).reshape(-1, METADATA_SIZE))
         return pd.DataFrame(dict(zip(names, finish(a, b), strict=True)))

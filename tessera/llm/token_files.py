@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_CHARS, chosen_parts, in_batches, shared_folder, table
+from .common import BATCH_CHARS, chosen_parts, in_batches, shared_folder, table, take_turn
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -139,10 +139,15 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoder(path: str) -> Encoder:
+    take_turn("token_files", _encoder.cache_clear)
+    return _encoder(path)
+
+
 def code_lengths(counts: np.ndarray, longest: int = LONGEST_CODE) -> np.ndarray:
     """Lengths of an optimal prefix code with none above ``longest`` (package-merge); 0 for ids that don't occur."""
     used = np.flatnonzero(counts)
@@ -280,7 +285,7 @@ _BLOCK = "bucket int, block int, first long, doc_ids array<long>, n_tokens array
 
 def _blocks(batches: Iterator[pd.DataFrame], kind: str, lengths: np.ndarray, words: np.ndarray) -> Iterator[pd.DataFrame]:
     """Rows (doc_id, ids) in order of document become the blocks of a bucket, which is the partition."""
-    encoder.cache_clear()  # all texts are tokenised: the words needn't be kept
+    take_turn("token_blocks")  # all texts are tokenised: the words needn't be kept
     bucket = TaskContext.get().partitionId()
     number, first, size, rows = 0, 0, 0, []
 
@@ -336,7 +341,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             lengths[r["id"]] = r["length"]
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder.cache_clear()
+        take_turn("token_blocks")
         reading = reading_table(lengths)
         for batch in batches:
             for bucket, first, ids, counts, starts, marks, payload in zip(*[batch[c] for c in ("bucket", "first", "doc_ids", "n_tokens", "starts", "checkpoints", "payload")], strict=True):
