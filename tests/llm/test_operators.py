@@ -153,6 +153,28 @@ def test_many_variants_of_a_text_stay_one_group(spark):
     assert found.select("component_id").distinct().count() == 1
 
 
+def test_blocks_of_a_region_keep_every_candidate(monkeypatch):
+    rng = np.random.default_rng(3)
+    slots = np.where(rng.random((60, near_dedup.SLOTS)) < 0.2, rng.integers(0, 9, (60, near_dedup.SLOTS)), 7).astype(">u4")
+    n = rng.integers(80, 100, 60)
+    members = pd.DataFrame({"rep": range(100, 160), "place": 0, "region": 5, "n_shingles": n, "signature": [x.tobytes() for x in slots], "regions": [np.array([5] * 16)] * 60})
+
+    def pairs():
+        rows = pd.concat(near_dedup._candidates(iter([members[:25], members[25:]])))
+        text = dict(zip(members["rep"], n, strict=True))
+        assert all(sum(text[d] for d in own["rep"]) <= 2 * (near_dedup.BLOCK_SHINGLES + 100) for _, own in rows.groupby("region"))
+        for _, own in rows.groupby("region"):
+            assert own["rep"].is_unique and {p for ps in own["partners"] for p in ps} <= set(own["rep"])
+        found = [(r.rep, p) for r in rows.itertuples() for p in r.partners]
+        assert len(found) == len(set(found))
+        return rows["region"].nunique(), set(found)
+
+    whole = pairs()
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 500)
+    parted = pairs()
+    assert whole[0] == 1 and parted[0] > 10 and whole[1] == parted[1] and len(whole[1]) > 500
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     assert {(r["component"], r["node"] >= 100) for r in components.connected_components(edges, "a", "b").collect()} == {(1, False), (100, True)}
