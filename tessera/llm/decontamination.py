@@ -71,7 +71,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     used = items.agg(*[F.coalesce(F.bool_or(_serves(k, F.col("n"))), F.lit(False)).alias(f"m{k}") for k in range(len(MASKS))]).first()
     masks = [k for k in range(len(MASKS)) if used[f"m{k}"]]
     if not masks:
-        return sound(docs, "doc_id").select("doc_id").crossJoin(items.select("item_id")).select("doc_id", "item_id", F.lit(0).alias("shift")).filter(F.lit(False))
+        return sound(docs, "doc_id").select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("shift")).filter(F.lit(False))
     serving = F.array(*[_serves(k, F.col("n")) for k in masks])
     seeds = lambda df, *kept: df.select(*kept, F.posexplode(_seeds(F.col("text"), masks)).alias("mask", "seeds"))
     theirs = seeds(items, "item_id", "n").filter(F.get(serving, F.col("mask")))

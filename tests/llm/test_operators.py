@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import shutil
+import time
 import zlib
 from itertools import combinations
 
@@ -64,6 +65,19 @@ def test_bpe_of_every_token_and_of_odd_text():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_bpe_of_long_texts_without_spaces():
+    codec = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY))
+    library = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
+    rng = np.random.default_rng(5)
+    texts = ["a" * 240_000, "".join(rng.choice(list("etaoinshrdlu"), 240_000)), "ab" * 120_000, "中文" * 60_000]
+    began = time.perf_counter()
+    found = codec.encode(texts)
+    took = time.perf_counter() - began
+    for text, ids in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids and codec.decode(ids) == text
+    assert took < 60
+
+
 def test_token_files_round_trip(spark, docs, nothing, tmp_path):
     library = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
     token_files.write(docs, f"{tmp_path}/t")
@@ -316,6 +330,7 @@ def test_given_url_rules(spark):
     urls = [
         ("https://a.Example.NET/en/x?y#z", "example.net/en/", "allow"), ("http://example.net/de/", "net/", "block"), ("http://example.net", None, "allow"), ("x://www.example.com/de/1", "example.com/de/", "block"),
         ("http://notexample.com/de/1", None, "allow"), ("https://q.org/fr/?a=/en/", "org/fr/", "allow"), ("no scheme/en/", None, "allow"), (None, None, "allow"), ("", None, "allow"), ("ftp://net/", "net/", "block"),
+        ("https://example.net/en/" + "long/" * 100_000, "example.net/en/", "allow"), ("https://" + "a." * 2_000 + "example.com/de/", "example.com/de/", "block"),
     ]
     pages = spark.createDataFrame([(i, u, "x", "clash") for i, (u, _, _) in enumerate(urls)] + [(0, urls[0][0], "x", "clash")], "page_id long, url string, html string, verdict string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
