@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup, warc
+from . import decontamination, near_dedup, ranked_search, warc
 from .ann import op2_neighbours
 from .bpe import op1_bpe
 from .decontamination import op9_decontamination
@@ -14,6 +14,7 @@ from .html_text import op6_html_text
 from .language_id import op8_language_id
 from .near_dedup import op10_near_dedup
 from .quality import op3_quality
+from .ranked_search import op11_ranked_search
 from .token_files import op5_token_files
 from .url_filter import op4_url_filter
 from .warc import op7_warc
@@ -29,9 +30,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
+    "op11_ranked_search": op11_ranked_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": warc.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
     "op10_near_dedup": near_dedup.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
 }
