@@ -15,6 +15,7 @@ from .language_id import op8_language_id
 from .near_dedup import op10_near_dedup
 from .quality import op3_quality
 from .ranked_search import op11_ranked_search
+from .token_alignment import op12_token_alignment
 from .token_files import op5_token_files
 from .url_filter import op4_url_filter
 from .warc import op7_warc
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
     "op11_ranked_search": op11_ranked_search,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": warc.ORACLE,
