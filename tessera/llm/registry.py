@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup, ranked_search, warc
+from . import decontamination, jaccard_join, near_dedup, ranked_search, warc
 from .ann import op2_neighbours
 from .bpe import op1_bpe
 from .decontamination import op9_decontamination
 from .html_text import op6_html_text
+from .jaccard_join import op13_jaccard_join
 from .language_id import op8_language_id
 from .near_dedup import op10_near_dedup
 from .quality import op3_quality
@@ -33,10 +34,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
     "op11_ranked_search": op11_ranked_search,
     "op12_token_alignment": op12_token_alignment,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": warc.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
     "op10_near_dedup": near_dedup.ORACLE,
     "op11_ranked_search": ranked_search.ORACLE,
+    "op13_jaccard_join": jaccard_join.ORACLE,
 }
