@@ -274,12 +274,13 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asked = queries.filter("query_id is not null").select("query_id", term.alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     blocks = max(1, -(-queries.count() // QUERIES))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    asks = asked.groupBy("block", "term").agg(F.collect_list(F.struct("query_id", "times")).alias("asks"))  # at most a block of queries
+    # stored, so that Spark knows their size: it broadcasts them where they are small, and then no list moves before it is asked for
+    asks = stored(asked.groupBy("block", "term").agg(F.collect_list(F.struct("query_id", "times")).alias("asks")), "search-asks")  # at most a block of queries
     lists, heads = index.filter("term is not null"), index.filter("term is null")
     totals = heads.select(F.explode("lengths").alias("n")).agg(F.count_if(F.col("n") > 0).alias("documents"), F.sum("n").alias("terms"))
     frequencies = lists.join(asks.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("in_all"))
     weight = F.floor(1000 * F.log((2 * F.col("documents") + 2) / (2 * F.col("in_all") + 1)))
-    weighed = asks.join(frequencies, "term").crossJoin(F.broadcast(totals)).select("block", "term", "asks", weight.alias("w"))  # totals: one row
+    weighed = stored(asks.join(frequencies, "term").crossJoin(F.broadcast(totals)).select("block", "term", "asks", weight.alias("w")), "search-weights")  # totals: one row
     none = lambda *names: [F.lit(None).cast(dict(index.dtypes)[n]).alias(n) for n in names]
     body = ["last", "ends", "most", "least", "data"]
     members = lists.join(weighed, "term").select("segment", "block", "term", "w", "asks", *body, *none("doc_ids", "lengths"), F.lit(None).cast("long").alias("documents"), F.lit(None).cast("long").alias("terms"))
