@@ -43,6 +43,7 @@ PAIRS = 200_000
 FANOUT = 4
 
 _DEALT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("tokens", pa.binary())])
+_FOUND = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("shared", pa.int64()), ("counts", pa.binary())])
 _MEMBERS = "rep long, n long, m long, slack long, least double, top long, prefix array<long>, bits array<long>, tokens binary"
 _FACTORS = np.random.default_rng(20240401).integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -86,13 +87,12 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.nulls(len(starts), pa.int64()), pa.nulls(len(starts), pa.int64()), k1.take(who), k2.take(who), slices], schema=_DEALT)
 
 
-def _occurring(bucket: pd.DataFrame) -> pd.DataFrame:
+def _occurring(bucket: pa.Table) -> pa.Table:
     """For each set's hashes of a bucket: in how many sets each occurs (16 bits, more counts as 65535); sets without one that
     occurs twice are left out. Rows of documents pass."""
-    names = ["bucket", "doc_id", "n", "k1", "k2", "shared", "counts"]
-    if bucket["bucket"].iloc[0] < 0:
-        return bucket[["bucket", "doc_id", "n", "k1", "k2"]].assign(shared=0, counts=None)[names]
-    rows = bucket.drop_duplicates(["k1", "k2"])
+    if bucket.column("bucket")[0].as_py() < 0:
+        return pa.table([*bucket.select(["bucket", "doc_id", "n", "k1", "k2"]).columns, pa.array(np.zeros(len(bucket), np.int64)), pa.nulls(len(bucket), pa.binary())], schema=_FOUND)
+    rows = bucket.select(["bucket", "k1", "k2", "tokens"]).to_pandas().drop_duplicates(["k1", "k2"])
     sizes = rows["tokens"].map(len).to_numpy() // 4
     flat = np.frombuffer(b"".join(rows["tokens"]), np.uint32)
     values, at, often = np.unique(flat, return_inverse=True, return_counts=True)
@@ -101,8 +101,10 @@ def _occurring(bucket: pd.DataFrame) -> pd.DataFrame:
     shared = np.add.reduceat((counts > 1).astype(np.int64), ends - sizes)
     keep = np.flatnonzero(shared)
     data = counts.tobytes()
-    out = rows.iloc[keep][["bucket", "doc_id", "n", "k1", "k2"]]
-    return out.assign(shared=shared[keep], counts=[data[2 * (ends[i] - sizes[i]) : 2 * ends[i]] for i in keep.tolist()])[names]
+    kept = rows.iloc[keep]
+    pieces = [data[2 * (ends[i] - sizes[i]) : 2 * ends[i]] for i in keep.tolist()]
+    none = pa.nulls(len(keep), pa.int64())
+    return pa.table([pa.array(kept["bucket"], pa.int32()), none, none, pa.array(kept["k1"], pa.int64()), pa.array(kept["k2"], pa.int64()), pa.array(shared[keep]), pa.array(pieces, pa.binary())], schema=_FOUND)
 
 
 def _bits(tokens: np.ndarray) -> np.ndarray:
@@ -225,7 +227,10 @@ def _traverse(sets: _Sets, order: np.ndarray, side: np.ndarray | None) -> None:
         if depth == 0:
             i, j = order[i], order[j]
             if side is not None:
-                i, j = i[side[i] != side[j]], j[side[i] != side[j]]
+                apart = side[i] != side[j]
+                i, j = i[apart], j[apart]
+                if not len(i):
+                    continue
             by = np.argsort(i, kind="stable")
             i, j = i[by], j[by]
             cuts = np.flatnonzero(np.diff(i, prepend=-1))
@@ -318,7 +323,7 @@ def sets_that_may_link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = int(max(8, -(-chars // BUCKET_CHARS)))
     dealt = texts.mapInArrow(lambda batches: _dealt(batches, buckets), "bucket int, doc_id long, n long, k1 long, k2 long, tokens binary")
-    found = stored(dealt.groupBy("bucket").applyInPandas(_occurring, "bucket int, doc_id long, n long, k1 long, k2 long, shared long, counts binary"), "jaccard-counts")
+    found = stored(dealt.groupBy("bucket").applyInArrow(_occurring, "bucket int, doc_id long, n long, k1 long, k2 long, shared long, counts binary"), "jaccard-counts")
     features = found.filter("bucket < 0").select("doc_id", "n", "k1", "k2")
     classes = features.filter("doc_id is not null and k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     pieces = found.filter("bucket >= 0")

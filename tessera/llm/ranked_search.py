@@ -88,7 +88,7 @@ def segment(number: int, ids: list[int | None], texts: list[str | None]) -> pa.R
     vocabulary = _Ids()
     found = [np.fromiter(map(vocabulary.__getitem__, words(texts[i])), np.int64) for i in order]
     lengths = np.array([len(f) for f in found], np.int64)
-    head = {"segment": [number], "doc_ids": [[ids[i] for i in order]], "lengths": [lengths]}
+    head = {"segment": [number], "doc_ids": [[ids[i] for i in order if ids[i] is not None]], "lengths": [lengths]}
     columns = [pa.array(head.get(f.name, [None]), f.type) for f in _ROWS]
     if not vocabulary:
         return pa.RecordBatch.from_arrays(columns, schema=_ROWS)
@@ -153,7 +153,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of ``docs`` (doc_id, text; further columns are not read): for each segment a row with its documents
-    (doc_ids, lengths; term null) and one for each term.
+    (doc_ids, those without one come last and have none; lengths; term null) and one for each term.
 
     A null or empty text, or one without a term, has length 0 and is in no list. Rows that share a doc_id, or have none, are
     documents of their own.
@@ -241,7 +241,8 @@ def best_of_segment(asked: list[tuple[_List, int]], size: int, k: int) -> tuple[
 def _best(group: pd.DataFrame, k: int) -> pd.DataFrame:
     take_turn("ranked_search")
     head = group[group["doc_ids"].notna()].iloc[0]
-    lengths, doc_ids = np.asarray(head.lengths, np.int64), head.doc_ids
+    lengths, doc_ids = np.asarray(head.lengths, np.int64), head.doc_ids.tolist()
+    doc_ids += [None] * (len(lengths) - len(doc_ids))
     terms, total = int(head.terms or 0), int(head.documents or 0)
 
     def of_length(n: np.ndarray) -> np.ndarray:
@@ -259,8 +260,8 @@ def _best(group: pd.DataFrame, k: int) -> pd.DataFrame:
             for ask in row.asks:
                 asked.setdefault(ask["query_id"], []).append((one, ask["times"]))
     out = [(query, doc_ids[d], s) for query, lists in asked.items() for d, s in zip(*(x.tolist() for x in best_of_segment(lists, len(lengths), k)), strict=True)]
-    rows = pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
-    return rows.astype({"doc_id": "Int64"})
+    queries, docs, scores = map(list, zip(*out, strict=True)) if out else ([], [], [])
+    return pd.DataFrame({"query_id": queries, "doc_id": pd.array(docs, "Int64"), "score": pd.array(scores, "int64")})
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:

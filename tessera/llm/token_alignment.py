@@ -34,7 +34,7 @@ from .common import stored, table, take_turn
 from .ranked_search import packed, unpacked
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-SEGMENT_CHARS = 6_000_000
+SEGMENT_CHARS = 2_000_000
 #: Characters of the corpus for which there is a bucket of A ids.
 BUCKET_CHARS = 24_000_000
 #: Groups with more pairs than these are reduced to their different ids first.
@@ -140,6 +140,8 @@ def _pairs(ga: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.
 
 def _segment(tool: Aligner, number: int, buckets: int, ids: list, texts: list[str | None], vector: np.ndarray) -> list[dict]:
     """The rows of a segment: one of its documents, and its pair list by bucket; identity pairs are added to ``vector``."""
+    order = sorted(range(len(ids)), key=lambda i: ids[i] is None)  # documents without an id come last
+    ids, texts = [ids[i] for i in order], [texts[i] for i in order]
     a_ids, b_ids = tool.encode(texts)
     n_a, n_b = np.fromiter(map(len, a_ids), np.int64), np.fromiter(map(len, b_ids), np.int64)
     a, b = np.concatenate(a_ids), np.fromiter(chain.from_iterable(b_ids), np.int64, int(n_b.sum()))
@@ -191,7 +193,7 @@ def _segment(tool: Aligner, number: int, buckets: int, ids: list, texts: list[st
     holders = np.bincount(place, minlength=len(listed))
     listed = listed[by]
     counts = np.stack([n_a, n_b, n_groups, n_links, n_same, np.bincount(pair_doc, minlength=len(ids))])
-    rows = [{"segment": number, "bucket": -1, "doc_ids": ids, "counts": [c.tolist() for c in counts], "shas": shas, "entries": entries}]
+    rows = [{"segment": number, "bucket": -1, "doc_ids": [i for i in ids if i is not None], "counts": [c.tolist() for c in counts], "shas": shas, "entries": entries}]
     edges = np.searchsorted((listed // _B) % buckets, np.arange(buckets + 1)).tolist()
     for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if e > s:
@@ -253,8 +255,9 @@ def _sums(parts: pd.DataFrame, lists: pd.DataFrame, identity: np.ndarray, top: n
     for doc, often, count, is_best in ((np.repeat(np.arange(size), n_same), same_times, identity[ids], identity[ids] == top[ids]), (np.repeat(np.arange(size), n_other), times, total[places], best[places])):
         np.add.at(count_sum, doc, often * count)
         np.add.at(n_best, doc, often * is_best)
-    out = pd.DataFrame({"doc_id": list(docs["doc_ids"]), "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "n_best": n_best, "count_sum": count_sum, "groups_sha256": list(docs["shas"])})
-    return out.astype({"doc_id": "Int64"})
+    doc_ids = docs["doc_ids"].tolist()
+    doc_ids += [None] * (size - len(doc_ids))
+    return pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "n_best": n_best, "count_sum": count_sum, "groups_sha256": list(docs["shas"])})
 
 
 def _vector(rows: DataFrame, how, size: int) -> np.ndarray:
