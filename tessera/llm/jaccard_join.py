@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,12 @@ from .components import connected_components
 from .near_dedup import shingles
 
 SIMILARITY_PERCENT = 80
-#: Characters of the corpus for which there is a bucket of hashes (some six make a shingle).
+#: Buckets of hashes: at least so many, more where a bucket would have more characters of the corpus than these (some six make
+#: a shingle). Documents go to buckets in packs.
+BUCKETS = 64
 BUCKET_CHARS = 36_000_000
+PACK_ROWS = 1000
+PACK_SHINGLES = 500_000
 #: Longs of a bitmap, and what a block of a region holds at most, but for single sets that are larger.
 WORDS = 16
 BLOCK_ROWS = 2000
@@ -42,8 +47,11 @@ BLOCK_SHINGLES = 1_000_000
 PAIRS = 200_000
 FANOUT = 4
 
-_DEALT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("tokens", pa.binary())])
-_FOUND = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("shared", pa.int64()), ("counts", pa.binary())])
+_PACKED = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("who", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("values", pa.binary())])
+_PACKED_SQL = "batch long, bucket int, ids array<long>, ns array<long>, who binary, keys binary, sizes binary, values binary"
+_FOUND = pa.list_(pa.struct([("bucket", pa.int32()), ("counts", pa.binary())]))
+_SURVIVING = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("found", _FOUND)])
+_SURVIVING_SQL = "doc_id long, n long, k1 long, k2 long, found array<struct<bucket:int,counts:binary>>"
 _MEMBERS = "rep long, n long, m long, slack long, least double, top long, prefix array<long>, bits array<long>, tokens binary"
 _FACTORS = np.random.default_rng(20240401).integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -61,50 +69,89 @@ def _key(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64).tolist())
 
 
+def _packs(number: int, ids: list[int | None], sets: list[np.ndarray], buckets: int) -> list[dict]:
+    """The rows of some documents: one of the documents, and one for each bucket with all their hashes in it, side by side."""
+    keys = [_key(s) if len(s) else (0, 0) for s in sets]
+    head = {"batch": number, "bucket": -1 - number % buckets, "ids": ids, "ns": [len(s) for s in sets], "keys": np.array(keys, np.int64).tobytes()}
+    used = [i for i, s in enumerate(sets) if len(s) and ids[i] is not None]
+    if not used:
+        return [head]
+    flat = np.concatenate([sets[i] for i in used])
+    owner = np.repeat(np.array(used, np.int32), [len(sets[i]) for i in used])
+    bucket = _bucket(flat, buckets).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")  # then by document, then by hash
+    flat, owner, bucket = _residue(flat[order], buckets), owner[order], bucket[order]
+    edges = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+    rows, key_of = [head], np.array(keys, np.int64)
+    for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if e > s:
+            starts = np.flatnonzero(np.diff(owner[s:e], prepend=-1))
+            who = owner[s:e][starts]
+            rows.append({"batch": number, "bucket": k, "who": who.tobytes(), "keys": key_of[who].tobytes(), "sizes": np.diff(np.append(starts, e - s)).astype(np.int32).tobytes(), "values": flat[s:e].tobytes()})
+    return rows
+
+
 def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document (bucket below 0) with its set's size and key, and its hashes by bucket."""
     take_turn("jaccard_join")
+    number = TaskContext.get().partitionId() << 32
+    ids, sets, size = [], [], 0
     for batch in batches:
-        for start in range(0, len(batch), 1000):
-            part = batch.slice(start, 1000)
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
-            sizes = np.fromiter(map(len, sets), np.int64)
-            keys = [_key(s) if len(s) else (None, None) for s in sets]
-            k1, k2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
-            ids = part.column(0)
-            place = pa.array((-1 - (np.arange(len(sets)) + start) % buckets).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([place, ids, pa.array(sizes), k1, k2, pa.nulls(len(sets), pa.binary())], schema=_DEALT)
-            used = [i for i, s in enumerate(sets) if len(s) and ids[i].is_valid]
-            if not used:
-                continue
-            flat = np.concatenate([sets[i] for i in used])
-            owner = np.repeat(np.array(used), sizes[used])
-            bucket = _bucket(flat, buckets).astype(np.int64)
-            starts = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0))
-            offsets = (np.append(starts, len(flat)) * 4).astype(np.int32)
-            slices = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_residue(flat, buckets).tobytes())])
-            who = pa.array(owner[starts])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.nulls(len(starts), pa.int64()), pa.nulls(len(starts), pa.int64()), k1.take(who), k2.take(who), slices], schema=_DEALT)
+        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            ids.append(doc_id.as_py())
+            sets.append(shingles(text.as_py()))
+            size += len(sets[-1])
+            if len(ids) >= PACK_ROWS or size >= PACK_SHINGLES:
+                yield pa.RecordBatch.from_pylist(_packs(number, ids, sets, buckets), _PACKED)
+                ids, sets, size, number = [], [], 0, number + 1
+    if ids:
+        yield pa.RecordBatch.from_pylist(_packs(number, ids, sets, buckets), _PACKED)
 
 
 def _occurring(bucket: pa.Table) -> pa.Table:
     """For each set's hashes of a bucket: in how many sets each occurs (16 bits, more counts as 65535); sets without one that
-    occurs twice are left out. Rows of documents pass."""
+    occurs twice are left out. Equal sets count once. Rows of documents pass."""
     if bucket.column("bucket")[0].as_py() < 0:
-        return pa.table([*bucket.select(["bucket", "doc_id", "n", "k1", "k2"]).columns, pa.array(np.zeros(len(bucket), np.int64)), pa.nulls(len(bucket), pa.binary())], schema=_FOUND)
-    rows = bucket.select(["bucket", "k1", "k2", "tokens"]).to_pandas().drop_duplicates(["k1", "k2"])
-    sizes = rows["tokens"].map(len).to_numpy() // 4
-    flat = np.frombuffer(b"".join(rows["tokens"]), np.uint32)
-    values, at, often = np.unique(flat, return_inverse=True, return_counts=True)
+        return bucket
+    rows = bucket.select(["batch", "bucket", "who", "keys", "sizes", "values"]).to_pylist()
+    who, sizes, keys = ([np.frombuffer(r[c], d) for r in rows] for c, d in (("who", np.int32), ("sizes", np.int32), ("keys", np.int64)))
+    owners = np.cumsum([0, *map(len, who)])
+    size, key = np.concatenate(sizes), np.concatenate(keys).reshape(-1, 2)
+    order = np.lexsort((key[:, 1], key[:, 0]))
+    again = np.zeros(len(key), bool)
+    again[order[1:]] = (key[order[1:]] == key[order[:-1]]).all(1)
+    values, at = np.unique(np.concatenate([np.frombuffer(r["values"], np.uint32) for r in rows]), return_inverse=True)
+    often = np.bincount(at[~np.repeat(again, size)], minlength=len(values))
     counts = np.minimum(often, 65535).astype(np.uint16)[at]
-    ends = np.cumsum(sizes)
-    shared = np.add.reduceat((counts > 1).astype(np.int64), ends - sizes)
-    keep = np.flatnonzero(shared)
-    data = counts.tobytes()
-    kept = rows.iloc[keep]
-    pieces = [data[2 * (ends[i] - sizes[i]) : 2 * ends[i]] for i in keep.tolist()]
-    none = pa.nulls(len(keep), pa.int64())
-    return pa.table([pa.array(kept["bucket"], pa.int32()), none, none, pa.array(kept["k1"], pa.int64()), pa.array(kept["k2"], pa.int64()), pa.array(shared[keep]), pa.array(pieces, pa.binary())], schema=_FOUND)
+    ends = np.cumsum(size)
+    shared = np.add.reduceat(counts > 1, ends - size, dtype=np.int32)
+    kept = shared > 0
+    counts = counts[np.repeat(kept, size)]
+    cuts = np.concatenate([[0], np.cumsum(np.where(kept, size, 0))])
+    out = []
+    for row, mine, s, e in zip(rows, who, owners[:-1].tolist(), owners[1:].tolist(), strict=True):
+        if kept[s:e].any():
+            out.append({"batch": row["batch"], "bucket": row["bucket"], "who": mine[kept[s:e]].tobytes(), "keys": shared[s:e][kept[s:e]].tobytes(), "sizes": size[s:e][kept[s:e]].tobytes(), "values": counts[cuts[s] : cuts[e]].tobytes()})
+    return pa.Table.from_pylist(out, _PACKED)
+
+
+def _surviving(batch: pa.Table) -> pa.Table:
+    """A row for each document of a batch; ``found`` (bucket, counts of its hashes) only where enough of them occur elsewhere."""
+    rows = batch.to_pylist()
+    head = next(r for r in rows if r["bucket"] < 0)
+    ns = np.array(head["ns"], np.int64)
+    keys = np.frombuffer(head["keys"], np.int64).reshape(-1, 2)
+    total = np.zeros(len(ns), np.int64)
+    pieces = [(r["bucket"], *(np.frombuffer(r[c], np.int32) for c in ("who", "keys", "sizes")), r["values"]) for r in rows if r["bucket"] >= 0]
+    for _, who, shared, _, _ in pieces:
+        total[who] += shared
+    enough = (100 * total >= SIMILARITY_PERCENT * ns) & (ns > 0)
+    found: dict[int, list[dict]] = {}
+    for bucket, who, _, sizes, values in pieces:
+        ends = np.cumsum(sizes)
+        for i in np.flatnonzero(enough[who]).tolist():
+            found.setdefault(int(who[i]), []).append({"bucket": bucket, "counts": values[2 * int(ends[i] - sizes[i]) : 2 * int(ends[i])]})
+    out = [{"doc_id": d, "n": n, "k1": k[0] if n else None, "k2": k[1] if n else None, "found": found.get(i)} for i, (d, n, k) in enumerate(zip(head["ids"], ns.tolist(), keys.tolist(), strict=True))]
+    return pa.Table.from_pylist(out, _SURVIVING)
 
 
 def _bits(tokens: np.ndarray) -> np.ndarray:
@@ -270,7 +317,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 def _within(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Links within the blocks of the regions of ``rows`` (region, rep, comp)."""
-    dealt = _blocks(rows.join(members.select("rep", "m", "least"), "rep"))
+    # stored, so that Spark knows its size: where it is small it is broadcast, and sets move once, to their region
+    dealt = stored(_blocks(rows.join(members.select("rep", "m", "least"), "rep")), "jaccard-blocks")
     beside = dealt.join(members.select("rep", "n", "m", "slack", "bits", "tokens"), "rep")
     return beside.groupBy("region", "block").applyInPandas(_linked, "a long, b long")
 
@@ -293,13 +341,14 @@ def _fitting(x: str, y: str) -> Column:
 
 def _across(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Links within and between the blocks of the regions of ``rows`` (region, rep, comp)."""
-    dealt = _blocks(rows.join(members.select("rep", "m", "least"), "rep"))
+    dealt = stored(_blocks(rows.join(members.select("rep", "m", "least"), "rep")), "jaccard-blocks")
     nodes = stored(_bounds(dealt.join(members.select("rep", "n", "m", "slack", "bits"), "rep")), "jaccard-nodes")
     x, y = nodes.alias("x"), nodes.alias("y")
     pairs = x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.block") <= F.col("y.block"))).filter(_fitting("x", "y"))
     pairs = pairs.select(F.col("x.region").alias("region"), F.col("x.block").alias("one"), F.col("y.block").alias("other"))
     asked = pairs.select("region", "one", "other", F.explode(F.array_distinct(F.array("one", "other"))).alias("block"))
-    beside = dealt.join(asked, ["region", "block"]).join(members.select("rep", "n", "m", "slack", "bits", "tokens"), "rep")
+    placed = stored(dealt.join(asked, ["region", "block"]), "jaccard-pairs")
+    beside = placed.join(members.select("rep", "n", "m", "slack", "bits", "tokens"), "rep")
     return beside.groupBy("region", "one", "other").applyInPandas(_linked, "a long, b long")
 
 
@@ -321,17 +370,16 @@ def sets_that_may_link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n, k1, k2) for each row, with the size and key of its set; the sets that may link, see _MEMBERS)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = int(max(8, -(-chars // BUCKET_CHARS)))
-    dealt = texts.mapInArrow(lambda batches: _dealt(batches, buckets), "bucket int, doc_id long, n long, k1 long, k2 long, tokens binary")
-    found = stored(dealt.groupBy("bucket").applyInArrow(_occurring, "bucket int, doc_id long, n long, k1 long, k2 long, shared long, counts binary"), "jaccard-counts")
-    features = found.filter("bucket < 0").select("doc_id", "n", "k1", "k2")
-    classes = features.filter("doc_id is not null and k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    pieces = found.filter("bucket >= 0")
-    enough = pieces.groupBy("k1", "k2").agg(F.sum("shared").alias("shared")).join(classes, ["k1", "k2"]).filter(100 * F.col("shared") >= SIMILARITY_PERCENT * F.col("n"))
-    enough = stored(enough.select("k1", "k2", "rep", "n"), "jaccard-classes")
-    counts = pieces.join(enough.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "counts")).alias("found"))  # at most a set's own
-    asked = enough.join(counts, ["k1", "k2"])
-    whole = texts.filter("text is not null").join(asked, F.col("doc_id") == F.col("rep")).select("rep", "k1", "k2", "n", "text", "found")
+    buckets = int(max(BUCKETS, -(-chars // BUCKET_CHARS)))
+    dealt = texts.mapInArrow(lambda batches: _dealt(batches, buckets), _PACKED_SQL)
+    counted = dealt.groupBy("bucket").applyInArrow(_occurring, _PACKED_SQL)
+    found = stored(counted.groupBy("batch").applyInArrow(_surviving, _SURVIVING_SQL), "jaccard-documents")
+    features = found.select("doc_id", "n", "k1", "k2")
+    kept = found.filter("found is not null").groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "n", "found"), "doc_id").alias("d"))
+    asked = kept.select("k1", "k2", F.col("d.doc_id").alias("rep"), F.col("d.n").alias("n"), F.col("d.found").alias("found"))
+    reps = stored(asked.select("rep"), "jaccard-reps")
+    # only the texts of these documents move
+    whole = texts.filter("text is not null").join(reps, F.col("doc_id") == F.col("rep"), "left_semi").join(asked, F.col("doc_id") == F.col("rep")).select("rep", "k1", "k2", "n", "text", "found")
     return features, stored(whole.mapInPandas(lambda batches: _members(batches, buckets), _MEMBERS), "jaccard-members")
 
 
