@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -47,3 +48,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    """Removes a folder or file of any file system that Spark can write to; False if there is none."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A name for the present state of some tables on disk: paths, sizes and times of their files. No file is read."""
+    mark = hashlib.sha256()
+    for path in paths:
+        files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+        mark.update(repr([path, files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()]).encode())
+    return mark.hexdigest()[:24]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.markup import visible_text
 
 LEAST_CHARS = 200
 # Codes below 500 that are worth another try.
@@ -15,10 +19,11 @@ def status_class(code: Column) -> Column:
     return F.when(code.isin(*RETRIED) | (code >= 500), "transient").when(code >= 400, "tombstone").otherwise("ok")
 
 
-def page_text(html: Column) -> Column:
-    """The visible text of a page, white space as single spaces; scripts, styles and comments left out."""
-    bare = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+@F.pandas_udf(T.StringType())
+def page_text(pages: pd.Series) -> pd.Series:
+    """The visible text of a page, references decoded, white space as single spaces; scripts, styles, titles, templates and
+    comments left out. Null counts as empty."""
+    return pages.map(visible_text).astype(object)
 
 
 def build_snapshots(fetches: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.recovery import written
 from ..functions.terms import terms
+from ..sources.keyed import BUCKETS, KeyedTables
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
@@ -21,6 +22,13 @@ BLOCK_QUERIES = 2000
 BLOCK_VECTORS = 20_000
 
 
+#: Postings of a query's rarest terms that are scored first, for a score that the k-th best reaches at least.
+SEED_POSTINGS = 2000
+
+PASSAGES = "target_version string, passage_id string, ord int, char_start int, char_end int, text string, parent_block string, length long"
+POSTINGS = "term string, passage_id string, target_version string, length long, tf long"
+
+
 @dataclass
 class LexicalIndex:
     """postings (term, passage_id, target_version, length, tf), where length is the passage's number of terms; frequencies
@@ -31,12 +39,30 @@ class LexicalIndex:
     totals: DataFrame
 
 
+def index_rows(passages: DataFrame) -> dict[str, DataFrame]:
+    """passages (with the number of terms, ``length``) and postings of passages that C4 cuts, as an index folder holds them. Term
+    counts are summed before the shuffle."""
+    found = passages.withColumn("_terms", terms(F.col("text"))).withColumn("length", F.size("_terms").cast("long"))
+    postings = found.select("passage_id", "target_version", "length", F.explode("_terms").alias("term")).groupBy("term", "passage_id", "target_version", "length").agg(F.count("*").alias("tf"))
+    return {"passages": found.drop("_terms"), "postings": postings}
+
+
+def index_folder(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> KeyedTables:
+    """A lexical index on disk, whose rows are replaced by target_version."""
+    return KeyedTables(spark, folder, {"passages": PASSAGES, "postings": POSTINGS}, "target_version", buckets)
+
+
+def open_index(tables: KeyedTables) -> tuple[DataFrame, LexicalIndex]:
+    """(passages, index) of an index folder as it is now."""
+    passages, postings = tables.read("passages"), tables.read("postings")
+    return passages, LexicalIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), passages.agg(F.count("*").alias("passages"), F.avg("length").alias("average")))
+
+
 def build_index(passages: DataFrame) -> LexicalIndex:
-    """The index of (passage_id, target_version, text). Term counts are summed before the shuffle; postings are stored, so a
-    query doesn't build them anew for frequencies and scores."""
-    found = passages.select("passage_id", "target_version", terms(F.col("text")).alias("terms")).withColumn("length", F.size("terms").cast("long"))
-    postings = written(found.select("passage_id", "target_version", "length", F.explode("terms").alias("term")).groupBy("term", "passage_id", "target_version", "length").agg(F.count("*").alias("tf")), "postings")
-    return LexicalIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), found.agg(F.count("*").alias("passages"), F.avg("length").alias("average")))
+    """The index of (passage_id, target_version, text), its postings in a table for this one use."""
+    rows = index_rows(passages)
+    postings = written(rows["postings"], "postings")
+    return LexicalIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), rows["passages"].agg(F.count("*").alias("passages"), F.avg("length").alias("average")))
 
 
 def query_terms(queries: DataFrame, mode: str = "any") -> DataFrame:
@@ -83,19 +109,38 @@ def term_frequencies(queries: DataFrame, index: LexicalIndex, mode: str = "any")
     return asked.join(index.frequencies, "term", "left").select("query_id", "term", "times", "mode", "df")
 
 
-def bm25(asked: DataFrame, index: LexicalIndex, live: DataFrame | None = None) -> DataFrame:
-    """(query_id, passage_id, target_version, score, matched): scores of all passages with a term of the query, negative
-    is better. ``live`` restricts what is returned, not the statistics.
+def _part(times: Column, idf: Column) -> Column:
+    """What a term adds to a passage's score, which is negative."""
+    return times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
 
-    Only the postings of asked terms are kept, before anything else is joined to them.
-    """
-    weighed = asked.join(index.frequencies, "term").crossJoin(F.broadcast(index.totals))  # totals: one row
+
+def _weighed(asked: DataFrame, index: LexicalIndex) -> DataFrame:
+    """(query_id, term, times, average, df, idf, bound): the asked terms that the index has; bound is the most that one adds to
+    a passage's score. Only the postings of asked terms are read for it."""
+    wanted = asked.select("term").distinct()
+    one = (F.lit(1.0), F.lit(1.0))
+    held = index.postings.join(wanted, "term", "left_semi").crossJoin(F.broadcast(index.totals))  # totals: one row
+    stats = held.groupBy("term").agg(F.count("*").alias("df"), F.max(_part(*one)).alias("most"), F.first("passages").alias("passages"), F.first("average").alias("average"))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weighed = weighed.select("query_id", "term", "times", "average", idf.alias("idf"))
-    hits = index.postings.join(weighed, "term")
+    rows = asked.join(stats, "term").withColumn("idf", idf)
+    return rows.select("query_id", "term", "times", "average", "df", "idf", (F.col("times") * F.col("idf") * F.col("most")).alias("bound"))
+
+
+def _scored(weighed: DataFrame, index: LexicalIndex, live: DataFrame | None) -> DataFrame:
+    hits = index.postings.join(weighed.select("query_id", "term", "times", "average", "idf"), "term")
     hits = hits if live is None else hits.join(live, "target_version", "left_semi")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    return hits.groupBy("query_id", "passage_id", "target_version").agg((-F.sum(part)).alias("score"), F.count("*").alias("matched"))
+    return hits.groupBy("query_id", "passage_id", "target_version").agg((-F.sum(_part(F.col("times"), F.col("idf")))).alias("score"), F.count("*").alias("matched"))
+
+
+def bm25(asked: DataFrame, index: LexicalIndex, live: DataFrame | None = None) -> DataFrame:
+    """(query_id, passage_id, target_version, score, matched): scores of all passages with a term of the query, negative
+    is better. ``live`` restricts what is returned, not the statistics. Only the postings of asked terms are read."""
+    return _scored(_weighed(asked, index), index, live)
+
+
+def _kth(scored: DataFrame, k: int) -> DataFrame:
+    """(query_id, reach): the k-th best score of each query that has so many, as a positive number."""
+    return top(scored.select("query_id", "score"), k, F.col("score")).groupBy("query_id").agg((-F.max("score")).alias("reach"), F.count("*").alias("n")).filter(F.col("n") == k).drop("n")
 
 
 def top(rows: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
@@ -104,7 +149,30 @@ def top(rows: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFr
 
 
 def lexical_search(queries: DataFrame, index: LexicalIndex, k: int, live: DataFrame | None = None) -> DataFrame:
-    return top(bm25(query_terms(queries), index, live), k, F.round("score", 9), F.col("passage_id")).drop("matched")
+    """(query_id, passage_id, target_version, score, rank): the k best passages of each query by BM25, exact, without scoring
+    all postings of common terms.
+
+    The postings of a query's rarest terms give a score that its k-th best passage reaches at least. Terms whose bounds
+    together stay below it can't bring a passage in by themselves: only the other terms' postings are joined. Of the passages
+    found so, those that could still get in with all that is left are looked up in the common terms' postings, by term and passage.
+    """
+    weighed = written(_weighed(query_terms(queries), index), "weights")
+    rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = weighed.withColumn("ahead", F.coalesce(F.sum("df").over(rare), F.lit(0))).filter(F.col("ahead") < SEED_POSTINGS)
+    reach = _kth(_scored(seeds, index, live), k)
+    small = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    slack = 1e-6  # sums of parts in another order may differ by less
+    split = written(weighed.withColumn("below", F.sum("bound").over(small)).join(reach, "query_id", "left").withColumn("common", F.coalesce(F.col("below") < F.col("reach") - slack, F.lit(False))), "split-weights")
+    essential, common = split.filter("not common"), split.filter("common")
+    found = written(_scored(essential, index, live).drop("matched"), "scores")
+    left = common.groupBy("query_id").agg(F.sum("bound").alias("left"))
+    open_ = found.join(left, "query_id").join(_kth(found, k), "query_id", "left").filter(-F.col("score") + F.col("left") >= F.coalesce("reach", F.lit(0.0)) - slack)
+    open_ = written(open_.select("query_id", "passage_id", "target_version", "score"), "open-scores")
+    asked = open_.select("query_id", "passage_id").join(common.select("query_id", "term", "times", "average", "idf"), "query_id")
+    added = index.postings.join(asked, ["term", "passage_id"]).groupBy("query_id", "passage_id").agg(F.sum(_part(F.col("times"), F.col("idf"))).alias("more"))
+    settled = found.join(left.select("query_id"), "query_id", "left_anti")
+    more = open_.join(added, ["query_id", "passage_id"], "left").withColumn("score", F.col("score") - F.coalesce("more", F.lit(0.0))).drop("more")
+    return top(settled.unionByName(more), k, F.round("score", 9), F.col("passage_id"))
 
 
 def prefix_search(queries: DataFrame, index: LexicalIndex, notes: DataFrame, cap: int = PREFIX_CAP) -> DataFrame:
@@ -117,15 +185,33 @@ def prefix_search(queries: DataFrame, index: LexicalIndex, notes: DataFrame, cap
     return per_note.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best")).cast("long")).drop("best")
 
 
-def search_all_or_any(queries: DataFrame, index: LexicalIndex, limit: int = 5) -> DataFrame:
+SNIPPET_CHARS = 240
+
+
+def preview(text: Column, size: int = SNIPPET_CHARS) -> Column:
+    """A text on one line, white space as single spaces; a longer one is cut at ``size`` and marked with three dots."""
+    flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.when(F.length(flat) <= size, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, size)), F.lit("...")))
+
+
+def search_all_or_any(queries: DataFrame, index: LexicalIndex, limit: int = 5, classes: DataFrame | None = None, passages: DataFrame | None = None) -> DataFrame:
     """(query_id, passage_id, target_version, score, fallback, rank): passages with all terms of a query; for queries
-    without one, passages with any."""
+    without one, passages with any.
+
+    With ``classes`` (target_version, class), a query whose own ``class`` isn't null finds passages of that class alone, also
+    for the choice between all and any. With ``passages``, hits carry a ``snippet``, the beginning of their text on one line.
+    """
     asked = query_terms(queries)
     needed = asked.groupBy("query_id").agg(F.count("*").alias("needed"))
     scored = bm25(asked, index).join(needed, "query_id")
+    if classes is not None:
+        wanted = queries.select("query_id", F.col("class").alias("wanted"))
+        scored = scored.join(wanted, "query_id").join(classes, "target_version", "left").filter(F.col("wanted").isNull() | (F.col("class") == F.col("wanted"))).drop("wanted", "class")
+    scored = written(scored, "class-scores")  # read twice
     whole = scored.groupBy("query_id").agg(F.max((F.col("matched") == F.col("needed")).cast("int")).alias("any_whole"))
     kept = scored.join(whole, "query_id").filter((F.col("any_whole") == 0) | (F.col("matched") == F.col("needed"))).withColumn("fallback", F.col("any_whole") == 0)
-    return top(kept, limit, F.round("score", 9), F.col("passage_id")).select("query_id", "passage_id", "target_version", "score", "fallback", "rank")
+    hits = top(kept, limit, F.round("score", 9), F.col("passage_id")).select("query_id", "passage_id", "target_version", "score", "fallback", "rank")
+    return hits if passages is None else hits.join(passages.select("passage_id", preview(F.col("text")).alias("snippet")), "passage_id")
 
 
 def hashed_words(texts: list[str], width: int = 64) -> np.ndarray:

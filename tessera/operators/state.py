@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import content_key
 from ..functions.recovery import checkpointed, numbered
+from ..sources.keyed import KeyedTables
+from . import search, text
 
 PREFIX_PASSES = 36
 PURGED = "[purged]"
@@ -116,7 +118,8 @@ def without_noops(log: DataFrame) -> DataFrame:
 
 
 def purge(versions: DataFrame, annotations: DataFrame, passages: DataFrame, listed: DataFrame, at: Column) -> dict[str, DataFrame]:
-    """Overwrites the whole chains of the listed notes with a marker, drops their AI annotations and index rows."""
+    """Overwrites the whole chains of the listed notes with a marker, drops their AI annotations and index rows. ``touched`` are
+    the versions whose rows an index on disk must replace, see purge_index."""
     hit = versions.join(listed.select("note_id").distinct(), "note_id", "left_semi").select("version_id")
     marked = versions.join(hit.withColumn("_hit", F.lit(True)), "version_id", "left")
     done = F.col("_hit").isNotNull()
@@ -124,9 +127,18 @@ def purge(versions: DataFrame, annotations: DataFrame, passages: DataFrame, list
         "versions": marked.withColumns({"body": F.when(done, F.lit(PURGED)).otherwise(F.col("body")), "purged_at": F.when(done, at).otherwise(F.col("purged_at"))}).drop("_hit"),
         "annotations": annotations.join(hit.withColumnRenamed("version_id", "source_version").withColumn("source", F.lit("ai")), ["source_version", "source"], "left_anti").select(annotations.columns),
         "passages": passages.join(hit.withColumnRenamed("version_id", "target_version"), "target_version", "left_anti"),
+        "touched": hit.withColumnRenamed("version_id", "target_version"),
     }
 
 
+def purge_index(tables: KeyedTables, batch: str, purged: dict[str, DataFrame], live: DataFrame) -> bool:
+    """Takes the purged versions out of an index on disk as one step; live heads (target_version) among them are indexed anew with
+    the marker that they hold now. False if this batch has been done before."""
+    touched = purged["touched"]
+    marked = purged["versions"].select(F.col("version_id").alias("target_version"), "body").join(touched, "target_version", "left_semi").join(live, "target_version", "left_semi")
+    return tables.replace(batch, touched, **search.index_rows(text.chunk(marked)))
+
+
 def resolve_prefixes(prefixes: DataFrame, notes: DataFrame, versions: DataFrame, include_deleted: bool = False) -> tuple[DataFrame, DataFrame]:
     """((prefix, outcome, candidates, note_id), (prefix, note_id, created, summary, deleted)): what each prefix is, unique,
     ambiguous or missing, with the smallest id that it begins; and the candidates, a row each.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+@dataclass(frozen=True)
+class Reader:
+    """Reads a folder's tables by their logical names."""
+
+    spark: SparkSession
+    sf_dir: str
+
+    def __call__(self, table: str) -> DataFrame:
+        return logical(self.spark, self.sf_dir, table)
+
+
 def query(name: str, sql: str | None = None, *tables: str):
     """Registers a query that gets a reader of logical tables; ``sql`` follows the definitions of ``tables``."""
 
     def add(build):
-        QUERIES[name] = lambda spark, sf_dir: build(lambda table: logical(spark, sf_dir, table))
+        QUERIES[name] = lambda spark, sf_dir: build(Reader(spark, sf_dir))
         if sql is not None:
             SQL[name] = f"{prelude(*tables)}\n{sql}" if any(t for t in tables) else sql
         return build
@@ -196,13 +208,18 @@ def _(t):
     return state.ingest(rows)
 
 
-_TEXT = r"trim(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+# The oracle takes pages apart at "<": what stands in an open script, style or title is told by counting their tags.
+_PIECES = """pieces AS (SELECT page_id, unnest(string_split(coalesce(html, ''), '<')) AS piece, unnest(range(len(string_split(coalesce(html, ''), '<')))) AS k FROM pages),
+kinds AS (SELECT *, CASE WHEN k > 0 AND regexp_matches(piece, '^(?i)(script|style|title)[ >]') THEN 1 WHEN regexp_matches(piece, '^(?i)/(script|style|title) *>') THEN -1 ELSE 0 END AS opens FROM pieces),
+shown AS (SELECT page_id, k, sum(opens) OVER (PARTITION BY page_id ORDER BY k) AS depth, CASE WHEN k = 0 THEN piece WHEN starts_with(piece, '!--') THEN split_part(piece, '-->', 2) ELSE substr(piece, strpos(piece, '>') + 1) END AS t FROM kinds),
+joined AS (SELECT page_id, string_agg(CASE WHEN depth > 0 THEN '' ELSE t END, ' ' ORDER BY k) AS t FROM shown GROUP BY 1),
+texts AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM joined)"""
 _CODE = "CASE WHEN page_id % 13 = 0 THEN 404 WHEN page_id % 17 = 0 THEN 503 WHEN page_id % 19 = 0 THEN 429 ELSE 200 END"
 
 
 @query(
     "b10_page_snapshots",
-    f"""WITH p AS (SELECT concat('x', page_id) AS external_id, {_CODE} AS code, {_TEXT} AS text FROM pages)
+    f"""WITH {_PIECES}, p AS (SELECT concat('x', page_id) AS external_id, {_CODE} AS code, text FROM texts)
 SELECT external_id, CASE WHEN code = 404 OR length(text) < 200 THEN 'tombstone' ELSE 'ok' END AS status, CASE WHEN code = 404 THEN '[tombstone: http_404]' WHEN length(text) < 200 THEN '[tombstone: empty_extract]' ELSE text END AS body FROM p WHERE code NOT IN (503, 429)""",
 )
 def _(t):
@@ -322,18 +339,33 @@ def _(t):
 
 @query(
     "g3_egress_gate",
-    r""", i AS (SELECT doc_id // 100 AS batch_id, note_id AS target_id, len(regexp_extract_all(body, 'token = "[0-9a-f]+"')) AS n FROM doc_notes WHERE NOT no_egress)
-SELECT batch_id, count(DISTINCT target_id) AS sent, count(*) FILTER (n > 0) AS redacted, CAST(coalesce(sum(n), 0) AS BIGINT) AS spans FROM i GROUP BY 1""",
+    r""", l AS (SELECT doc_id, note_id, unnest(string_split(body, chr(10))) AS text, unnest(range(len(string_split(body, chr(10))))) AS line FROM doc_notes WHERE NOT no_egress),
+i AS (SELECT doc_id // 100 AS batch_id, note_id AS target_id, doc_id * 1000000 + line AS ord, len(regexp_extract_all(text, 'token = "[0-9a-f]+"')) AS n FROM l),
+t AS (SELECT batch_id, target_id, coalesce(arg_max(n, ord) FILTER (n > 0), 0) AS spans FROM i GROUP BY ALL)
+SELECT batch_id, count(*) AS sent, md5(string_agg(target_id, ',' ORDER BY ord)) AS sent_digest, (SELECT count(*) FROM t WHERE t.batch_id = i.batch_id AND spans > 0) AS redacted, (SELECT CAST(sum(spans) AS BIGINT) FROM t WHERE t.batch_id = i.batch_id) AS spans FROM i GROUP BY batch_id""",
     "doc_notes",
 )
 def _(t):
     from ..operators.text import SECRETS, TOKEN_ASSIGNMENT
 
-    items = t("doc_notes").select(F.expr("doc_id div 100").alias("batch_id"), F.col("note_id").alias("target_id"), F.col("body").alias("text"), "no_egress")
-    audit = egress.gate(items, "qa", "m1", SECRETS | TOKEN_ASSIGNMENT)[2]
+    # each line of a document is a passage of it
+    lines = t("doc_notes").select("doc_id", F.col("note_id").alias("target_id"), "no_egress", F.posexplode(F.split("body", "\n")).alias("line", "text"))
+    items = lines.select(F.expr("doc_id div 100").alias("batch_id"), (F.col("doc_id") * 1_000_000 + F.col("line")).alias("ord"), "target_id", "text", "no_egress")
+    rows = egress.audit_rows(egress.gate(items, SECRETS | TOKEN_ASSIGNMENT)[2], "qa", "m1")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     r = F.map_values(F.coalesce("redactions", none))
-    return audit.select("batch_id", F.size("sent_targets").cast("long").alias("sent"), F.size(r).cast("long").alias("redacted"), F.aggregate(r, F.lit(0).cast("long"), lambda s, x: s + x).alias("spans"))
+    total = F.aggregate(r, F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select("batch_id", F.size("sent_targets").cast("long").alias("sent"), F.md5(F.array_join("sent_targets", ",")).alias("sent_digest"), F.size(r).cast("long").alias("redacted"), total.alias("spans"))
+
+
+@query(
+    "g3_withheld",
+    "SELECT doc_id // 100 AS batch_id, count(*) AS withheld FROM doc_notes WHERE no_egress GROUP BY 1",
+    "doc_notes",
+)
+def _(t):
+    items = t("doc_notes").select(F.expr("doc_id div 100").alias("batch_id"), F.col("doc_id").alias("ord"), F.col("note_id").alias("target_id"), F.col("body").alias("text"), "no_egress")
+    return egress.gate(items)[1].groupBy("batch_id").agg(F.count("*").alias("withheld"))
 
 
 @query("g4_audit_list", " SELECT id, ts, model FROM egress_log WHERE purpose = 'qa'", "egress_log")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.recovery import written
-from ..operators import claims, context, evaluate, search, text
+from ..functions.recovery import fingerprint, fresh_folder, shared_base, written
+from ..operators import claims, context, evaluate, search, state, text
 from .relational import query
 
 # Passages of the search queries are those of C4 with its own sizes, over version d<id>.1 of each document.
@@ -62,10 +62,29 @@ best AS (SELECT query_id, passage_id, target_version, score, row_number() OVER (
 _GRAPH = """, g AS (SELECT from_id, to_id, max(CASE WHEN source = 'user' THEN 1 ELSE 0 END) AS u FROM edges WHERE status = 'fresh' GROUP BY ALL)"""
 
 
-def _passages(t) -> DataFrame:
-    rows = written(text.chunk(t("doc_notes").select(F.col("head_version_id").alias("target_version"), "body")), "passages")
+def _named(passages: DataFrame) -> DataFrame:
     note = F.regexp_extract("target_version", r"^(.*)\.1$", 1)
-    return rows.withColumns({"note_id": note, "doc_id": F.substring(note, 2, 40).cast("long")})
+    return passages.withColumns({"note_id": note, "doc_id": F.substring(note, 2, 40).cast("long")})
+
+
+def _opened(t) -> tuple[DataFrame, search.LexicalIndex]:
+    """(passages, index) of the corpus: one index folder for the present state of its tables, built by the first query that
+    asks for it and read by all others."""
+    mark = fingerprint(t.spark, *(f"{t.sf_dir}/{table}.parquet" for table in ("documents", "labels")))
+    tables = search.index_folder(t.spark, f"{shared_base(t.spark)}/index-{mark}")
+    if not tables.exists():
+        heads = t("doc_notes").select(F.col("head_version_id").alias("target_version"), "body")
+        tables.replace("all", heads, **search.index_rows(written(text.chunk(heads), "passages")))
+    passages, index = search.open_index(tables)
+    return _named(passages), index
+
+
+def _passages(t) -> DataFrame:
+    return _opened(t)[0]
+
+
+def _index(t) -> search.LexicalIndex:
+    return _opened(t)[1]
 
 
 def _live(t) -> DataFrame:
@@ -81,11 +100,11 @@ def _query_vectors(t) -> DataFrame:
 
 
 def _lexical(t, k: int = 10) -> DataFrame:
-    return search.lexical_search(t("questions"), search.build_index(_passages(t)), k, _live(t))
+    return written(search.lexical_search(t("questions"), _index(t), k, _live(t)), "lexical")
 
 
 def _fused(t) -> DataFrame:
-    return search.fuse(_lexical(t), search.knn(_query_vectors(t), _vectors(t), 10, _live(t)))
+    return written(search.fuse(_lexical(t), search.knn(_query_vectors(t), _vectors(t), 10, _live(t))), "fused")
 
 
 # C: passages
@@ -141,7 +160,7 @@ def _(t):
 
 @query("e1_index", _P + " SELECT term, df, CAST(cf AS BIGINT) AS cf FROM freq JOIN (SELECT term, sum(tf) AS cf FROM post GROUP BY 1) USING (term)", "doc_notes")
 def _(t):
-    index = search.build_index(_passages(t))
+    index = _index(t)
     return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -152,13 +171,13 @@ def _(t):
 
 @query("e3_query_terms", _P + _ask("q", "question") + " SELECT query_id, term, times, df FROM q LEFT JOIN freq USING (term)", "doc_notes", "questions")
 def _(t):
-    return search.term_frequencies(t("questions"), search.build_index(_passages(t))).select("query_id", "term", "times", "df")
+    return search.term_frequencies(t("questions"), _index(t)).select("query_id", "term", "times", "df")
 
 
 @query("e3_prefix_terms", _P + _ask("q", "substr(question, 1, 7)") + " SELECT query_id, term, times, (SELECT count(*) FROM freq WHERE starts_with(freq.term, q.term)) AS df FROM q", "doc_notes", "questions")
 def _(t):
     asked = t("questions").withColumn("question", F.substring("question", 1, 7))
-    rows = search.term_frequencies(asked, search.build_index(_passages(t)), "prefix")
+    rows = search.term_frequencies(asked, _index(t), "prefix")
     return rows.select("query_id", "term", "times", F.coalesce("df", F.lit(0)).alias("df"))
 
 
@@ -182,20 +201,29 @@ def _(t):
 )
 def _(t):
     asked = t("questions").withColumn("question", F.substring("question", 1, 7))
-    rows = search.prefix_search(asked, search.build_index(_passages(t)), t("doc_notes").filter("doc_id % 10 <> 0").select("note_id", "head_version_id"))
+    rows = search.prefix_search(asked, _index(t), t("doc_notes").filter("doc_id % 10 <> 0").select("note_id", "head_version_id"))
     return rows.filter("rank <= 20").withColumn("score", F.round("score", 6))
 
 
+_SNIPPET = r"""CASE WHEN length(flat) <= 240 THEN flat ELSE concat(rtrim(substr(flat, 1, 240)), '...') END"""
+
+
 @query(
     "e5_all_or_any",
-    _P + _ask("q", "question") + ", n AS (SELECT query_id, count(*) AS needed FROM q GROUP BY 1)" + _score("s", "q")
-    + ", m AS (SELECT s.*, needed, max(CASE WHEN matched = needed THEN 1 ELSE 0 END) OVER (PARTITION BY s.query_id) AS whole FROM s JOIN n ON n.query_id = s.query_id)"
-    + " SELECT query_id, passage_id, round(score, 6) AS score, whole = 0 AS fallback, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), passage_id) AS rank FROM m WHERE whole = 0 OR matched = needed QUALIFY rank <= 5",
+    _P + _ask("q", "question") + ", n AS (SELECT query_id, count(*) AS needed FROM q GROUP BY 1)" + _score("s0", "q")
+    + """, s AS (SELECT s0.*, lang FROM s0 JOIN p USING (passage_id) JOIN documents d ON d.doc_id = p.doc_id WHERE query_id % 3 <> 0 OR lang = CASE WHEN query_id % 2 = 0 THEN 'en' ELSE 'de' END)
+, m AS (SELECT s.*, needed, max(CASE WHEN matched = needed THEN 1 ELSE 0 END) OVER (PARTITION BY s.query_id) AS whole FROM s JOIN n ON n.query_id = s.query_id),
+h AS (SELECT query_id, passage_id, round(score, 6) AS score, whole = 0 AS fallback, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), passage_id) AS rank FROM m WHERE whole = 0 OR matched = needed QUALIFY rank <= 5),
+b AS (SELECT passage_id, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS flat FROM p)"""
+    + f" SELECT query_id, passage_id, score, fallback, rank, md5({_SNIPPET}) AS snippet FROM h JOIN b USING (passage_id)",
     "doc_notes", "questions",
 )
 def _(t):
-    rows = search.search_all_or_any(t("questions"), search.build_index(_passages(t)))
-    return rows.select("query_id", "passage_id", F.round("score", 6).alias("score"), "fallback", "rank")
+    passages, index = _opened(t)
+    asked = t("questions").withColumn("class", F.expr("CASE WHEN query_id % 3 = 0 THEN CASE WHEN query_id % 2 = 0 THEN 'en' ELSE 'de' END END"))
+    classes = t("documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".1")).alias("target_version"), F.col("lang").alias("class"))
+    rows = search.search_all_or_any(asked, index, classes=classes, passages=passages)
+    return rows.select("query_id", "passage_id", F.round("score", 6).alias("score"), "fallback", "rank", F.md5("snippet").alias("snippet"))
 
 
 @query("e6_embed")
@@ -288,14 +316,21 @@ def _(t):
 
 @query("e15_retrieval", _E2 + _E8 + _E9 + _E10 + _GRAPH + _TIERS + " SELECT query_id, passage_id, tier, rank FROM ranked", "doc_notes", "questions", "edges")
 def _(t):
-    passages = _passages(t)
-    out = context.retrieve(t("questions"), search.build_index(passages), _query_vectors(t), _vectors(t), _live(t), passages, t("edges"), _heads(t), _doc_versions(t), t("snapshots"), t("externals"), k=10, cut=20)
+    passages, index = _opened(t)
+    out = context.retrieve(t("questions"), index, _query_vectors(t), _vectors(t), _live(t), passages, t("edges"), _heads(t), _doc_versions(t), t("snapshots"), t("externals"), k=10, cut=20)
     return out.select("query_id", "passage_id", "tier", "rank")
 
 
 _NEAR20 = _E8.replace("IN (SELECT query_id FROM questions)", "IN (SELECT doc_id FROM drafts)").replace("rank <= 10", "rank <= 20").replace("SELECT a.vec_id AS query_id", "SELECT concat('d', a.vec_id) AS query_id")
 
 
+# Notes of the related list are as old as their number says; now is fixed.
+_CREATED, _NOW = 1_704_067_200, 1_767_225_600
+_SECONDS = f"greatest({_NOW} - ({_CREATED} + o.doc_id * 5000), 0)"
+_AGE = f"""(SELECT CASE WHEN s < 60 THEN 'just now' ELSE concat(greatest(s // u, 1), ' ', w, CASE WHEN greatest(s // u, 1) = 1 THEN '' ELSE 's' END, ' ago') END
+ FROM (SELECT {_SECONDS} AS s), (VALUES (3600, 60, 'minute'), (86400, 3600, 'hour'), (604800, 86400, 'day'), (2592000, 604800, 'week'), (31536000, 2592000, 'month'), (9000000000000, 31536000, 'year')) AS steps(below, u, w) WHERE s < below ORDER BY below LIMIT 1)"""
+
+
 @query(
     "e16_related",
     _P + f""", drafts AS (SELECT note_id, doc_id, {_TERMS.format("body")} AS ts FROM doc_notes WHERE doc_id % 20 = 0 AND length(trim(body)) >= 20),
@@ -303,18 +338,35 @@ q AS (SELECT note_id AS query_id, term, count(*) AS times FROM (SELECT note_id,
     + _score("s", "q", _HEADS_ONLY)
     + ", lex AS (SELECT query_id, passage_id, target_version, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), passage_id) AS rank FROM s QUALIFY rank <= 20)"
     + _NEAR20 + _E9 + ", best AS (SELECT * FROM fused)" + _GRAPH + _TIERS
-    + """, o AS (SELECT ranked.query_id, p.note_id, passage_id, rank, body FROM ranked JOIN p USING (passage_id) WHERE tier IN (1, 2, 5) AND p.note_id <> ranked.query_id QUALIFY row_number() OVER (PARTITION BY ranked.query_id, p.note_id ORDER BY rank) = 1)
-SELECT query_id, note_id, passage_id, substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 80) AS snippet, row_number() OVER (PARTITION BY query_id ORDER BY o.rank) AS rank FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o.rank) <= 5""",
+    + """, o AS (SELECT ranked.query_id, p.note_id, p.doc_id, passage_id, rank, body FROM ranked JOIN p USING (passage_id) WHERE tier IN (1, 2, 5) AND p.note_id <> ranked.query_id QUALIFY row_number() OVER (PARTITION BY ranked.query_id, p.note_id ORDER BY rank) = 1)
+SELECT query_id, note_id, passage_id, substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 80) AS snippet, """ + _AGE + """ AS age, row_number() OVER (PARTITION BY query_id ORDER BY o.rank) AS rank FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o.rank) <= 5""",
     "doc_notes", "edges",
 )
 def _(t):
-    passages = _passages(t)
+    passages, index = _opened(t)
     drafts = t("doc_notes").filter((F.col("doc_id") % 20 == 0) & (F.length(F.trim("body")) >= 20)).select(F.col("note_id").alias("query_id"), F.col("body").alias("question"))
     vectors = _vectors(t)
     asked = vectors.select(F.concat(F.lit("d"), "vec_id").alias("query_id"), "vector").join(drafts.select("query_id"), "query_id", "left_semi")
-    fused = search.fuse(search.lexical_search(drafts, search.build_index(passages), 20, _live(t)), search.knn(asked, vectors, 20, _live(t)))
+    fused = written(search.fuse(search.lexical_search(drafts, index, 20, _live(t)), search.knn(asked, vectors, 20, _live(t))), "fused")
     ranked = context.trust_rank(context.graph_expand(fused, t("edges"), _heads(t), passages), _doc_versions(t), t("snapshots"), t("externals"))[0]
-    return context.related_notes(t("doc_notes"), ranked, _heads(t), passages)
+    notes = t("doc_notes").select("note_id", F.timestamp_seconds(F.lit(_CREATED) + F.col("doc_id") * 5000).alias("created"))
+    return context.related_notes(notes, ranked, _heads(t), passages, F.timestamp_seconds(F.lit(_NOW)))
+
+
+_PURGED = """, src AS (SELECT version_id AS doc_id, CASE WHEN inserted % 11 = 0 THEN '[purged]' ELSE body END AS body FROM versions v JOIN notes n USING (note_id)
+ WHERE inserted % 11 <> 0 OR (v.version_id = n.head_version_id AND v.op <> 'delete'))"""
+
+
+@query("b7_purge_index", _PURGED + _BLOCKS + _CUT + " SELECT doc_id AS target_version, ord, char_start, char_end, md5(substr(body, CAST(char_start AS BIGINT) + 1, CAST(char_end - char_start AS BIGINT))) AS digest FROM cut JOIN src USING (doc_id)", "notes", "versions", "externals", "snapshots")
+def _(t):
+    tables = search.index_folder(t.spark, fresh_folder(t.spark, "purged-index"))
+    bodies = t("versions").select(F.col("version_id").alias("target_version"), "body")
+    tables.replace("all", bodies, **search.index_rows(text.chunk(bodies)))
+    passages = search.open_index(tables)[0]
+    out = state.purge(t("versions"), t("annotations"), passages, t("notes").filter("inserted % 11 = 0"), F.current_timestamp())
+    state.purge_index(tables, "purge", out, state.live_heads(t("notes"), t("versions"), t("externals"), t("snapshots")))
+    rows = search.open_index(tables)[0]
+    return rows.select("target_version", *[F.col(c).cast("long").alias(c) for c in ("ord", "char_start", "char_end")], F.md5("text").alias("digest"))
 
 
 # F: claims. An even item cites a stretch of document d<item>, an odd one its own text there; every third claim says what it cites.
@@ -419,17 +471,23 @@ _K3 = ", rec AS (SELECT item_id, (SELECT count(DISTINCT target_version) FROM fus
 
 
 def _runs(rows: DataFrame, id: str, text_: str, step: int) -> DataFrame:
-    words = F.split(F.lower(text_), " ")
-    at = F.explode(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - 7, F.lit(1)), F.lit(step)), lambda i: i + 7 <= F.size(words)))
-    return rows.select(id, words.alias("w"), at.alias("i")).select(id, F.array_join(F.slice("w", F.col("i"), F.lit(8)), " ").alias("run")).distinct()
+    """(id, run): runs of eight words. The words of a text are bound once, by a lambda over an array of one, so a text is split
+    once and not for each of its runs."""
+    last = lambda w: F.size(w) - 7
+    runs = lambda w: F.when(last(w) >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last(w), F.lit(1)), F.lit(step)), lambda i: F.array_join(F.slice(w, i, 8), " ")))
+    every = F.flatten(F.transform(F.array(F.split(F.lower(text_), " ")), runs))
+    return rows.select(id, F.explode(every).alias("run"))
 
 
 def _golden(t) -> tuple[DataFrame, DataFrame]:
-    theirs = _runs(t("questions"), "query_id", "item", 4)
+    """Stored, as each metric reads it. The items' runs are few; stored, they have a size that Spark knows, and where they are
+    small no run of a document moves before it is found among them."""
+    theirs = written(_runs(t("questions"), "query_id", "item", 4).distinct(), "runs")
     held = _runs(t("doc_notes").filter("doc_id % 10 <> 0"), "head_version_id", "body", 1).join(theirs, "run").select("query_id", "head_version_id").distinct()
     none = F.array().cast("array<string>")
     found = held.groupBy("query_id").agg(F.collect_list("head_version_id").alias("r"))
-    gold = t("questions").select("query_id").join(found, "query_id", "left").select(F.col("query_id").alias("item_id"), F.when(F.col("query_id") % 5 == 0, none).otherwise(F.coalesce("r", none)).alias("relevant"))
+    rows = t("questions").select("query_id").join(found, "query_id", "left").select(F.col("query_id").alias("item_id"), F.when(F.col("query_id") % 5 == 0, none).otherwise(F.coalesce("r", none)).alias("relevant"))
+    gold = written(rows, "gold")
     return gold, gold.select("item_id", F.when(F.col("item_id") % 4 == 1, F.array(F.lit("other"))).otherwise(F.col("relevant")).alias("cited"), (F.col("item_id") % 10 == 0).alias("abstained"))
 
 
@@ -478,7 +536,6 @@ round((SELECT avg(CASE WHEN (item_id % 10 = 0) = (len(relevant) = 0) THEN 1 ELSE
 )
 def _(t):
     gold, answers = _golden(t)
-    passages = _passages(t)
     fused = _fused(t).filter("rank <= 20")
-    ranked = context.trust_rank(context.graph_expand(fused, t("edges"), _heads(t), passages), _doc_versions(t), t("snapshots"), t("externals"))[0]
+    ranked = written(context.trust_rank(context.graph_expand(fused, t("edges"), _heads(t), _passages(t)), _doc_versions(t), t("snapshots"), t("externals"))[0], "ranked")
     return evaluate.evaluate(gold, ranked, answers, 20).select("items", *[F.round(c, 6).alias(c) for c in ("recall", "citation_accuracy", "abstention_accuracy")])

@@ -1,4 +1,4 @@
-"""Corpus loader, log loader, replace-by-key sink, payload export (A)."""
+"""Corpus loader, log loader, replacing rows by key, payload export (A); keyed.py has the sink on disk."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.recovery import checkpointed
-
-BUCKETS = 64
-
 
 def load_corpus(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """(note_id, body): the Markdown files of a folder, the note id being the name without its ending."""
@@ -35,21 +31,6 @@ def replace_by_key(old: DataFrame, new: DataFrame, keys: DataFrame, key: str = "
     return old.join(listed, key, "left_anti").select(old.columns).unionByName(new.join(listed, key, "left_semi").select(old.columns))
 
 
-def write_replacing(spark: SparkSession, path: str, new: DataFrame, keys: DataFrame, key: str = "target_version") -> None:
-    """Replaces by key on disk: only the buckets of the listed keys are written again."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-    touched = keys.select(bucket.alias("bucket")).distinct()
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        old = None
-    rows = new if old is None else replace_by_key(old.join(F.broadcast(touched), "bucket", "left_semi").drop("bucket"), new, keys, key)  # at most BUCKETS rows
-    rows = checkpointed(rows.withColumn("bucket", bucket))  # the old files go while they are read
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
 def export_payloads(live_notes: DataFrame, edges: DataFrame, externals: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(note_id, n, external_id, payload): the raw payload of the head of each external that a live note links to, numbered
     per note by external; empty payloads are numbered but left out."""

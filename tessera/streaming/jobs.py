@@ -7,95 +7,137 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.identity import content_key
 from ..operators.text import SECRETS, redaction_counts
-from ..sources.files import write_replacing
+from ..sources.keyed import KeyedTables
 
+_INGESTED = "external_id string, seq long, body string, status string, outcome string, fetched_at timestamp"
+_KEPT_MS = 86_400_000
 _OUTCOME = "note_id string, seq long, action string, outcome string, version_id string, head_id string"
 
 
-def edit_log(log: DataFrame) -> DataFrame:
-    """The replay of operators.state on a stream of (note_id, seq, action, body, parent): one state row per note, with its
-    head, the head's body, and the ids it has had. Entries of a note within a batch are taken in order of ``seq``."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        head, ids, bodies = state.get if state.exists else (None, [], [])
-        had = dict(zip(ids, bodies, strict=True))
+class _EditLog(StatefulProcessor):
+    """The head of a note as a value; its versions (id -> digest of the body) and their bodies (digest -> body) as maps, whose
+    entries are read and written one by one. A body is kept as a deletion's id is made of it; equal ones are kept once."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "id string")
+        self.versions = handle.getMapState("versions", "id string", "digest string")
+        self.bodies = handle.getMapState("bodies", "digest string", "body string")
+
+    def _entry(self, note: str, head: str | None, e) -> tuple[str, str | None, str | None]:
+        """(outcome, id made, new head) of an entry."""
+        parent = e.parent if isinstance(e.parent, str) else ""
+        parent = (head or "") if parent == "@head" else parent
+        body = e.body if isinstance(e.body, str) else ""
+        if e.action == "recover":
+            return ("recovered", None, parent) if parent and self.versions.containsKey((parent,)) else ("unknown", None, head)
+        if e.action not in ("save", "delete") or (e.action == "delete" and head is None):
+            return "conflict" if head is not None and parent != head else "unknown", None, head
+        if parent != (head or ""):
+            return "conflict", None, head
+        before = self.versions.getValue((head,))[0] if head is not None else None
+        digest = hashlib.blake2b(body.encode("utf-8", "replace"), digest_size=16).hexdigest()
+        if e.action == "delete":
+            body, digest = self.bodies.getValue((before,))[0], before
+        elif digest == before:
+            return "noop", None, head
+        made = content_key(note, head or "", body)
+        if not self.versions.containsKey((made,)):
+            self.versions.updateValue((made,), (digest,))
+            self.bodies.updateValue((digest,), (body,))
+        return "deleted" if e.action == "delete" else "created" if head is None else "updated", made, made
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        head = self.head.get()[0] if self.head.exists() else None
         out = []
-        for e in pd.concat(list(batches)).sort_values("seq").itertuples():
-            parent = e.parent if isinstance(e.parent, str) else ""
-            parent = (head or "") if parent == "@head" else parent
-            body = e.body if isinstance(e.body, str) else ""
-            made, outcome = None, "unknown"
-            if e.action == "recover" and parent in had:
-                head, outcome = parent, "recovered"
-            elif e.action in ("save", "delete") and (head is not None or e.action == "save"):
-                if parent != (head or ""):
-                    outcome = "conflict"
-                elif e.action == "delete":
-                    body, outcome = had[head], "deleted"
-                    made = content_key(key[0], head, body)
-                elif head is not None and body == had[head]:
-                    outcome = "noop"
-                else:
-                    made, outcome = content_key(key[0], head or "", body), "created" if head is None else "updated"
-            if made is not None:
-                had.setdefault(made, body)
-                head = made
+        for e in pd.concat(list(rows)).sort_values("seq").itertuples():
+            outcome, made, head = self._entry(key[0], head, e)
             out.append((key[0], e.seq, e.action, outcome, made, head))
-        state.update((head, list(had), list(had.values())))
+        if head is not None:
+            self.head.update((head,))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUTCOME.split(", ")])
 
-    return log.groupBy("note_id").applyInPandasWithState(step, _OUTCOME, "head string, ids array<string>, bodies array<string>", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def edit_log(log: DataFrame) -> DataFrame:
+    """The replay of operators.state on a stream of (note_id, seq, action, body, parent): what each entry did. Entries of a note
+    within a batch are taken in order of ``seq``. Needs the RocksDB state store (see ``keyed_state``)."""
+    return log.groupBy("note_id").transformWithStateInPandas(_EditLog(), _OUTCOME, "Append", "None")
 
 
-def maintain_index(heads: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps index rows on disk in step with changed heads (target_version, body): every batch replaces the rows of its
-    targets, so a batch that runs twice changes nothing."""
+def maintain_index(heads: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]], tables: KeyedTables, checkpoint: str) -> StreamingQuery:
+    """Keeps index tables on disk in step with changed heads (target_version, body): every batch replaces the rows of its
+    targets in all tables at once. A target whose body is null or has no rows any more is evicted. A batch that runs again
+    after a failure starts over, one that was done changes nothing. Batches are named by the checkpoint and their number."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         latest = batch.dropDuplicates(["target_version"])
-        write_replacing(batch.sparkSession, path, build(latest), latest.select("target_version"))
+        tables.replace(f"{name}-{number}", latest, **build(latest.filter("body is not null")))
 
     return heads.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_snapshots(fetches: DataFrame, late: str = "1 day") -> DataFrame:
-    """(external_id, body, status, outcome, fetched_at) of a stream of fetches: new, seen (the head moves back), same, or
-    late (a tombstone not newer than an ok head). State per external holds digests of its bodies, not the bodies, and is
-    dropped once the watermark has passed it."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        head, status, at, had = state.get if state.exists else (None, None, None, [])
-        seen, out = set(had), []
-        rows = list(batches)
-        for e in (pd.concat(rows).sort_values(["fetched_at", "body"]) if rows else pd.DataFrame()).itertuples():
-            now, body = e.fetched_at.to_pydatetime(), hashlib.blake2b((e.body or "").encode(), digest_size=16).hexdigest()
+class _Snapshots(StatefulProcessor):
+    """The head of an external as a value, and when each of its bodies was first seen as a map keyed by digest, so state grows by
+    an entry for each new body. A timer lets an external go once the watermark is a day past its newest fetch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "digest string, status string, at timestamp, timer long")
+        self.seen = handle.getMapState("seen", "digest string", "at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        head, status, at, timer = self.head.get() if self.head.exists() else (None, None, None, None)
+        newest, out = 0, []
+        for e in pd.concat(list(rows)).sort_values("seq").itertuples():
+            now = e.fetched_at.to_pydatetime()
+            newest = max(newest, int(e.fetched_at.timestamp() * 1000))
+            digest = hashlib.blake2b((e.body or "").encode("utf-8", "replace"), digest_size=16).hexdigest()
             if e.status == "tombstone" and status == "ok" and now <= at:
                 outcome = "late"
-            elif body == head:
-                outcome, at = "same", now if e.status == "ok" else at
+            elif digest == head:
+                outcome, at = "same", max(now, at) if e.status == "ok" else at
             else:
-                outcome = "seen" if body in seen else "new"
-                seen.add(body)
-                head, status, at = body, e.status, now
-            out.append((key[0], e.body, e.status, outcome, e.fetched_at))
-        state.update((head, status, at, sorted(seen)))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(pd.Timestamp(at).timestamp() * 1000)) + 86_400_000)
-        yield pd.DataFrame(out, columns=["external_id", "body", "status", "outcome", "fetched_at"])
+                outcome = "seen" if self.seen.containsKey((digest,)) else "new"
+                if outcome == "new":
+                    self.seen.updateValue((digest,), (now,))
+                head, status, at = digest, e.status, now
+            out.append((key[0], e.seq, e.body, e.status, outcome, e.fetched_at))
+        due = max(newest, timerValues.getCurrentWatermarkInMs()) + _KEPT_MS
+        if timer is None or due > timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        if head is not None:
+            self.head.update((head, status, at, timer))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _INGESTED.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.head.clear()
+        self.seen.clear()
+        yield pd.DataFrame([], columns=[c.split()[0] for c in _INGESTED.split(", ")])
+
+    def close(self) -> None:
+        pass
 
-    kind = "external_id string, body string, status string, outcome string, fetched_at timestamp"
-    return fetches.withWatermark("fetched_at", late).groupBy("external_id").applyInPandasWithState(step, kind, "head string, status string, at timestamp, seen array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+
+def ingest_snapshots(fetches: DataFrame, late: str = "1 day") -> DataFrame:
+    """(external_id, seq, body, status, outcome, fetched_at) of a stream of fetches (external_id, seq, body, status, fetched_at),
+    taken in order of ``seq`` within a batch: new, seen (the head moves back), same, or late (a tombstone not newer than an ok
+    head: it changes nothing). Needs the RocksDB state store."""
+    return fetches.withWatermark("fetched_at", late).groupBy("external_id").transformWithStateInPandas(_Snapshots(), _INGESTED, "Append", "EventTime")
 
 
 def dedupe_requests(requests: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -114,10 +156,44 @@ def event_counts(rows: DataFrame, by: str, window: str = "1 hour", late: str = "
     return rows.withWatermark("ts", late).groupBy(F.window("ts", window), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which stores maps entry by entry."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and reads what it wrote; the folder must be one that all executors see."""
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").format("parquet").trigger(availableNow=True).start().awaitTermination()
+    with keyed_state(stream.sparkSession):
+        running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").format("parquet").trigger(availableNow=True).start()
+    running.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-__all__ = ["dedupe_requests", "drained", "edit_log", "event_counts", "ingest_snapshots", "maintain_index", "redaction_audit"]
+def upserted(stream: DataFrame, by: tuple[str, ...], folder: str) -> DataFrame:
+    """Runs a stream of counts in update mode and reads its result: the newest row for each value of ``by``. Each batch replaces
+    the rows of its keys, so windows appear with their first row and need not wait for the watermark, and a batch that runs
+    again changes nothing."""
+    spark = stream.sparkSession
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    tables = KeyedTables(spark, f"{folder}/tables", {"rows": f"_key string, {kinds}"}, "_key")
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("_key", F.to_json(F.struct(*by))).persist()  # the batch is read for its keys and its rows
+        tables.replace(f"b{number}", rows, rows=rows)
+        rows.unpersist()
+
+    stream.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return tables.read("rows").drop("_key")
+
+
+__all__ = ["dedupe_requests", "drained", "edit_log", "event_counts", "ingest_snapshots", "keyed_state", "maintain_index", "redaction_audit", "upserted"]

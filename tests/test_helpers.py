@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 from tessera.functions import passages, urls
 from tessera.functions.identity import blake2b_key, content_key
 from tessera.operators import annotations, claims, context, egress, evaluate, gaps, links, search, state, text
+from tessera.functions.markup import visible_text
 from tessera.sources import files
+from tessera.sources.keyed import KeyedTables
+from tessera.streaming import jobs
 
 
 def test_blocks_and_offsets():
@@ -226,15 +229,164 @@ def test_scope_rules_fail_closed(spark):
     assert {(x["source_type"], x["external_id"]): x["scoped"] for x in egress.scoped(e, r).collect()} == {("jira", "ABC-1"): True, ("jira", "ABCD-1"): False, ("web", "https://Docs.example.com/a"): True, ("wiki", "https://docs.example.com/a"): False, ("web", None): True}
 
 
-def test_replace_by_key_twice_is_once(spark, tmp_path):
+def test_replace_by_key_twice_is_once(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "target_version string, x int")
     new, keys = spark.createDataFrame([("b", 3), ("c", 4)], "target_version string, x int"), spark.createDataFrame([("b",), ("z",)], "target_version string")
     once = files.replace_by_key(old, new, keys)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, files.replace_by_key(once, new, keys).collect())) == [("a", 1), ("b", 3)]
-    path = f"{tmp_path}/rows"
-    files.write_replacing(spark, path, old, old)
-    files.write_replacing(spark, path, new, keys)
-    assert sorted((r["target_version"], r["x"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
+
+
+@pytest.fixture
+def keyed(spark, tmp_path):
+    return KeyedTables(spark, f"{tmp_path}/index", {"rows": "target_version string, x int", "more": "target_version string, y int"}, buckets=4)
+
+
+def _keys(spark, *found):
+    return spark.createDataFrame([(k,) for k in found], "target_version string")
+
+
+def _xs(spark, name, *rows):
+    return spark.createDataFrame(list(rows), f"target_version string, {name} int")
+
+
+def _held(keyed):
+    return sorted(map(tuple, keyed.read("rows").collect())), sorted(map(tuple, keyed.read("more").collect()))
+
+
+def test_keyed_tables_evict_and_stay_whole(spark, keyed):
+    assert not keyed.exists() and _held(keyed) == ([], [])
+    assert keyed.replace("one", _keys(spark, "a", "b", None), rows=_xs(spark, "x", ("a", 1), ("b", 2), ("other", 9), (None, 4)), more=_xs(spark, "y", ("a", 5)))
+    assert keyed.exists() and _held(keyed) == ([("a", 1), ("b", 2)], [("a", 5)])
+    before = keyed.read("rows")
+    assert keyed.replace("two", _keys(spark, "a"))  # the last key of its bucket, without new rows
+    assert _held(keyed) == ([("b", 2)], [])
+    assert not keyed.replace("two", _keys(spark, "b")) and _held(keyed) == ([("b", 2)], [])  # done before
+    assert keyed.replace("none", _keys(spark)) and not keyed.replace("none", _keys(spark, "b"))
+    assert sorted(map(tuple, before.collect())) == [("a", 1), ("b", 2)]  # a reader stays with what it opened
+
+
+def test_a_failing_writer_leaves_the_old_rows(spark, keyed):
+    keyed.replace("one", _keys(spark, "a", "b"), rows=_xs(spark, "x", ("a", 1), ("b", 2)), more=_xs(spark, "y", ("b", 3)))
+    broken = _xs(spark, "y", ("a", 7)).withColumn("y", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        keyed.replace("two", _keys(spark, "a", "b"), rows=_xs(spark, "x", ("a", 8)), more=broken)
+    assert _held(keyed) == ([("a", 1), ("b", 2)], [("b", 3)])
+    assert keyed.replace("two", _keys(spark, "a", "b"), rows=_xs(spark, "x", ("a", 8)), more=_xs(spark, "y", ("a", 7)))  # again, whole
+    assert _held(keyed) == ([("a", 8)], [("a", 7)])
+    assert keyed.vacuum() == ["one"] and _held(keyed) == ([("a", 8)], [("a", 7)])
+
+
+def test_gate_audits_several_passages_of_a_target(spark):
+    secret = "AKIA" + "A" * 16
+    rows = [(1, 1, "a", f"{secret} {secret}", False), (1, 2, "b", "plain", False), (1, 3, "a", secret, False), (1, 4, "a", "plain", False), (1, 5, "c", secret, None), (2, 1, "b", "plain", False)]
+    send, held, audit = egress.gate(spark.createDataFrame(rows, "batch_id int, ord int, target_id string, text string, no_egress boolean"))
+    assert [r["target_id"] for r in held.collect()] == ["c"] and send.filter(F.contains("text", F.lit("AKIA"))).count() == 0
+    got = {r["batch_id"]: (r["sent_targets"], r["redactions"]) for r in egress.audit_rows(audit, "qa", "m").collect()}
+    assert got == {1: (["a", "b", "a", "a"], {"a": 1}), 2: (["b"], None)}  # of a target, the last passage with a secret counts
+
+
+def test_bounded_search_finds_what_plain_search_finds(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(40_000)]
+    rows = [(f"p{i}", f"v{i % 150}", " ".join(words[rng.randrange(39_000) :][: rng.randrange(1, 60)])) for i in range(900)]
+    index = search.build_index(spark.createDataFrame(rows, "passage_id string, target_version string, text string"))
+    queries = spark.createDataFrame([(i, " ".join(words[i * 50 : i * 50 + n])) for i, n in enumerate((1, 2, 5, 40, 400, 3, 0, 60))] + [(99, "unknown")], "query_id int, question string")
+    live = spark.createDataFrame([(f"v{i}",) for i in range(0, 150, 2)], "target_version string")
+    plain = search.top(search.bm25(search.query_terms(queries), index, live), 5, F.round("score", 9), F.col("passage_id"))
+    want = sorted((r["query_id"], r["rank"], r["passage_id"], round(r["score"], 6)) for r in plain.collect())
+    for seeds in (0, 30, 2000):
+        monkeypatch.setattr(search, "SEED_POSTINGS", seeds)
+        got = search.lexical_search(queries, index, 5, live)
+        assert sorted((r["query_id"], r["rank"], r["passage_id"], round(r["score"], 6)) for r in got.collect()) == want
+
+
+def test_classes_and_previews_of_hits(spark):
+    passages = spark.createDataFrame([("p1", "t1", "red  apple\n" + "x" * 300), ("p2", "t2", "red pear"), ("p3", "t3", "apple")], "passage_id string, target_version string, text string")
+    classes = spark.createDataFrame([("t1", "a"), ("t2", "b"), ("t3", "b")], "target_version string, class string")
+    queries = spark.createDataFrame([(1, "red apple", None), (2, "red apple", "b"), (3, "red apple", "c")], "query_id int, question string, class string")
+    got = search.search_all_or_any(queries, search.build_index(passages), classes=classes, passages=passages).collect()
+    assert {(r["query_id"], r["passage_id"], r["fallback"]) for r in got} == {(1, "p1", False), (2, "p2", True), (2, "p3", True)}
+    shown = {r["passage_id"]: r["snippet"] for r in got}
+    assert shown["p2"] == "red pear" and shown["p1"] == "red apple " + "x" * 230 + "..."
+
+
+@pytest.mark.parametrize(
+    ("page", "shown"),
+    [
+        (None, ""), ("", ""), ("a &lt;b&gt; &amp;amp; c&nbsp;d &#233;&eacute;", "a <b> &amp; c d éé"), ("<p>one</p><p>two", "one two"), ("x<script>if (a < b) '</p>'</script>y", "x y"), ("x<SCRIPT >a</script foo>y", "x y"),
+        ("x<!-- a > b -->y<!-->z<!--->w", "x y z w"), ("a<img alt='>' title=\"<\">b", "a b"), ("1 < 2 <3", "1 < 2 <3"), ("a<!doctype x>b<?php c?>d</ >e", "a b d e"), ("<title>T</title>b<style>p{}", "b"), ("a<b c=\"d>e", "a e"), ("x<!-- never", "x"), ("İ<script>İ</script>ß", "İ ß"),
+    ],
+)
+def test_visible_text(page, shown):
+    assert visible_text(page) == shown
+
+
+def test_visible_text_reads_a_page_once():
+    import time
+
+    for part in ("<a b='", "<script>", "<!--", "<div>x ", "</", "<!", "<a \"", "&amp;"):
+        began = time.perf_counter()
+        visible_text(part * (1_000_000 // len(part)))
+        assert time.perf_counter() - began < 5, part
+
+
+def _entries(seed):
+    """An edit log with every kind of entry, among them parents that are stale, unknown or of other branches."""
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for note in range(12):
+        heads, ids, bodies = None, [""], ["one", "two", "", "three"]
+        for seq in range(1, 26):
+            action = rng.choice(["save", "save", "save", "delete", "recover", "other"])
+            body = rng.choice(bodies)
+            parent = rng.choice(["@head", "@head", "@head", rng.choice(ids), "nowhere", None])
+            rows.append((f"n{note}", seq, action, body if action == "save" else None, parent))
+            if action == "save":
+                heads = content_key(f"n{note}", heads or "", body)
+                ids.append(heads)
+    return rows
+
+
+def test_streamed_edit_log_agrees_with_replay(spark, tmp_path):
+    kind = "note_id string, seq long, action string, body string, parent string"
+    rows = _entries(5)
+    for k in range(3):  # three batches
+        spark.createDataFrame([r for r in rows if (r[1] - 1) // 9 == k], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/log")
+        got = jobs.drained(jobs.edit_log(stream), f"{tmp_path}/out")
+    columns = ["note_id", "seq", "action", "outcome", "version_id", "head_id"]
+    want = state.replay(spark.createDataFrame(rows, kind)).select(columns)
+    assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert {r["outcome"] for r in want.collect()} == {"created", "updated", "noop", "deleted", "recovered", "conflict", "unknown"}
+
+
+def test_streamed_tombstones_come_late(spark, tmp_path):
+    kind = "external_id string, seq long, body string, status string, fetched_at timestamp"
+    at = lambda minute: dt.datetime(2024, 1, 1, 0, minute)
+    batches = [
+        [("e", 1, "A", "ok", at(10)), ("e", 2, "gone", "tombstone", at(5)), ("f", 1, "gone", "tombstone", at(5))],
+        [("e", 3, "gone", "tombstone", at(9)), ("e", 4, "A", "ok", at(8)), ("e", 5, "gone", "tombstone", at(20)), ("f", 2, "B", "ok", at(1))],
+        [("e", 6, "gone", "tombstone", at(3)), ("e", 7, "A", "ok", at(30)), ("e", 8, "gone", "tombstone", at(30)), ("f", 3, None, "ok", at(2)), ("f", 4, "B", "ok", at(3))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        got = jobs.drained(jobs.ingest_snapshots(spark.readStream.schema(kind).parquet(f"{tmp_path}/log")), f"{tmp_path}/out")
+    out = {(r["external_id"], r["seq"]): r["outcome"] for r in got.collect()}
+    assert [out["e", i] for i in range(1, 9)] == ["new", "late", "late", "same", "new", "same", "seen", "late"]
+    assert [out["f", i] for i in range(1, 5)] == ["new", "new", "new", "seen"]
+
+
+def test_streamed_counts_show_open_windows(spark, tmp_path):
+    kind = "ts timestamp, type string"
+    hour = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    for rows in ([(hour(1), "a"), (hour(1, 59), "a"), (hour(3), None)], [(hour(3, 1), None), (hour(2, 30), "b")]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        got = jobs.upserted(jobs.event_counts(spark.readStream.schema(kind).parquet(f"{tmp_path}/log"), "type"), ("start", "type"), f"{tmp_path}/out")
+    assert {(r["start"].hour, r["type"]): r["n"] for r in got.collect()} == {(1, "a"): 2, (3, None): 2, (2, "b"): 1}
 
 
 def test_corpus_and_log_loaders(spark, tmp_path):
