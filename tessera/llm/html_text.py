@@ -1,8 +1,9 @@
 """Main text of HTML pages: flat text blocks, classified by a decision tree.
 
 A page is cut into flat blocks at block-level tags. A block has its word count and link density, those of the blocks before
-and after it, and what the elements around it say (an article, a menu, a footer, an advert, ...). A decision tree, trained
-on the small labelled table below with Spark ML, tells main text from the rest; the chosen blocks make up the text.
+and after it, and what the elements around it say (an article; a menu, a footer, an advert; a name that hints at such). A
+decision tree, trained on the blocks of the labelled pages below with Spark ML, tells main text from the rest; the chosen
+blocks make up the text.
 """
 
 from __future__ import annotations
@@ -20,37 +21,67 @@ from pyspark.sql import types as T
 
 from .common import table
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_rest", "heading")
-
-#: Blocks of hand-labelled pages: the features in the order above, then 1 for main text.
-LABELLED = (
-    # paragraphs and headings of articles, long and short
-    (120, 0.00, 80, 0.00, 95, 0.00, 1, 0, 0, 1), (60, 0.05, 7, 0.00, 40, 0.00, 1, 0, 0, 1), (3, 0.00, 60, 0.00, 45, 0.10, 1, 0, 0, 1), (1, 0.00, 150, 0.02, 2, 0.00, 1, 0, 0, 1),
-    (2, 0.00, 1, 0.00, 30, 0.00, 1, 0, 0, 1), (9, 0.00, 12, 0.50, 70, 0.00, 1, 0, 1, 1), (6, 0.00, 1, 1.00, 1, 0.00, 1, 0, 1, 1), (12, 0.40, 44, 0.00, 51, 0.00, 1, 0, 0, 1),
-    (15, 0.00, 1, 1.00, 3, 0.00, 1, 0, 0, 1), (4, 0.00, 2, 0.00, 9, 0.20, 1, 0, 0, 1), (1, 0.00, 1, 0.00, 0, 0.00, 1, 0, 0, 1), (8, 0.00, 20, 0.00, 9, 0.30, 1, 0, 0, 1),
-    (5, 0.00, 8, 0.00, 6, 0.00, 1, 0, 0, 1), (230, 0.02, 14, 0.00, 12, 0.25, 1, 0, 0, 1), (18, 0.65, 90, 0.00, 66, 0.00, 1, 0, 0, 1), (3, 1.00, 75, 0.00, 80, 0.00, 1, 0, 0, 1),
-    (11, 0.00, 0, 0.00, 55, 0.00, 1, 0, 1, 1), (2, 1.00, 33, 0.10, 5, 0.00, 1, 0, 0, 1), (7, 0.00, 7, 0.00, 10, 0.20, 1, 0, 0, 1), (1, 1.00, 12, 0.00, 25, 0.00, 1, 0, 0, 1),
-    (14, 0.00, 22, 0.00, 2, 1.00, 1, 0, 0, 1), (28, 0.00, 1, 1.00, 1, 1.00, 1, 0, 0, 1), (5, 0.00, 3, 1.00, 4, 1.00, 1, 0, 0, 1), (2, 0.00, 1, 1.00, 2, 1.00, 1, 0, 0, 1),
-    (4, 1.00, 3, 1.00, 5, 1.00, 1, 0, 0, 1), (20, 0.90, 4, 1.00, 6, 1.00, 1, 0, 0, 1), (1, 0.00, 0, 0.00, 1, 1.00, 1, 0, 0, 1), (33, 0.30, 7, 0.80, 2, 0.90, 1, 0, 0, 1),
-    (10, 0.00, 60, 0.60, 3, 0.70, 1, 0, 0, 1), (6, 0.50, 2, 1.00, 3, 0.60, 1, 0, 0, 1), (3, 0.00, 2, 0.00, 1, 1.00, 1, 0, 0, 1), (2, 1.00, 1, 1.00, 4, 0.00, 1, 0, 0, 1),
-    # menus, adverts, footers, notices, forms, comments, also inside articles
-    (1, 1.00, 1, 1.00, 1, 1.00, 0, 1, 0, 0), (1, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0), (2, 1.00, 1, 1.00, 8, 0.00, 0, 1, 0, 0), (8, 0.00, 1, 1.00, 9, 0.00, 0, 1, 0, 0),
-    (22, 0.00, 2, 1.00, 6, 0.00, 0, 1, 0, 0), (9, 0.00, 64, 0.00, 0, 0.00, 0, 1, 0, 0), (12, 0.30, 3, 0.00, 0, 0.00, 0, 1, 0, 0), (75, 0.00, 40, 0.00, 60, 0.00, 0, 1, 0, 0),
-    (140, 0.00, 90, 0.00, 85, 0.00, 0, 1, 0, 0), (44, 0.05, 3, 0.00, 38, 0.00, 0, 1, 0, 0), (5, 0.00, 30, 0.00, 25, 0.00, 1, 1, 0, 0), (60, 0.00, 50, 0.00, 45, 0.00, 1, 1, 0, 0),
-    (110, 0.02, 80, 0.00, 90, 0.00, 1, 1, 0, 0), (3, 0.00, 90, 0.00, 2, 1.00, 1, 1, 1, 0), (4, 0.00, 2, 1.00, 30, 0.00, 0, 1, 1, 0), (7, 0.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0),
-    (1, 0.00, 120, 0.00, 3, 0.00, 1, 1, 0, 0), (30, 0.00, 6, 0.00, 110, 0.00, 0, 1, 0, 0), (2, 0.00, 2, 0.00, 2, 0.00, 0, 1, 0, 0), (16, 0.00, 12, 0.00, 18, 0.00, 0, 1, 0, 0),
-    # pages without an article element: long text with few links, and what lies beside it
-    (90, 0.00, 70, 0.00, 85, 0.00, 0, 0, 0, 1), (45, 0.08, 8, 0.00, 60, 0.00, 0, 0, 0, 1), (30, 0.00, 50, 0.00, 28, 0.00, 0, 0, 0, 1), (25, 0.10, 20, 0.00, 0, 0.00, 0, 0, 0, 1),
-    (6, 0.00, 60, 0.00, 40, 0.00, 0, 0, 0, 1), (7, 0.00, 3, 1.00, 52, 0.00, 0, 0, 1, 1), (4, 0.00, 35, 0.00, 47, 0.05, 0, 0, 0, 1), (18, 0.00, 41, 0.00, 22, 0.00, 0, 0, 0, 1),
-    (14, 0.00, 16, 0.00, 33, 0.00, 0, 0, 0, 1), (40, 0.20, 0, 0.00, 1, 1.00, 0, 0, 0, 1), (8, 0.00, 30, 0.00, 6, 0.50, 0, 0, 1, 1), (20, 0.00, 1, 1.00, 25, 0.00, 0, 0, 0, 1),
-    (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0), (2, 1.00, 1, 1.00, 4, 0.00, 0, 0, 0, 0), (3, 1.00, 50, 0.00, 3, 1.00, 0, 0, 0, 0), (9, 0.90, 60, 0.00, 8, 0.80, 0, 0, 0, 0),
-    (4, 0.00, 1, 1.00, 2, 1.00, 0, 0, 0, 0), (5, 0.00, 4, 1.00, 0, 0.00, 0, 0, 0, 0), (12, 0.75, 3, 1.00, 2, 1.00, 0, 0, 0, 0), (6, 0.50, 2, 1.00, 3, 0.60, 0, 0, 0, 0),
-    (25, 0.80, 40, 0.00, 30, 0.00, 0, 0, 0, 0), (3, 0.00, 2, 0.00, 1, 1.00, 0, 0, 0, 0), (30, 0.95, 10, 0.00, 4, 1.00, 0, 0, 0, 0), (2, 0.00, 1, 1.00, 0, 0.00, 0, 0, 0, 0),
-)
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_rest", "hinted", "heading")
+
+_FILLER = "the river had risen in the night and by morning the lower road was under water so the market moved up the hill".split()
+
+
+def _text(mark: str, words: int) -> str:
+    return mark + " ".join(_FILLER[i % len(_FILLER)] for i in range(words))
+
+
+def _main(*sizes: int, tag: str = "p") -> str:
+    """Blocks of main text with so many words each; in the labelled pages these begin with a plus sign."""
+    return "".join(f"<{tag}>{_text('+', n)}</{tag}>" for n in sizes)
+
+
+def _rest(*sizes: int, tag: str = "p") -> str:
+    return "".join(f"<{tag}>{_text('-', n)}</{tag}>" for n in sizes)
+
+
+def _links(*sizes: int, tag: str = "li") -> str:
+    return "".join(f"<{tag}><a href='/x'>{_text('-', n)}</a></{tag}>" for n in sizes)
+
+
+def _partly(mark: str, linked: int, words: int, tag: str = "p") -> str:
+    """A block of which some words are a link."""
+    return f"<{tag}>{_text(mark, words - linked)} <a href='/y'>{_text('', linked)}</a></{tag}>"
+
+
+_MENU, _LONG_MENU, _CRUMBS = _links(1, 1, 2, 1, 1), _links(1, 2, 1, 1, 3, 2, 1, 1, 2, 1), _links(1, 2, 4)
+
+#: Labelled pages, on whose blocks the tree is trained. Pages without telling names come first: there words and links decide.
+LABELLED_PAGES = (
+    # plain boxes: a menu of links, the text, a list of links, a line of small print
+    f"<div>{_LONG_MENU}</div><div>{_main(7, tag='h1')}{_main(80, 62, 45, 90)}</div><div>{_links(4, 6, 5, 7)}</div><div>{_partly('-', 4, 6)}</div>",
+    f"<ul>{_MENU}</ul>{_main(5, tag='h2')}{_main(120, 33, 14, 70)}{_partly('+', 3, 60)}<ul>{_LONG_MENU}</ul>",
+    f"<table><tr>{_links(1, 1, 1, 2, tag='td')}</tr></table>{_main(9, tag='h1')}{_main(44, 12, 8, 52)}{_main(6, 9, 4, 11, tag='li')}{_main(30)}<table><tr>{_links(2, 3, 1, tag='td')}</tr></table>",
+    f"<div>{_CRUMBS}</div><div>{_main(25, 18, 140)}{_partly('+', 2, 28)}{_main(65)}</div><div>{_links(5, 5, 6, 4, 8, 3)}</div><div>{_partly('-', 5, 7)}{_links(2, 2, 1)}</div>",
+    f"<div>{_LONG_MENU}</div><div>{_main(6, tag='h1')}{_main(16, 22, 31, 27, 19, 40)}</div><div>{_partly('-', 20, 24)}{_partly('-', 11, 14)}{_links(9, 7, 12)}</div>",
+    f"<div>{_links(3, 4)}</div>{_main(200, 90, 85)}<div>{_links(6, 6, 6)}{_MENU}</div>",
+    f"<div>{_MENU}{_LONG_MENU}</div>{_main(4, tag='h1')}{_main(37)}{_main(5, tag='h3')}{_main(58)}{_main(3, tag='h3')}{_main(49)}<div>{_CRUMBS}{_MENU}</div>",
+    # an article between the parts of a site
+    f"<header>{_rest(3, tag='h2')}</header><nav><ul>{_LONG_MENU}</ul></nav><article>{_main(8, tag='h1')}{_main(60, 3, 45, 1, 150, 2)}</article><footer>{_rest(6)}</footer>",
+    f"<nav>{_MENU}</nav><div class='ad'>{_rest(8)}</div><article>{_main(11, tag='h1')}{_main(1, 30, 2, 9)}<div class='ad'>{_rest(7)}</div>{_main(12, 55, 5)}</article><footer>{_rest(4)}</footer>",
+    f"<nav>{_MENU}</nav><main>{_main(6, tag='h1')}{_links(4, 20, 2).replace('-', '+')}{_main(28, 14)}{_partly('+', 4, 12)}{_partly('+', 12, 18)}</main><aside>{_rest(5, 60, 18)}{_links(3, 3)}</aside>",
+    f"<div class='ads'>{_rest(22, 9)}</div><article>{_main(5, tag='h1')}{_main(4, 8, 230)}{_main(6, 2, 7, tag='li')}<aside>{_rest(3, tag='h3')}{_rest(44)}</aside>{_main(33, 1)}</article><form>{_rest(2, 4)}</form>",
+    f"<nav>{_CRUMBS}</nav><article>{_main(14, tag='h1')}{_main(40, 6, 7)}<div class='promo'>{_rest(30, 12)}</div>{_main(18, 10)}</article><div class='comments'>{_rest(4, tag='h3')}{_rest(75, 16, 140, 9)}</div>",
+    f"<article>{_main(3, tag='h1')}{_main(9, 5)}</article><div class='comment'>{_rest(110, 25)}</div><footer>{_partly('-', 3, 12)}{_rest(30)}</footer>",
+    # compound names that only hint: notices that stand alone, and wrappers of whole pages
+    f"<div class='cookie-notice'>{_rest(24)}</div><div>{_LONG_MENU}</div><div>{_main(7, tag='h1')}{_main(70, 48, 55)}</div><div class='newsletter-signup'>{_rest(5, tag='h3')}{_rest(16)}</div>",
+    f"<nav>{_MENU}</nav><div class='cookie-notice'>{_rest(4)}</div><article>{_main(6, tag='h1')}{_main(30, 12)}</article><ul>{_MENU}</ul><div class='page-footer'>{_rest(11)}</div>",
+    f"<ul>{_CRUMBS}</ul><div class='sponsored-box'>{_rest(17)}</div>{_main(60, 44)}<ul>{_MENU}</ul><div class='popup-inner'>{_rest(22, 2)}</div>",
+    f"<div class='top-banner'>{_rest(12)}</div>{_MENU}<article>{_main(50, 20, 66)}</article><div class='ad-slot'>{_rest(9)}</div><div class='site-footer'>{_rest(8)}{_links(1, 1)}</div>",
+    f"<div class='search-history'><ul>{_MENU}</ul>{_main(6, tag='h1')}{_main(60, 35, 90, 41, 26)}{_links(5, 5)}</div>",
+    f"<div class='menu-recipes'>{_links(2, 2, 2)}{_main(90, 75, 64, 58)}</div><div class='share-bar'>{_rest(3)}{_links(1, 1, 1)}</div>",
+    f"<div class='comment-list'>{_rest(20, 14, 9)}</div><div class='related-posts'>{_rest(2, tag='h4')}{_links(8, 7, 9)}</div>{_main(45, 80, 39)}",
+)
 
 _DROPPED = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|button"
 _MARK = re.compile(r"<(?:(?P<comment>!--)|(?P<data>!\[CDATA\[)|(?P<other>[!?])|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*))", re.I)
-_DROPPED_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _DROPPED.split("|")}
+_DROPPED_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _DROPPED.split("|")}
+#: Tags that may close themselves; a slash before the end of any other tag that is dropped means nothing.
+_FOREIGN = frozenset({"svg"})
 _TURN = re.compile("[>\"']")
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav"
@@ -68,10 +99,16 @@ _REST_NAMES = frozenset(
 _MAIN_NAMES = frozenset("articlebody".split())
 
 
-def _named(rest: str) -> tuple[bool, bool]:
-    """If an element's names say that it holds main text, or something else."""
-    names = {w for value in _NAMED.findall(rest) for w in re.split(r"[^a-z0-9]+", value.lower())}
-    return bool(names & _MAIN_NAMES), bool(names & _REST_NAMES)
+_NOT = frozenset("has have is no not with without hide".split())
+
+
+def _named(rest: str) -> tuple[bool, bool, bool]:
+    """If an element's names say that it holds main text, or something else, or only hint at that: a whole name says it, a part of
+    a compound name hints, but for those that tell what an element has or lacks (``has-sidebar``)."""
+    names = [w for value in _NAMED.findall(rest) for w in value.strip("\"'").lower().split()]
+    parts = [[x for x in re.split(r"[^a-z0-9]+", w) if x] for w in names]
+    hint = any(len(p) > 1 and p[0] not in _NOT and not _REST_NAMES.isdisjoint(p) for p in parts)
+    return any(w in _MAIN_NAMES for w in names), any(w in _REST_NAMES for w in names), hint
 
 
 class _Ends:
@@ -122,8 +159,11 @@ def pieces(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
         at = mark.end()
         if mark["comment"] or mark["data"]:
             stop = "-->" if mark["comment"] else "]]>"
-            close = page.find(stop, at)
-            at = len(page) if close < 0 else close + len(stop)
+            empty = next((len(x) for x in (">", "->") if mark["comment"] and page.startswith(x, at)), 0)
+            close = at if empty else -1 if stop in unclosed else page.find(stop, at)
+            if close < 0:
+                unclosed.add(stop)
+            at = len(page) if close < 0 else close + (empty or len(stop))
         elif mark["other"]:
             close = page.find(">", at) if at <= ends.last else -1
             if close < 0:
@@ -135,32 +175,69 @@ def pieces(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
                 at = start + 1
                 continue
             rest, tag, at = page[at : close - 1], mark["tag"].lower(), close
-            if tag in _DROPPED_END and not mark["end"] and not rest.endswith("/"):
+            if tag in _DROPPED_END and not mark["end"] and not (tag in _FOREIGN and rest.endswith("/")):
                 shut = None if tag in unclosed else _DROPPED_END[tag].search(page, at)
                 if shut is None:
                     unclosed.add(tag)
-                at, tag = shut.end() if shut else len(page), None
+                stop = ends.of(shut.end()) if shut else -1
+                at, tag = stop if stop >= 0 else len(page), None
             else:
                 yield start, at, tag, bool(mark["end"]), rest
                 continue
         yield start, at, tag, False, ""
 
 
+class _Open:
+    """The open elements around a place, with counts, so that a block or an end tag costs no walk through all of them. What is
+    opened within a main element starts without hints from outside it."""
+
+    def __init__(self) -> None:
+        self.tags: list[tuple[str, bool, bool, bool]] = []
+        self.of_tag: dict[str, int] = {}
+        self.main = self.rest = 0
+        self.hints = [0]  # since each open main element
+
+    def push(self, tag: str, main: bool, rest: bool, hint: bool) -> None:
+        self.tags.append((tag, main, rest, hint))
+        self.of_tag[tag] = self.of_tag.get(tag, 0) + 1
+        self.main += main
+        self.rest += rest
+        if main:
+            self.hints.append(0)
+        self.hints[-1] += hint
+
+    def pop(self) -> str:
+        tag, main, rest, hint = self.tags.pop()
+        self.of_tag[tag] -= 1
+        self.main -= main
+        self.rest -= rest
+        self.hints[-1] -= hint
+        if main:
+            self.hints.pop()
+        return tag
+
+    def close(self, tag: str) -> None:
+        if self.of_tag.get(tag):
+            while self.pop() != tag:
+                pass
+
+    def flags(self) -> tuple[int, int, int]:
+        return int(self.main > 0), int(self.rest > 0), int(self.hints[-1] > 0)
+
+
 def blocks(page: str | None) -> list[tuple[str, tuple[float, ...]]]:
     """The flat text blocks of a page with their features, in page order; null counts as empty."""
     page = page or ""
-    found: list[tuple[str, int, int, int, int, int]] = []
+    found: list[tuple[str, int, int, int, int, int, int]] = []
     texts: list[str] = []
-    linked = 0
-    anchors = 0
-    heading = 0
-    open_tags: list[tuple[str, bool, bool]] = []
+    linked = anchors = heading = 0
+    around = _Open()
 
     def close_block() -> None:
-        nonlocal linked, heading
+        nonlocal linked
         words = "".join(texts).split()
         if words:
-            found.append((" ".join(words), len(words), min(linked, len(words)), int(any(m for _, m, _ in open_tags)), int(any(r for _, _, r in open_tags)), heading))
+            found.append((" ".join(words), len(words), min(linked, len(words)), *around.flags(), heading))
         texts.clear()
         linked = 0
 
@@ -186,33 +263,37 @@ def blocks(page: str | None) -> list[tuple[str, tuple[float, ...]]]:
             close_block()
             heading = int(tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not shuts)
             if tag == "body":
-                anchors, open_tags = 0, []
+                anchors, around = 0, _Open()
             elif tag in _KEPT_OPEN:
-                if not shuts:
+                if shuts:
+                    around.close(tag)
+                else:
                     anchors = 0
-                    main, aside = _named(rest) if rest else (False, False)
+                    main, aside, hint = _named(rest) if rest else (False, False, False)
                     if not rest.endswith("/"):
-                        open_tags.append((tag, main or tag in _MAIN, aside or tag in _REST))
-                elif any(t == tag for t, _, _ in open_tags):
-                    while open_tags.pop()[0] != tag:
-                        pass
+                        around.push(tag, main or tag in _MAIN, aside or tag in _REST, hint)
     add(page[at:])
     close_block()
     out = []
-    for k, (text, words, links, main, rest, head) in enumerate(found):
+    for k, (text, words, links, *flags) in enumerate(found):
         before, after = found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None
         near = [x for b in (before, after) for x in ((float(b[1]), b[2] / b[1]) if b else (0.0, 0.0))]
-        out.append((text, (float(words), links / words, *near, float(main), float(rest), float(head))))
+        out.append((text, (float(words), links / words, *near, *map(float, flags))))
     return out
 
 
 Tree = tuple | float
 
 
-def train(spark: SparkSession, rows: tuple = LABELLED) -> Tree:
+def labelled_blocks(pages: tuple[str, ...] = LABELLED_PAGES) -> list[tuple[float, ...]]:
+    """The features of the blocks of labelled pages, then 1 for main text."""
+    return [(*features, float(text[0] == "+")) for page in pages for text, features in blocks(page)]
+
+
+def train(spark: SparkSession, rows: list[tuple[float, ...]] | None = None) -> Tree:
     """A decision tree on labelled blocks, as nested (feature, bound, at most, above); a leaf is 1.0 for main text."""
     size = len(FEATURES)
-    frame = spark.createDataFrame([([float(x) for x in r[:size]], float(r[size])) for r in rows], "x array<double>, label double").coalesce(1)
+    frame = spark.createDataFrame([([float(x) for x in r[:size]], float(r[size])) for r in rows or labelled_blocks()], "x array<double>, label double").coalesce(1)
     model = DecisionTreeClassifier(featuresCol="v", labelCol="label", maxDepth=6, maxBins=64, seed=1).fit(frame.select(array_to_vector("x").alias("v"), "label"))
 
     def nested(node) -> Tree:

@@ -56,20 +56,41 @@ def url_tokens(url: Column) -> Column:
     )
 
 
+def _telling(baskets: DataFrame, least_rows: float) -> DataFrame:
+    """(token, stands_for): the tokens that a rule may be made of, and the one that stands for each.
+
+    A rule's tokens come with a bad page in at least ``least_rows`` baskets, so others can't be part of one. Of tokens that are in
+    just the same baskets (a host and its words, the fixed parts of a shop's paths) the first stands for all: they make the
+    same rules, and each would double the number of item sets. baskets: basket, items, bad.
+    """
+    each = baskets.select("bad", F.xxhash64("basket", F.lit(1)).alias("h1"), F.xxhash64("basket", F.lit(2)).alias("h2"), F.explode("items").alias("token"))
+    marks = each.groupBy("token").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"), F.sum(F.col("h1") % (1 << 40)).alias("h1"), F.bit_xor("h2").alias("h2")).filter(F.col("bad") >= least_rows)
+    first = marks.groupBy("n", "h1", "h2").agg(F.min("token").alias("stands_for"))
+    return marks.join(first, ["n", "h1", "h2"]).select("token", "stands_for")
+
+
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_rows: int = MIN_ROWS) -> DataFrame:
     """(rule_tokens, confidence, support): token combinations that foretell a bad page.
 
-    A page is bad where a label with its id has quality 0 or toxic 1; repeated labels count once, the worst winning. A
-    combination is left out if a smaller one of it foretells at least as well. All labelled pages are mined.
+    A page is bad where a label with its id has quality 0 or toxic 1; repeated labels count once, the worst winning, and
+    repeated rows of a page and URL count once. A
+    combination is left out if a smaller one of it foretells at least as well. Tokens that always come together count as one,
+    the first of them. All labelled pages are mined.
     """
     bad = F.max(((F.col("quality") == 0) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int"))
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("bad"))
-    baskets = pages.filter("page_id is not null and url is not null").select("page_id", url_tokens(F.col("url")).alias("items")).join(known, "page_id")
-    baskets = stored(baskets.select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items")), "url-baskets")
+    baskets = pages.filter("page_id is not null and url is not null").select("page_id", "url").distinct().join(known, "page_id")
+    baskets = stored(baskets.select(F.xxhash64("page_id", "url").alias("basket"), "bad", url_tokens(F.col("url")).alias("items")), "url-baskets")
     rows = baskets.count()
     if not rows:
         return baskets.sparkSession.createDataFrame([], "rule_tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / rows), minConfidence=min_confidence).fit(baskets)
+    support = max(min_support, min_rows / rows)
+    telling = _telling(baskets, support * rows)
+    kept = baskets.select("basket", "bad", F.explode("items").alias("token")).join(_sized(telling), "token").filter("token = stands_for")
+    items = kept.groupBy("basket", "bad").agg(F.collect_set("token").alias("items"))  # at most a URL's own tokens
+    left = baskets.select("basket", "bad").join(items.select("basket"), "basket", "left_anti").withColumn("items", F.array().cast("array<string>"))  # they count as baskets
+    marked = items.unionByName(left).select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(stored(marked, "url-baskets"))
     rules = model.associationRules.filter(F.array_contains("consequent", _BAD) & (F.col("lift") >= min_lift))
     rules = stored(rules.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support"), "url-mined")
     smaller, larger = rules.select(F.col("rule_tokens").alias("s"), F.col("confidence").alias("c")), rules

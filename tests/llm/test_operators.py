@@ -145,6 +145,21 @@ def test_crowded_regions_keep_their_links(spark, monkeypatch):
     assert runs.groupBy("region").count().agg(F.max("count")).first()[0] <= 20 and runs.filter("rep = 0").count() == runs.select("region").distinct().count()
 
 
+def test_pairs_in_a_template_are_linked_however_crowded(spark, monkeypatch):
+    """All texts share three quarters of their words; the pairs planted among them are links, the others are not."""
+    monkeypatch.setattr(near_dedup, "REGION_ROWS", 64)
+    rng = np.random.default_rng(12)
+    shared = [f"s{x}" for x in range(300)]
+    rows = []
+    for i in range(900):
+        own = [f"x{x}" for x in rng.integers(0, 10**9, 100)]
+        rows += [(len(rows), " ".join(shared + own))]
+        if i % 4 == 0:
+            rows += [(len(rows), " ".join(shared + own[:64] + [f"y{x}" for x in rng.integers(0, 10**9, 36)]))]
+    got = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r["doc_id"] != r["component_id"] for r in got) == 225 and all(r["doc_id"] - r["component_id"] in (0, 1) for r in got)
+
+
 def test_the_runs_of_a_crowded_region_stay_tied(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "REGION_ROWS", 4)
     words = [f"w{i}" for i in range(120)]
@@ -349,6 +364,47 @@ def test_mined_url_rules_block_what_labels_foretell(spark):
     assert set(got[0]["mined"].split()) <= {"domain=example.com", "word=spam", "word=farm", "word=com", "word=example", "path=win"}
 
 
+def test_many_parts_that_urls_share_are_mined_at_once(spark):
+    shop = "/".join(f"part{k}x" for k in range(20))
+    urls = [f"https://shop.example.com/{shop}/item{i}" if i % 50 == 0 else f"https://news{i % 7}.example.org/read/{i}" for i in range(2000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 50 == 0 else 1, 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    began = time.perf_counter()
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, labels).collect()}
+    assert time.perf_counter() - began < 60 and all((v == "block") == (i % 50 == 0) for i, v in got.items())
+
+
+def test_mined_rules_are_those_of_all_combinations(spark):
+    rng = np.random.default_rng(11)
+    parts = [f"w{chr(97 + k)}" for k in range(6)]
+    rows, bad = [], {}
+    for i in range(300):
+        chosen = [p for p in parts if rng.random() < 0.4]
+        rows.append((i, f"https://h{i % 3}.example/{'/'.join(chosen)}/twin/pair/{i}"))
+        bad[i] = int(rng.random() < (0.9 if {"wa", "wb"} <= set(chosen) else 0.8 if "we" in chosen and i % 3 == 0 else 0.15))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items()], "doc_id long, quality int, toxic int")
+    items = {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", url_filter.url_tokens(F.col("url")).alias("t")).collect()}
+    support, share = max(0.02 * 300, 8), sum(bad.values()) / 300
+    held = {t: frozenset(i for i in items if t in items[i]) for t in set().union(*items.values())}
+    first = {t: min(u for u in held if held[u] == held[t]) for t in held}
+    usable = sorted({first[t] for t in held if sum(bad[i] for i in held[t]) >= support})
+    rules = {}
+    for size in range(1, len(usable) + 1):
+        level = {}
+        for combo in combinations(usable, size):
+            where = frozenset.intersection(*(held[t] for t in combo))
+            hits = sum(bad[i] for i in where)
+            if hits >= support and hits / len(where) >= 0.5 and hits / len(where) / share >= 1.5:
+                level[combo] = hits / len(where)
+        rules |= level
+    kept = {c: v for c, v in rules.items() if not any(set(s) < set(c) and rules[s] >= v for s in rules)}
+    got = {tuple(sorted(r["rule_tokens"])): r["confidence"] for r in url_filter.mine(pages, labels, 0.02, 0.5, 1.5, 8).collect()}
+    assert got.keys() == kept.keys() and all(abs(got[c] - kept[c]) < 1e-9 for c in kept) and len(kept) > 1
+    mined = {r["url"]: r["mined"] for r in url_filter.matched(pages.select("url").distinct(), spark.createDataFrame([(list(c), v) for c, v in kept.items()], "rule_tokens array<string>, confidence double")).collect()}
+    assert set(mined) == {u for i, u in rows if any(set(c) <= items[i] for c in kept)}
+
+
 def test_html_main_text(spark):
     page = (
         '<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies.</div>'
@@ -372,7 +428,28 @@ def test_malformed_pages_take_time_in_proportion():
             html_text.blocks(part * n)
             times.append(time.perf_counter() - began)
         assert times[1] < 40 * times[0] + 0.5, (part, times)
-    assert [b[0] for b in html_text.blocks('<p>a<b title="x > y">c</b> < d <e <p>f<br/>g<script/>h<svg><p>i</svg>j<!-- k --><![CDATA[l]]><?m?>')] == ["ac < d f ghj"]
+    for part in ("<div>x ", '<div class="a b"><p>x ', "<article>x ", "</div>", "<div class='ad-box'>"):
+        began = time.perf_counter()
+        html_text.blocks(part * (1_000_000 // len(part)))  # nested as deep as that
+        assert time.perf_counter() - began < 8, part
+    assert [b[0] for b in html_text.blocks('<p>a<b title="x > y">c</b> < d <e <p>f<br/>g<script/>h</script>n<svg/>o<svg><p>i</svg>j<!-- k --><![CDATA[l]]><?m?>')] == ["ac < d f gnoj"]
+
+
+def test_names_that_only_hint_keep_no_article_out(spark):
+    tree = html_text.train(spark)
+    long = "".join(f"<p>{'word ' * 40}</p>" for _ in range(4))
+    for wrapper in ("<div class='page has-sidebar'>", "<div class='search-history'>", "<div class='menu-recipes'>", "<body class='no-comments'>"):
+        assert html_text.main_text(f"{wrapper}{long}</div>", tree).count("word") == 160
+        assert html_text.main_text(f"{wrapper}<article><p>Main text</p></article></div>", tree) == "Main text"
+    assert html_text.main_text(f"<div class='comments'><article>{long}</article></div><p>a<!-->b<!--->c {'more ' * 20}", tree).startswith("abc more")
+    assert html_text.main_text(f"<p>{'word ' * 20}<script>no</script foo>after</p><p><script src=a/>no</script >{'tail ' * 20}</p>", tree).count("no") == 0
+
+
+def test_tree_is_fitted_on_blocks_of_pages(spark):
+    rows = html_text.labelled_blocks()
+    tree = html_text.train(spark)
+    assert len(rows) > 250 and all(html_text.is_main(tree, r[:-1]) == (r[-1] == 1) for r in rows)
+    assert html_text.FEATURES[tree[0]] in ("words", "links")  # what a block is asked first
 
 
 def test_html_of_given_pages(spark, sf_dir):

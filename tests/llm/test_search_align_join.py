@@ -255,9 +255,9 @@ def corpus(seed):
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("seed", "rows", "shingles", "pairs"), [(1, 2000, 10**6, 200_000), (2, 7, 1000, 50), (3, 3, 10**6, 7)])
-def test_jaccard_join_whatever_the_blocks(spark, monkeypatch, seed, rows, shingles, pairs):
-    for name, value in (("BLOCK_ROWS", rows), ("BLOCK_SHINGLES", shingles), ("PAIRS", pairs), ("BUCKET_CHARS", 4000), ("PACK_ROWS", 37)):
+@pytest.mark.parametrize(("seed", "rows", "shingles", "pairs", "small"), [(1, 2000, 10**6, 200_000, 64), (2, 7, 1000, 50, 4), (3, 3, 10**6, 7, 1)])
+def test_jaccard_join_whatever_the_blocks(spark, monkeypatch, seed, rows, shingles, pairs, small):
+    for name, value in (("SMALL_REGION", small), ("PARTNERS", 2), ("BLOCK_ROWS", rows), ("BLOCK_SHINGLES", shingles), ("PAIRS", pairs), ("BUCKET_CHARS", 4000), ("PACK_ROWS", 37)):
         monkeypatch.setattr(jaccard_join, name, value)
     texts = corpus(seed)
     assert joined(spark, texts) == components(texts)
