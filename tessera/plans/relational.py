@@ -192,7 +192,7 @@ def _(t):
     return state.resolve_prefixes(prefixes, t("notes"), t("versions"), include_deleted=True)[1]
 
 
-_FETCH = "SELECT regexp_extract(url, '://([^/]+)', 1) AS external_id, page_id AS ord, regexp_extract(url, '://[^/]+/([^/]+)', 1) AS body, CASE WHEN page_id % 4 = 0 THEN 'tombstone' ELSE 'ok' END AS status FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL"
+_FETCH = "SELECT regexp_extract(url, '://([^/]+)', 1) AS external_id, page_id AS ord, CASE WHEN page_id % 3 = 0 THEN coalesce(html, '') ELSE regexp_extract(url, '://[^/]+/([^/]+)', 1) END AS body, CASE WHEN page_id % 4 = 0 THEN 'tombstone' ELSE 'ok' END AS status FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL"
 
 
 @query(
@@ -204,7 +204,7 @@ SELECT external_id, body, status, first_order, touched AS fetched_at, body = hea
 )
 def _(t):
     part = lambda p: F.regexp_extract("url", p, 1)
-    rows = t("pages").filter("url is not null and page_id is not null").select(part("://([^/]+)").alias("external_id"), F.col("page_id").alias("order"), part("://[^/]+/([^/]+)").alias("body"), F.when(F.col("page_id") % 4 == 0, "tombstone").otherwise("ok").alias("status"), F.col("page_id").alias("fetched_at"))
+    rows = t("pages").filter("url is not null and page_id is not null").select(part("://([^/]+)").alias("external_id"), F.col("page_id").alias("order"), F.when(F.col("page_id") % 3 == 0, F.coalesce("html", F.lit(""))).otherwise(part("://[^/]+/([^/]+)")).alias("body"), F.when(F.col("page_id") % 4 == 0, "tombstone").otherwise("ok").alias("status"), F.col("page_id").alias("fetched_at"))
     return state.ingest(rows)
 
 
@@ -386,14 +386,14 @@ _RESULT = "concat('d', doc_id) AS target, concat('d', doc_id, '.1') AS source_ve
 
 @query(
     "h1_load",
-    f""", r AS (SELECT DISTINCT {_RESULT} FROM documents WHERE doc_id % 3 = 0),
+    f""", r AS (SELECT DISTINCT {_RESULT} FROM documents),
 u AS (SELECT DISTINCT target, kind, payload FROM annotations WHERE source = 'user')
 SELECT target, source_version, kind, payload, source FROM annotations WHERE NOT (source = 'ai' AND source_version IS NOT NULL AND source_version IN (SELECT source_version FROM r))
 UNION ALL SELECT r.target, r.source_version, r.kind, r.payload, 'ai' FROM r LEFT JOIN u ON u.target = r.target AND u.kind = r.kind AND u.payload = r.payload WHERE u.target IS NULL""",
     "annotations",
 )
 def _(t):
-    results = t("documents").filter("doc_id % 3 = 0").selectExpr("concat('d', doc_id) AS target", "concat('d', doc_id, '.1') AS source_version", "'tag' AS kind", "CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'new' END AS payload")
+    results = t("documents").selectExpr("concat('d', doc_id) AS target", "concat('d', doc_id, '.1') AS source_version", "'tag' AS kind", "CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'new' END AS payload")
     return notes_on.load_enrichment(t("annotations"), results).select("target", "source_version", "kind", "payload", "source")
 
 
@@ -412,7 +412,7 @@ def _(t):
 
 @query(
     "h3_reanchor",
-    """, h AS (SELECT note_id, concat(note_id, '.2') AS head, substr(body, 5) AS body FROM doc_notes WHERE doc_id % 2 = 0),
+    """, h AS (SELECT note_id, concat(note_id, '.2') AS head, CASE WHEN doc_id % 2 = 0 THEN substr(body, 5) ELSE concat(upper(body), ' ', doc_id) END AS body FROM doc_notes),
 j AS (SELECT a.*, h.head, h.body, a.source = 'ai' AND h.head IS NOT NULL AS moves FROM annotations a LEFT JOIN h ON h.note_id = a.target),
 s AS (SELECT *, CASE WHEN NOT moves THEN status WHEN quoted_text IS NOT NULL THEN CASE WHEN contains(body, quoted_text) THEN 'fresh' WHEN contains(body, payload) THEN 'stale' ELSE 'orphaned' END
  WHEN contains(body, payload) THEN 'fresh' ELSE 'orphaned' END AS now FROM j)
@@ -420,7 +420,8 @@ SELECT id, now AS status, CASE WHEN moves AND now = 'fresh' THEN head ELSE sourc
     "annotations", "doc_notes",
 )
 def _(t):
-    heads = t("doc_notes").filter("doc_id % 2 = 0").select(F.col("note_id").alias("target"), F.concat("note_id", F.lit(".2")).alias("head_version_id"), F.substring(F.col("body"), 5, 1_000_000_000).alias("body"))
+    edited = F.when(F.col("doc_id") % 2 == 0, F.substring("body", 5, 1_000_000_000)).otherwise(F.concat(F.upper("body"), F.lit(" "), "doc_id"))
+    heads = t("doc_notes").select(F.col("note_id").alias("target"), F.concat("note_id", F.lit(".2")).alias("head_version_id"), edited.alias("body"))
     return notes_on.reanchor(t("annotations"), heads, "target", "payload").select("id", "status", "source_version")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.recovery import fingerprint, fresh_folder, shared_base, written
@@ -174,34 +174,32 @@ def _(t):
     return search.term_frequencies(t("questions"), _index(t)).select("query_id", "term", "times", "df")
 
 
-@query("e3_prefix_terms", _P + _ask("q", "substr(question, 1, 7)") + " SELECT query_id, term, times, (SELECT count(*) FROM freq WHERE starts_with(freq.term, q.term)) AS df FROM q", "doc_notes", "questions")
+@query("e3_prefix_terms", _P + _ask("q", "question") + " SELECT query_id, term, times, (SELECT count(*) FROM freq WHERE starts_with(freq.term, q.term)) AS df FROM q", "doc_notes", "questions")
 def _(t):
-    asked = t("questions").withColumn("question", F.substring("question", 1, 7))
-    rows = search.term_frequencies(asked, _index(t), "prefix")
+    rows = search.term_frequencies(t("questions"), _index(t), "prefix")
     return rows.select("query_id", "term", "times", F.coalesce("df", F.lit(0)).alias("df"))
 
 
 @query(
     "e3_phrases",
-    _P + f""", ph AS (SELECT query_id, unnest(list_filter(list_transform(string_split_regex(substr(item, 1, 24), '\\s+'), lambda x: array_to_string({_TERMS.format("x")}, ' ')), lambda x: x <> '')) AS phrase FROM questions),
+    _P + f""", ph AS (SELECT query_id, unnest(list_filter(list_transform(string_split_regex(item, '\\s+'), lambda x: array_to_string({_TERMS.format("x")}, ' ')), lambda x: x <> '')) AS phrase FROM questions),
 n AS (SELECT query_id, count(DISTINCT phrase) AS n FROM ph GROUP BY 1)
 SELECT ph.query_id, passage_id FROM ph JOIN n ON n.query_id = ph.query_id JOIN p ON contains(concat(' ', array_to_string(ts, ' '), ' '), concat(' ', phrase, ' ')) GROUP BY ph.query_id, passage_id, n.n HAVING count(DISTINCT phrase) = n.n""",
     "doc_notes", "questions",
 )
 def _(t):
-    return search.phrase_passages(t("questions").withColumn("question", F.substring("item", 1, 24)), _passages(t))
+    return search.phrase_passages(t("questions").withColumn("question", F.col("item")), _passages(t))
 
 
 @query(
     "e4_quick_search",
-    _P + ", starts AS (SELECT query_id, unnest(" + _TERMS.format("substr(question, 1, 7)") + ") AS start FROM questions), q AS (SELECT query_id, term, count(*) AS times FROM starts JOIN freq ON starts_with(term, start) GROUP BY ALL)" + _score("s", "q", _HEADS_ONLY)
+    _P + ", starts AS (SELECT query_id, unnest(" + _TERMS.format("question") + ") AS start FROM questions), q AS (SELECT query_id, term, count(*) AS times FROM starts JOIN freq ON starts_with(term, start) GROUP BY ALL)" + _score("s", "q", _HEADS_ONLY)
     + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), passage_id) AS r FROM s QUALIFY r <= 1000), b AS (SELECT query_id, replace(target_version, '.1', '') AS note_id, min(r) AS r, arg_min(score, r) AS score FROM r GROUP BY ALL)"
     + " SELECT query_id, note_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM b QUALIFY rank <= 20",
     "doc_notes", "questions",
 )
 def _(t):
-    asked = t("questions").withColumn("question", F.substring("question", 1, 7))
-    rows = search.prefix_search(asked, _index(t), t("doc_notes").filter("doc_id % 10 <> 0").select("note_id", "head_version_id"))
+    rows = search.prefix_search(t("questions"), _index(t), t("doc_notes").filter("doc_id % 10 <> 0").select("note_id", "head_version_id"))
     return rows.filter("rank <= 20").withColumn("score", F.round("score", 6))
 
 
@@ -369,52 +367,63 @@ def _(t):
     return rows.select("target_version", *[F.col(c).cast("long").alias(c) for c in ("ord", "char_start", "char_end")], F.md5("text").alias("digest"))
 
 
-# F: claims. An even item cites a stretch of document d<item>, an odd one its own text there; every third claim says what it cites.
+# F: claims. A benchmark item is a claim that cites, whole, each document that holds eight words of it in a row; two items make an
+# answer. Every third claim says what the next item says, and every fourth quotes the next item, which its documents needn't hold.
 
-_CLAIMS = """, cl AS (SELECT b.item_id AS claim_id, b.item_id // 2 AS answer_id, CASE WHEN b.item_id % 3 = 0 THEN substr(d.body, 1, 40) ELSE substr(b.text, 1, 60) END AS text,
- CASE WHEN b.item_id % 2 = 0 THEN substr(d.body, 1, 60) ELSE b.text END AS span, d.note_id AS target_id, d.body, d.doc_id FROM benchmark b JOIN doc_notes d ON d.doc_id = b.item_id)"""
+_CITED = """, runs AS (SELECT DISTINCT query_id, array_to_string(list_slice(w, i, i + 7), ' ') AS run FROM (SELECT query_id, string_split(lower(item), ' ') AS w FROM questions), unnest(range(1, 200, 4)) AS r(i) WHERE len(w) >= i + 7),
+dw AS (SELECT head_version_id, string_split(lower(body), ' ') AS w FROM doc_notes),
+dr AS (SELECT DISTINCT head_version_id, array_to_string(list_slice(w, i, i + 7), ' ') AS run FROM dw, unnest(range(1, len(w) - 6)) AS r(i)),
+cited AS (SELECT DISTINCT query_id, head_version_id FROM runs JOIN dr USING (run))"""
+_CLAIMS = _CITED + """, cl AS (SELECT q.query_id AS claim_id, q.query_id // 2 AS answer_id, CASE WHEN q.query_id % 3 = 0 THEN coalesce(x.item, q.item) ELSE q.item END AS text, CASE WHEN q.query_id % 4 = 1 THEN coalesce(x.item, q.item) ELSE q.item END AS span, d.note_id AS target_id, d.body, d.doc_id,
+ row_number() OVER (PARTITION BY q.query_id ORDER BY d.doc_id) AS n FROM questions q LEFT JOIN questions x ON x.query_id = q.query_id + 1 LEFT JOIN cited c ON c.query_id = q.query_id LEFT JOIN doc_notes d ON d.head_version_id = c.head_version_id),
+sup AS (SELECT * FROM cl WHERE target_id IS NOT NULL), one AS (SELECT claim_id, any_value(answer_id) AS answer_id, any_value(text) AS text, any_value(span) AS span, count(target_id) AS supports FROM cl GROUP BY 1)"""
 _WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 _NEG = r"list_concat(list_intersect({0}, ['not', 'no', 'never', 'cannot', 'nothing', 'nobody', 'none', 'neither', 'nor', 'without']), regexp_extract_all(lower({1}), '[\p{{L}}\p{{N}}_]+n[''’]t\b'))"
-_F3 = f""", wo AS (SELECT *, list_filter({_WORDS.format("text")}, lambda x: x NOT IN ('a', 'an', 'the', 'is', 'are', 'was', 'were', 'be', 'been', 'being', 'am')) AS payload, {_WORDS.format("span")} AS has FROM cl),
-f3 AS (SELECT claim_id, len(payload) > 0 AND len(list_filter(payload, lambda x: NOT list_contains(has, x))) = 0 AND len(list_filter({_NEG.format(_WORDS.format("span"), "span")}, lambda x: NOT list_contains({_NEG.format(_WORDS.format("text"), "text")}, x))) = 0 AS coupled FROM wo)"""
-_F1 = r""", f1 AS (SELECT claim_id, contains(body, span) OR contains(trim(regexp_replace(body, '\s+', ' ', 'g')), trim(regexp_replace(span, '\s+', ' ', 'g'))) AS verified FROM cl)"""
-_F4 = r""", sw AS (SELECT claim_id, answer_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS cw, string_split_regex(lower(span), '\s+') AS pw FROM cl), f4 AS (SELECT claim_id, answer_id, CASE WHEN len(cw) = 0 THEN 0 ELSE len(list_intersect(cw, pw)) / len(cw) END AS score FROM sw)"""
+_F3 = f""", wo AS (SELECT *, list_filter({_WORDS.format("text")}, lambda x: x NOT IN ('a', 'an', 'the', 'is', 'are', 'was', 'were', 'be', 'been', 'being', 'am')) AS payload, {_WORDS.format("span")} AS has FROM one),
+f3 AS (SELECT claim_id, supports > 0 AND len(payload) > 0 AND len(list_filter(payload, lambda x: NOT list_contains(has, x))) = 0 AND len(list_filter({_NEG.format(_WORDS.format("span"), "span")}, lambda x: NOT list_contains({_NEG.format(_WORDS.format("text"), "text")}, x))) = 0 AS coupled FROM wo)"""
+_HELD = r"contains(body, span) OR contains(trim(regexp_replace(body, '\s+', ' ', 'g')), trim(regexp_replace(span, '\s+', ' ', 'g')))"
+_F1 = f", f1 AS (SELECT claim_id, bool_and({_HELD}) AS verified FROM sup GROUP BY 1)"
+_F4 = r""", sw AS (SELECT claim_id, answer_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS cw, string_split_regex(lower(span), '\s+') AS pw FROM one WHERE supports > 0), f4 AS (SELECT claim_id, answer_id, CASE WHEN len(cw) = 0 THEN 0 ELSE len(list_intersect(cw, pw)) / len(cw) END AS score FROM sw)"""
 
 
 def _claim_tables(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    items = t("questions")
+    after = items.select((F.col("query_id") - 1).alias("query_id"), F.col("item").alias("next"))
+    said = F.when(F.col("query_id") % 3 == 0, F.coalesce("next", "item")).otherwise(F.col("item"))
+    claims_ = items.join(after, "query_id", "left").select(F.col("query_id").alias("claim_id"), F.expr("query_id div 2").alias("answer_id"), said.alias("text"))
     docs = t("doc_notes")
-    rows = t("benchmark").withColumnRenamed("text", "item").join(docs, F.col("item_id") == F.col("doc_id"))
-    said = F.when(F.col("item_id") % 3 == 0, F.substring("body", 1, 40)).otherwise(F.substring("item", 1, 60))
-    span = F.when(F.col("item_id") % 2 == 0, F.substring("body", 1, 60)).otherwise(F.col("item"))
-    claims_ = rows.select(F.col("item_id").alias("claim_id"), F.expr("item_id div 2").alias("answer_id"), said.alias("text"))
-    return claims_, rows.select(F.col("item_id").alias("claim_id"), F.lit(1).alias("n"), F.col("note_id").alias("target_id"), span.alias("quoted_span")), docs.select(F.col("note_id").alias("target_id"), "body")
+    quoted = items.join(after, "query_id", "left").select("query_id", F.when(F.col("query_id") % 4 == 1, F.coalesce("next", "item")).otherwise(F.col("item")).alias("quoted_span"))
+    cited = _holders(t, docs).join(docs.select("head_version_id", "note_id", "doc_id"), "head_version_id").join(quoted, "query_id")
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
+    supports = written(cited.select(F.col("query_id").alias("claim_id"), n.alias("n"), F.col("note_id").alias("target_id"), "quoted_span"), "supports")
+    return claims_, supports, docs.select(F.col("note_id").alias("target_id"), "body")
 
 
-@query("f1_spans_verified", _CLAIMS + _F1 + " SELECT * FROM f1", "doc_notes")
+@query("f1_spans_verified", _CLAIMS + _F1 + " SELECT * FROM f1", "doc_notes", "questions")
 def _(t):
     return claims.spans_verified(*_claim_tables(t)[1:])
 
 
-@query("f2_span_places", _CLAIMS + " SELECT claim_id, CASE WHEN strpos(body, span) > 0 THEN strpos(body, span) - 1 END AS start FROM cl", "doc_notes")
+@query("f2_span_places", _CLAIMS + " SELECT claim_id, target_id, CASE WHEN strpos(body, span) > 0 THEN strpos(body, span) - 1 END AS start FROM sup", "doc_notes", "questions")
 def _(t):
-    return claims.locate_spans(*_claim_tables(t)[1:]).select("claim_id", F.col("start").cast("long").alias("start"))
+    return claims.locate_spans(*_claim_tables(t)[1:]).select("claim_id", "target_id", F.col("start").cast("long").alias("start"))
 
 
-@query("f3_coupled", _CLAIMS + _F3 + " SELECT * FROM f3", "doc_notes")
+@query("f3_coupled", _CLAIMS + _F3 + " SELECT * FROM f3", "doc_notes", "questions")
 def _(t):
     return claims.coupled(*_claim_tables(t)[:2])
 
 
-@query("f4_entailed", _CLAIMS + _F4 + " SELECT claim_id, round(score, 6) AS score, score >= 0.9 AS entailed FROM f4", "doc_notes")
+@query("f4_entailed", _CLAIMS + _F4 + " SELECT claim_id, round(score, 6) AS score, score >= 0.9 AS entailed FROM f4", "doc_notes", "questions")
 def _(t):
     return claims.entailed(*_claim_tables(t)[:2]).withColumn("score", F.round("score", 6))
 
 
 @query(
     "f5_gate",
-    _CLAIMS + _F1 + _F3 + _F4 + ", g AS (SELECT answer_id, verified AND (coupled OR score >= 0.9) AS survives FROM f1 JOIN f3 USING (claim_id) JOIN f4 USING (claim_id)) SELECT answer_id, count(*) AS claims, count(*) FILTER (survives) AS surviving, count(*) FILTER (survives) = 0 AS abstains FROM g GROUP BY 1",
-    "doc_notes",
-)
+    _CLAIMS + _F1 + _F3 + _F4 + ", g AS (SELECT one.answer_id, coalesce(verified AND (coupled OR score >= 0.9), false) AS survives FROM one JOIN f3 USING (claim_id) LEFT JOIN f1 USING (claim_id) LEFT JOIN f4 USING (claim_id)) SELECT answer_id, count(*) AS claims, count(*) FILTER (survives) AS surviving, count(*) FILTER (survives) = 0 AS abstains FROM g GROUP BY 1",
+    "doc_notes", "questions",
+)
 def _(t):
     return claims.gate(*_claim_tables(t))[1]
 
@@ -438,19 +447,19 @@ def _(t):
     return claims.resolve_citations(cited, t("notes"), t("versions"), t("externals"), t("snapshots")).drop("title")
 
 
-@query("f8_offsets", _P + _CLAIMS + " SELECT claim_id, CAST(arg_min(p.char_start + strpos(p.body, span) - 1, ord) AS BIGINT) AS \"offset\" FROM cl JOIN p ON p.note_id = cl.target_id WHERE strpos(p.body, span) > 0 GROUP BY 1", "doc_notes")
+@query("f8_offsets", _P + _CLAIMS + " SELECT claim_id, n, CAST(arg_min(p.char_start + strpos(p.body, span) - 1, ord) AS BIGINT) AS \"offset\" FROM sup JOIN p ON p.note_id = sup.target_id WHERE strpos(p.body, span) > 0 GROUP BY 1, 2", "doc_notes", "questions")
 def _(t):
     context_ = _passages(t).select(F.col("note_id").alias("target_id"), (F.col("ord") + 1).alias("rank"), "char_start", "text")
-    return claims.stamp_offsets(_claim_tables(t)[1], context_).select("claim_id", "offset")
+    return claims.stamp_offsets(_claim_tables(t)[1], context_).select("claim_id", F.col("n").cast("long").alias("n"), "offset")
 
 
 @query(
     "f9_grouped",
-    _CLAIMS + """, o AS (SELECT answer_id, CASE WHEN doc_id % 9 <> 0 THEN concat('o', doc_id % 7) END AS owner_id, claim_id, target_id, strpos(body, span) > 0 AS found FROM cl),
-w AS (SELECT *, min(claim_id) OVER (PARTITION BY answer_id, owner_id) AS first FROM o)
+    _CLAIMS + f""", o AS (SELECT answer_id, CASE WHEN doc_id % 9 <> 0 THEN concat('o', doc_id % 7) END AS owner_id, claim_id, n, target_id, {_HELD} AS found FROM sup),
+w AS (SELECT *, min(claim_id * 1000000 + n) OVER (PARTITION BY answer_id, owner_id) AS first FROM o)
 SELECT answer_id, owner_id, claim_id, target_id, found, CASE WHEN owner_id IS NOT NULL THEN dense_rank() OVER (PARTITION BY answer_id ORDER BY CASE WHEN owner_id IS NOT NULL THEN first END NULLS LAST, owner_id) END AS place FROM w""",
-    "doc_notes",
-)
+    "doc_notes", "questions",
+)
 def _(t):
     claims_, supports, bodies = _claim_tables(t)
     rows = claims.locate_spans(supports, bodies).join(claims_.select("claim_id", "answer_id"), "claim_id").withColumn("claim_no", F.col("claim_id"))
@@ -479,13 +488,17 @@ def _runs(rows: DataFrame, id: str, text_: str, step: int) -> DataFrame:
     return rows.select(id, F.explode(every).alias("run"))
 
 
-def _golden(t) -> tuple[DataFrame, DataFrame]:
-    """Stored, as each metric reads it. The items' runs are few; stored, they have a size that Spark knows, and where they are
-    small no run of a document moves before it is found among them."""
+def _holders(t, docs: DataFrame) -> DataFrame:
+    """(query_id, head_version_id): the documents that hold eight words of an item in a row. The items' runs are few; stored, they
+    have a size that Spark knows, and where they are small no run of a document moves before it is found among them."""
     theirs = written(_runs(t("questions"), "query_id", "item", 4).distinct(), "runs")
-    held = _runs(t("doc_notes").filter("doc_id % 10 <> 0"), "head_version_id", "body", 1).join(theirs, "run").select("query_id", "head_version_id").distinct()
+    return _runs(docs, "head_version_id", "body", 1).join(theirs, "run").select("query_id", "head_version_id").distinct()
+
+
+def _golden(t) -> tuple[DataFrame, DataFrame]:
+    """Stored, as each metric reads it."""
     none = F.array().cast("array<string>")
-    found = held.groupBy("query_id").agg(F.collect_list("head_version_id").alias("r"))
+    found = _holders(t, t("doc_notes").filter("doc_id % 10 <> 0")).groupBy("query_id").agg(F.collect_list("head_version_id").alias("r"))
     rows = t("questions").select("query_id").join(found, "query_id", "left").select(F.col("query_id").alias("item_id"), F.when(F.col("query_id") % 5 == 0, none).otherwise(F.coalesce("r", none)).alias("relevant"))
     gold = written(rows, "gold")
     return gold, gold.select("item_id", F.when(F.col("item_id") % 4 == 1, F.array(F.lit("other"))).otherwise(F.col("relevant")).alias("cited"), (F.col("item_id") % 10 == 0).alias("abstained"))
@@ -493,20 +506,23 @@ def _golden(t) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "k1_golden",
-    _CLAIMS + ", q AS (SELECT item_id, substr(text, 1, 40) AS question FROM benchmark) SELECT item_id, question, coalesce(list(head_version_id) FILTER (head_version_id IS NOT NULL), [])[1] AS relevant, coalesce(any_value(length(span)), 0) AS span_chars FROM q LEFT JOIN (SELECT claim_id, span, concat(target_id, '.1') AS head_version_id FROM cl WHERE claim_id % 5 <> 0) c ON c.claim_id = item_id GROUP BY ALL",
-    "doc_notes",
-)
+    _CLAIMS + """, k AS (SELECT claim_id AS item_id, concat(target_id, '.1') AS target, length(span) AS chars FROM sup WHERE claim_id % 5 <> 0)
+SELECT q.query_id AS item_id, md5(q.item) AS question, coalesce(md5(string_agg(target, ',' ORDER BY target)), md5('')) AS relevant, count(target) AS citations, CAST(coalesce(sum(chars), 0) AS BIGINT) AS span_chars FROM questions q LEFT JOIN k ON k.item_id = q.query_id GROUP BY q.query_id, q.item""",
+    "doc_notes", "questions",
+)
 def _(t):
-    questions = t("benchmark").select("item_id", F.substring("text", 1, 40).alias("question"))
+    questions = t("questions").select(F.col("query_id").alias("item_id"), F.col("item").alias("question"))
     cited = _claim_tables(t)[1].filter("claim_id % 5 <> 0").select(F.col("claim_id").alias("item_id"), "n", F.col("target_id").alias("note_id"), "quoted_span")
     rows = evaluate.load_golden(questions, cited, t("doc_notes"))
-    return rows.select("item_id", "question", F.get("relevant", F.lit(0)).alias("relevant"), F.coalesce(F.length(F.get("citations", F.lit(0))["quoted_span"]), F.lit(0)).cast("long").alias("span_chars"))
+    chars = F.aggregate("citations", F.lit(0).cast("long"), lambda s, c: s + F.length(c["quoted_span"]))
+    return rows.select("item_id", F.md5("question").alias("question"), F.md5(F.array_join("relevant", ",")).alias("relevant"), F.size("citations").cast("long").alias("citations"), chars.alias("span_chars"))
 
 
-@query("k2_golden_problems", _CLAIMS + _F1 + " SELECT claim_id AS item_id, target_id, 'span' AS problem FROM f1 JOIN cl USING (claim_id) WHERE NOT verified", "doc_notes")
+@query("k2_golden_problems", _CLAIMS + f" SELECT claim_id AS item_id, target_id, 'span' AS problem FROM sup WHERE NOT ({_HELD})", "doc_notes", "questions")
 def _(t):
     _, supports, bodies = _claim_tables(t)
-    golden = supports.select(F.col("claim_id").alias("item_id"), F.array("target_id").alias("relevant"), F.array(F.struct("target_id", "quoted_span")).alias("citations"))
+    pairs = F.collect_list(F.struct("target_id", "quoted_span"))
+    golden = supports.groupBy(F.col("claim_id").alias("item_id")).agg(F.collect_set("target_id").alias("relevant"), pairs.alias("citations"))
     return evaluate.check_golden(golden, bodies)
 
 
