@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.recovery import written
 from ..functions.terms import terms
@@ -20,6 +21,10 @@ RRF_K = 60
 PREFIX_CAP = 1000
 BLOCK_QUERIES = 2000
 BLOCK_VECTORS = 20_000
+#: Vectors for which there is a pivot, and the most pivots, which each worker holds.
+CELL_VECTORS = 5000
+MOST_PIVOTS = 4096
+ANGLE_SLACK = 1e-5
 
 
 #: Postings of a query's rarest terms that are scored first, for a score that the k-th best reaches at least.
@@ -249,42 +254,152 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+@dataclass
+class _Cells:
+    """Pivots (unit vectors, by their number of components), and for each cell the angles between which its vectors lie from
+    its pivot, how many there are and into how many blocks they are dealt. At most MOST_PIVOTS cells of each width, and one for vectors
+    of a width that no pivot has."""
+
+    pivots: dict[int, np.ndarray]
+    first: dict[int, int]
+    near: np.ndarray
+    far: np.ndarray
+    size: np.ndarray
+    blocks: np.ndarray
+
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, least angles): how near to a unit vector the vectors of each cell can be at least. The angle between unit
+        vectors is a distance, so the triangle inequality holds for it."""
+        width = len(q)
+        if width not in self.pivots:
+            return np.array([len(self.size) - 1]), np.zeros(1)
+        cells = self.first[width] + np.arange(len(self.pivots[width]))
+        own = np.arccos(np.clip(self.pivots[width] @ q, -1, 1))
+        return cells, np.maximum(0, np.maximum(own - self.far[cells], self.near[cells] - own))
+
+
+def _unit(vectors: pd.Series) -> list[np.ndarray | None]:
+    """Unit vectors in double precision; None for null, empty and zero vectors and those with components that aren't finite."""
+    out: list[np.ndarray | None] = []
+    for v in vectors:
+        x = None if v is None else np.asarray(v, np.float64)
+        size = 0.0 if x is None or not len(x) or not np.isfinite(x).all() else float(np.linalg.norm(x))
+        out.append(x / size if size > 0 else None)
+    return out
+
+
+def _nearest(wanted: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of a block's vectors for each of its queries, and what a rounded distance may tie with."""
+    out = [pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "passage_id", "target_version", "distance")})]
+    vectors = _unit(held["held"])
+    for width, some in wanted.groupby(wanted["asked"].map(len)) if len(wanted) and len(held) else ():
+        mine = [i for i, v in enumerate(vectors) if v is not None and len(v) == width]
+        if not mine:
+            continue
+        near, x = held.iloc[mine], np.stack([vectors[i] for i in mine])
+        names, targets = near["passage_id"].to_numpy(), near["target_version"].to_numpy()
+        for query, one in zip(some["query_id"], _unit(some["asked"]), strict=True):
+            row = 1 - x @ one
+            edge = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+            best = np.flatnonzero(row <= edge + 1e-9)
+            out.append(pd.DataFrame({"query_id": query, "passage_id": names[best], "target_version": targets[best], "distance": row[best]}))
+    return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+
+def _cells(rows: DataFrame, cell_vectors: int) -> tuple[_Cells, DataFrame]:
+    """The cells of some vectors, and the vectors (stored) with the number of their cell, whose pivot is the nearest."""
+    n = min(MOST_PIVOTS, max(1, -(-rows.count() // cell_vectors)))
+    sample = [x for x in _unit(pd.Series([r[0] for r in rows.orderBy(F.xxhash64("passage_id", F.lit(8)), "passage_id").select("held").limit(n).collect()])) if x is not None]
+    widths = sorted({len(x) for x in sample})
+    pivots = {w: np.stack([x for x in sample if len(x) == w]) for w in widths}
+    first = dict(zip(widths, np.cumsum([0, *(len(pivots[w]) for w in widths)]).tolist(), strict=False))
+    other = sum(map(len, pivots.values()))
+
+    @F.pandas_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
+    def place(vectors: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in _unit(vectors):
+            if x is None:
+                out.append((None, None))
+            elif len(x) not in pivots:
+                out.append((other, 0.0))
+            else:
+                near = pivots[len(x)] @ x
+                out.append((first[len(x)] + int(near.argmax()), float(np.arccos(np.clip(near.max(), -1, 1)))))
+        return pd.DataFrame(out, columns=["cell", "angle"])
+
+    placed = written(rows.withColumn("_p", place("held")).select("passage_id", "target_version", "held", F.col("_p.cell").alias("cell"), F.col("_p.angle").alias("angle")).filter("cell is not null"), "cells")
+    near, far, size = np.zeros(other + 1), np.full(other + 1, np.pi), np.zeros(other + 1, np.int64)
+    for cell, count, low, high in placed.groupBy("cell").agg(F.count("*"), F.min("angle"), F.max("angle")).collect():
+        size[cell] = count
+        if cell < other:
+            near[cell], far[cell] = low - ANGLE_SLACK, high + ANGLE_SLACK
+    return _Cells(pivots, first, near, far, size, np.maximum(1, -(-size // BLOCK_VECTORS))), placed
+
+
+def _visited(asked: DataFrame, placed: DataFrame, cells: _Cells, k: int) -> DataFrame:
+    """(query_id, passage_id, target_version, distance): the nearest of the vectors of the cells that each query asks for. asked:
+    query_id, asked, cells. A cell's vectors and the queries that ask for it are dealt into blocks; a pair of blocks is a group."""
+    spread = asked.select("query_id", "asked", F.explode("cells").alias("cell"))
+    parts = spread.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("qn"))
+    dealt = asked.sparkSession.createDataFrame([(c, int(n)) for c, n in enumerate(cells.blocks)], "cell int, vn int")  # at most a row for each pivot
+    parts = parts.join(F.broadcast(dealt), "cell")
+    blocks = F.col("vn")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    q = spread.join(parts, "cell").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qn")).cast("int")).withColumn("vb", every(blocks))
+    v = placed.join(parts, "cell").withColumn("own_vb", F.pmod(F.xxhash64("passage_id"), blocks).cast("int")).withColumn("own_qb", every(F.col("qn")))
+    kinds = dict(asked.dtypes)["query_id"], dict(placed.dtypes)["passage_id"], dict(placed.dtypes)["target_version"]
+    left, right = q.select("cell", "qb", "vb", "query_id", "asked"), v.select("cell", "own_qb", "own_vb", "passage_id", "target_version", "held")
+    return left.groupBy("cell", "qb", "vb").cogroup(right.groupBy("cell", "own_qb", "own_vb")).applyInPandas(lambda x, y: _nearest(x, y, k), f"query_id {kinds[0]}, passage_id {kinds[1]}, target_version {kinds[2]}, distance double")
+
+
+def knn_with_counts(queries: DataFrame, vectors: DataFrame, k: int, live: DataFrame | None = None, cell_vectors: int = CELL_VECTORS) -> tuple[DataFrame, DataFrame]:
+    """(the result of ``knn``, one row: pairs of a query and a vector that were compared, and all pairs)."""
+    rows = vectors if live is None else vectors.join(live, "target_version", "left_semi")
+    cells, placed = _cells(rows.select("passage_id", "target_version", F.col("vector").alias("held")).filter("held is not null"), cell_vectors)
+    choice = T.ArrayType(T.IntegerType())
+
+    @F.pandas_udf(choice)
+    def home(asked: pd.Series) -> pd.Series:
+        """The cells that can be nearest, until they hold k vectors."""
+        out = []
+        for q in _unit(asked):
+            if q is None:
+                out.append([])
+                continue
+            found, least = cells.bounds(q)
+            found = found[np.argsort(least, kind="stable")]
+            out.append(found[: int(np.searchsorted(np.cumsum(cells.size[found]), k)) + 1].tolist())
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf(choice)
+    def others(asked: pd.Series, reach: pd.Series, seen: pd.Series) -> pd.Series:
+        """The other cells that may hold a vector within ``reach`` (a distance; null: any)."""
+        out = []
+        for q, r, had in zip(_unit(asked), reach, seen, strict=True):
+            found, least = cells.bounds(q)
+            angle = np.pi if r is None or r != r else float(np.arccos(np.clip(1 - r, -1, 1))) + ANGLE_SLACK
+            out.append([c for c in found[least <= angle].tolist() if c not in set(had) and cells.size[c]])
+        return pd.Series(out, dtype=object)
+
+    asked = written(queries.select("query_id", F.col("vector").alias("asked")).filter("asked is not null").withColumn("cells", home("asked")).filter(F.size("cells") > 0), "asked")
+    first = written(top(_visited(asked, placed, cells, k), k, F.round("distance", 9), F.col("passage_id")), "nearest")
+    reach = first.filter(F.col("rank") == k).select("query_id", F.col("distance").alias("reach"))
+    more = written(asked.join(reach, "query_id", "left").withColumn("cells", others("asked", "reach", "cells")).select("query_id", "asked", "cells"), "asked")
+    found = first.drop("rank").unionByName(_visited(more, placed, cells, k))
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))
+    compared = asked.select(F.explode("cells").alias("cell")).unionByName(more.select(F.explode("cells").alias("cell"))).join(sizes, "cell").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))
+    return top(found, k, F.round("distance", 9), F.col("passage_id")), compared.withColumn("all_pairs", F.lit(asked.count() * int(cells.size.sum())))
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, live: DataFrame | None = None) -> DataFrame:
-    """(query_id, passage_id, target_version, distance, rank): the k nearest vectors of each query by cosine distance.
+    """(query_id, passage_id, target_version, distance, rank): the k nearest vectors of each query by cosine distance, exact.
 
-    Queries and vectors are dealt into blocks of bounded size; each pair of blocks is ranked in one group, which keeps its own
-    k best of each query. Zero vectors and vectors of another length take no part.
+    Vectors are dealt to the nearest of some pivots. A query first visits the cells that are nearest, which gives a distance that its
+    k-th nearest has at most; then only the cells that may hold something as near, by the triangle inequality of angles. Zero
+    vectors, those with components that aren't finite, and vectors of another length take no part.
     """
-    rows = vectors if live is None else vectors.join(live, "target_version", "left_semi")
-    rows = rows.select("passage_id", "target_version", F.col("vector").alias("held")).filter("held is not null")
-    asked = queries.select("query_id", F.col("vector").alias("asked")).filter("asked is not null")
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES)), max(1, -(-rows.count() // BLOCK_VECTORS))
-    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = asked.withColumn("qb", deal("query_id", blocks[0])).withColumn("vb", every(blocks[1]))
-    rows = rows.withColumn("own_vb", deal("passage_id", blocks[1])).withColumn("own_qb", every(blocks[0]))
-
-    def nearest(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "passage_id", "target_version", "distance")})]
-        for width, some in wanted.groupby(wanted["asked"].map(len)) if len(wanted) and len(held) else ():
-            near = held[held["held"].map(len) == width]
-            if near.empty:
-                continue
-            q, x = np.stack(some["asked"].to_numpy()).astype(np.float64), np.stack(near["held"].to_numpy()).astype(np.float64)
-            sizes = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
-            some, near = some[sizes[0] > 0], near[sizes[1] > 0]
-            q, x = q[sizes[0] > 0] / sizes[0][sizes[0] > 0, None], x[sizes[1] > 0] / sizes[1][sizes[1] > 0, None]
-            names, targets = near["passage_id"].to_numpy(), near["target_version"].to_numpy()
-            for query, one in zip(some["query_id"], q, strict=True):
-                row = 1 - x @ one
-                edge = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-                best = np.flatnonzero(row <= edge + 1e-9)  # what a rounded distance may tie with stays in
-                out.append(pd.DataFrame({"query_id": query, "passage_id": names[best], "target_version": targets[best], "distance": row[best]}))
-        return pd.concat(out[1:]) if len(out) > 1 else out[0]
-
-    kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["passage_id"], dict(vectors.dtypes)["target_version"]
-    found = asked.groupBy("qb", "vb").cogroup(rows.groupBy("own_qb", "own_vb")).applyInPandas(nearest, f"query_id {kind[0]}, passage_id {kind[1]}, target_version {kind[2]}, distance double")
-    return top(found, k, F.round("distance", 9), F.col("passage_id"))
+    return knn_with_counts(queries, vectors, k, live)[0]
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, k: int = RRF_K) -> DataFrame:

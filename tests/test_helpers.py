@@ -420,6 +420,29 @@ def test_knn_skips_odd_vectors(spark):
     assert search.knn(q.filter("query_id = 9"), v, 5).count() == 0
 
 
+def test_knn_leaves_far_cells_out(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 12))
+    held = [(f"p{i}", f"t{i % 3}", (centres[i % 20] + 0.05 * rng.normal(size=12)).tolist()) for i in range(2000)] + [("z", "t0", [0.0] * 12), ("short", "t0", [1.0, 2.0]), ("inf", "t0", [float("inf")] * 12)]
+    asked = [(i, (centres[i % 20] + 0.05 * rng.normal(size=12)).tolist()) for i in range(40)] + [(90, rng.normal(size=12).tolist()), (91, [1.0, 1.9]), (92, [0.0] * 12), (93, [1.0] * 5)]
+    vectors, queries = spark.createDataFrame(held, "passage_id string, target_version string, vector array<double>"), spark.createDataFrame(asked, "query_id int, vector array<double>")
+    monkeypatch.setattr(search, "BLOCK_VECTORS", 37)
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 5)
+    found, counts = search.knn_with_counts(queries, vectors, 5, cell_vectors=60)
+    want = {}
+    for q, v in asked:
+        near = [(round(1 - float(np.dot(v, x) / (np.linalg.norm(v) * np.linalg.norm(x))), 9), p) for p, _, x in held if len(x) == len(v) and np.linalg.norm(v) and np.isfinite(np.linalg.norm(x)) and np.linalg.norm(x)]
+        want[q] = [p for _, p in sorted(near)[:5]]
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["passage_id"])
+    assert got == {q: p for q, p in want.items() if p}
+    row = counts.first()
+    assert 0 < row["compared"] < row["all_pairs"] / 4
+
+
 def test_backfill_moves_links(spark):
     edges = spark.createDataFrame([(1, "old", "user", "https://acme.atlassian.net/browse/AB-1"), (2, "https://e.org/", "user", "https://E.org")], "id int, to_id string, source string, quoted_text string")
     ext = spark.createDataFrame([("https://e.org/", "s")], "external_id string, head_snapshot_id string")
