@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,47 +71,64 @@ def history(notes: DataFrame, versions: DataFrame) -> DataFrame:
     return reached.join(depth, "note_id").select("note_id", "version_id", (F.col("last") - F.col("back") + 1).alias("seq"))
 
 
+class _Chain:
+    """A note's head, its versions (id -> digest of the body) and their bodies, equal ones once."""
+
+    def __init__(self) -> None:
+        self.head: str | None = None
+        self.digests: dict[str, bytes] = {}
+        self.bodies: dict[bytes, str] = {}
+
+    def apply(self, note: str, action: str, body: str, parent: str) -> tuple[str, str | None, str | None]:
+        """(outcome, id, op) of an entry; op is null where no row is made."""
+        head = self.head
+        parent = (head or "") if parent == "@head" else parent
+        if action == "recover":
+            if parent not in self.digests:
+                return "unknown", None, None
+            self.head = parent
+            return "recovered", None, None
+        if head is None and action != "save":
+            return "unknown", None, None
+        if parent != (head or ""):
+            return "conflict", None, None
+        if action not in ("save", "delete"):
+            return "unknown", None, None
+        digest = self.digests[head] if action == "delete" else hashlib.blake2b(body.encode("utf-8", "replace"), digest_size=16).digest()
+        if action == "save" and head is not None and digest == self.digests[head]:
+            return "noop", None, None
+        made = content_key(note, head or "", self.bodies[digest] if action == "delete" else body)
+        fresh = made not in self.digests
+        if fresh:
+            self.digests[made] = digest
+            self.bodies.setdefault(digest, body)
+        self.head = made
+        op = "delete" if action == "delete" else "create" if head is None else "update"
+        return {"delete": "deleted", "create": "created", "update": "updated"}[op], made, op if fresh else None
+
+
 def replay(log: DataFrame) -> DataFrame:
     """Replays an edit log (note_id, seq, action, body, parent) into (note_id, seq, action, outcome, version_id, head_id,
     op): what each entry did.
 
     ``parent`` is a version id, '' for a root, or '@head' for the head at that point. Outcomes: created, updated, noop,
-    deleted, recovered, conflict, unknown. Ids depend on their parents, so a note's entries are taken in turn; notes are
-    independent groups.
+    deleted, recovered, conflict, unknown. Each id depends on the one before, so a note's entries are taken in turn; they
+    stream through in the order of the sort, and of a note only its ids and different bodies are held, never its entries.
     """
 
-    def run(entries: pd.DataFrame) -> pd.DataFrame:
-        head, bodies, out = None, {}, []
-        for e in entries.sort_values("seq").itertuples():
-            parent = e.parent if isinstance(e.parent, str) else ""
-            body = e.body if isinstance(e.body, str) else ""
-            parent = (head or "") if parent == "@head" else parent
-            made, op, outcome = None, None, "unknown"
-            if e.action == "recover":
-                if parent in bodies:
-                    head, outcome = parent, "recovered"
-            elif e.action == "save" and head is None:
-                outcome = "conflict"
-                if not parent:
-                    made, op, outcome = content_key(e.note_id, "", body), "create", "created"
-            elif head is not None and parent != head:
-                outcome = "conflict"
-            elif e.action == "save":
-                outcome = "noop"
-                if body != bodies[head]:
-                    made, op, outcome = content_key(e.note_id, head, body), "update", "updated"
-            elif e.action == "delete" and head is not None:
-                body, outcome = bodies[head], "deleted"
-                made, op = content_key(e.note_id, head, body), "delete"
-            if made is not None:
-                if made in bodies:
-                    op = None  # the row is there already; only the head moves
-                bodies.setdefault(made, body)
-                head = made
-            out.append((e.note_id, e.seq, e.action, outcome, made, head, op))
-        return pd.DataFrame(out, columns=["note_id", "seq", "action", "outcome", "version_id", "head_id", "op"])
-
-    return log.groupBy("note_id").applyInPandas(run, "note_id string, seq long, action string, outcome string, version_id string, head_id string, op string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        note, chain = None, _Chain()
+        for batch in batches:
+            out = []
+            for e in batch.itertuples():
+                if e.note_id != note:
+                    note, chain = e.note_id, _Chain()
+                outcome, made, op = chain.apply(note or "", e.action, e.body or "", e.parent or "")
+                out.append((note, e.seq, e.action, outcome, made, chain.head, op))
+            yield pd.DataFrame(out, columns=["note_id", "seq", "action", "outcome", "version_id", "head_id", "op"])
+
+    rows = log.select("note_id", F.col("seq").cast("long").alias("seq"), "action", "body", "parent").repartition("note_id").sortWithinPartitions("note_id", "seq")
+    return rows.mapInPandas(run, "note_id string, seq long, action string, outcome string, version_id string, head_id string, op string")
 
 
 def without_noops(log: DataFrame) -> DataFrame:

@@ -134,6 +134,15 @@ def test_replay_of_conflicts_and_recovery(spark):
     assert out["n", 7]["version_id"] == out["n", 4]["version_id"] and out["n", 7]["op"] is None  # the tombstone is there already
 
 
+def test_a_long_note_streams_through_its_replay(spark):
+    n = 60_000
+    log = spark.range(n).select(F.lit("n").alias("note_id"), (F.col("id") + 1).alias("seq"), F.lit("save").alias("action"), F.concat(F.lit("text "), F.col("id") % 977).alias("body"), F.lit("@head").alias("parent"))
+    got = state.replay(log.unionByName(log.filter("seq <= 3").withColumn("note_id", F.lit("m"))))
+    assert {(r["note_id"], r["outcome"]): r["n"] for r in got.groupBy("note_id", "outcome").agg(F.count("*").alias("n")).collect()} == {("n", "created"): 1, ("n", "updated"): n - 1, ("m", "created"): 1, ("m", "updated"): 2}
+    last = got.filter(f"note_id = 'n' and seq = {n}").first()
+    assert last["head_id"] == last["version_id"] and got.filter("note_id = 'n'").select("version_id").distinct().count() == n
+
+
 def test_ingest_flip_flop(spark):
     rows = [("e", i, b, "ok", i * 10) for i, b in enumerate(["A", "A", "B", "A", "C", "B"])]
     got = {r["body"]: (r["first_order"], r["fetched_at"], r["is_head"]) for r in state.ingest(spark.createDataFrame(rows, "external_id string, `order` int, body string, status string, fetched_at int")).collect()}
