@@ -446,13 +446,19 @@ def sets_that_may_link(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> tu
     return features, stored(whole.mapInPandas(lambda batches: _members(batches, buckets, percent), _MEMBERS), "jaccard-members")
 
 
+def remaining_links(members: DataFrame, known: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """(a, b): the links among the sets between what ``known`` links (a, b) leave in different components."""
+    rows = members.select("rep", F.explode("prefix").alias("region")).distinct()
+    return _all_links(stored(_mixed(_with_components(rows, known)), "jaccard-mixed"), members, percent)
+
+
 def links(members: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """(a, b): links whose components are those of all links among the sets."""
     first = stored(_within(members.select(F.col("top").alias("region"), "rep", F.col("rep").alias("comp")), members, percent), "jaccard-links")
     rows = members.select("rep", F.explode("prefix").alias("region")).distinct()
     heads = _with_components(rows, first).groupBy("region", "comp").agg(F.min("rep").alias("rep"))
     second = stored(first.unionByName(_within(_one_of_like(heads, "comp"), members, percent)), "jaccard-links")
-    return second.unionByName(_all_links(stored(_mixed(_with_components(rows, second)), "jaccard-mixed"), members, percent))
+    return second.unionByName(remaining_links(members, second, percent))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

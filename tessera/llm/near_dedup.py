@@ -4,6 +4,7 @@
 2. A signature has SLOTS minima. It is read in ORDERS orders (rotations), which is like sorting all signatures ORDERS
    times. Signatures that share their first slots in an order lie side by side: they form a region. A region with more
    than REGION_ROWS rows is cut at the next depth, so the depth adapts to how crowded a place is.
+   Before the cut its members are set beside a few leaders of the region, which ties most of what is parted together.
 3. Within a region, pairs whose signatures agree well enough are candidates. A pair that shares regions in several
    orders is kept in the first of them only.
 4. The texts of candidates go to their region, where their full sets are compared; a region with much text is compared
@@ -15,7 +16,7 @@ A pair with similarity 0.75 is in no common region with a chance of 2e-6 where r
 in one without being a candidate with a chance of 2e-6 as well. Where
 all its places are cut to a depth it is 0.002 at four, 0.07 at six, 0.26 at eight, 0.69 at twelve, and 0.99 at 24 (simulated).
 Therefore the cut is not relied upon: all members of regions that are crowded at the first depth also go through the exact join
-(jaccard_join, with this similarity), so the links among them are whole.
+(jaccard_join, with this similarity), which compares what the forest and the leaders left apart. So the links among them are whole.
 """
 
 from __future__ import annotations
@@ -42,6 +43,13 @@ SIMILARITY_PERCENT = 75
 #: Slots that must agree before full sets are compared. At similarity 0.75 fewer do with a chance of 2e-6.
 AGREEING_SLOTS = 31
 
+#: A crowded region has at most LEADERS leaders, chosen among the LEADER_SAMPLE members with the smallest hashes; no two of
+#: them agree in LEADER_SLOTS slots. Leaders do not limit what is compared within regions, they only add links.
+LEADERS = 8
+LEADER_SAMPLE = 64
+LEADER_SLOTS = 52
+#: Members that are set beside a copy of their leader in one group.
+LEADER_ROWS = 256
 #: Shingles in a block of texts; at most two blocks, or two texts if they are longer, are compared in one group.
 BLOCK_SHINGLES = 1_000_000
 
@@ -179,16 +187,64 @@ def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+@F.pandas_udf(T.IntegerType())
+def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
+    """In how many slots two signatures agree."""
+    slots = [np.frombuffer(b"".join(x), ">u4").reshape(-1, SLOTS) for x in (a, b)]
+    return pd.Series((slots[0] == slots[1]).sum(1).astype(np.int32))
+
+
+def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The leaders of each region among its sampled members, which are sorted by hash."""
+    for region in _groups(batches, "region"):
+        slots = np.frombuffer(b"".join(region["signature"]), ">u4").reshape(-1, SLOTS)
+        chosen: list[int] = []
+        for i in range(len(slots)):
+            if len(chosen) < LEADERS and (slots[chosen] == slots[i]).sum(1).max(initial=0) < LEADER_SLOTS:
+                chosen.append(i)
+        yield region.iloc[chosen][["region", "size", "rep", "n_shingles", "signature"]]
+
+
+def _ties(crowd: DataFrame) -> DataFrame:
+    """(leader, rep, n_shingles, size): the members of crowded regions that may link with a leader of their region. Each region and its
+    leaders are dealt into as many parts as its size asks for.
+
+    crowd: rep, region, size, signature, n_shingles.
+    """
+    parts = F.ceil(F.col("size") / (2 * LEADER_ROWS)).cast("long")
+    order = F.row_number().over(Window.partitionBy("region").orderBy("h", "rep"))
+    sample = crowd.withColumn("h", F.xxhash64("rep", F.lit(5))).withColumn("k", order).filter(F.col("k") <= LEADER_SAMPLE)
+    sample = sample.select("region", "k", "size", "rep", "n_shingles", "signature").repartition("region").sortWithinPartitions("region", "k")
+    leaders = sample.mapInPandas(_leaders, "region long, size long, rep long, n_shingles long, signature binary").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    leaders = leaders.select("region", "part", F.col("rep").alias("leader"), F.col("n_shingles").alias("leader_n"), F.col("signature").alias("leader_signature"))
+    beside = crowd.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(6)), parts)).join(leaders.hint("merge"), ["region", "part"]).filter(F.col("rep") != F.col("leader"))
+    near = 100 * F.least("n_shingles", "leader_n") >= SIMILARITY_PERCENT * F.greatest("n_shingles", "leader_n")
+    return beside.filter(near).filter(_agreeing("signature", "leader_signature") >= AGREEING_SLOTS).select("leader", "rep", "n_shingles", "size")
+
+
+def _tied(ties: DataFrame) -> DataFrame:
+    """Candidates as _candidates gives them: each leader with its members, in groups of bounded size. Members are parted by
+    the power of two that bounds their length, so that long ones go in smaller groups."""
+    bound = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_shingles"))))
+    parts = F.ceil(F.col("size") * F.greatest(F.lit(1 / LEADER_ROWS), bound / BLOCK_SHINGLES)).cast("long")
+    pairs = ties.groupBy("leader", "rep").agg(F.max("size").alias("size"), F.max("n_shingles").alias("n_shingles"))
+    dealt = pairs.select("leader", "rep", F.xxhash64("leader", F.lit("ties"), bound, parts, F.pmod(F.xxhash64("rep", F.lit(9)), parts)).alias("region"))
+    own = dealt.groupBy("region", "leader").agg(F.collect_list("rep").alias("partners"))
+    return own.select("region", F.col("leader").alias("rep"), "partners").unionByName(dealt.select("region", "rep", F.array().cast("array<long>").alias("partners")))
+
+
+def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(rep, place, region, whole): the region of each class representative in each order; those alone in a place are left
     out. ``whole`` is another region only where runs are cut (see _in_runs); it is one for each rep and place.
 
     Only sizes are counted per place (a partial count before the shuffle); crowded places go to the next depth. Second come
-    the representatives (rep) that stand in a crowded region at the first depth, None where no place is crowded.
+    the ties of crowded regions at each depth (see _ties), third the representatives (rep) that stand in a crowded region at
+    the first depth; both None where no place is crowded.
     """
     twice = F.concat("signature", "signature")
     active = reps.select("rep", "signature", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("place"))
     found: DataFrame | None = None
+    ties: DataFrame | None = None
     crowd: DataFrame | None = None
     for depth in DEPTHS:
         prefix = F.substring(twice, F.col("place") * (4 * _STEP) + 1, F.lit(4 * depth))
@@ -199,14 +255,16 @@ def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         crowded = F.col("size") > REGION_ROWS
         settled = sized.filter(crowded).isEmpty()
         last = depth == DEPTHS[-1] or settled
-        if not settled and crowd is None:
-            crowd = sized.filter(crowded).select("rep").distinct()
+        if not settled:
+            crowd = sized.filter(crowded).select("rep").distinct() if crowd is None else crowd
+            tied = stored(_ties(sized.filter(crowded).join(reps, "rep")), "ties")
+            ties = tied if ties is None else ties.unionByName(tied)
         here = (sized if last else sized.filter(~crowded)).select("rep", "place", "region")
         found = here if found is None else found.unionByName(here)
         if last:
             break
         active = sized.filter(crowded).select("rep", "place").join(reps.select("rep", "signature"), "rep")
-    return (_in_runs(found) if depth == DEPTHS[-1] else found.withColumn("whole", F.col("region"))), crowd
+    return (_in_runs(found) if depth == DEPTHS[-1] else found.withColumn("whole", F.col("region"))), ties, crowd
 
 
 def _in_runs(found: DataFrame) -> DataFrame:
@@ -242,20 +300,22 @@ def components(docs: DataFrame) -> DataFrame:
     features = stored(docs.select("doc_id", _features("text").alias("f")).select("doc_id", "f.n_shingles", "f.digest", "f.signature"), "near-features")
     classes = stored(features.filter("digest is not null and doc_id is not null").groupBy("digest", "signature", "n_shingles").agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = classes.select("rep", "signature", "n_shingles")
-    found, crowd = _regions(reps)
+    found, ties, crowd = _regions(reps)
     per_rep = found.groupBy("rep").agg(*[F.max(F.when(F.col("place") == i, F.col("whole"))).alias(f"r{i}") for i in range(ORDERS)])
     per_rep = per_rep.select("rep", F.array(*[F.coalesce(f"r{i}", F.lit(0).cast("long")) for i in range(ORDERS)]).alias("regions"))
     per_rep = reps.join(per_rep.hint("merge"), "rep").select("rep", "signature", "n_shingles", "regions")
     members = per_rep.join(found.select("rep", "place", "region").hint("merge"), "rep")
     dealt = members.repartition("region").sortWithinPartitions("region", "rep")
     candidates = dealt.mapInPandas(_candidates, "region long, rep long, partners array<long>")
-    candidates = stored(candidates, "near-candidates")
+    candidates = stored(candidates if ties is None else candidates.unionByName(_tied(ties)), "near-candidates")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").filter("text is not null")
     beside = texts.join(candidates.hint("merge"), "rep").select("region", "rep", "partners", "text").repartition("region").sortWithinPartitions("region", "rep")
     stars = beside.mapInPandas(_confirmed, "a long, b long")
     if crowd is not None:
+        # what crowded regions may have parted: the exact join of their members, as far as they aren't linked yet
+        stars = stored(stars, "near-stars")
         texts_of = docs.join(crowd.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        stars = stars.unionByName(jaccard_join.links(jaccard_join.sets_that_may_link(texts_of, SIMILARITY_PERCENT)[1], SIMILARITY_PERCENT))
+        stars = stars.unionByName(jaccard_join.remaining_links(jaccard_join.sets_that_may_link(texts_of, SIMILARITY_PERCENT)[1], stars, SIMILARITY_PERCENT))
     linked = connected_components(stars, "a", "b")
     named = classes.join(linked.hint("merge"), F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = features.select("doc_id", "n_shingles", "digest").join(named.hint("merge"), "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
