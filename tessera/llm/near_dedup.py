@@ -253,17 +253,19 @@ def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame |
         # always a merge join, so that what is shuffled grows evenly; signatures stay behind
         sized = stored(keyed.join(sizes.hint("merge"), "region"), "regions")
         crowded = F.col("size") > REGION_ROWS
-        settled = sized.filter(crowded).isEmpty()
+        # stored, so that Spark knows how small it is and neither signatures nor texts are shuffled to be joined with it
+        parted = stored(sized.filter(crowded), "crowded")
+        settled = parted.isEmpty()
         last = depth == DEPTHS[-1] or settled
         if not settled:
-            crowd = sized.filter(crowded).select("rep").distinct() if crowd is None else crowd
-            tied = stored(_ties(sized.filter(crowded).join(reps, "rep")), "ties")
+            crowd = stored(parted.select("rep").distinct(), "crowd") if crowd is None else crowd
+            tied = stored(_ties(parted.join(reps, "rep")), "ties")
             ties = tied if ties is None else ties.unionByName(tied)
         here = (sized if last else sized.filter(~crowded)).select("rep", "place", "region")
         found = here if found is None else found.unionByName(here)
         if last:
             break
-        active = sized.filter(crowded).select("rep", "place").join(reps.select("rep", "signature"), "rep")
+        active = parted.select("rep", "place").join(reps.select("rep", "signature"), "rep")
     return (_in_runs(found) if depth == DEPTHS[-1] else found.withColumn("whole", F.col("region"))), ties, crowd
 
 
