@@ -200,28 +200,37 @@ class Codec:
             return [b"\n", *([piece[1:].encode()] if piece[1:].isalpha() else [w.encode() for w in self.words.findall(piece[1:])])]
         return [w.encode() for w in self.words.findall(" " + piece)]
 
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, by one trie for all of them."""
+        letters: list[tuple[int, bytes]] = []
+        others: list[tuple[int, list[bytes]]] = []
+        for i, piece in enumerate(pieces):
+            if piece.isalpha():
+                letters.append((i, b" " + piece.encode()))
+            else:
+                others.append((i, self._words(piece)))
+        encoded = self.encode_words({*[word for _, word in letters], *[word for _, own in others for word in own]})
+        found = [b""] * len(pieces)
+        for i, word in letters:
+            found[i] = encoded[word]
+        for i, own in others:
+            found[i] = b"".join([encoded[word] for word in own])
+        return found
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces: those that aren't in the cache by one trie for all of them. When the cache is full, its
+        """The ids of distinct pieces: those that aren't in the cache are encoded together. When the cache is full, its
         older generation goes and what is still in use moves on."""
         if len(self.new) > CACHED_WORDS // 2:
             self.old, self.new = self.new, {}
         found = list(map(self.new.get, pieces))
         gaps = [i for i, ids in enumerate(found) if ids is None]
-        letters: list[tuple[int, bytes]] = []
-        others: list[tuple[int, list[bytes]]] = []
+        unknown = []
         for i in gaps:
-            piece = pieces[i]
-            found[i] = ids = self.old.get(piece)
+            found[i] = ids = self.old.get(pieces[i])
             if ids is None:
-                if piece.isalpha():
-                    letters.append((i, b" " + piece.encode()))
-                else:
-                    others.append((i, self._words(piece)))
-        encoded = self.encode_words({*[word for _, word in letters], *[word for _, own in others for word in own]})
-        for i, word in letters:
-            found[i] = encoded[word]
-        for i, own in others:
-            found[i] = b"".join([encoded[word] for word in own])
+                unknown.append(i)
+        for i, ids in zip(unknown, self.encode_pieces([pieces[i] for i in unknown]), strict=True):
+            found[i] = ids
         self.new.update([(pieces[i], found[i]) for i in gaps])
         return found
 

@@ -3,7 +3,11 @@
 Byte offsets where tokens of both end cut a document into groups. Most groups hold one token of each with the same bytes: the
 identity map (A id -> the B id with its bytes) is worked out once from both vocabularies, so such a pair needs only the A id.
 
-1. Each task encodes segments of documents by both. Pairs of the identity map are counted in one vector as long as A's
+Where single spaces and newlines are all the white space of a text, no token of either crosses from one word into the next, so
+words are aligned one by one: a worker remembers the aligned words that it met last, and a document is put together from its
+words. Other texts, and those with a word that a tokenizer changes, are aligned as a whole.
+
+1. Each task aligns segments of documents. Pairs of the identity map are counted in one vector as long as A's
    vocabulary for the whole task. All other pairs, which only groups of several tokens have, are listed once a segment, with the
    number of its documents that hold each; documents keep places in that list. Nothing is shuffled.
 2. The pair lists are dealt by A id: the counts over all segments and the highest count of each A id are found there, and each
@@ -19,18 +23,20 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Codec
-from .common import stored, table, take_turn
+from .bpe import _ODD_SPACE, Codec
+from .common import chosen_parts, stored, table, take_turn
 from .ranked_search import packed, unpacked
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -39,6 +45,9 @@ SEGMENT_CHARS = 2_000_000
 BUCKET_CHARS = 24_000_000
 #: Groups with more pairs than these are reduced to their different ids first.
 WIDE_GROUP = 4096
+#: Aligned words that a worker keeps, and the tokens and pairs of them; beyond either, the half that was used last stays.
+CACHED_WORDS = 400_000
+CACHED_TOKENS = 8_000_000
 _B = 1 << 15  # above every B id: a pair is a * _B + b
 
 _PARTS = "segment long, bucket int, doc_ids array<long>, counts array<array<int>>, shas array<string>, entries array<binary>, codes binary, holders binary, ids array<int>, vector array<long>"
@@ -49,6 +58,31 @@ _SCHEMA = pa.schema([
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+class Aligned(NamedTuple):
+    """Alignments of stretches of text (words or whole texts), side by side."""
+
+    texts: list[str]  #: the groups as text
+    sums: np.ndarray  #: tokens of A and of B, groups, links
+    same_sizes: np.ndarray
+    same: np.ndarray  #: (A id, times) of the pairs of the identity map
+    other_sizes: np.ndarray
+    other: np.ndarray  #: (pair, times) of all other pairs
+
+    def plus(self, more: Aligned) -> Aligned:
+        return Aligned(self.texts + more.texts, *(np.concatenate(x) for x in zip(self[1:], more[1:], strict=True)))
+
+    def chosen(self, which: np.ndarray) -> Aligned:
+        same, other = (chosen_parts(flat, sizes, which)[0] for flat, sizes in ((self.same, self.same_sizes), (self.other, self.other_sizes)))
+        return Aligned([self.texts[i] for i in which.tolist()], self.sums[which], self.same_sizes[which], same, self.other_sizes[which], other)
+
+    def weights(self) -> np.ndarray:
+        return self.sums[:, 0] + self.sums[:, 1] + self.same_sizes + self.other_sizes
+
+
+def _none() -> Aligned:
+    return Aligned([], np.zeros((0, 4), np.int64), *(x for _ in range(2) for x in (np.zeros(0, np.int64), np.zeros((0, 2), np.int64))))
+
+
 class Aligner:
     """Both tokenizers, the bytes of their tokens and the identity map."""
 
@@ -67,6 +101,12 @@ class Aligner:
         most = max(len(self.a_bytes), len(names))
         self.width = most
         self.text = [f"{i}{end}" for end in ",|;" for i in range(most)]
+        # words can be encoded one by one if no token of B goes on behind a space or holds a newline
+        self.apart = not any("▁" in s.lstrip("▁") or "\n" in s for s in names)
+        self.places: dict[str, int] = {}
+        self.known = _none()
+        self.used = np.zeros(0, np.int64)  # the turn in which each word was last met
+        self.turn = 0
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[int]]]:
         """Ids of each text by A (of a space and the text) and by B; none for null and empty texts and for those that
@@ -81,6 +121,75 @@ class Aligner:
                 a_ids[i], b_ids[i] = a, b
         return a_ids, b_ids
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids by A and by B of distinct words, each with a space before it unless it begins with a newline: (ids of A, how
+        many of each word, ids of B, how many). None for words that either doesn't give back byte by byte."""
+        a_ids, b_ids = self.a.encode_pieces(words), self.b.encode(words, num_threads=1)
+        n_a = np.fromiter(map(len, a_ids), np.int64, len(words)) >> 2
+        a = np.frombuffer(b"".join(a_ids), "<u4").astype(np.int64)
+        plain = [(w if w[:1] == "\n" else " " + w).encode() for w in words]
+        for i, word in enumerate(words):
+            if word[:1] == "\n" and b_ids[i] and self.b_bytes[b_ids[i][0]] == b" ":
+                del b_ids[i][0]  # the space that B adds
+        n_b = np.fromiter(map(len, b_ids), np.int64, len(words))
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, int(n_b.sum()))
+        good = np.ones(len(words), bool)
+        sizes = np.cumsum(np.fromiter(map(len, plain), np.int64, len(words)))
+        for ids, n, pieces, widths in ((a, n_a, self.a_bytes, self.a_sizes), (b, n_b, self.b_bytes, self.b_sizes)):
+            ends = np.cumsum(n)
+            back = np.concatenate([[0], np.cumsum(widths[ids])])[ends]
+            if not (np.array_equal(back, sizes) and b"".join(map(pieces.__getitem__, ids.tolist())) == b"".join(plain)):
+                flat = ids.tolist()
+                good &= [b"".join(map(pieces.__getitem__, flat[e - k : e])) == w for w, k, e in zip(plain, n.tolist(), ends.tolist(), strict=True)]
+        return a[np.repeat(good, n_a)], n_a * good, b[np.repeat(good, n_b)], n_b * good
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """The places of distinct words in ``known``; those that aren't there are aligned first."""
+        self.turn += 1
+        if len(self.places) > CACHED_WORDS or int(self.known.weights().sum()) > CACHED_TOKENS:
+            latest = np.argsort(-self.used, kind="stable")[: CACHED_WORDS // 2]
+            kept = np.sort(latest[np.cumsum(self.known.weights()[latest]) <= CACHED_TOKENS // 2])
+            names = list(self.places)
+            self.places = {names[i]: k for k, i in enumerate(kept.tolist())}
+            self.known, self.used = self.known.chosen(kept), self.used[kept]
+        found = list(map(self.places.get, words))
+        gaps = [i for i, place in enumerate(found) if place is None]
+        if gaps:
+            new = [words[i] for i in gaps]
+            at = range(len(self.places), len(self.places) + len(new))
+            self.known = self.known.plus(_aligned(self, *self.encode_words(new)))
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+            self.places.update(zip(new, at, strict=True))
+            for i, place in zip(gaps, at, strict=True):
+                found[i] = place
+        places = np.array(found, np.int64)
+        self.used[places] = self.turn
+        return places
+
+    def align(self, texts: list[str]) -> tuple[Aligned, np.ndarray, np.ndarray]:
+        """(alignments, places, owners): those at places, in order, make up the text that is their owner."""
+        flat = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(flat, r"\A[ \n]|" + _ODD_SPACE).to_numpy(zero_copy_only=False) if self.apart else np.ones(len(texts), bool)
+        even = np.flatnonzero(~whole)
+        lists = pc.split_pattern(pc.replace_substring(flat.take(pa.array(even)), "\n", " \n"), " ")
+        coded = lists.flatten().dictionary_encode()
+        places = self.words(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        owners = np.repeat(even, np.diff(lists.offsets.to_numpy()))
+        known = self.known
+        whole[owners[known.sums[places, 0] == 0]] = True  # a word that isn't given back
+        if whole.any():
+            others = np.flatnonzero(whole)
+            a_ids, b_ids = self.encode([texts[i] for i in others])
+            n_a, n_b = (np.fromiter(map(len, x), np.int64) for x in (a_ids, b_ids))
+            b = np.fromiter(chain.from_iterable(b_ids), np.int64, int(n_b.sum()))
+            rest = ~whole[owners]
+            places = np.concatenate([places[rest], len(known.texts) + np.arange(len(others))])
+            owners = np.concatenate([owners[rest], others])
+            order = np.argsort(owners, kind="stable")
+            places, owners = places[order], owners[order]
+            known = known.plus(_aligned(self, np.concatenate(a_ids), n_a, b, n_b))
+        return known, places, owners
+
 
 @lru_cache(maxsize=1)
 def _aligner(a_path: str, b_path: str) -> Aligner:
@@ -138,14 +247,9 @@ def _pairs(ga: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.
     return np.concatenate(groups), np.concatenate(codes), np.concatenate(times)
 
 
-def _segment(tool: Aligner, number: int, buckets: int, ids: list, texts: list[str | None], vector: np.ndarray) -> list[dict]:
-    """The rows of a segment: one of its documents, and its pair list by bucket; identity pairs are added to ``vector``."""
-    order = sorted(range(len(ids)), key=lambda i: ids[i] is None)  # documents without an id come last
-    ids, texts = [ids[i] for i in order], [texts[i] for i in order]
-    a_ids, b_ids = tool.encode(texts)
-    n_a, n_b = np.fromiter(map(len, a_ids), np.int64), np.fromiter(map(len, b_ids), np.int64)
-    a, b = np.concatenate(a_ids), np.fromiter(chain.from_iterable(b_ids), np.int64, int(n_b.sum()))
-    del a_ids, b_ids
+def _aligned(tool: Aligner, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> Aligned:
+    """The alignments of stretches of text from their ids of A and B, side by side, and how many each has of them."""
+    size = len(n_a)
     ends_a, ends_b = np.cumsum(tool.a_sizes[a]), np.cumsum(tool.b_sizes[b])
     marks = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, bool)
     marks[ends_b] = True
@@ -157,9 +261,9 @@ def _segment(tool: Aligner, number: int, buckets: int, ids: list, texts: list[st
     ga, gb = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
     n = int(cut_a.sum())
     na, nb = np.bincount(ga, minlength=n), np.bincount(gb, minlength=n)
-    doc_of = np.repeat(np.arange(len(ids)), n_a)[np.cumsum(na) - 1] if n else np.zeros(0, np.int64)
-    n_groups = np.bincount(doc_of, minlength=len(ids))
-    n_links = np.bincount(doc_of, weights=(na * nb).astype(np.float64), minlength=len(ids)).astype(np.int64)
+    owner = np.repeat(np.arange(size), n_a)[np.cumsum(na) - 1] if n else np.zeros(0, np.int64)
+    n_groups = np.bincount(owner, minlength=size)
+    n_links = np.bincount(owner, weights=(na * nb).astype(np.float64), minlength=size).astype(np.int64)
 
     # the groups as text
     line = np.empty(len(a) + len(b), np.int64)
@@ -168,20 +272,51 @@ def _segment(tool: Aligner, number: int, buckets: int, ids: list, texts: list[st
     line[np.arange(len(b)) + (first_a + na)[gb]] = b + 2 * tool.width * cut_b
     parts = list(map(tool.text.__getitem__, line.tolist()))
     cuts = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
-    shas = [hashlib.sha256("".join(parts[s:e])[:-1].encode()).hexdigest() if e > s else "" for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+    texts = ["".join(parts[s:e])[:-1] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
     del line, parts
 
     group, code, times = _pairs(ga, a, na, b, nb)
     single = (na == 1) & (nb == 1)
     code = np.concatenate([code, a[first_a[single]] * _B + b[first_b[single]]])
-    doc = np.concatenate([doc_of[group], doc_of[single]])
+    owner = np.concatenate([owner[group], owner[single]])
     times = np.concatenate([times, np.ones(int(single.sum()), np.int64)])
     same = tool.identity[code // _B] == code % _B
-    keys, often = _counted((doc[same] << 16) | (code[same] // _B), times[same])
+    columns = []
+    for mine, ids in ((same, code // _B), (~same, code)):
+        keys, often = _counted((owner[mine] << 31) | ids[mine], times[mine])
+        columns += [np.bincount(keys >> 31, minlength=size), np.stack([keys & 0x7FFFFFFF, often], axis=1)]
+    return Aligned(texts, np.stack([n_a, n_b, n_groups, n_links], axis=1), *columns)
+
+
+def _segment(tool: Aligner, number: int, buckets: int, ids: list, texts: list[str | None], vector: np.ndarray) -> list[dict]:
+    """The rows of a segment: one of its documents, and its pair list by bucket; identity pairs are added to ``vector``."""
+    order = sorted(range(len(ids)), key=lambda i: ids[i] is None)  # documents without an id come last
+    ids, texts = [ids[i] for i in order], [texts[i] for i in order]
+    some = np.array([i for i, t in enumerate(texts) if t], np.int64)
+    parts, places, owners = tool.align([texts[i] for i in some])
+    doc = some[owners]
+    edges = np.searchsorted(doc, np.arange(len(ids) + 1))
+    sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(parts.sums[places], axis=0)])
+    n_a, n_b, n_groups, n_links = np.diff(sums[edges], axis=0).T
+    lines = list(map(parts.texts.__getitem__, places.tolist()))
+    cuts = edges.tolist()
+    shas = [hashlib.sha256(";".join(lines[s:e]).encode()).hexdigest() if n else "" for s, e, n in zip(cuts[:-1], cuts[1:], n_a.tolist(), strict=True)]
+    del lines, sums
+
+    # the different words of each document, and how often it has them
+    held, often = np.unique(doc * len(parts.texts) + places, return_counts=True)
+    doc, places = np.divmod(held, len(parts.texts)) if len(held) else (held, held)
+    found = []
+    for flat, sizes in ((parts.same, parts.same_sizes), (parts.other, parts.other_sizes)):
+        pairs, n = chosen_parts(flat, sizes, places)[0], sizes[places]
+        found.append((np.repeat(doc, n), pairs[:, 0], np.repeat(often, n) * pairs[:, 1]))
+    (doc, code, times), others = found
+    keys, often = _counted((doc << 16) | code, times)
     entries = [_gaps(keys >> 16, keys & 0xFFFF), packed(often)[0].tobytes()]
     n_same = np.bincount(keys >> 16, minlength=len(ids))
     vector += np.bincount(keys & 0xFFFF, minlength=len(vector))
-    keys, often = _counted((doc[~same] << 31) | code[~same], times[~same])
+    doc, code, times = others
+    keys, often = _counted((doc << 31) | code, times)
     own = keys & 0x7FFFFFFF
     listed, place = np.unique(own, return_inverse=True)
     by = np.argsort((listed // _B) % buckets, kind="stable")  # the list by bucket, then by pair

@@ -176,6 +176,43 @@ def test_alignment_whatever_the_segments_and_buckets(spark, sf_dir, monkeypatch,
     assert sorted(map(tuple, got.collect()), key=str) == Plain().result(rows)
 
 
+class Counting:
+    """A tokenizer that counts the characters that it is given."""
+
+    def __init__(self, tool):
+        self.tool, self.chars = tool, 0
+
+    def encode(self, texts, **options):
+        self.chars += sum(map(len, texts))
+        return self.tool.encode(texts, **options)
+
+
+def test_alignment_encodes_a_word_once_whatever_holds_it():
+    tool = token_alignment.Aligner(*map(public_tokenizers.path, (token_alignment.A_FILE, token_alignment.B_FILE)))
+    tool.b = Counting(tool.b)
+    words = [f"word{i}" for i in range(50)]
+    texts = [" ".join(words[k:] + words[:k]) + "\nword7" for k in range(50)]
+    for number in range(3):
+        token_alignment._segment(tool, number, 8, [*range(50)], texts, np.zeros(len(tool.a_bytes), np.int64))
+    assert tool.b.chars <= sum(map(len, set(" ".join(texts).replace("\n", " \n").split(" "))))
+    # white space side by side, or a word that B changes: the text as a whole
+    token_alignment._segment(tool, 3, 8, [0, 1], ["word1  word2", "word1 ▁"], np.zeros(len(tool.a_bytes), np.int64))
+    assert tool.b.chars >= 2 * len("word1 ▁")
+
+
+@pytest.mark.parametrize(("words", "tokens"), [(0, 10**9), (30, 10**9), (10**9, 60)])
+def test_alignment_whatever_a_worker_remembers(monkeypatch, words, tokens):
+    monkeypatch.setattr(token_alignment, "CACHED_WORDS", words)
+    monkeypatch.setattr(token_alignment, "CACHED_TOKENS", tokens)
+    tool, plain = token_alignment.Aligner(*map(public_tokenizers.path, (token_alignment.A_FILE, token_alignment.B_FILE))), Plain()
+    texts = [t for _, t in SHORT if t] + ["the cat\nand the dog\n", "\nthe cat", "the cat ", " the cat", "the\n cat", "cat▁s and the dog"]
+    for part in (texts[:9], texts[5:], texts[::-1], texts):
+        known, places, owners = tool.align(part)
+        got = [";".join(known.texts[k] for k in places[owners == i]) for i in range(len(part))]
+        assert got == [";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in plain.groups(t)) for t in part]
+        assert len(tool.places) == len(tool.known.texts) == len(tool.used)
+
+
 def test_pairs_of_wide_groups_are_the_same():
     ga, gb = np.repeat([0, 1, 2], [3, 1, 5]), np.repeat([0, 1, 2], [2, 1, 6])
     a, b = np.array([7, 8, 7, 5, 1, 1, 2, 1, 1]), np.array([4, 4, 9, 3, 3, 6, 3, 3, 6])
