@@ -169,7 +169,8 @@ class Aligner:
     def align(self, texts: list[str]) -> tuple[Aligned, np.ndarray, np.ndarray]:
         """(alignments, places, owners): those at places, in order, make up the text that is their owner."""
         flat = pa.array(texts, pa.large_string())
-        whole = pc.match_substring_regex(flat, r"\A[ \n]|" + _ODD_SPACE).to_numpy(zero_copy_only=False) if self.apart else np.ones(len(texts), bool)
+        # U+2581 is B's own sign for a space: no word with it comes back
+        whole = pc.match_substring_regex(flat, r"\A[ \n]|\x{2581}|" + _ODD_SPACE).to_numpy(zero_copy_only=False) if self.apart else np.ones(len(texts), bool)
         even = np.flatnonzero(~whole)
         lists = pc.split_pattern(pc.replace_substring(flat.take(pa.array(even)), "\n", " \n"), " ")
         coded = lists.flatten().dictionary_encode()
