@@ -332,6 +332,11 @@ def test_visible_text(page, shown):
     assert visible_text(page) == shown
 
 
+def test_a_reference_ends_with_a_semicolon():
+    assert visible_text("<h1>ver&amp;&amp</h1><p>und&ampund &copy2 &#65 &lt;") == "ver&&amp und&ampund &copy2 &#65 <"
+    assert visible_text("&amp;lt; &ampx; &nosuch; &#x41;&#X42;&hellip; &; &#; &") == "&lt; &ampx; &nosuch; AB… &; &#; &"
+
+
 def test_visible_text_reads_a_page_once():
     import time
 
