@@ -470,3 +470,20 @@ def test_user_rows_keep_values_away(spark):
     old = spark.createDataFrame([(1, "n", "v1", "tag", "x", "ai", "fresh"), (2, "n", None, "tag", "y", "user", "orphaned")], kind)
     new = spark.createDataFrame([("n", "v1", "tag", "y"), ("n", "v1", "tag", "z")], "target string, source_version string, kind string, payload string")
     assert sorted((r["payload"], r["source"]) for r in annotations.load_enrichment(old, new).collect()) == [("y", "user"), ("z", "ai")]
+
+
+def test_a_long_section_is_not_copied_for_each_passage(spark, monkeypatch):
+    """Passages leave a worker in batches of bounded size, and parents "first" gives each section once."""
+    words = " ".join(f"w{i}" for i in range(3000))
+    rows = [("a", f"intro\n# H\n{words}\n- item\n# Last"), ("b", None), ("c", "one"), ("d", "# T\nx")]
+    bodies = spark.createDataFrame(rows, "target_version string, body string").coalesce(1)
+    monkeypatch.setattr(text, "BATCH_CHARS", 1000)
+    each = {r["passage_id"]: r for r in text.chunk(bodies, 64, 8).collect()}
+    want = {f"{k}:{p[0]}": p for k, body in rows for p in passages.passages(body, 64, 8)}
+    assert {k: (r["ord"], r["char_start"], r["char_end"], r["text"], r["parent_block"]) for k, r in each.items()} == want
+    first = {r["passage_id"]: r for r in text.chunk(bodies, 64, 8, parents="first").collect()}
+    assert sum(len(r["section_text"] or "") for r in first.values()) < sum(len(b or "") for _, b in rows)
+    for k, r in first.items():
+        head = first[f"{r['target_version']}:{r['section']}"]
+        assert (head["section_text"] or head["text"]) == each[k]["parent_block"] and (r["section_text"] is None or r["ord"] == r["section"])
+    assert "parent_block" not in text.chunk(bodies, parents=None).columns
