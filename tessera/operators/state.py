@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import content_key
 from ..functions.recovery import checkpointed, numbered
 from ..sources.keyed import KeyedTables
-from . import search, text
+from . import search
 
 PREFIX_PASSES = 36
 PURGED = "[purged]"
@@ -156,7 +156,7 @@ def purge_index(tables: KeyedTables, batch: str, purged: dict[str, DataFrame], l
     the marker that they hold now. False if this batch has been done before."""
     touched = purged["touched"]
     marked = purged["versions"].select(F.col("version_id").alias("target_version"), "body").join(touched, "target_version", "left_semi").join(live, "target_version", "left_semi")
-    return tables.replace(batch, touched, **search.index_rows(text.chunk(marked)))
+    return tables.replace(batch, touched, **search.index_bodies(marked))
 
 
 def resolve_prefixes(prefixes: DataFrame, notes: DataFrame, versions: DataFrame, include_deleted: bool = False) -> tuple[DataFrame, DataFrame]:

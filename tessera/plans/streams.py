@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import blake2b_key
 from ..functions.recovery import fresh_folder
 from ..operators import search
-from ..operators.text import SECRETS, TOKEN_ASSIGNMENT, chunk
+from ..operators.text import SECRETS, TOKEN_ASSIGNMENT
 from ..sources.mapping import given
 from ..streaming import jobs
 from .relational import SQL, prelude
@@ -71,7 +71,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "index")
     heads = _stream(spark, sf_dir, "documents").filter("doc_id is not null").select(F.concat(F.lit("d"), "doc_id", F.lit(".1")).alias("target_version"), F.col("text").alias("body"))
     tables = search.index_folder(spark, f"{folder}/index")
-    jobs.maintain_index(heads, lambda batch: search.index_rows(chunk(batch)), tables, f"{folder}/state").awaitTermination()
+    jobs.maintain_index(heads, search.index_bodies, tables, f"{folder}/state").awaitTermination()
     return search.open_index(tables)[0].select("passage_id", *[F.col(c).cast("long").alias(c) for c in ("char_start", "char_end")])
 
 

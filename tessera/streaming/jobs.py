@@ -82,8 +82,9 @@ def maintain_index(heads: DataFrame, build: Callable[[DataFrame], dict[str, Data
     name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def apply(batch: DataFrame, number: int) -> None:
-        latest = batch.dropDuplicates(["target_version"])
-        tables.replace(f"{name}-{number}", latest, **build(latest.filter("body is not null")))
+        twice = batch.groupBy("target_version").count().filter("count > 1")  # of targets alone: bodies needn't move for it
+        latest = batch if twice.isEmpty() else batch.dropDuplicates(["target_version"])
+        tables.rebuild(f"{name}-{number}", latest, lambda rows: build(rows.filter("body is not null")))
 
     return heads.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

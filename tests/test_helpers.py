@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -487,3 +488,86 @@ def test_a_long_section_is_not_copied_for_each_passage(spark, monkeypatch):
         head = first[f"{r['target_version']}:{r['section']}"]
         assert (head["section_text"] or head["text"]) == each[k]["parent_block"] and (r["section_text"] is None or r["ord"] == r["section"])
     assert "parent_block" not in text.chunk(bodies, parents=None).columns
+
+
+def test_an_index_holds_each_section_once(spark, tmp_path):
+    """What is stored grows with the body, not with the square of a section's passages; built in place or by replacing, it is the same."""
+    body = "\n\n".join(f"line {i} of one section with word{i % 7} and word{i % 7}" for i in range(400))
+    bodies = spark.createDataFrame([("a.1", body), ("b.1", "# H\none"), ("c.1", ""), ("d.1", None), (None, "lost")], "target_version string, body string")
+    tables = search.index_folder(spark, f"{tmp_path}/index")
+    assert tables.rebuild("all", bodies, search.index_bodies) and not tables.rebuild("all", bodies, search.index_bodies)
+    found, index = search.open_index(tables)
+    stored = found.filter("target_version = 'a.1'").selectExpr("sum(length(text) + coalesce(length(section_text), 0))").first()[0]
+    assert found.count() == 402 and stored < 2.1 * len(body)
+    assert {tuple(r) for r in index.postings.filter("passage_id = 'a.1:8'").select("term", "length", "tf").collect()} == {(w, 9, n) for w, n in (("line", 1), ("8", 1), ("of", 1), ("one", 1), ("section", 1), ("with", 1), ("and", 1), ("word1", 2))}
+    hits = spark.createDataFrame([(1, "a.1:8", "a.1"), (1, "a.1:9", "a.1"), (2, "b.1:1", "b.1"), (3, "z", "z")], "query_id int, passage_id string, target_version string")
+    wide = {r["passage_id"]: (r["text"], r["parent_block"]) for r in search.expand(hits, found, parents=True).collect()}
+    assert wide == {"a.1:8": (body.split("\n\n")[8], body), "a.1:9": (body.split("\n\n")[9], body), "b.1:1": ("one", "# H\none")}
+    other = search.index_folder(spark, f"{tmp_path}/other")
+    other.replace("all", bodies, **search.index_bodies(bodies))
+    assert sorted(map(str, found.collect())) == sorted(map(str, search.open_index(other)[0].collect()))
+    assert tables.rebuild("next", spark.createDataFrame([("a.1", "new"), ("e.1", "more")], bodies.schema), search.index_bodies)  # old rows go, neighbours stay
+    assert sorted(r["passage_id"] for r in search.open_index(tables)[0].collect()) == ["a.1:0", "b.1:0", "b.1:1", "e.1:0"]
+
+
+def _pairs_of_words(spark, seed, passages_, queries_):
+    import random
+
+    rng = random.Random(seed)
+    text_ = lambda most: " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randrange(most)))
+    rows = [(f"p{i}", f"v{i % 90}", text_(25)) for i in range(passages_)]
+    rows += [(f"q{i}", f"v{i % 90}", "w1 w2 w3 tie") for i in range(60)]  # equal scores
+    asked = [(f"a{i}", text_(120)) for i in range(queries_)] + [("tied", "tie w2"), ("none", "unknown")]
+    return spark.createDataFrame(rows, "passage_id string, target_version string, text string").repartition(3), spark.createDataFrame(asked, "query_id string, question string")
+
+
+def test_long_queries_by_segments_and_blocks_are_exact(spark, monkeypatch):
+    """All scores, whatever the sizes of segments, blocks, slices and pieces, with ties in order."""
+    rows, queries = _pairs_of_words(spark, 5, 700, 40)
+    index = search.build_index(rows)
+    live = F.regexp_extract("target_version", r"(\d+)", 1).cast("int") % 3 != 0
+    plain = search.bm25(search.query_terms(queries), index).filter(live)
+    order = lambda df: sorted((r["query_id"], r["rank"], r["passage_id"], round(r["score"], 6)) for r in df.collect())
+    want = order(search.top(plain, 12, F.round("score", 9), F.col("passage_id")))
+    assert order(search.lexical_search(queries, index, 12, live)) == want
+    from tessera.operators import segments
+
+    for name, value in (("SEGMENT_PASSAGES", 50), ("SLICE_ROWS", 20), ("BLOCK_QUERIES", 7)):
+        monkeypatch.setattr(segments, name, value)
+    assert order(search.lexical_search(queries, index, 12, live)) == want
+    asked = search.query_terms(queries).join(index.frequencies, "term").select("query_id", "term", F.col("times").cast("double").alias("weight"))
+    pieces = [tuple(map(bytes, r)) for r in segments.segments(index.rows).collect()]
+    blocks = [segments._Block.of(*map(bytes, r[1:])) for r in segments.blocks(asked)[0].collect()]
+    assert len(pieces) > 9 and len(blocks) > 4
+
+    def all_best():  # as a worker does, with sizes of its own
+        out = {}
+        for block in blocks:
+            floor = np.full(len(block.ids), -np.inf)
+            for piece in pieces:
+                found, floor = segments._search(piece, block, floor, 12, 11.0, 1.2, 0.75, 30)
+                for r in found.to_pylist() if found is not None else ():
+                    out.setdefault(r["query_id"], []).append((round(r["score"], 9), r["passage_id"]))
+        return {q: sorted(rows_)[:12] for q, rows_ in out.items()}
+
+    base = all_best()
+    for name, value in (("CELLS", 300), ("FREQUENT_CELLS", 64), ("PAIR_COST", 0), ("PAIR_COST", 1e9)):  # pair by pair; all as columns
+        monkeypatch.setattr(segments, name, value)
+        assert all_best() == base
+
+
+def test_no_posting_is_shuffled_for_a_search(spark):
+    """Of all passages that match, only the best of each task are dealt out, by their query."""
+    rows, queries = _pairs_of_words(spark, 6, 300, 10)
+    index = search.build_index(rows)
+    heads = spark.createDataFrame([(f"n{i}", f"v{i}") for i in range(0, 90, 2)], "note_id string, head_version_id string")
+    even = F.regexp_extract("target_version", r"(\d+)", 1).cast("int") % 2 == 0
+    for found in (search.lexical_search(queries, index, 3, even), search._best(search.starts_of(search.query_terms(queries, "prefix"), index.frequencies).groupBy("query_id", "term").agg(F.sum("times").alias("times"), F.first("df").alias("df")), index, 3, even)):
+        exchanges = [line for line in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in line or "Aggregate" in line]
+        assert len(exchanges) == 1 and ("CartesianProduct" in exchanges[0] or "BroadcastNestedLoopJoin" in exchanges[0]), exchanges
+    starts = search.starts_of(search.query_terms(queries, "prefix"), index.frequencies).groupBy("query_id", "term").agg(F.sum("times").alias("times"))
+    live = heads.select("note_id", F.col("head_version_id").alias("target_version"))
+    best = search.top(search.bm25(starts, index, live), 7, F.round("score", 9), F.col("passage_id")).join(live, "target_version").groupBy("query_id", "note_id").agg(F.min("rank").alias("best")).collect()
+    for kind in (None, even):
+        got = search.prefix_search(queries, index, heads, 7, kind).collect()
+        assert {(r["query_id"], r["note_id"]) for r in got} == {(r["query_id"], r["note_id"]) for r in best}
