@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import passages, urls
 from tessera.functions.identity import blake2b_key, content_key
+from tessera.functions.recovery import written
 from tessera.operators import annotations, claims, context, egress, evaluate, gaps, links, search, state, text
 from tessera.functions.markup import visible_text
 from tessera.sources import files
@@ -545,7 +546,7 @@ def test_long_queries_by_segments_and_blocks_are_exact(spark, monkeypatch):
         for block in blocks:
             floor = np.full(len(block.ids), -np.inf)
             for piece in pieces:
-                found, floor = segments._search(piece, block, floor, 12, 11.0, 1.2, 0.75, 30)
+                found, floor = segments._search(piece[:2], segments._known(segments._unpacked(piece[2]).column(0), block), block, floor, 12, 11.0, 1.2, 0.75, 30)
                 for r in found.to_pylist() if found is not None else ():
                     out.setdefault(r["query_id"], []).append((round(r["score"], 9), r["passage_id"]))
         return {q: sorted(rows_)[:12] for q, rows_ in out.items()}
@@ -556,15 +557,23 @@ def test_long_queries_by_segments_and_blocks_are_exact(spark, monkeypatch):
         assert all_best() == base
 
 
-def test_no_posting_is_shuffled_for_a_search(spark):
+def test_no_posting_is_shuffled_for_a_search(spark, monkeypatch):
     """Of all passages that match, only the best of each task are dealt out, by their query."""
     rows, queries = _pairs_of_words(spark, 6, 300, 10)
     index = search.build_index(rows)
     heads = spark.createDataFrame([(f"n{i}", f"v{i}") for i in range(0, 90, 2)], "note_id string, head_version_id string")
     even = F.regexp_extract("target_version", r"(\d+)", 1).cast("int") % 2 == 0
-    for found in (search.lexical_search(queries, index, 3, even), search._best(search.starts_of(search.query_terms(queries, "prefix"), index.frequencies).groupBy("query_id", "term").agg(F.sum("times").alias("times"), F.first("df").alias("df")), index, 3, even)):
-        exchanges = [line for line in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in line or "Aggregate" in line]
-        assert len(exchanges) == 1 and ("CartesianProduct" in exchanges[0] or "BroadcastNestedLoopJoin" in exchanges[0]), exchanges
+    from tessera.operators import segments
+
+    stored = []
+    monkeypatch.setattr(segments, "written", lambda df, label: stored.append((label, df)) or written(df, label))
+    search.lexical_search(queries, index, 3, even)
+    search.prefix_search(queries, index, heads, 3, even)
+    plans = [df._jdf.queryExecution().sparkPlan().toString().split("\n") for label, df in stored if label == "best-passages"]
+    moved = [[line for line in plan if "Join" in line or "Aggregate" in line or "Cartesian" in line] for plan in plans]
+    assert len(moved) == 2 and all("CartesianProduct" in m[0] or "BroadcastNestedLoopJoin" in m[0] for m in moved), moved
+    assert not moved[0][1:] and all("BroadcastHashJoin" in line for line in moved[1][1:]), moved  # segments with their frequencies
+    assert sum(df.count() for label, df in stored if label == "query-blocks") == 2 and sum(len(b["weights"]) for label, df in stored if label == "query-blocks" for b in df.collect()) < 20_000
     starts = search.starts_of(search.query_terms(queries, "prefix"), index.frequencies).groupBy("query_id", "term").agg(F.sum("times").alias("times"))
     live = heads.select("note_id", F.col("head_version_id").alias("target_version"))
     best = search.top(search.bm25(starts, index, live), 7, F.round("score", 9), F.col("passage_id")).join(live, "target_version").groupBy("query_id", "note_id").agg(F.min("rank").alias("best")).collect()
